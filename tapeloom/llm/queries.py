@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, pii, quality, sharding
-from .common import table
+from . import line_dedup, packing, pii, quality, sharding, token_store
+from .common import table, work_dir
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +21,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", line_dedup.sha256_text(F.col("text")).alias("kept_sha256"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), ids=False).drop("ids")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -28,5 +36,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.spans(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op4_line_dedup, op7_quality, op8_pii)}
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{work_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_store.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_store.read(spark, folder).drop("ids")
+
+
+QUERIES = {f.__name__: f for f in (op3_sharding, op4_line_dedup, op5_packing, op7_quality, op8_pii, op9_token_store)}
 ORACLES = {"op3_sharding": sharding.oracle(), "op4_line_dedup": line_dedup.ORACLE}
