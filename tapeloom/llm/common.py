@@ -156,8 +156,8 @@ def shingle_sets(offsets: np.ndarray, data: np.ndarray, width: int = 5) -> list[
             g = np.sort(grams[at[i] : at[i + 1] - width + 1])
             out.append(g[np.concatenate([[True], g[1:] != g[:-1]])])
         elif counts[i]:
-            whole = (word[at[i] : at[i + 1]] * place[: counts[i]]).sum(dtype=U64) + place[width] * U64(counts[i])
-            out.append(mix(np.array([whole], U64)))
+            whole = (word[at[i] : at[i + 1]] * place[: counts[i]]).sum(dtype=U64, keepdims=True)
+            out.append(mix(whole + place[width:] * counts[i : i + 1].astype(U64)))
         else:
             out.append(np.zeros(0, U64))
     return out
