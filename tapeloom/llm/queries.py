@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, line_dedup, ngram_join, packing, pii, quality, sharding, token_store
+from . import decontamination, embedding_dedup, line_dedup, ngram_join, packing, pii, quality, sharding, token_store
 from .common import table, work_dir
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,5 +54,5 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_sharding, op4_line_dedup, op5_packing, op7_quality, op8_pii, op9_token_store, op10_embedding_dedup)}
-ORACLES = {"op2_ngram_join": ngram_join.ORACLE, "op10_embedding_dedup": embedding_dedup.ORACLE, "op3_sharding": sharding.oracle(), "op4_line_dedup": line_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_join, op3_sharding, op4_line_dedup, op5_packing, op7_quality, op8_pii, op9_token_store, op10_embedding_dedup)}
+ORACLES = {"op1_decontamination": decontamination.ORACLE, "op2_ngram_join": ngram_join.ORACLE, "op10_embedding_dedup": embedding_dedup.ORACLE, "op3_sharding": sharding.oracle(), "op4_line_dedup": line_dedup.ORACLE}
