@@ -13,7 +13,6 @@ exactly what insert() did.
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -295,7 +294,3 @@ FROM lines l LEFT JOIN gone g ON l.k = g.k AND l.doc_id < g.m GROUP BY l.doc_id"
 def sha256_text(column):
     """Lowercase hex of the text's UTF-8 bytes; null counts as empty."""
     return F.sha2(F.coalesce(column, F.lit("")).cast("binary"), 256)
-
-
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

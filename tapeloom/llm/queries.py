@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, line_dedup, ngram_join, packing, pii, quality, sharding, token_store
+from . import decontamination, embedding_dedup, line_dedup, ngram_join, packing, pii, quality, sharding, suffix_dedup, token_store
 from .common import table, work_dir
 
 
@@ -34,6 +34,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), ids=False).drop("ids")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -54,5 +59,5 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_join, op3_sharding, op4_line_dedup, op5_packing, op7_quality, op8_pii, op9_token_store, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_join, op3_sharding, op4_line_dedup, op5_packing, op6_suffix_dedup, op7_quality, op8_pii, op9_token_store, op10_embedding_dedup)}
 ORACLES = {"op1_decontamination": decontamination.ORACLE, "op2_ngram_join": ngram_join.ORACLE, "op10_embedding_dedup": embedding_dedup.ORACLE, "op3_sharding": sharding.oracle(), "op4_line_dedup": line_dedup.ORACLE}
