@@ -1,21 +1,54 @@
-"""A training corpus from documents in stages, each on what its predecessor kept."""
+"""A training corpus from documents in stages, each on all that its predecessor kept. Every stage but the last returns the
+columns of documents; the last returns the packed pieces with their ids."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tapeloom.llm import quality
+from tapeloom.llm import decontamination, line_dedup, ngram_join, packing, quality
 from tapeloom.llm.common import materialize, table
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; a document of unknown quality is scored like any other."""
+    """Documents that the quality classifier accepts. It learns from the labelled rows of docs; every row is scored."""
     weights = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, weights).where("predicted = 1").drop("score", "predicted")
 
 
-STAGES = [("quality classifier", good)]
-#: SQL cannot train a classifier or encode with a tokenizer; tests/llm holds the stages against brute force.
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that many of them hold; n_chars follows. Documents that lose all lines stay, empty."""
+    kept = line_dedup.dedup_lines(docs)
+    return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest doc_id. Documents without words are no duplicates."""
+    found = ngram_join.near_duplicates(docs)
+    gone = found.where("component_id != doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    leaks = decontamination.contained(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of training sequences, with their ids."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", good),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", distinct),
+    ("benchmark decontamination", unseen),
+    ("packing", packed),
+]
+#: SQL can neither train the classifier nor encode with a tokenizer; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
