@@ -2,10 +2,10 @@
 
 A file holds segments one after the other, each with a line break after it. A segment, little-endian:
   8 bytes   TLTOKEN1
-  6 x u64   documents n, ids m, bytes of the hash function, keys k, part and number of the segment
+  7 x u64   documents n, ids m, bytes of the hash function, keys k, part and number of the segment, bytes of an id w
   n x i64   doc_id;  n x u8  1 where doc_id is null;  (n + 1) x u64  offset of each document's first id, in ids
   hash function;  k x u32 fingerprints;  k x u32 row of each hash slot
-  m x u32   the ids
+  m x u16 or u32 (w = 2 or 4)  the ids; w is 2 if every id of the segment allows it
 Documents lie in ascending doc_id order, rows without doc_id first, over all files in the order of (part, number). A
 repeated doc_id is stored as often as it comes; the hash finds the first. A key's slot is the rank of its bit in the first
 level where it was alone; a fingerprint that does not match says that the segment has no such key.
@@ -91,8 +91,10 @@ def segment(docs: list, ids: list[bytes], part: int, number: int) -> bytes:
     prints, rows = np.zeros(len(keys), "<u4"), np.zeros(len(keys), "<u4")
     prints[slot], rows[slot] = fingerprint(keys), row
     dumped = hashed.dump()
-    head = MAGIC + struct.pack("<6Q", len(docs), int(offsets[-1]), len(dumped), len(keys), part, number)
-    return b"".join([head, doc.tobytes(), null.tobytes(), offsets.tobytes(), dumped, prints.tobytes(), rows.tobytes(), *ids])
+    payload = np.frombuffer(b"".join(ids), "<u4")
+    width = 2 if not len(payload) or payload.max() < 1 << 16 else 4
+    head = MAGIC + struct.pack("<7Q", len(docs), len(payload), len(dumped), len(keys), part, number, width)
+    return b"".join([head, doc.tobytes(), null.tobytes(), offsets.tobytes(), dumped, prints.tobytes(), rows.tobytes(), payload.astype(f"<u{width}").tobytes()])
 
 
 class Segment:
@@ -101,8 +103,8 @@ class Segment:
     def __init__(self, raw, at: int = 0):
         if bytes(raw[at : at + 8]) != MAGIC:
             raise ValueError("no token segment")
-        n, m, size, keys, self.part, self.number = struct.unpack_from("<6Q", raw, at + 8)
-        at += 56
+        n, m, size, keys, self.part, self.number, width = struct.unpack_from("<7Q", raw, at + 8)
+        at += 64
         take = lambda kind, count: np.frombuffer(raw, kind, count, at)
         self.doc_ids, at = take("<i8", n), at + 8 * n
         self.null, at = take(np.uint8, n).astype(bool), at + n
@@ -110,8 +112,12 @@ class Segment:
         self.hash, at = PerfectHash.load(bytes(raw[at : at + size])), at + size
         self.prints, at = take("<u4", keys), at + 4 * keys
         self.rows, at = take("<u4", keys), at + 4 * keys
-        self.ids = take("<u4", m)
-        self.end = at + 4 * m + 1
+        self.ids = take(f"<u{width}", m)
+        self.end = at + width * m + 1
+
+    def ids_at(self, row: int) -> bytes:
+        """A stored row's ids, as little-endian unsigned 32-bit numbers."""
+        return self.ids[self.offsets[row] : self.offsets[row + 1]].astype("<u4").tobytes()
 
     def rows_of(self, doc_ids: np.ndarray) -> np.ndarray:
         """The stored row of each key, in constant time each; -1 where the segment has no such key."""
@@ -172,7 +178,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     row = np.where(np.concatenate([[False], s.doc_ids[1:] == s.doc_ids[:-1]]), np.arange(len(row)), row)
                     a, b = s.offsets[row], s.offsets[row + 1]
                     one = lambda x: pa.array(np.full(len(row), x, np.int64))
-                    ids = [s.ids[i:j].tobytes() for i, j in zip(a, b, strict=True)]
+                    ids = [s.ids_at(r) for r in row]
                     yield pa.RecordBatch.from_arrays(
                         [one(s.part), one(s.number), pa.array(s.doc_ids, mask=s.null), pa.array(a), pa.array(b - a), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                         ["part", "number", "doc_id", "inside", "n_tokens", "ids_crc32", "ids"],
@@ -203,7 +209,7 @@ def lookup(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
                     row = s.rows_of(asked)
                     real = row >= 0
                     real[real] = s.doc_ids[row[real]] == asked[real]
-                    yield pa.RecordBatch.from_arrays([pa.array(asked[real]), pa.array([s.ids[s.offsets[r] : s.offsets[r + 1]].tobytes() for r in row[real]], pa.binary())], ["doc_id", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(asked[real]), pa.array([s.ids_at(r) for r in row[real]], pa.binary())], ["doc_id", "ids"])
 
     held = files.mapInArrow(ranges, "content binary, low bigint, high bigint")
     inside = held.join(keys.select("doc_id").distinct(), (F.col("doc_id") >= F.col("low")) & (F.col("doc_id") <= F.col("high")))
