@@ -1,9 +1,7 @@
-"""What the operators share: the shared work folder, whole-text hashing in numpy, connected components."""
+"""What the operators share: tables in the shared work folder, whole-text hashing in numpy, connected components."""
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
 import numpy as np
@@ -12,22 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..paths import work_dir
+
 U64 = np.uint64
 #: Bytes of text that are hashed at once; the hashes take eight times as much.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 WHITE = b" \t\n\x0b\x0c\r"
 
 
-@functools.cache
-def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-
-
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where it is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_dir()).rstrip("/")
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Writes the rows as a table in the shared folder and reads it: cuts lineage, survives lost executors."""
     path = f"{work_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"

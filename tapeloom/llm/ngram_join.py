@@ -2,11 +2,12 @@
 
 Documents with equal shingle sets are one entity. Two entities link when 100 * intersection >= PERCENT * union. In any
 order of all shingles, two linked sets of sizes n share a shingle within their first n - ceil(PERCENT / 100 * n) + 1. The
-orders used put shingles that one entity alone holds first, then the shared ones by one of ORDERS different hashes.
+orders used put rare shingles first: by the power of two of the number of entities that hold a shingle, and within it by
+one of ORDERS different hashes. Shingles that one entity alone holds, the first of all, can't be shared.
 
 1. Shared shingles: each task cuts its documents' hashed shingles into buckets by hash, and a bucket's task tells which of
-   them several entities hold. A shingle held often within one task is known to be shared at once, and one copy of it
-   stands for all in its bucket, so a bucket does not grow with a shingle's frequency.
+   them several entities hold, and how many. A shingle held often within one task is known to be shared at once, ranks
+   last, and one copy of it stands for all in its bucket, so a bucket does not grow with a shingle's frequency.
 2. An entity whose prefix holds unshared shingles alone links with nothing and is done. The others keep their shared ones.
 3. Entities that share prefix shingles under the first order, directly or over others, are a family. Families are cut into
    tiles of at most two blocks of about BLOCK entities; a tile intersects the candidates of all orders, verifies what is
@@ -29,8 +30,8 @@ from .embedding_dedup import forest
 
 WIDTH, PERCENT, ORDERS = 5, 80, 3
 BLOCK = 512
-#: Entities of a task that hold a shingle, from which one copy of it stands for all.
-OFTEN = 24
+#: Entities of a task that hold a shingle, from which one copy of it stands for all; the rank of such shingles.
+OFTEN, LAST = 256, 255
 _ORDER = seeded(ORDERS, 11)
 
 
@@ -63,8 +64,9 @@ _PARTS = ["bucket", "entities", "sizes", "counts", "tokens", "shared"]
 
 
 def shared_shingles(docs: DataFrame) -> DataFrame:
-    """(entity, n, shared, tokens): shingles that other entities hold too, in pieces for each entity and bucket."""
-    buckets = 2 * partitions(docs.sparkSession)
+    """(target, entities, sizes, counts, tokens, ranks): shingles that other entities hold too, and their ranks by frequency.
+    A row has what a bucket found for the entities of one target, packed."""
+    buckets = partitions(docs.sparkSession)
 
     def cut(batches):
         for batch in batches:
@@ -104,51 +106,58 @@ def shared_shingles(docs: DataFrame) -> DataFrame:
         joined = {c: np.frombuffer(b"".join(t[c].to_pylist()), kind) for c, kind in zip(_PARTS[1:], (np.int64, np.int32, np.int32, U64, U64), strict=True)}
         count, tokens = joined["counts"], joined["tokens"]
         owner = np.repeat(np.arange(len(count)), count)
-        if t["bucket"][0].as_py() >= 0:
-            order = np.argsort(tokens, kind="stable")
+        rank = np.full(len(tokens), LAST, np.uint8)
+        if t["bucket"][0].as_py() >= 0 and len(tokens):
+            order = np.lexsort((joined["entities"][owner], tokens))
             token, who = tokens[order], joined["entities"][owner[order]]
-            new = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, int)
-            # a run is shared if its entities differ, or if a task has told so
-            differ = np.maximum.reduceat(who, new) != np.minimum.reduceat(who, new) if len(new) else np.zeros(0, bool)
-            differ |= np.isin(token[new], joined["shared"])
+            fresh = np.concatenate([[True], token[1:] != token[:-1]])
+            new = np.flatnonzero(fresh)
+            held = np.add.reduceat(fresh | np.concatenate([[True], who[1:] != who[:-1]]), new)  # different entities
+            often = np.isin(token[new], joined["shared"])
+            runs = np.diff(np.append(new, len(token)))
+            rank[order] = np.repeat(np.where(often, LAST, np.floor(np.log2(held))).astype(np.uint8), runs)
             kept = np.zeros(len(tokens), bool)
-            kept[order] = np.repeat(differ, np.diff(np.append(new, len(token))))
-            tokens, owner = tokens[kept], owner[kept]
+            kept[order] = np.repeat(often | (held > 1), runs)
+            tokens, owner, rank = tokens[kept], owner[kept], rank[kept]
         at = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, int)
         who, ends = owner[at], np.append(at, len(owner))
-        return pa.table(
-            {
-                "entity": pa.array(joined["entities"][who]),
-                "n": pa.array(joined["sizes"][who].astype(np.int64)),
-                "shared": pa.array(np.diff(ends).astype(np.int64)),
-                "tokens": pa.array([tokens[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary()),
-            }
-        )
+        target = (mix(joined["entities"][who].view(U64)) % U64(buckets)).astype(np.int32)
+        rows = []
+        for x in np.unique(target):
+            mine = np.flatnonzero(target == x)
+            cells = np.concatenate([np.arange(a, b) for a, b in zip(ends[mine], ends[mine + 1], strict=True)])
+            rows.append((int(x), joined["entities"][who[mine]].tobytes(), joined["sizes"][who[mine]].tobytes(), (ends[mine + 1] - ends[mine]).astype(np.int32).tobytes(), tokens[cells].tobytes(), rank[cells].tobytes()))
+        return pa.table({"target": pa.array([r[0] for r in rows], pa.int32())} | {c: pa.array([r[k] for r in rows], pa.binary()) for k, c in enumerate((*_PARTS[1:5], "ranks"), 1)})
 
     pieces = docs.select("doc_id", "text").mapInArrow(cut, "bucket int, entities binary, sizes binary, counts binary, tokens binary, shared binary")
-    return pieces.groupBy("bucket").applyInArrow(tell, "entity bigint, n bigint, shared bigint, tokens binary")
+    return pieces.groupBy("bucket").applyInArrow(tell, "target int, entities binary, sizes binary, counts binary, tokens binary, ranks binary")
 
 
 def candidates(shared: DataFrame) -> DataFrame:
-    """(entity, n, k, tokens) of the entities with shared shingles in their prefix: k of them, whatever the order."""
-    some = shared.groupBy("entity").agg(F.max("n").alias("n"), F.sum("shared").alias("s"), F.collect_list("tokens").alias("tokens"))
-    some = some.where(F.expr(f"n - s < n - ceil({PERCENT} * n / 100) + 1")).select("entity", "n", "tokens")
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for e, n, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                t = np.unique(np.frombuffer(b"".join(parts), U64))
-                if (k := prefix_length(n) - (n - len(t))) > 0:
-                    out.append((e, n, k, t.tobytes()))
-            yield pa.RecordBatch.from_arrays([*(pa.array([r[c] for r in out], pa.int64()) for c in range(3)), pa.array([r[3] for r in out], pa.binary())], ["entity", "n", "k", "tokens"])
+    """(entity, n, k, tokens, ranks) of the entities with shared shingles in their prefix: k of them, whatever the order."""
+
+    def gather(t: pa.Table) -> pa.Table:
+        entities, sizes, counts, tokens, ranks = (np.frombuffer(b"".join(t[c].to_pylist()), kind) for c, kind in zip((*_PARTS[1:5], "ranks"), (np.int64, np.int32, np.int32, U64, np.uint8), strict=True))
+        owner = np.repeat(entities, counts)
+        size = dict(zip(entities.tolist(), sizes.tolist(), strict=True))
+        order = np.lexsort((tokens, owner))
+        owner, tokens, ranks = owner[order], tokens[order], ranks[order]
+        new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (tokens[1:] != tokens[:-1])]) if len(owner) else np.zeros(0, bool)
+        owner, tokens, ranks = owner[new], tokens[new], ranks[new]
+        at = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, int)
+        out = []
+        for a, b in zip(at.tolist(), np.append(at[1:], len(owner)).tolist(), strict=True):
+            n = size[int(owner[a])]
+            if (k := prefix_length(n) - (n - (b - a))) > 0:
+                out.append((int(owner[a]), n, k, tokens[a:b].tobytes(), ranks[a:b].tobytes()))
+        return pa.table({c: pa.array([r[x] for r in out], pa.int64() if x < 3 else pa.binary()) for x, c in enumerate(("entity", "n", "k", "tokens", "ranks"))})
 
-    return some.mapInArrow(run, "entity bigint, n bigint, k bigint, tokens binary")
+    return shared.groupBy("target").applyInArrow(gather, "entity bigint, n bigint, k bigint, tokens binary, ranks binary")
 
 
-def prefix(tokens: np.ndarray, k: int, order: int) -> np.ndarray:
+def prefix(tokens: np.ndarray, ranks: np.ndarray, k: int, order: int) -> np.ndarray:
     """The first k shared shingles under one of the orders."""
-    return tokens[np.argsort(mix(tokens ^ _ORDER[order]), kind="stable")[:k]]
+    return tokens[np.lexsort((mix(tokens ^ _ORDER[order]), ranks))[:k]]
 
 
 def families(found: DataFrame) -> DataFrame:
@@ -156,8 +165,8 @@ def families(found: DataFrame) -> DataFrame:
 
     def posts(batches):
         for batch in batches:
-            e, k, tokens = (batch.column(c).to_pylist() for c in ("entity", "k", "tokens"))
-            parts = [prefix(np.frombuffer(t, U64), n, 0) for t, n in zip(tokens, k, strict=True)]
+            e, k, tokens, ranks = (batch.column(c).to_pylist() for c in ("entity", "k", "tokens", "ranks"))
+            parts = [prefix(np.frombuffer(t, U64), np.frombuffer(r, np.uint8), n, 0) for t, r, n in zip(tokens, ranks, k, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, U64), *parts]).view(np.int64)), pa.array(np.repeat(np.array(e, np.int64), [len(p) for p in parts]))], ["token", "entity"])
 
     posted = found.mapInArrow(posts, "token bigint, entity bigint")
@@ -188,7 +197,7 @@ def _common(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def links(n: np.ndarray, k: np.ndarray, tokens: list[np.ndarray], mine: np.ndarray, its: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def links(n: np.ndarray, k: np.ndarray, tokens: list[np.ndarray], ranks: list[np.ndarray], mine: np.ndarray, its: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of mine and its that link: those in the candidates of every order, then verified by exact counts."""
     small, large = np.minimum(n[mine][:, None], n[its][None, :]), np.maximum(n[mine][:, None], n[its][None, :])
     maybe = 100 * small >= PERCENT * large
@@ -196,7 +205,7 @@ def links(n: np.ndarray, k: np.ndarray, tokens: list[np.ndarray], mine: np.ndarr
         rows, cols = np.flatnonzero(maybe.any(1)), np.flatnonzero(maybe.any(0))
         if not len(rows):
             break
-        first = {x: prefix(tokens[x], k[x], order) for x in {*mine[rows].tolist(), *its[cols].tolist()}}
+        first = {x: prefix(tokens[x], ranks[x], k[x], order) for x in {*mine[rows].tolist(), *its[cols].tolist()}}
         maybe[np.ix_(rows, cols)] &= _common([first[x] for x in mine[rows].tolist()], [first[x] for x in its[cols].tolist()]) > 0
     rows, cols = np.flatnonzero(maybe.any(1)), np.flatnonzero(maybe.any(0))
     if not len(rows):
@@ -220,7 +229,7 @@ def linked(found: DataFrame, block: int = BLOCK) -> DataFrame:
 
     def tile(t: pa.Table) -> pa.Table:
         entity, n, k, fam, at = (t[c].to_numpy() for c in ("entity", "n", "k", "family", "block"))
-        tokens = [np.frombuffer(x, U64) for x in t["tokens"].to_pylist()]
+        tokens, ranks = ([np.frombuffer(x, kind) for x in t[c].to_pylist()] for c, kind in (("tokens", U64), ("ranks", np.uint8)))
         low = t["low"][0].as_py()
         same = low == t["high"][0].as_py()
         out = []
@@ -229,13 +238,13 @@ def linked(found: DataFrame, block: int = BLOCK) -> DataFrame:
             mine = part[at[part] == low]
             its = mine if same else part[at[part] != low]
             if len(mine) and len(its):
-                i, j = links(n, k, tokens, mine, its)
+                i, j = links(n, k, tokens, ranks, mine, its)
                 if same:
                     i, j = i[i < j], j[i < j]
                 out += [(entity[a], entity[b]) for a, b in forest(len(entity), i, j)]
         return pa.table({c: pa.array([row[x] for row in out], pa.int64()) for x, c in enumerate(("a", "b"))})
 
-    wanted = tiles.select("entity", "n", "k", "tokens", "family", "block", "low", "high", "task", "large")
+    wanted = tiles.select("entity", "n", "k", "tokens", "ranks", "family", "block", "low", "high", "task", "large")
     return wanted.groupBy("large", "task", "low", "high").applyInArrow(tile, "a bigint, b bigint")
 
 
