@@ -11,7 +11,6 @@ from .scan import running_max
 
 # Seconds, closed candles kept, order.
 TIMEFRAMES = {"M1": (60, 512), "M15": (900, 32), "H1": (3600, 8), "D1": (86400, 16)}
-_SERIES = Window.partitionBy("symbol", "timeframe").orderBy("start_time")
 
 
 def _bucket(ts, step: int):
@@ -62,7 +61,8 @@ def all_timeframes(trades: DataFrame, timeframes: tuple[str, ...] = tuple(TIMEFR
 
 def mark_closed(made: DataFrame) -> DataFrame:
     """With is_closed: all but the newest candle of a series, and closed_by_seq: the trade that closed it."""
-    return made.withColumn("closed_by_seq", F.lead("first_seq").over(_SERIES)).withColumn("is_closed", F.col("closed_by_seq").isNotNull())
+    series = Window.partitionBy("symbol", "timeframe").orderBy("start_time")
+    return made.withColumn("closed_by_seq", F.lead("first_seq").over(series)).withColumn("is_closed", F.col("closed_by_seq").isNotNull())
 
 
 def close_events(marked: DataFrame) -> DataFrame:
