@@ -94,9 +94,10 @@ class Packer:
             self.fill(0, min(int(self.limit[0]), 1 << (waiting.bit_length() - 1)))
 
 
-def pack(docs: DataFrame, path: str, length: int = LENGTH, segments: int = SEGMENTS, loss: int | None = None, ids: bool = True, share: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, path: str, length: int = LENGTH, segments: int = SEGMENTS, loss: int | None = None, ids: bool = True, share: str | None = None, release: bool = False) -> DataFrame:
     """A row for each piece of docs(doc_id, text), with its ids if asked for. share names a column with the part of the
-    document's tokens that bear loss (null: all)."""
+    document's tokens that bear loss (null: all). release: workers forget the encoded words when a task ends, for jobs
+    whose other stages need their memory."""
 
     def run(batches):
         base = TaskContext.get().partitionId() << 32
@@ -123,5 +124,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, segments: int = SEGME
                 yield out()
         packer.finish()
         yield out()
+        if release:
+            tokens.forget()
 
     return docs.selectExpr("doc_id", "text", f"cast({f'`{share}`' if share else 'null'} as double) as share").mapInArrow(run, SCHEMA)

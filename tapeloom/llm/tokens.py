@@ -63,6 +63,10 @@ def _learn(library, words: dict[str, bytes], new: list[str], spaced: bool) -> No
     words.update(zip(rest, (_bytes(e.ids) for e in library.encode_batch(rest, add_special_tokens=False)), strict=True))
 
 
+def forget() -> None:
+    _words.clear(), _pieces.clear()
+
+
 def encode(texts: list[str], path: str, spaced: bool) -> list[bytes]:
     """The ids of each text, without special tokens, as bytes."""
     library, words, pieces = _library(path), _words.setdefault(path, {}), _pieces.setdefault(path, {})
