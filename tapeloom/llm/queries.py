@@ -52,7 +52,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{work_dir(spark)}/tokens-{uuid.uuid4().hex}"
     token_store.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
-    return token_store.read(spark, folder).drop("ids")
+    return token_store.read(spark, folder, ids=False)
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

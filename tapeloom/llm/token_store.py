@@ -130,6 +130,15 @@ class Segment:
         return out
 
 
+def heads_of(raw):
+    """(part, number, ids) of a file's segments, from their heads alone."""
+    at = 0
+    while at < len(raw):
+        n, m, size, keys, part, number, width = struct.unpack_from("<7Q", raw, at + 8)
+        yield part, number, m
+        at += 64 + 17 * n + 8 + size + 8 * keys + width * m + 1
+
+
 def segments(raw):
     at = 0
     while at < len(raw):
@@ -157,15 +166,15 @@ def write(docs: DataFrame, folder: str, vocabulary: str, spaced: bool = True, en
     ordered.mapInArrow(run, "raw binary").select(F.col("raw").cast("string")).write.text(folder)
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """A row for each stored document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and ids. Every
-    doc_id is looked up through the hash of its segment; a row that the hash does not lead to is a repeated doc_id."""
+def read(spark: SparkSession, folder: str, ids: bool = True) -> DataFrame:
+    """A row for each stored document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked for,
+    ids. Every doc_id is looked up through the hash of its segment; a row that the hash does not lead to is a repeated doc_id."""
     files = spark.read.format("binaryFile").load(folder).select("content")
 
     def heads(batches):
         for batch in batches:
             for raw in batch.column(0):
-                found = [(s.part, s.number, len(s.ids)) for s in segments(raw.as_buffer().to_pybytes())]
+                found = list(heads_of(raw.as_buffer()))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * 3, ["part", "number", "n_ids"])
 
     def rows(batches):
@@ -178,16 +187,16 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     row = np.where(np.concatenate([[False], s.doc_ids[1:] == s.doc_ids[:-1]]), np.arange(len(row)), row)
                     a, b = s.offsets[row], s.offsets[row + 1]
                     one = lambda x: pa.array(np.full(len(row), x, np.int64))
-                    ids = [s.ids_at(r) for r in row]
+                    got = [s.ids_at(r) for r in row]
                     yield pa.RecordBatch.from_arrays(
-                        [one(s.part), one(s.number), pa.array(s.doc_ids, mask=s.null), pa.array(a), pa.array(b - a), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                        [one(s.part), one(s.number), pa.array(s.doc_ids, mask=s.null), pa.array(a), pa.array(b - a), pa.array([zlib.crc32(x) for x in got], pa.int64()), pa.array(got if ids else [None] * len(got), pa.binary())],
                         ["part", "number", "doc_id", "inside", "n_tokens", "ids_crc32", "ids"],
                     )
 
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # a row for each segment
     base = files.mapInArrow(heads, "part bigint, number bigint, n_ids bigint").withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).drop("n_ids")
     found = files.mapInArrow(rows, "part bigint, number bigint, doc_id bigint, inside bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
-    return found.join(base, ["part", "number"]).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    return found.join(base, ["part", "number"]).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if ids else []))
 
 
 def lookup(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 
 import numpy as np
 
@@ -19,8 +18,8 @@ KNOWN_WORDS, KNOWN_PIECES = 900_000, 500_000
 SIGNS = ".,!?;:%$&#*|"
 #: Stands where a text is cut; a text that holds it goes to the library whole.
 CUT = "\ue000"
-_ODD_SPACE = re.compile(r"[^\S \n]")
-_SEPARATOR = re.compile(r"[\x1c-\x1f]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"  # white space for Python, signs for the vocabularies
+_ODD_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 _words: dict[str, dict[str, bytes]] = {}
 _pieces: dict[str, dict[str, bytes]] = {}
 
@@ -42,8 +41,8 @@ def _bytes(ids) -> bytes:
 def _cut(text: str, spaced: bool) -> list[str] | None:
     """The text's pieces: with the space before them (spaced) or without white space. None: not to be cut."""
     if not spaced:
-        return None if _SEPARATOR.search(text) else text.split()
-    if "  " in text or "\n " in text or " \n" in text or "\n\n" in text or CUT in text or _ODD_SPACE.search(text):
+        return None if any(c in text for c in _SEPARATORS) else text.split()
+    if "  " in text or "\n " in text or " \n" in text or "\n\n" in text or CUT in text or any(c in text for c in _ODD_SPACES):
         return None
     return text.replace("\n", f"{CUT}\n{CUT}").replace(" ", f"{CUT} ").split(CUT)
 

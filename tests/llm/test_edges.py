@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, repeated rows, empty tables, clashing columns."""
 
+import uuid
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -180,12 +182,13 @@ def test_pii(nasty, none):
 
 def test_token_store(spark, nasty, none):
     path = public_tokenizers.path("byte_bpe_50k.json")
+    here = f"{common.work_dir(spark)}/edge-{uuid.uuid4().hex}"
     for df, n in ((nasty, len(ROWS)), (none, 0)):
-        folder = f"{common.work_dir(spark)}/edge-{n}"
+        folder = f"{here}-{n}"
         token_store.write(df, folder, path)
         rows = token_store.read(spark, folder).orderBy("start").collect()
         assert len(rows) == n and [r.doc_id for r in rows] == sorted((r.doc_id for r in rows), key=lambda x: (x is not None, x))
-    folder = f"{common.work_dir(spark)}/edge-{len(ROWS)}"
+    folder = f"{here}-{len(ROWS)}"
     got = {r.doc_id: len(r.ids) // 4 for r in token_store.lookup(spark, folder, spark.createDataFrame([(1,), (7,), (12345,), (None,)], "doc_id long")).collect()}
     assert set(got) == {1, 7} and got[1] == 1
 
