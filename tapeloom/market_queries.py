@@ -12,6 +12,7 @@ from .functions import scalars, symbols, validate
 from .operators import candles as cd
 from .operators import dedup, latest, liveness, mapping, sequence
 from .paths import work_dir
+from .plans import workloads
 from .sources import frames as fr
 from .sources import sinks, tables
 
@@ -415,3 +416,30 @@ def candle_sink(spark, d):
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candle_latest_closed(spark, sf_dir)
+
+
+# --- whole jobs ------------------------------------------------------------------------------------------------------
+
+_CLEAN = f"""dd AS (SELECT * FROM tape WHERE kind = 'trade' UNION ALL SELECT * FROM (SELECT * FROM tape WHERE kind = 'quote' QUALIFY row_number() OVER (PARTITION BY {_KEY} ORDER BY seq) = 1)),
+wk AS (SELECT *, max(ts_us) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {int(LATENESS)} * 1000000 AS wm FROM dd), good AS (SELECT * FROM wk WHERE NOT coalesce(ts_us < wm, false)),
+ga AS (SELECT *, coalesce(ts_us >= max(ts_us) OVER (PARTITION BY symbol, kind ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS ok FROM good)"""
+
+
+@query(f"""WITH TAPE, {_CLEAN} SELECT symbol, arg_max(price, (ts_us, seq)) FILTER (kind = 'trade') AS last_price, arg_max(bid_price, (ts_us, seq)) FILTER (kind = 'quote') AS last_bid,
+ coalesce(sum(volume) FILTER (kind = 'trade' AND ok), 0) AS total_volume FROM ga GROUP BY symbol""")
+def job_market_state(spark, d):
+    clean = workloads.clean_tape(tables.frames(spark, d), LATENESS, chunk=CHUNK)
+    return workloads.market_state(clean.events, CHUNK).select("symbol", F.col("last_trade.price").alias("last_price"), F.col("last_quote.bid_price").alias("last_bid"), "total_volume")
+
+
+@query(f"""WITH TAPE, {_CLEAN}, {_TF}, c AS (SELECT symbol, timeframe, any_value(room) AS room, ts_us // 1000000 // step * step AS start_s, arg_min(price, (ts_us, seq)) AS open, arg_max(price, (ts_us, seq)) AS close, sum(volume) AS volume
+ FROM good, tf WHERE kind = 'trade' GROUP BY symbol, timeframe, ts_us // 1000000 // step * step), n AS (SELECT *, row_number() OVER (PARTITION BY symbol, timeframe ORDER BY start_s DESC) - 1 AS n FROM c)
+SELECT symbol, timeframe, start_s, open, close, volume, n > 0 AS is_closed FROM n WHERE n <= room""")
+def job_candles(spark, d):
+    clean = workloads.clean_tape(tables.frames(spark, d), LATENESS, chunk=CHUNK)
+    return workloads.candle_tables(clean.events).select("symbol", "timeframe", _start(), "open", "close", "volume", "is_closed")
+
+
+@query(f"WITH TAPE, {_CLEAN} SELECT symbol, count(*)::BIGINT AS n FROM wk WHERE ts_us < wm GROUP BY symbol")
+def job_late_events(spark, d):
+    return workloads.clean_tape(tables.frames(spark, d), LATENESS, chunk=CHUNK).late.groupBy("symbol").agg(F.count("*").alias("n"))
