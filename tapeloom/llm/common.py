@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
 
 import numpy as np
@@ -42,6 +44,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trimmed(f):
+    """For a function over a task's batches: when it ends, the worker gives the memory that it used back to the machine, which
+    it shares with its executor."""
+
+    @functools.wraps(f)
+    def run(*args):
+        yield from f(*args)
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 # --- text as bytes ---------------------------------------------------------------------------------------------------
 
 

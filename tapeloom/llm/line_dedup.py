@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, texts
+from .common import materialize, mix, texts, trimmed
 
 MIN_CHARS, MIN_DOCS = 40, 5
 _ENDS = " \t\n\x0b\x0c\r"
@@ -121,7 +121,7 @@ def references(docs: DataFrame) -> DataFrame:
                         ids.append(doc), k1.append(a), k2.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(ids, pa.int64())], ["k1", "k2", "doc_id"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "k1 bigint, k2 bigint, doc_id bigint")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "k1 bigint, k2 bigint, doc_id bigint")
 
 
 def counted(refs: DataFrame, unique: bool = False) -> DataFrame:
@@ -179,7 +179,7 @@ def repeated_lines(docs: DataFrame, repeated: DataFrame, filters: DataFrame, sha
             ids, found = np.concatenate([np.zeros(0, np.int64), *ids]), np.concatenate([np.zeros((0, 2), np.int64), *found])
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1]))], ["doc_id", "k1", "k2"])
 
-    asked = docs.select("doc_id", "text").mapInArrow(keys, "shard int, docs binary, keys binary")
+    asked = docs.select("doc_id", "text").mapInArrow(trimmed(keys), "shard int, docs binary, keys binary")
     maybe = asked.join(filters, "shard").select("docs", "keys", "table").mapInArrow(probe, "doc_id bigint, k1 bigint, k2 bigint")
     return maybe.join(repeated, ["k1", "k2"])
 
@@ -270,7 +270,7 @@ def drop_lines(docs: DataFrame, drops: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(run, f"{fields}, n_lines bigint, n_dropped bigint")
+    return joined.mapInArrow(trimmed(run), f"{fields}, n_lines bigint, n_dropped bigint")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

@@ -25,13 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, byte_chunks, connected_components, materialize, mix, partitions, seeded, shingle_sets
+from .common import U64, byte_chunks, connected_components, materialize, mix, partitions, seeded, shingle_sets, trimmed
 from .embedding_dedup import forest
 
 WIDTH, PERCENT, ORDERS = 5, 80, 3
 BLOCK = 512
-#: Entities of a task that hold a shingle, from which one copy of it stands for all; the rank of such shingles.
-OFTEN, LAST = 256, 255
+#: Entities among a task's next PART_BYTES of text that hold a shingle, from which one copy of it stands for all; the rank
+#: of such shingles.
+OFTEN, LAST = 64, 255
+PART_BYTES = 8 << 20
 _ORDER = seeded(ORDERS, 11)
 
 
@@ -44,6 +46,20 @@ def _sets(batch: pa.RecordBatch):
         yield from shingle_sets(offsets, data, WIDTH)
 
 
+def _parts(batches):
+    """{entity: shingles} of about PART_BYTES of text at a time."""
+    sets, size = {}, 0
+    for batch in batches:
+        for _, offsets, data in byte_chunks(batch):
+            sets.update((_name(s), s) for s in shingle_sets(offsets, data, WIDTH) if len(s))
+            size += len(data)
+            if size >= PART_BYTES and sets:
+                yield sets
+                sets, size = {}, 0
+    if sets:
+        yield sets
+
+
 def _name(tokens: np.ndarray) -> int:
     h = xxhash.xxh3_64_intdigest(tokens.tobytes())
     return h - (1 << 64) if h >> 63 else h
@@ -57,7 +73,7 @@ def entities(docs: DataFrame) -> DataFrame:
             sets = list(_sets(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n_shingles", "entity"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, entity bigint")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id bigint, n_shingles bigint, entity bigint")
 
 
 _PARTS = ["bucket", "entities", "sizes", "counts", "tokens", "shared"]
@@ -69,13 +85,7 @@ def shared_shingles(docs: DataFrame) -> DataFrame:
     buckets = partitions(docs.sparkSession)
 
     def cut(batches):
-        for batch in batches:
-            sets = {}
-            for s in _sets(batch):
-                if len(s):
-                    sets[_name(s)] = s
-            if not sets:
-                continue
+        for sets in _parts(batches):
             names, arrays = np.array(list(sets), np.int64), list(sets.values())
             sizes = np.array([len(s) for s in arrays], np.int32)
             tokens, owner = np.concatenate(arrays), np.repeat(np.arange(len(arrays), dtype=np.int32), sizes)
@@ -129,7 +139,7 @@ def shared_shingles(docs: DataFrame) -> DataFrame:
             rows.append((int(x), joined["entities"][who[mine]].tobytes(), joined["sizes"][who[mine]].tobytes(), (ends[mine + 1] - ends[mine]).astype(np.int32).tobytes(), tokens[cells].tobytes(), rank[cells].tobytes()))
         return pa.table({"target": pa.array([r[0] for r in rows], pa.int32())} | {c: pa.array([r[k] for r in rows], pa.binary()) for k, c in enumerate((*_PARTS[1:5], "ranks"), 1)})
 
-    pieces = docs.select("doc_id", "text").mapInArrow(cut, "bucket int, entities binary, sizes binary, counts binary, tokens binary, shared binary")
+    pieces = docs.select("doc_id", "text").mapInArrow(trimmed(cut), "bucket int, entities binary, sizes binary, counts binary, tokens binary, shared binary")
     return pieces.groupBy("bucket").applyInArrow(tell, "target int, entities binary, sizes binary, counts binary, tokens binary, ranks binary")
 
 

@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import tokens
+from .common import trimmed
 
 LENGTH, SEGMENTS = 2048, 256
 POOL, REST = 2048, 512
@@ -127,4 +128,4 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, segments: int = SEGME
         if release:
             tokens.forget()
 
-    return docs.selectExpr("doc_id", "text", f"cast({f'`{share}`' if share else 'null'} as double) as share").mapInArrow(run, SCHEMA)
+    return docs.selectExpr("doc_id", "text", f"cast({f'`{share}`' if share else 'null'} as double) as share").mapInArrow(trimmed(run), SCHEMA)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, mix, prefix_hash, seeded, window_hash
+from .common import byte_chunks, mix, prefix_hash, seeded, trimmed, window_hash
 
 BITS = 18
 MAX_TRAIN = 6000
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: i
         found = [(np.asarray(t["i"][k].values, np.int64), np.asarray(t["v"][k].values, float), t["y"][k].as_py()) for k in order]
         return pa.table({"w": pa.array([train(found).tobytes()], pa.binary())})
 
-    got = rows.mapInArrow(sparse, "doc_id bigint, y double, i array<int>, v array<float>").groupBy(F.lit(0).alias("one")).applyInArrow(learn, "w binary").first()
+    got = rows.mapInArrow(trimmed(sparse), "doc_id bigint, y double, i array<int>, v array<float>").groupBy(F.lit(0).alias("one")).applyInArrow(learn, "w binary").first()
     return np.frombuffer(got[0], np.float32).copy() if got else np.zeros(2**BITS + 1, np.float32)
 
 
@@ -150,4 +150,4 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) ->
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, score double, predicted int")
+    return docs.mapInArrow(trimmed(run), f"{fields}, score double, predicted int")
