@@ -54,9 +54,26 @@ def indicators_windowed(spark, d):
     return ind.windowed(_bars(spark, d)).select(*_key(), *_r(*_W))
 
 
-@query()
+_REC = ("ema_12", "ema_26", "macd", "macd_signal", "macd_hist", "rsi_14", "atr_14")
+_GAIN = "greatest(x.close - t.close, 0)"
+_LOSS = "greatest(t.close - x.close, 0)"
+_RANGE = "greatest(x.high - x.low, abs(x.high - t.close), abs(x.low - t.close))"
+
+
+def _wilder_sql(old: str, new: str, full: int) -> str:
+    """A sum until the window is full, its mean then, and Wilder's average from there on."""
+    return f"CASE WHEN x.n < {full} THEN t.{old} + {new} WHEN x.n = {full} THEN (t.{old} + {new}) / 14 ELSE (t.{old} * 13 + {new}) / 14 END"
+
+
+@query(f"""WITH RECURSIVE {_C}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY start_s) AS n FROM c),
+t AS (SELECT symbol, n, start_s, close, close AS e12, close AS e26, 0.0::DOUBLE AS sig, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down, high - low AS tr FROM n WHERE n = 1
+ UNION ALL SELECT x.symbol, x.n, x.start_s, x.close, t.e12 * 11 / 13 + x.close * 2 / 13, t.e26 * 25 / 27 + x.close * 2 / 27,
+  t.sig * 0.8::DOUBLE + (t.e12 * 11 / 13 + x.close * 2 / 13 - t.e26 * 25 / 27 - x.close * 2 / 27) * 0.2::DOUBLE,
+  {_wilder_sql("up", _GAIN, 15)}, {_wilder_sql("down", _LOSS, 15)}, {_wilder_sql("tr", _RANGE, 14)} FROM t JOIN n x ON x.symbol = t.symbol AND x.n = t.n + 1)
+SELECT symbol, start_s, round(e12, 6) AS ema_12, round(e26, 6) AS ema_26, round(e12 - e26, 6) AS macd, round(sig, 6) AS macd_signal, round(e12 - e26 - sig, 6) AS macd_hist,
+ round(CASE WHEN n >= 15 THEN CASE WHEN down > 0 THEN 100 - 100 / (1 + up / down) WHEN up > 0 THEN 100 ELSE 50 END END, 6) AS rsi_14, round(CASE WHEN n >= 14 THEN tr END, 6) AS atr_14 FROM t""")
 def indicators_recursive(spark, d):
-    return ind.recursive(_bars(spark, d))
+    return ind.recursive(_bars(spark, d)).select(*_key(), *_r(*_REC))
 
 
 @query(f"WITH {_B} SELECT symbol, start_s, round(ret_index, 6) AS ret_index, round(ret_1 - ret_index, 6) AS rel_ret, round(beta, 6) AS beta FROM bb")
