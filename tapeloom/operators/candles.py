@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import running_max
+from .scan import running_max, time_place
 
 # Seconds, closed candles kept, order.
 TIMEFRAMES = {"M1": (60, 512), "M15": (900, 32), "H1": (3600, 8), "D1": (86400, 16)}
@@ -28,7 +28,7 @@ def candles(trades: DataFrame, timeframe: str = "M1", mode: str = "arrival", chu
     if mode == "arrival":
         rows, at, place = running_max(trades, F.col("ts"), "_seen", order or "seq", ("symbol",), chunk), F.col("_seen"), F.col("seq")
     elif mode == "event":
-        rows, at, place = trades, F.col("ts"), F.struct("ts", "seq")
+        rows, at, place = trades, F.col("ts"), time_place(trades)
     else:
         raise ValueError("mode is 'arrival' or 'event'")
     made = rows.groupBy("symbol", _bucket(at, step).alias("start_time")).agg(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normal_symbol
-from .scan import running_max
+from .scan import running_max, time_place
 
 _TRADE, _QUOTE = ("price", "volume", "ts"), ("bid_price", "bid_vol", "ask_price", "ask_vol", "ts")
 
@@ -20,15 +20,21 @@ def mark_stale(tape: DataFrame, chunk: int | None = None) -> DataFrame:
 def snapshot(marked: DataFrame) -> DataFrame:
     """(symbol, last_trade, last_quote, total_volume, updated_at). Only accepted trades count for the volume; the last trade
     and quote need no filter, as a rejected one is never the newest."""
-    place = F.struct("ts", "seq")
     trade, quote = F.col("kind") == "trade", F.col("kind") == "quote"
-    return marked.groupBy("symbol").agg(
-        F.max_by(F.when(trade, F.struct(*_TRADE)), F.when(trade, place)).alias("last_trade"),
-        F.max_by(F.when(quote, F.struct(*_QUOTE)), F.when(quote, place)).alias("last_quote"),
-        F.coalesce(F.sum(F.when(trade & F.col("accepted"), F.col("volume"))), F.lit(0.0)).alias("total_volume"),
-        F.max("ts").alias("updated_at"),
+    rows = marked.withColumn("_place", time_place(marked))
+
+    def newest(of, names):
+        return [F.max_by(F.when(of, F.col(n)), F.when(of, F.col("_place"))).alias(f"{names[0]}_{n}") for n in names]
+
+    made = rows.groupBy("symbol").agg(
+        *newest(trade, _TRADE), *newest(quote, _QUOTE), F.coalesce(F.sum(F.when(trade & F.col("accepted"), F.col("volume"))), F.lit(0.0)).alias("total_volume"), F.max("ts").alias("updated_at")
     )
 
+    def state(names):
+        return F.when(F.col(f"{names[0]}_ts").isNotNull(), F.struct(*(F.col(f"{names[0]}_{n}").alias(n) for n in names)))
+
+    return made.select("symbol", state(_TRADE).alias("last_trade"), state(_QUOTE).alias("last_quote"), "total_volume", "updated_at")
+
 
 def stale_report(marked: DataFrame) -> DataFrame:
     """Rejected events, with the error's name."""
