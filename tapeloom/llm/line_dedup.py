@@ -7,8 +7,9 @@ one document for a key and are treated alike; rows without doc_id neither count
 
 The exact table, references, has a row (k1, k2, doc_id) for each key and document; counts come from it. The filters, one
 for each shard of the keys, hold the keys at or over MIN_DOCS, so that most lines are let through without a look at the
-exact table. insert() adds documents, delete() takes documents out again and, as a cuckoo filter can drop a key, undoes
-exactly what insert() did.
+counts. insert() adds documents, delete() takes documents out again and, as a cuckoo filter can drop a key, undoes what
+insert() did. A filter that is full is built anew, larger, from the exact table. The query, the pipeline's stage and the
+index are one path: dedup_lines() builds an index and drops the lines by it.
 """
 
 from __future__ import annotations
@@ -142,32 +143,31 @@ def build_filters(repeated: DataFrame, shards: int) -> DataFrame:
     return repeated.select(_shard(shards).alias("shard"), "k2").groupBy("shard").applyInArrow(build, "shard int, table binary")
 
 
-def repeated_lines(docs: DataFrame, repeated: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
-    """(doc_id, k1, k2) of docs for keys in repeated, first by the filters, then by the exact table. A task's keys of a
-    shard travel as one row to their filter."""
+def repeated_lines(refs: DataFrame, repeated: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
+    """The rows of refs for keys in repeated, with n_docs and max_doc: first by the filters, then by the exact table. A
+    task's keys of a shard travel as one row to their filter."""
 
     def keys(batches):
-        per = [([], []) for _ in range(shards)]
-        size = 0
+        held, size = [], 0
 
         def out():
-            full = [(s, *x) for s, x in enumerate(per) if x[0]]
-            binary = lambda xs: pa.array([np.array(x, np.int64).tobytes() for x in xs], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in full], pa.int32()), binary(x[1] for x in full), binary(x[2] for x in full)], ["shard", "docs", "keys"])
-            for x in per:
-                x[0].clear(), x[1].clear()
+            docs, k = (np.concatenate(x) for x in zip(*held, strict=True))
+            shard = k[:, 0] % shards
+            order = np.argsort(shard, kind="stable")
+            parts = np.split(order, np.flatnonzero(np.diff(shard[order])) + 1)
+            binary = lambda xs: pa.array([x.tobytes() for x in xs], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([shard[x[0]] for x in parts], pa.int32()), binary(docs[x] for x in parts), binary(k[x] for x in parts)], ["shard", "docs", "keys"])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
-                if doc is not None and len(text) >= MIN_CHARS:
-                    for a, b in {h for line in text.split("\n") if (h := key_hash(line))}:
-                        x = per[a % shards]
-                        x[0].append(doc), x[1].extend((a, b))
-                        size += 1
+            if batch.num_rows:
+                k1, k2, docs = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+                held.append((docs, np.stack([k1, k2], 1)))
+                size += batch.num_rows
             if size > 200_000:
-                yield from out()
-                size = 0
-        yield from out()
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
 
     def probe(batches):
         for batch in batches:
@@ -179,7 +179,7 @@ def repeated_lines(docs: DataFrame, repeated: DataFrame, filters: DataFrame, sha
             ids, found = np.concatenate([np.zeros(0, np.int64), *ids]), np.concatenate([np.zeros((0, 2), np.int64), *found])
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1]))], ["doc_id", "k1", "k2"])
 
-    asked = docs.select("doc_id", "text").mapInArrow(trimmed(keys), "shard int, docs binary, keys binary")
+    asked = refs.select("k1", "k2", "doc_id").mapInArrow(trimmed(keys), "shard int, docs binary, keys binary")
     maybe = asked.join(filters, "shard").select("docs", "keys", "table").mapInArrow(probe, "doc_id bigint, k1 bigint, k2 bigint")
     return maybe.join(repeated, ["k1", "k2"])
 
@@ -189,57 +189,69 @@ def repeated_lines(docs: DataFrame, repeated: DataFrame, filters: DataFrame, sha
 
 @dataclass(frozen=True)
 class LineIndex:
-    """references(k1, k2, doc_id), the exact table; filters(shard, table) of the keys that at least MIN_DOCS documents hold."""
+    """refs(k1, k2, doc_id), the exact table; held(k1, k2, n_docs, max_doc), its keys that at least MIN_DOCS documents hold;
+    filters(shard, table) of the keys in held. A filter that has no room for a key is built anew from held."""
 
     refs: DataFrame
+    held: DataFrame
     filters: DataFrame
     shards: int
 
     def repeated(self) -> DataFrame:
-        return counted(self.refs, unique=True).where(F.col("n_docs") >= MIN_DOCS)
+        return self.held
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """With the documents added. Documents that it holds already change nothing."""
-        new = materialize(references(docs).distinct().join(self.refs, ["k1", "k2", "doc_id"], "left_anti"))
-        return self._changed(materialize(self.refs.unionByName(new)), new)
+        new = references(docs).distinct().join(self.refs, ["k1", "k2", "doc_id"], "left_anti")
+        return self._changed(materialize(self.refs.unionByName(new)))
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Without the documents doc_ids(doc_id): as if they had never been inserted."""
-        gone = materialize(self.refs.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi").select("k1", "k2", "doc_id"))
-        return self._changed(materialize(self.refs.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti").select("k1", "k2", "doc_id")), gone)
+        return self._changed(materialize(self.refs.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti").select("k1", "k2", "doc_id")))
+
+    def drop_lines(self, docs: DataFrame) -> DataFrame:
+        """docs, which the index holds, without the lines that go; n_lines and n_dropped as of the function drop_lines."""
+        drops = repeated_lines(self.refs, self.held, self.filters, self.shards).where("doc_id < max_doc").select("doc_id", "k1", "k2")
+        return drop_lines(docs, drops)
 
-    def _changed(self, refs: DataFrame, touched: DataFrame) -> LineIndex:
-        keys = touched.select("k1", "k2").distinct()
-        was = self.refs.join(keys, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.count("*").alias("was"))
-        now = refs.join(keys, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.count("*").alias("now"))
-        over = lambda c: F.coalesce(F.col(c) >= MIN_DOCS, F.lit(False))
-        both = keys.join(was, ["k1", "k2"], "left").join(now, ["k1", "k2"], "left")
-        moved = both.where(over("was") != over("now")).select(_shard(self.shards).alias("shard"), "k2", over("now").alias("add"))
+    def _changed(self, refs: DataFrame) -> LineIndex:
+        held = _held(refs)
+        shards = shards_for(held.count())
+        if shards > 2 * self.shards:  # outgrown
+            return LineIndex(refs, held, materialize(build_filters(held, shards)), shards)
+        keys = lambda df, other, add: df.join(other, ["k1", "k2"], "left_anti").select(_shard(self.shards).alias("shard"), "k2", F.lit(add).alias("add"))
+        moved = keys(held, self.held, True).unionByName(keys(self.held, held, False))
 
         def apply(key, old: pa.Table, moves: pa.Table) -> pa.Table:
             add = moves["add"].to_numpy().astype(bool)
             k2 = moves["k2"].to_numpy()
             have = Cuckoo(table=old["table"][0].as_py()) if len(old) else Cuckoo(len(k2))
             have.remove(k2[~add])
-            while not have.add(k2[add]):
-                raise ValueError("a shard's filter is full: rebuild the index with more shards")
-            return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "table": pa.array([have.table.tobytes()], pa.binary())})
+            full = not have.add(np.sort(k2[add]))
+            return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "table": pa.array([None if full else have.table.tobytes()], pa.binary())})
 
-        filters = self.filters.groupBy("shard").cogroup(moved.groupBy("shard")).applyInArrow(apply, "shard int, table binary")
-        return LineIndex(refs, materialize(filters), self.shards)
+        filters = materialize(self.filters.groupBy("shard").cogroup(moved.groupBy("shard")).applyInArrow(apply, "shard int, table binary"))
+        full = filters.where("table is null").select("shard")
+        if full.count():
+            again = held.join(full, _shard(self.shards) == full.shard, "left_semi")
+            filters = materialize(filters.where("table is not null").unionByName(build_filters(again, self.shards)))
+        return LineIndex(refs, held, filters, self.shards)
 
 
-def build_index(docs: DataFrame, shards: int = 64) -> LineIndex:
-    refs = materialize(references(docs).distinct())
-    out = LineIndex(refs, refs.limit(0).select(F.lit(0).alias("shard"), F.lit(b"").alias("table")), shards)
+def _held(refs: DataFrame) -> DataFrame:
+    return materialize(counted(refs, unique=True).where(F.col("n_docs") >= MIN_DOCS))
+
 
-    def room(t: pa.Table) -> pa.Table:
-        filled = Cuckoo(max(1024, 4 * len(t)))
-        filled.add(np.sort(t["k2"].to_numpy()))
-        return pa.table({"shard": t["shard"].slice(0, 1), "table": pa.array([filled.table.tobytes()], pa.binary())})
+def shards_for(keys: int) -> int:
+    return max(1, min(4096, -(-keys // SHARD_KEYS)))
 
-    keyed = out.repeated().select(_shard(shards).alias("shard"), "k2").groupBy("shard").applyInArrow(room, "shard int, table binary")
-    return LineIndex(refs, materialize(keyed), shards)
+
+def build_index(docs: DataFrame, shards: int | None = None) -> LineIndex:
+    """An index of docs; the number of shards follows the number of repeated keys if it isn't given."""
+    refs = materialize(references(docs).distinct())
+    held = _held(refs)
+    shards = shards or shards_for(held.count())
+    return LineIndex(refs, held, materialize(build_filters(held, shards)), shards)
 
 
 # --- texts without the lines -----------------------------------------------------------------------------------------
@@ -274,12 +286,8 @@ def drop_lines(docs: DataFrame, drops: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The whole job over docs: counts, filters, then the texts without the lines that go."""
-    repeated = materialize(counted(references(docs)).where(F.col("n_docs") >= MIN_DOCS))
-    shards = max(1, min(4096, -(-repeated.count() // SHARD_KEYS)))
-    filters = materialize(build_filters(repeated, shards))
-    drops = repeated_lines(docs, repeated, filters, shards).where("doc_id < max_doc").select("doc_id", "k1", "k2")
-    return drop_lines(docs, drops)
+    """The whole job over docs: an index of them, then the texts without the lines that go."""
+    return build_index(docs).drop_lines(docs)
 
 
 ORACLE = f"""

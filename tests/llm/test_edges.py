@@ -68,6 +68,23 @@ def test_line_index_can_be_undone(spark, nasty):
     assert holds(more) and not holds(back)
 
 
+def test_line_index_outgrows_its_filters(spark, none, monkeypatch):
+    rows = lambda first, lines: [(first + k, "\n".join([f"own line {first + k} of a text that is long enough", *(f"line {j} of {first}, which is long enough to be counted" for j in range(lines))]), "", "") for k in range(5)]
+    parts = [spark.createDataFrame(rows(first, n), SCHEMA) for first, n in ((0, 40), (10, 900), (20, 300))]
+    docs = parts[0].union(parts[1]).union(parts[2])
+    whole = key(line_dedup.dedup_lines(docs).collect())
+    for start in (line_dedup.build_index(none, 1), line_dedup.build_index(none)):
+        index = start
+        for part in parts:
+            index = index.insert(part)
+        assert key(index.drop_lines(docs).collect()) == whole and sum(r.n_dropped for r in index.drop_lines(docs).collect()) == 4 * 1240
+        less = index.delete(parts[1].select("doc_id"))
+        assert key(less.repeated().collect()) == key(line_dedup.build_index(parts[0].union(parts[2])).repeated().collect())
+        assert sum(r.n_dropped for r in less.drop_lines(docs).collect()) == 4 * 340
+        monkeypatch.setattr(line_dedup, "SHARD_KEYS", 200)  # the second time the number of shards grows
+    assert index.shards > 1
+
+
 def test_cuckoo_filter_has_no_false_negatives():
     keys = np.random.default_rng(1).integers(-(2**62), 2**62, 5000)
     filled = line_dedup.Cuckoo.of(keys)
