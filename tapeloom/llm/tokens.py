@@ -2,14 +2,16 @@
 
 Both vocabularies in use cut a text at white space, and between letters or digits and the signs after them, before they
 merge anything, so a text's ids are those of its pieces one after the other. Each distinct piece is encoded by the library
-once and remembered. A text whose white space is out of the ordinary goes to the library whole. The ids are kept as
-little-endian unsigned 32-bit numbers.
+once and remembered. A text whose white space is out of the ordinary goes to the library whole, and so does one that may
+hold an added token such as <|endoftext|>, which the library, left at its default, finds before it cuts. The ids are kept
+as little-endian unsigned 32-bit numbers.
 """
 
 from __future__ import annotations
 
 import functools
 import os
+import re
 
 import numpy as np
 
@@ -29,9 +31,13 @@ def _library(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(path)
+
+
+@functools.cache
+def _marks(path: str) -> tuple[str, ...]:
+    """A run of signs of each added token: a text without any of them holds no added token."""
+    return tuple({max(re.findall(r"[^\w\s]+", t.content), key=len, default="") for t in _library(path).get_added_tokens_decoder().values()})
 
 
 def _bytes(ids) -> bytes:
@@ -69,7 +75,8 @@ def forget() -> None:
 def encode(texts: list[str], path: str, spaced: bool) -> list[bytes]:
     """The ids of each text, without special tokens, as bytes."""
     library, words, pieces = _library(path), _words.setdefault(path, {}), _pieces.setdefault(path, {})
-    cut = [_cut(t, spaced) for t in texts]
+    marks = _marks(path)
+    cut = [None if any(m in t for m in marks) else _cut(t, spaced) for t in texts]
     if len(pieces) > KNOWN_PIECES:
         pieces.clear()
     if len(words) > KNOWN_WORDS:

@@ -135,6 +135,24 @@ def test_packing(nasty, none):
     assert all(len(r.ids) == 4 * r.length for r in got) and packing.pack(none, path).count() == 0
 
 
+@pytest.mark.parametrize(("name", "spaced"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_added_tokens_are_the_librarys(spark, name, spaced):
+    from tokenizers import Tokenizer
+
+    from tapeloom.llm import tokens
+
+    path = public_tokenizers.path(name)
+    library = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|startoftext|>one<|endoftext|>", "x<|endoftext|>, y\n<|endoftext|>", "<|ENDOFTEXT|> <| |> a<|b", "endoftext plain words."]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encode(texts, path, spaced)] == want
+    end = library.token_to_id("<|endoftext|>")
+    assert end in want[0] and end in want[1] and end not in want[3]
+    if not spaced:
+        docs = spark.createDataFrame([(k, t, "", "") for k, t in enumerate(texts)], SCHEMA)
+        assert {r.doc_id: r.doc_tokens for r in packing.pack(docs, path).collect()} == {k: len(x) + 1 for k, x in enumerate(want)}
+
+
 def test_packing_keeps_three_limits():
     p = packing.Packer(64, 4, 40)
     for k in range(300):
