@@ -2,7 +2,9 @@
 
 Base kinds, leftmost and non-overlapping within a kind: email, ip (parts at most 255), card (16 to 19 digits that pass
 Luhn), phone (8 to 15 digits). A proposal that its validator refuses is dropped and not tried again. The method adds iban
-(mod 97) and card15 (15 digits that pass Luhn), each only with its checksum. Added spans never replace base ones.
+(mod 97) and card15 (15 digits that pass Luhn), each only with its checksum. Added spans never replace base ones. What
+follows an IBAN may look like more of it (a BIC, a currency): its end is where its country's length ends, or else the
+latest end of a word within 34 characters at which mod 97 is right; after a refusal the search goes on a character later.
 Every span has a score: what its validator is worth, more if a word that announces its kind stands shortly before or
 after it, less if a word stands there that announces a plain number. Null text counts as empty: no spans. Positions are
 code points, the end exclusive.
@@ -39,7 +41,17 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+_WORD_END = re.compile(r"(?<=[A-Z0-9])(?![A-Za-z0-9])")
+#: An IBAN's length by country; codes not listed, or of another length, are tried at every end.
+IBAN_LENGTHS = {
+    c: n
+    for n, cs in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC",
+    }.items()
+    for c in cs.split()
+}
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _WORD = re.compile(r"[a-z]+")
@@ -55,6 +67,20 @@ def mod97(code: str) -> bool:
     return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def ibans(text: str):
+    m = _IBAN.search(text)
+    while m:
+        start, at = m.start(), m.start() + 1
+        ends = [e.start() for e in _WORD_END.finditer(text, start, min(len(text), m.end() + 1)) if e.start() <= m.end()]
+        length = IBAN_LENGTHS.get(text[start : start + 2])
+        for end in sorted(ends, key=lambda e: (len(text[start:e].replace(" ", "")) != length, -e)):
+            if mod97(text[start:end]):
+                yield start, end
+                at = end
+                break
+        m = _IBAN.search(text, at)
+
+
 def emails(text: str):
     """As the whole pattern would match, but from each @ outwards, so a long word is read once."""
     free, at = 0, text.find("@")
@@ -81,7 +107,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
             (out if len(digits) > 15 else fifteen).append(("card" if len(digits) > 15 else "card15", *m.span()))
     if "+" in text:
         out += [("phone", *m.span()) for m in _PHONE.finditer(text) if 8 <= len(_NOT_DIGIT.sub("", m[0])) <= 15]
-    out += [("iban", *m.span()) for m in _IBAN.finditer(text) if mod97(m[0])]
+    out += [("iban", *x) for x in ibans(text)]
     return out + fifteen
 
 

@@ -119,6 +119,24 @@ def test_pii_adds_checked_spans():
     assert pii.score(text, *pii.find(text)[0]) == 1.0
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("DE89370400440532013000 BIC COBADEFFXXX", ["DE89370400440532013000"]),
+        ("pay GB82 WEST 1234 5698 7654 32 EUR 500", ["GB82 WEST 1234 5698 7654 32"]),
+        ("GB82 WEST 1234 5698 7654 32 DE89 3704 0044 0532 0130 00 EUR", ["GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00"]),
+        ("AB12 CDEF 3456 DE89370400440532013000", ["DE89370400440532013000"]),
+        ("NO9386011117947 KONTO 7", ["NO9386011117947"]),
+        ("DE89370400440532013000x DE89370400440532013000" + "7" * 20, []),
+        ("xDE89370400440532013000 GB83 WEST 1234 5698 7654 32 EUR 500", []),
+    ],
+)
+def test_pii_finds_ibans_before_other_words(text, want):
+    from tapeloom.llm import pii
+
+    assert [text[a:b] for k, a, b in pii.find(text) if k == "iban"] == want
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as c
 
