@@ -11,6 +11,11 @@ from tapeloom.llm import decontamination, line_dedup, ngram_join, packing, quali
 from tapeloom.llm.common import materialize, table
 
 
+def rows_of(docs: DataFrame) -> DataFrame:
+    """docs as a table with _row, a key of each row's own: a doc_id may be null, repeated or used by several texts."""
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts. It learns from the labelled rows of docs; every row is scored."""
     weights = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -24,16 +29,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id. Documents without words are no duplicates."""
-    found = ngram_join.near_duplicates(docs)
-    gone = found.where("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near duplicates the row with the smallest doc_id, one of them if several have it; a row without doc_id
+    only if no row of its group has one. Rows that repeat a doc_id are told apart by their texts: copies are a group like
+    any other, different texts are not. Rows without words are no duplicates and stay all, null texts too."""
+    rows = rows_of(docs)
+    found = ngram_join.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
+    kept = found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first.alias("first")).select(F.col("first._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(docs.columns)
 
 
 def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    leaks = decontamination.contained(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Rows that contain no benchmark item. Each row is judged by its own text, with or without a doc_id and whatever other
+    rows have its doc_id. Null or empty texts contain nothing and stay."""
+    rows = rows_of(docs)
+    leaks = decontamination.contained(rows.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return rows.join(leaks.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

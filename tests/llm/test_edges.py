@@ -127,6 +127,22 @@ def test_decontamination(spark, nasty, none):
     assert decontamination.contained(none, items).count() == 0 and decontamination.contained(nasty, items.limit(0)).count() == 0
 
 
+def test_stages_decide_by_row(spark, nasty, tmp_path):
+    import corpus_pipeline as c
+
+    got = [(r.doc_id, r.text) for r in c.distinct(spark, nasty, "").collect()]
+    rows = [r[:2] for r in ROWS]
+    assert key(got) == key(x for x in rows if x[0] not in (5, 7))
+    words = lambda a: " ".join(f"{a}{k}" for k in range(60))
+    item = words("i")
+    odd = [(1, words("a")), (1, words("a")), (None, words("a")), (1, words("b")), (3, words("b")), (4, words("c")), (4, words("d")), (None, words("e")), (None, words("e")), (None, item), (9, item), (9, words("f")), (8, None), (8, None), (None, "")]
+    docs = spark.createDataFrame([(k, t, "", "") for k, t in odd], SCHEMA)
+    want = [(1, words("a")), (1, words("b")), (4, words("c")), (4, words("d")), (None, words("e")), (9, item), (9, words("f")), (8, None), (8, None), (None, "")]
+    assert key((r.doc_id, r.text) for r in c.distinct(spark, docs, "").collect()) == key(want)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert key((r.doc_id, r.text) for r in c.unseen(spark, docs, str(tmp_path)).collect()) == key(x for x in odd if x[1] != item)
+
+
 def test_packing(nasty, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     got = packing.pack(nasty, path).collect()
