@@ -14,6 +14,8 @@ from .operators import signals as sg
 from .sources import tables
 
 INDEX = "S1"
+#: The index of the hourly bars.
+MARKET = "IX"
 FEATURES = ["ret_1", "ret_5", "ret_20", "dist_10", "dist_50", "slope_20", "std_20", "bb_pct", "vol_z", "rsi_14", "macd_hist", "rel_ret"]
 _C = f"""{_LI}, c AS (SELECT symbol, s // 86400 * 86400 AS start_s, arg_min(price, (s, o)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (s, o)) AS close, sum(volume) AS volume FROM li GROUP BY symbol, s // 86400),
 r AS (SELECT *, close / lag(close) OVER b - 1 AS ret_1 FROM c WINDOW b AS (PARTITION BY symbol ORDER BY start_s))"""
@@ -120,13 +122,28 @@ def model_scores(spark, d):
     return md.score(model, rows.where("part = 'test'")).select(*_key(), "label", "prediction", F.round("score", 6).alias("score"))
 
 
+def _hourly(spark: SparkSession, d: str) -> DataFrame:
+    """H1 bars of a tape whose prices are 40 and the logarithm of those of lineitem's trades, so that they move by hundredths
+    as shares do, not by multiples; all trades together are the index IX. Bars start between 8:00 and 14:00 at UTC+7, in and out of the session."""
+    trades = tables.heavy_trades(spark, d).withColumn("price", 40 + F.log("price"))
+    return cd.candles(trades.unionByName(trades.withColumn("symbol", F.lit(MARKET))), "H1", mode="event")
+
+
 def _signal_bars(spark: SparkSession, d: str) -> DataFrame:
-    """Bars with gates, levels and a score that stands for a model's: the rank of the day's return of its symbol, 0 to 1."""
-    rows = _features(spark, d).withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.5 + F.col("ret_5"))))
-    rows = rows.withColumn("risk_class", F.coalesce(bt.risk_class(F.col("beta")), F.lit("medium")))
+    """The hourly bars after the time split with gates by their defaults, levels, and the score of a forest trained on the
+    bars before: the probability of a rise where it predicts one, else null, as signals are for rises only. Bars that lack
+    an indicator have no score; without a beta there is no class, so no level and no entry. The tape has no times of
+    receipt, so a bar with less than 3 units traded stands for a stale one."""
+    rows = bt.feature_rows(bt.with_beta(ind.indicators(_hourly(spark, d)), MARKET), FEATURES).where(F.col("symbol") != MARKET)
+    rows = md.split_by_time(md.with_label(rows))
+    model = md.train(rows.where("part = 'train' and is_valid and label is not null"), FEATURES, trees=10, depth=4)
+    test = rows.where("part = 'test'")
+    scored = md.score(model, test.where("is_valid")).withColumn("score", F.when(F.col("prediction") == md.UP, F.col("score")))
+    none = F.lit(None).cast("double")
+    rows = scored.unionByName(test.where("not is_valid").withColumns({"prediction": none, "score": none}))
+    rows = rows.withColumn("risk_class", bt.risk_class(F.col("beta")))
     tp, sl = bt.levels(F.col("close"), F.col("risk_class"))
-    rows = rows.withColumns({"take_profit": tp, "stop_loss": sl, "is_stale": F.col("volume") < 3, "spread": (F.col("high") - F.col("low")) / F.col("close"), "start_time": F.col("start_time") + F.make_dt_interval(hours=F.lit(3))})
-    return sg.gates(rows, max_volatility=0.9, max_spread=0.5)
+    return sg.gates(rows.withColumns({"take_profit": tp, "stop_loss": sl, "is_stale": F.col("volume") < 3, "spread": (F.col("high") - F.col("low")) / F.col("close")}))
 
 
 @query()
@@ -141,4 +158,4 @@ def signal_life_cycle(spark, d):
 
 @query()
 def alerts(spark, d):
-    return sg.debounce(sg.life_cycle(_signal_bars(spark, d)), minutes=60 * 24 * 30)
+    return sg.debounce(sg.life_cycle(_signal_bars(spark, d)))
