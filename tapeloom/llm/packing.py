@@ -3,9 +3,14 @@
 Every document becomes pieces in sequences of at most LENGTH tokens, under three limits at once: tokens, segments (pieces)
 and loss-bearing tokens of a sequence. Whole stretches of LENGTH tokens fill a sequence each; what is left of a document
 waits in its task's pool. A sequence is filled from the pool one piece after the other: the piece whose demands have the
-largest dot product with what is left of the limits, among those that fit; if none fits, the longest is cut to the room
-left. The last tokens of a task go into sequences whose lengths are powers of two, which need no padding. Each task packs
-its own partition with a pool of bounded size, so nothing is shuffled or gathered.
+largest dot product with what is left of the limits, among those that fit; if none fits, the one of which most fits is
+cut to the room left. The last tokens of a task, and sequences that a limit other than that on tokens leaves open, have
+lengths that are powers of two, which need no padding. Each task packs its own partition with a pool of bounded size, so
+nothing is shuffled or gathered.
+
+Loss-bearing tokens: a document's first line is its prompt and bears no loss, the lines after it do; a document of one line
+has no prompt. Tokens are counted as the characters go. The limit on them is the documents' own share of loss-bearing
+text with ROOM on top, so no sequence may be made of answers alone while prompts wait in others.
 
 Null and empty texts are one piece with the end id alone. Repeated rows are packed each for itself.
 """
@@ -17,7 +22,8 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from . import tokens
 from .common import trimmed
@@ -25,6 +31,10 @@ from .common import trimmed
 LENGTH, SEGMENTS = 2048, 256
 POOL, REST = 2048, 512
 END = 1
+#: What the limit on loss-bearing tokens leaves above their mean share.
+ROOM = 0.02
+#: The part of a sequence that may stay empty before it is cut back to a power of two.
+TIGHT = 0.01
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, loss_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 
 
@@ -53,16 +63,17 @@ class Packer:
         self.out.append((*piece, self.sequence, offset))
 
     def fill(self, rest: int, length: int | None = None) -> None:
-        """Packs until no more than rest pieces wait, or one sequence of the given length."""
-        pool = self.pool
+        """Packs until no more than rest pieces wait, or one sequence of the given length. A sequence that another limit
+        leaves far from full is cut back to a power of two; what is cut off waits again."""
+        pool, back = self.pool, []
         size = np.array([len(p[2]) // 4 for p in pool], float)
         share = np.array([p[4] for p in pool], float)
         alive = np.ones(len(pool), bool)
         while (n := int(alive.sum())) > (0 if length else rest):
             if not length and not rest and size[alive].sum() < self.limit[0]:
                 break
-            left, offset = self.limit.copy(), 0
-            left[0] = length or left[0]
+            left, made = self.limit.copy(), []
+            left[0] = room = length or left[0]
             while left[1] >= 1 and left[0] >= 1 and n:
                 fits = alive & (size <= left[0]) & (size * share <= left[2])
                 if fits.any():
@@ -72,21 +83,40 @@ class Packer:
                     alive[k] = False
                     n -= 1
                 else:
-                    k = int(np.argmax(np.where(alive, size, -1.0)))
-                    room = int(min(left[0], left[2] // share[k] if share[k] else left[0]))
-                    if room < 1:
+                    k = int(np.argmax(np.where(alive, np.minimum(size, left[2] / np.maximum(share, 1e-9)), -1.0)))
+                    take = int(min(size[k] - 1, left[0], left[2] // share[k] if share[k] else left[0]))
+                    if take < 1:
                         break
-                    doc, at, ids, total, s = pool[k]
-                    piece, pool[k] = (doc, at, ids[: 4 * room], total, s), (doc, at + room, ids[4 * room :], total, s)
-                    size[k] -= room
-                self._place(piece, offset)
+                    piece, pool[k] = self._cut(pool[k], take)
+                    size[k] -= take
+                made.append(piece)
                 got = len(piece[2]) // 4
                 left -= (got, 1, got * piece[4])
-                offset += got
+            total = int(room - left[0])
+            if left[0] > TIGHT * self.limit[0] and total & (total - 1):
+                keep = 1 << (total.bit_length() - 1)
+                while total > keep:
+                    piece = made.pop()
+                    total -= len(piece[2]) // 4
+                    if total < keep:
+                        piece, after = self._cut(piece, keep - total)
+                        made.append(piece), back.append(after)
+                        total = keep
+                    else:
+                        back.append(piece)
+            offset = 0
+            for piece in made:
+                self._place(piece, offset)
+                offset += len(piece[2]) // 4
             self.sequence += 1
             if length:
                 break
-        self.pool = [p for p, a in zip(pool, alive, strict=True) if a]
+        self.pool = [p for p, a in zip(pool, alive, strict=True) if a] + back
+
+    @staticmethod
+    def _cut(piece: tuple, n: int) -> tuple[tuple, tuple]:
+        doc, at, ids, total, share = piece
+        return (doc, at, ids[: 4 * n], total, share), (doc, at + n, ids[4 * n :], total, share)
 
     def finish(self) -> None:
         self.fill(0)
@@ -95,10 +125,23 @@ class Packer:
             self.fill(0, min(int(self.limit[0]), 1 << (waiting.bit_length() - 1)))
 
 
-def pack(docs: DataFrame, path: str, length: int = LENGTH, segments: int = SEGMENTS, loss: int | None = None, ids: bool = True, share: str | None = None, release: bool = False) -> DataFrame:
-    """A row for each piece of docs(doc_id, text), with its ids if asked for. share names a column with the part of the
-    document's tokens that bear loss (null: all). release: workers forget the encoded words when a task ends, for jobs
-    whose other stages need their memory."""
+def loss_share(text: Column) -> Column:
+    """What part of the text's characters comes after its first line; 1 for a text of one line or none."""
+    first = F.instr(text, "\n")
+    return F.when(first > 0, 1 - first / F.length(text)).otherwise(F.lit(1.0))
+
+
+def loss_limit(docs: DataFrame, length: int = LENGTH) -> int:
+    """The loss-bearing tokens that a sequence may have, from the share that they have in docs(text)."""
+    size = F.length("text") + 1
+    bearing, all_ = docs.agg(F.sum(size * loss_share(F.col("text"))), F.sum(size)).first()
+    return min(length, int(length * min(1.0, (bearing / all_ if all_ else 1.0) + ROOM)) + 1)
+
+
+def pack(docs: DataFrame, path: str, length: int = LENGTH, segments: int = SEGMENTS, loss: int | None = None, ids: bool = True, share: Column | None = None, release: bool = False) -> DataFrame:
+    """A row for each piece of docs(doc_id, text), with its ids if asked for. share: the part of a document's tokens that
+    bear loss (null: all), loss: how many of them a sequence may have. release: workers forget the encoded words when a
+    task ends, for jobs whose other stages need their memory."""
 
     def run(batches):
         base = TaskContext.get().partitionId() << 32
@@ -128,4 +171,4 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, segments: int = SEGME
         if release:
             tokens.forget()
 
-    return docs.selectExpr("doc_id", "text", f"cast({f'`{share}`' if share else 'null'} as double) as share").mapInArrow(trimmed(run), SCHEMA)
+    return docs.select("doc_id", "text", (F.lit(None) if share is None else share).cast("double").alias("share")).mapInArrow(trimmed(run), SCHEMA)

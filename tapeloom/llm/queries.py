@@ -31,7 +31,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), ids=False).drop("ids")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), loss=packing.loss_limit(docs), ids=False, share=packing.loss_share(F.col("text"))).drop("ids")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

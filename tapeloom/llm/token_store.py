@@ -1,6 +1,7 @@
 """Operator 9: token ids in binary files with keyed access by a minimal perfect hash.
 
-A file holds segments one after the other, each with a line break after it. A segment, little-endian:
+A file holds at most FILE_SEGMENTS segments one after the other, each with a line break after it: Spark's text writer puts
+a segment's bytes down as they are, and no reader looks for line breaks. A segment, little-endian:
   8 bytes   TLTOKEN1
   7 x u64   documents n, ids m, bytes of the hash function, keys k, part and number of the segment, bytes of an id w
   n x i64   doc_id;  n x u8  1 where doc_id is null;  (n + 1) x u64  offset of each document's first id, in ids
@@ -13,6 +14,7 @@ level where it was alone; a fingerprint that does not match says that the segmen
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 
@@ -23,12 +25,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import mix, partitions, seeded
+from .common import mix, partitions, seeded, trimmed
 
 MAGIC = b"TLTOKEN1"
 END = 0
 #: Bytes of ids at which a task closes a segment.
 SEGMENT_BYTES = 8 << 20
+#: Segments in a file; so a file is read as one value of some hundred megabytes at most.
+FILE_SEGMENTS = 16
+#: Rows of the index that are sent to all tasks at once, and files up to which a lookup names those that it reads.
+INDEX_ROWS, NAMED_FILES = 500_000, 10_000
+_INDEX = "path string, part bigint, number bigint, low bigint, high bigint, n_ids bigint"
 _SEED = seeded(64, 9)
 U64 = np.uint64
 
@@ -131,11 +138,12 @@ class Segment:
 
 
 def heads_of(raw):
-    """(part, number, ids) of a file's segments, from their heads alone."""
+    """(part, number, lowest and highest key, ids) of a file's segments, from their heads alone."""
     at = 0
     while at < len(raw):
         n, m, size, keys, part, number, width = struct.unpack_from("<7Q", raw, at + 8)
-        yield part, number, m
+        docs = np.frombuffer(raw, "<i8", n, at + 64)[np.frombuffer(raw, np.uint8, n, at + 64 + 8 * n) == 0]
+        yield part, number, *((int(docs[0]), int(docs[-1])) if len(docs) else (None, None)), m
         at += 64 + 17 * n + 8 + size + 8 * keys + width * m + 1
 
 
@@ -146,8 +154,13 @@ def segments(raw):
         at = found.end
 
 
+def _files(spark: SparkSession, *paths: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(list(paths))
+
+
 def write(docs: DataFrame, folder: str, vocabulary: str, spaced: bool = True, end: int = END) -> None:
-    """Writes the ids of docs(doc_id, text) in ascending doc_id order, a file for each range of doc_id."""
+    """Writes the ids of docs(doc_id, text) in ascending doc_id order, files for each range of doc_id, and their index."""
+    spark = docs.sparkSession
 
     def run(batches):
         part, number = TaskContext.get().partitionId(), 0
@@ -161,65 +174,92 @@ def write(docs: DataFrame, folder: str, vocabulary: str, spaced: bool = True, en
         if keys:
             yield pa.RecordBatch.from_arrays([pa.array([segment(keys, ids, part, number)], pa.binary())], ["raw"])
 
+    def heads(batches):
+        for batch in batches:
+            for path, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = [(path, *x) for x in heads_of(raw.as_buffer())]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64() if k else pa.string()) for k in range(6)], [c.split()[0] for c in _INDEX.split(", ")])
+
     rows = docs.select("doc_id", "text")
-    ordered = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(run, "raw binary").select(F.col("raw").cast("string")).write.text(folder)
+    ordered = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    ordered.mapInArrow(trimmed(run), "raw binary").select(F.col("raw").cast("string")).write.option("maxRecordsPerFile", FILE_SEGMENTS).text(folder)
+    _files(spark, folder).select("path", "content").mapInArrow(trimmed(heads), _INDEX).write.parquet(f"{folder}/_index")
+
+
+def index(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, part, number, low, high, n_ids) of every segment."""
+    return spark.read.schema(_INDEX).parquet(f"{folder}/_index")
 
 
 def read(spark: SparkSession, folder: str, ids: bool = True) -> DataFrame:
     """A row for each stored document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked for,
     ids. Every doc_id is looked up through the hash of its segment; a row that the hash does not lead to is a repeated doc_id."""
-    files = spark.read.format("binaryFile").load(folder).select("content")
-
-    def heads(batches):
-        for batch in batches:
-            for raw in batch.column(0):
-                found = list(heads_of(raw.as_buffer()))
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * 3, ["part", "number", "n_ids"])
 
     def rows(batches):
         for batch in batches:
             for raw in batch.column(0):
-                for s in segments(raw.as_buffer().to_pybytes()):
+                for s in segments(memoryview(raw.as_buffer())):
                     row = np.where(s.null, np.arange(len(s.doc_ids)), s.rows_of(s.doc_ids))
                     if (s.doc_ids[row] != s.doc_ids).any() or (row < 0).any():
                         raise ValueError("the index of a token file is damaged")
                     row = np.where(np.concatenate([[False], s.doc_ids[1:] == s.doc_ids[:-1]]), np.arange(len(row)), row)
                     a, b = s.offsets[row], s.offsets[row + 1]
                     one = lambda x: pa.array(np.full(len(row), x, np.int64))
-                    got = [s.ids_at(r) for r in row]
+                    crc, got = [], []
+                    for r in row:
+                        held = s.ids_at(r)
+                        crc.append(zlib.crc32(held)), got.append(held if ids else None)
                     yield pa.RecordBatch.from_arrays(
-                        [one(s.part), one(s.number), pa.array(s.doc_ids, mask=s.null), pa.array(a), pa.array(b - a), pa.array([zlib.crc32(x) for x in got], pa.int64()), pa.array(got if ids else [None] * len(got), pa.binary())],
+                        [one(s.part), one(s.number), pa.array(s.doc_ids, mask=s.null), pa.array(a), pa.array(b - a), pa.array(crc, pa.int64()), pa.array(got, pa.binary())],
                         ["part", "number", "doc_id", "inside", "n_tokens", "ids_crc32", "ids"],
                     )
 
-    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # a row for each segment
-    base = files.mapInArrow(heads, "part bigint, number bigint, n_ids bigint").withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).drop("n_ids")
-    found = files.mapInArrow(rows, "part bigint, number bigint, doc_id bigint, inside bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
+    # where a segment starts: after the parts before its own (a row for each part), and after its own part's segments before it
+    heads = index(spark, folder)
+    back = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = heads.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", back(Window.orderBy("part")).alias("before"))
+    base = heads.withColumn("inner", back(Window.partitionBy("part").orderBy("number"))).join(parts, "part").select("part", "number", (F.col("before") + F.col("inner")).alias("base"))
+    found = _files(spark, folder).select("content").mapInArrow(trimmed(rows), "part bigint, number bigint, doc_id bigint, inside bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
     return found.join(base, ["part", "number"]).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if ids else []))
 
 
 def lookup(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
-    """(doc_id, ids) of the keys(doc_id) that the files hold; each file answers for the keys within its range by its hashes."""
-    files = spark.read.format("binaryFile").load(folder).select("content")
-
-    def ranges(batches):
-        for batch in batches:
-            for raw in batch.column(0):
-                got = [s.doc_ids[~s.null] for s in segments(raw.as_buffer().to_pybytes())]
-                got = np.concatenate([np.zeros(0, np.int64), *got])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(0, 0) if not len(got) else pa.array([raw.as_py()], pa.binary()), pa.array(got[:1]), pa.array(got[-1:])], ["content", "low", "high"])
+    """(doc_id, ids) of the keys(doc_id) that the files hold. The index tells each key's segment; only files with such
+    segments are read, unless they are more than NAMED_FILES, and each segment finds its keys by its hash. Null keys find
+    nothing, repeated keys count once. A repeated doc_id finds the first of its rows."""
+    places = index(spark, folder).where("low is not null").orderBy("low", "part", "number")
+    asked, slices = [], -(-places.count() // INDEX_ROWS)
+    wanted = keys.select("doc_id").where("doc_id is not null").distinct()
+    for k in range(slices):
+        some = places.offset(k * INDEX_ROWS).limit(INDEX_ROWS).toArrow()
+        sent = spark.sparkContext.broadcast((some["low"].to_numpy(), some["high"].to_numpy(), some["path"].to_pylist(), some["part"].to_numpy(), some["number"].to_numpy()))
+
+        def find(batches, sent=sent):
+            low, high, path, part, number = sent.value
+            for batch in batches:
+                key = batch.column(0).to_numpy(zero_copy_only=False)
+                at = np.searchsorted(high, key)  # the first segment that may hold it
+                hit = np.flatnonzero((at < len(high)) & (low[np.minimum(at, len(low) - 1)] <= key))
+                yield pa.RecordBatch.from_arrays([pa.array([path[x] for x in at[hit]], pa.string()), pa.array(part[at[hit]]), pa.array(number[at[hit]]), pa.array(key[hit])], ["path", "part", "number", "doc_id"])
+
+        asked.append(wanted.mapInArrow(find, "path string, part bigint, number bigint, doc_id bigint"))
+    if not asked:
+        return wanted.where("false").select("doc_id", F.lit(None).cast("binary").alias("ids"))
+    asked = functools.reduce(DataFrame.unionByName, asked).groupBy("path").agg(F.collect_list(F.struct("part", "number", "doc_id")).alias("asked"))
+    named = [r.path for r in asked.select("path").limit(NAMED_FILES + 1).collect()]
+    files = _files(spark, *(named if 0 < len(named) <= NAMED_FILES else [folder])).select("path", "content")
 
     def answer(batches):
         for batch in batches:
-            for raw, asked in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                asked = np.unique(np.array(asked, np.int64))
-                for s in segments(raw.as_buffer().to_pybytes()):
-                    row = s.rows_of(asked)
+            for raw, pairs in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                by: dict[tuple, list] = {}
+                for x in pairs:
+                    by.setdefault((x["part"], x["number"]), []).append(x["doc_id"])
+                for s in segments(memoryview(raw.as_buffer())):
+                    ask = np.unique(np.array(by.get((s.part, s.number), []), np.int64))
+                    row = s.rows_of(ask)
                     real = row >= 0
-                    real[real] = s.doc_ids[row[real]] == asked[real]
-                    yield pa.RecordBatch.from_arrays([pa.array(asked[real]), pa.array([s.ids_at(r) for r in row[real]], pa.binary())], ["doc_id", "ids"])
+                    real[real] = s.doc_ids[row[real]] == ask[real]
+                    yield pa.RecordBatch.from_arrays([pa.array(ask[real]), pa.array([s.ids_at(r) for r in row[real]], pa.binary())], ["doc_id", "ids"])
 
-    held = files.mapInArrow(ranges, "content binary, low bigint, high bigint")
-    inside = held.join(keys.select("doc_id").distinct(), (F.col("doc_id") >= F.col("low")) & (F.col("doc_id") <= F.col("high")))
-    return inside.groupBy("low", "high").agg(F.first("content").alias("content"), F.collect_list("doc_id").alias("asked")).select("content", "asked").mapInArrow(answer, "doc_id bigint, ids binary")
+    return files.join(asked, "path").select("content", "asked").mapInArrow(answer, "doc_id bigint, ids binary")

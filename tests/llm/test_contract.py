@@ -40,7 +40,6 @@ def test_suffix_dedup_is_brute_force(spark, docs):
 
 def encoded(docs, name, end):
     library = Tokenizer.from_file(public_tokenizers.path(name))
-    library.encode_special_tokens = True
     return {k: np.array(library.encode(t, add_special_tokens=False).ids + [end], "<u4") for k, t in docs}
 
 

@@ -1,9 +1,11 @@
 """Nulls, empty and very long texts, repeated rows, empty tables, clashing columns."""
 
+import random
 import uuid
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +153,36 @@ def test_packing(nasty, none):
     assert all(len(r.ids) == 4 * r.length for r in got) and packing.pack(none, path).count() == 0
 
 
+def whole(encoded):
+    ids, offsets = encoded
+    return [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
+
+
+@pytest.mark.parametrize(("name", "spaced"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_tokens_are_the_librarys(name, spaced, monkeypatch):
+    """Letters whose normal form ends in a mark before signs, white space of all kinds, contractions, long texts, full caches."""
+    from tokenizers import Tokenizer
+
+    from tapeloom.llm import tokens
+
+    path = public_tokenizers.path(name)
+    library, rng = Tokenizer.from_file(path), random.Random(5)
+    words = ["word", "it's", "don't", "\u00e9", "\u0130", "\u0958", "\u09dc", "\ufb1d", "\u00df", "\u03a3", "1", "23", "x1", "\u6f22\u5b57", "\U0001f600", "a\u0301", "<|", "f_b", "http://x.y/z?q=1", ""]
+    spaces = [" ", " ", " ", "\n", "  ", "   ", "\n\n", " \n", "\n ", "\t", "\r\n", "\xa0", "\x1c", "", "\u3000", "\x85", " \n \n ", "\u200b"]
+    signs = [*".,!?;:%$&#*|'\"()-_", "...", "?!", ".)", "''", "'s", ""]
+    texts = ["".join(x for _ in range(rng.randrange(12)) for x in (rng.choice(words), rng.choice(signs), rng.choice(signs), rng.choice(spaces))) for _ in range(6000)]
+    letters = [chr(c) for c in range(0x20, 0x2FF0) if chr(c).isalnum()]
+    texts += [c + s + c for c in letters for s in (".", "! ")] + [" ", "  ", "   ", "\n", " a", "a ", "a  ", "  a", "a\n"]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert whole(tokens.encode(pa.array(texts), path, spaced)) == want
+    monkeypatch.setattr(tokens, "KNOWN_BYTES", 20_000)
+    monkeypatch.setattr(tokens, "BLOCK_BYTES", 3000)
+    texts = [LONG[:20_000], *texts[:600], LONG[:9000] + "  " + LONG[:9000], None]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    got = [(k, np.frombuffer(x, "<u4").tolist()) for k, x in tokens.encoded([batch, batch], path, spaced, 0)]
+    assert got == 2 * [(k, library.encode(t or "", add_special_tokens=False).ids + [0]) for k, t in enumerate(texts)]
+
+
 @pytest.mark.parametrize(("name", "spaced"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
 def test_added_tokens_are_the_librarys(spark, name, spaced):
     from tokenizers import Tokenizer
@@ -161,7 +193,7 @@ def test_added_tokens_are_the_librarys(spark, name, spaced):
     library = Tokenizer.from_file(path)
     texts = ["a <|endoftext|> b", "<|startoftext|>one<|endoftext|>", "x<|endoftext|>, y\n<|endoftext|>", "<|ENDOFTEXT|> <| |> a<|b", "endoftext plain words."]
     want = [library.encode(t, add_special_tokens=False).ids for t in texts]
-    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encode(texts, path, spaced)] == want
+    assert whole(tokens.encode(pa.array(texts), path, spaced)) == want
     end = library.token_to_id("<|endoftext|>")
     assert end in want[0] and end in want[1] and end not in want[3]
     if not spaced:
@@ -169,6 +201,22 @@ def test_added_tokens_are_the_librarys(spark, name, spaced):
         assert {r.doc_id: r.doc_tokens for r in packing.pack(docs, path).collect()} == {k: len(x) + 1 for k, x in enumerate(want)}
 
 
+def test_packing_limits_loss(spark):
+    """Prompts bear no loss; the limit is the documents' own share, so sequences of answers alone are not full."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(k, ("ask " * (k % 50)).strip() + "\n" * (k % 3 > 0) + "tell " * (100 - k % 50), "", "") for k in range(3000)] + [(None, None, "", ""), (5, "", "", "")]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(2).cache()
+    limit = packing.loss_limit(docs)
+    assert 0.5 * 2048 < limit < 2048 and packing.loss_limit(docs.limit(0)) == 2048
+    by = {}
+    for r in packing.pack(docs, path, loss=limit, share=packing.loss_share(F.col("text"))).collect():
+        by.setdefault(r.sequence_id, []).append((r.length, r.loss_tokens))
+    assert max(sum(n for _, n in x) for x in by.values()) <= limit + 16 and max(sum(n for n, _ in x) for x in by.values()) <= 2048
+    lengths = [sum(n for n, _ in x) for x in by.values()]
+    assert sum(0 if n & (n - 1) == 0 else 2048 - n for n in lengths) < 0.02 * sum(lengths)
+    assert sum(n for x in by.values() for _, n in x) < 0.9 * sum(lengths)
+
+
 def test_packing_keeps_three_limits():
     p = packing.Packer(64, 4, 40)
     for k in range(300):
@@ -242,6 +290,26 @@ def test_token_store(spark, nasty, none):
     folder = f"{here}-{len(ROWS)}"
     got = {r.doc_id: len(r.ids) // 4 for r in token_store.lookup(spark, folder, spark.createDataFrame([(1,), (7,), (12345,), (None,)], "doc_id long")).collect()}
     assert set(got) == {1, 7} and got[1] == 1
+    assert token_store.lookup(spark, f"{here}-0", spark.createDataFrame([(1,)], "doc_id long")).count() == 0
+
+
+def test_token_store_looks_up_by_segment(spark, monkeypatch):
+    """Many segments and files: every key is found in its own, whatever the limits of the index."""
+    path, folder = public_tokenizers.path("byte_bpe_50k.json"), f"{common.work_dir(spark)}/edge-{uuid.uuid4().hex}"
+    docs = spark.createDataFrame([(3 * k, f"text number {k} " * (k % 9), "", "") for k in range(900)], SCHEMA)
+    monkeypatch.setattr(token_store, "SEGMENT_BYTES", 1000)
+    monkeypatch.setattr(token_store, "FILE_SEGMENTS", 3)
+    token_store.write(docs, folder, path)
+    stored = {r.doc_id: r.ids for r in token_store.read(spark, folder).collect()}
+    heads = token_store.index(spark, folder).collect()
+    assert len(stored) == 900 and len(heads) > 30 and len({r.path for r in heads}) > 10
+    asked = spark.createDataFrame([(k,) for k in [*range(0, 2710, 5), 0, 0]], "doc_id long")
+    want = {k: stored[k] for k in range(0, 2700, 15)}
+    for rows, files in ((500_000, 10_000), (7, 10_000), (7, 1)):
+        monkeypatch.setattr(token_store, "INDEX_ROWS", rows)
+        monkeypatch.setattr(token_store, "NAMED_FILES", files)
+        got = token_store.lookup(spark, folder, asked).collect()
+        assert {r.doc_id: r.ids for r in got} == want and len(got) == len(want)
 
 
 def test_perfect_hash():
