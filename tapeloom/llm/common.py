@@ -44,6 +44,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def text_tasks(docs: DataFrame, each: int = 32 << 20) -> int:
+    """Tasks that docs(text) should be dealt over: the session's shuffle partitions, more if these got over each bytes of text."""
+    return max(partitions(docs.sparkSession), (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // each)
+
+
 def trimmed(f):
     """For a function over a task's batches: when it ends, the worker gives the memory that it used back to the machine, which
     it shares with its executor."""

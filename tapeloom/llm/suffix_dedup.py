@@ -17,9 +17,12 @@ bytes, which every string of theirs holds, are equal.
    before an anchor repeat if another suffix shares that much less of LENGTH to the right, and the bytes to the left.
 4. The intervals go back to their texts.
 
-Null texts are empty. Texts under LENGTH bytes stay whole. Repeated rows are texts like others, so they remove each other;
-rows need a doc_id of their own, rows without one are left out. Bytes are compared themselves to the right, by 64-bit
-hashes to the left and for cores.
+Shorter passages stay in the text but are reported: n_repeats counts the anchors whose first SHORT bytes occur again. Any
+string of REACH + SHORT - 1 = 255 bytes, which fifty words have, holds such an anchor; strings under SHORT bytes never count.
+
+Null texts are empty. Texts under LENGTH bytes stay whole. Repeated rows are texts like others, so they remove each other,
+and so do rows that share a doc_id or have none: a row is known by its doc_id and a hash of its text, and rows that agree
+in both have the same result. Bytes are compared themselves to the right, by 64-bit hashes to the left and for cores.
 """
 
 from __future__ import annotations
@@ -31,15 +34,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, byte_chunks, materialize, mix, partitions, prefix_hash, seeded, window_hash
+from .common import U64, byte_chunks, materialize, mix, prefix_hash, seeded, text_tasks, trimmed, window_hash
 
-LENGTH, REACH, GRAM = 400, 128, 24
+LENGTH, REACH, GRAM, SHORT = 400, 128, 24, 128
 CORE = LENGTH - REACH + 1
 LEFT = REACH - 1
 #: An anchor: where it is, and how far before it its last and its first start lie.
 PLACE = np.dtype([("p", "<i4"), ("near", "u1"), ("far", "u1")])
-#: Anchors of a task with one core, from which one copy of it stands for all.
-OFTEN = 24
+#: Anchors of a task's next PART_BYTES of text with one core, from which one copy of it stands for all.
+OFTEN, PART_BYTES = 24, 8 << 20
+#: Records that a task remembers to have sent.
+SENT = 200_000
+#: Buckets for each task that they are dealt over, so that tasks come out even.
+SPREAD = 4
+#: What a row is known by.
+ROW = np.dtype([("doc", "<i8"), ("hash", "<i8")])
 
 
 def sliding_argmin(h: np.ndarray, width: int) -> np.ndarray:
@@ -65,82 +74,114 @@ def sliding_argmin(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(sums: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the text at [a, b): (anchor, first start, last start), positions in the text; its starts are a contiguous run."""
-    if b - a < LENGTH:
+    """Of the text at [a, b): (anchor, first start, last start) for strings of REACH + SHORT - 1 bytes, positions in the
+    text; an anchor's starts are a contiguous run."""
+    if b - a < REACH + SHORT - 1:
         return (np.zeros(0, np.int64),) * 3
-    at = np.arange(a, b - LENGTH + REACH)
+    at = np.arange(a, b - SHORT + 1)
     place = sliding_argmin(window_hash(sums, at, at + GRAM), REACH)
     new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     return place[new], new, np.append(new[1:], len(place)) - 1
 
 
-def _buckets(df: DataFrame) -> int:
-    return 2 * partitions(df.sparkSession)
+def keyed(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc, hash, text): rows with what they are known by."""
+    return docs.select(*more, F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("hash"), "text")
+
+
+def _rows(batch: pa.RecordBatch) -> np.ndarray:
+    out = np.zeros(batch.num_rows, ROW)
+    out["doc"], out["hash"] = batch.column("doc").to_numpy(zero_copy_only=False), batch.column("hash").to_numpy(zero_copy_only=False)
+    return out
+
+
+_PIECE = ["bucket", "rows", "counts", "cores", "places", "shared"]
+
 
+def _pieces(rows: np.ndarray, who: np.ndarray, core: np.ndarray, place: np.ndarray | None, buckets: int, first: int) -> list[tuple]:
+    """What a task knows of cores, packed by bucket from the number first on; who: each core's row. Cores that it has seen
+    often are settled, a bucket below 0."""
+    order = np.argsort(core, kind="stable")
+    core, who, place = core[order], who[order], None if place is None else place[order]
+    new = np.concatenate([[True], core[1:] != core[:-1]])[: len(core)]
+    runs = np.diff(np.append(np.flatnonzero(new), len(core)))
+    often = np.repeat(runs >= OFTEN, runs)
+    stand = core[new][runs >= OFTEN]
+    edge = np.array([k * ((1 << 64) // buckets) for k in range(buckets)], U64)
+    at, to = np.append(np.searchsorted(core, edge), len(core)), np.append(np.searchsorted(stand, edge), len(stand))
+    parts = [(-1 - first - int(who[0]) % buckets, np.flatnonzero(often), b"")] if often.any() else []
+    for k in np.flatnonzero((at[:-1] < at[1:]) | (to[:-1] < to[1:])).tolist():
+        parts.append((first + k, at[k] + np.flatnonzero(~often[at[k] : at[k + 1]]), stand[to[k] : to[k + 1]].tobytes()))
+    out = []
+    for bucket, mine, known in parts:
+        mine = mine[np.argsort(who[mine], kind="stable")]
+        owner, count = np.unique(who[mine], return_counts=True)
+        out.append((bucket, rows[owner].tobytes(), count.astype(np.int32).tobytes(), core[mine].tobytes(), b"" if place is None else place[mine].tobytes(), known))
+    return out
 
-def repeated_anchors(docs: DataFrame) -> DataFrame:
-    """(id, places): anchors whose core occurs again, in pieces, packed as PLACE."""
-    buckets = _buckets(docs)
-    names = ["bucket", "docs", "counts", "cores", "places", "shared"]
+
+def repeated_anchors(docs: DataFrame, tasks: int) -> DataFrame:
+    """(row, places, n_repeats): anchors whose core occurs again, packed as PLACE, and how many have their first SHORT bytes
+    again, in pieces, of docs(doc, hash, text)."""
+    buckets = SPREAD * tasks
 
     def cut(batches):
+        rows, who, core, place, short_who, short, size, n = [], [], [], [], [], [], 0, 0
+
+        def out():
+            known = np.concatenate(rows)
+            made = _pieces(known, np.concatenate(short_who), np.concatenate(short), None, buckets, buckets) if short else []
+            made += _pieces(known, np.concatenate(who), np.concatenate(core), np.concatenate(place), buckets, 0) if core else []
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in made], pa.int32()), *(pa.array([r[c] for r in made], pa.binary()) for c in range(1, 6))], _PIECE)
+
         for batch in batches:
-            ids = np.array([x if x is not None else -1 for x in batch.column(0).to_pylist()], np.int64)
-            known = ~pc.is_null(batch.column(0)).to_numpy(zero_copy_only=False)
+            own = _rows(batch)
             for row, offsets, data in byte_chunks(batch):
                 sums = prefix_hash(data)
-                found, who, core = [], [], []
                 for k in range(len(offsets) - 1):
-                    if known[row + k] and offsets[k + 1] - offsets[k] >= LENGTH:
-                        p, low, high = anchors(sums, offsets[k], offsets[k + 1])
-                        place = np.zeros(len(p), PLACE)
-                        place["p"], place["near"], place["far"] = p, p - high, p - low
-                        found.append(place)
-                        who.append(np.full(len(p), row + k, np.int64))
-                        core.append(window_hash(sums, offsets[k] + p, offsets[k] + p + CORE))
-                if not found:
-                    continue
-                found, who, core = np.concatenate(found), np.concatenate(who), np.concatenate(core)
-                order = np.argsort(core, kind="stable")
-                found, who, core = found[order], who[order], core[order]
-                first = np.concatenate([[True], core[1:] != core[:-1]])
-                runs = np.diff(np.append(np.flatnonzero(first), len(core)))
-                often = np.repeat(runs >= OFTEN, runs)
-                stand = core[first][runs >= OFTEN]
-                parts = []
-                if often.any():
-                    parts.append((-1 - int(ids[row]) % buckets, core[often], who[often], found[often], b""))
-                core, who, found = core[~often], who[~often], found[~often]
-                edge = np.array([k * ((1 << 64) // buckets) for k in range(buckets)], U64)
-                at, to = np.append(np.searchsorted(core, edge), len(core)), np.append(np.searchsorted(stand, edge), len(stand))
-                for k in range(buckets):
-                    if at[k] < at[k + 1] or to[k] < to[k + 1]:
-                        parts.append((k, core[at[k] : at[k + 1]], who[at[k] : at[k + 1]], found[at[k] : at[k + 1]], stand[to[k] : to[k + 1]].tobytes()))
-                rows = []
-                for k, c, w, f, s in parts:
-                    by = np.argsort(w, kind="stable")
-                    doc, count = np.unique(w, return_counts=True)
-                    rows.append((k, ids[doc].tobytes(), count.astype(np.int32).tobytes(), c[by].tobytes(), f[by].tobytes(), s))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[c] for r in rows], pa.binary()) for c in range(1, 6))], names)
+                    a, b = int(offsets[k]), int(offsets[k + 1])
+                    p, low, high = anchors(sums, a, b)
+                    if len(p):
+                        short_who.append(np.full(len(p), n + k)), short.append(window_hash(sums, a + p, a + p + SHORT))
+                        high = np.minimum(high, b - a - LENGTH)
+                        whole = np.flatnonzero(low <= high)
+                        p, low, high = p[whole], low[whole], high[whole]
+                        cell = np.zeros(len(p), PLACE)
+                        cell["p"], cell["near"], cell["far"] = p, p - high, p - low
+                        place.append(cell), who.append(np.full(len(p), n + k)), core.append(window_hash(sums, a + p, a + p + CORE))
+                rows.append(own[row : row + len(offsets) - 1])
+                n, size = n + len(offsets) - 1, size + len(data)
+                if size >= PART_BYTES:
+                    yield out()
+                    rows, who, core, place, short_who, short, size, n = [], [], [], [], [], [], 0, 0
+        if rows:
+            yield out()
 
     def tell(t: pa.Table) -> pa.Table:
-        doc, count, core, place, shared = (np.frombuffer(b"".join(t[c].to_pylist()), kind) for c, kind in zip(names[1:], (np.int64, np.int32, U64, PLACE, U64), strict=True))
-        owner = np.repeat(doc, count)
-        if t["bucket"][0].as_py() >= 0 and len(core):
+        bucket = t["bucket"][0].as_py()
+        settled, placed = bucket < 0, (bucket if bucket >= 0 else -1 - bucket) < buckets
+        row, count, core, place, shared = (np.frombuffer(b"".join(t[c].to_pylist()), kind) for c, kind in zip(_PIECE[1:], (ROW, np.int32, U64, PLACE, U64), strict=True))
+        owner = np.repeat(row, count)
+        if not settled and len(core):
             order = np.argsort(core, kind="stable")
             first = np.flatnonzero(np.concatenate([[True], core[order][1:] != core[order][:-1]]))
             runs = np.diff(np.append(first, len(core)))
-            again = (runs > 1) | np.isin(core[order][first], shared)
-            kept = order[np.repeat(again, runs)]
-            owner, place = owner[kept], place[kept]
-        order = np.argsort(owner, kind="stable")
-        owner, place = owner[order], np.ascontiguousarray(place[order])
+            kept = order[np.repeat((runs > 1) | np.isin(core[order][first], shared), runs)]
+            owner, place = owner[kept], place[kept] if placed else place
+        if placed:  # rows that agree in all say the same
+            both = np.unique(np.rec.fromarrays([owner["doc"], owner["hash"], place["p"], place["near"], place["far"]]))
+            owner, place = np.zeros(len(both), ROW), np.zeros(len(both), PLACE)
+            owner["doc"], owner["hash"] = both.f0, both.f1
+            place["p"], place["near"], place["far"] = both.f2, both.f3, both.f4
+        else:
+            owner = np.sort(owner, order=("doc", "hash"))
         at = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, int)
         ends = np.append(at, len(owner))
-        return pa.table({"id": pa.array(owner[at]), "places": pa.array([place[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())})
+        cells = [place[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)] if placed else [None] * len(at)
+        return pa.table({"doc": pa.array(owner["doc"][at]), "hash": pa.array(owner["hash"][at]), "places": pa.array(cells, pa.binary()), "n_repeats": pa.array(np.zeros(len(at), np.int64) if placed else np.diff(ends))})
 
-    pieces = docs.select("doc_id", "text").mapInArrow(cut, "bucket int, docs binary, counts binary, cores binary, places binary, shared binary")
-    return pieces.groupBy("bucket").applyInArrow(tell, "id bigint, places binary")
+    pieces = docs.mapInArrow(trimmed(cut), "bucket int, rows binary, counts binary, cores binary, places binary, shared binary")
+    return pieces.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(tell, "doc long, hash long, places binary, n_repeats long")
 
 
 # --- sorted runs -----------------------------------------------------------------------------------------------------
@@ -263,19 +304,20 @@ def repeated_starts(lcp: np.ndarray, left: np.ndarray, low: np.ndarray, high: np
     return least, most
 
 
-_RUN = "docs binary, places binary, lows binary, highs binary, many binary, shared binary, lengths binary, rests binary, lefts binary"
+_RUN = "rows binary, places binary, lows binary, highs binary, many binary, shared binary, lengths binary, rests binary, lefts binary"
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans): packed int64 pairs [start, end) of bytes, in pieces that may overlap, of docs(doc_id, text)."""
-    buckets = _buckets(docs)
-    found = repeated_anchors(docs).groupBy("id").agg(F.collect_list("places").alias("places"))
-    rows = docs.join(found, F.col("doc_id") == F.col("id")).select("doc_id", "text", "places")
+def spans(docs: DataFrame, found: DataFrame, tasks: int) -> DataFrame:
+    """(doc, hash, spans): packed int64 pairs [start, end) of bytes, in pieces that may overlap, of docs(doc, hash, text) with
+    the places found(doc, hash, places)."""
+    buckets = SPREAD * tasks
+    lists = found.where("places is not null").groupBy("doc", "hash").agg(F.collect_list("places").alias("places"))
+    rows = docs.join(lists, ["doc", "hash"]).select("doc", "hash", "text", "places")
 
     def cut(batches):
+        sent: dict[bytes, tuple | None] = {}  # records sent, with their one place if that is not yet settled
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            places = batch.column(2).to_pylist()
+            own, places = _rows(batch), batch.column("places").to_pylist()
             for row, offsets, data in byte_chunks(batch):
                 raw = data.tobytes()
                 records: dict[tuple, list] = {}
@@ -283,29 +325,37 @@ def spans(docs: DataFrame) -> DataFrame:
                     a, b = int(offsets[k]), int(offsets[k + 1])
                     for p, near, far in np.frombuffer(b"".join(places[row + k]), PLACE).tolist():
                         left = raw[max(a, a + p - LEFT) : a + p].rjust(LEFT, b"\0")
-                        records.setdefault((left, raw[a + p : min(b, a + p + LENGTH)], near, far), []).append((ids[row + k], p, near, far))
+                        records.setdefault((left, raw[a + p : min(b, a + p + LENGTH)], near, far), []).append((own[row + k], p, near, far))
                 runs: dict[int, list] = {}
                 done: dict[int, list] = {}
-                for (left, right, *_), at in records.items():
-                    runs.setdefault(xxhash.xxh3_64_intdigest(right[:CORE]) % buckets, []).append((right, left, at))
+                for (left, right, near, far), at in records.items():
+                    bucket = xxhash.xxh3_64_intdigest(right[:CORE]) % buckets
+                    name = xxhash.xxh3_128_digest(b"%d %d " % (near, far) + left + right)
+                    if name in sent:  # a record like it is on its way from here: both repeat
+                        done.setdefault(bucket, []).extend([*at, *([sent[name]] if sent[name] else [])])
+                        sent[name] = None
+                        continue
+                    if len(sent) >= SENT:
+                        sent.clear()
+                    sent[name] = at[0] if len(at) == 1 else None
+                    runs.setdefault(bucket, []).append((right, left, at))
                 out = []
+                pack = lambda cells, k: np.array([c[k] for c in cells], (ROW, np.int64, np.int32, np.int32)[k]).tobytes()
                 for bucket, run in runs.items():
                     run.sort(key=lambda x: x[0])
-                    cells = [(x, y, doc, p, near, far, len(at) > 1) for x, y, at in run for doc, p, near, far in (at if len(at) < 3 else at[:1])]
                     for *_, at in run:
-                        if len(at) > 2:
+                        if len(at) > 1:
                             done.setdefault(bucket, []).extend(at[1:])
-                    col = lambda k, kind, cells=cells: np.array([c[k] for c in cells], kind).tobytes()
-                    shared, length, rests = front_code([c[0] for c in cells])
-                    out.append((bucket, col(2, np.int64), col(3, np.int64), col(4, np.int32), col(5, np.int32), col(6, bool), shared.tobytes(), length.tobytes(), rests, b"".join(c[1] for c in cells)))
+                    cells = [at[0] for *_, at in run]
+                    shared, length, rests = front_code([right for right, *_ in run])
+                    out.append((bucket, *(pack(cells, k) for k in range(4)), np.array([len(at) > 1 for *_, at in run]).tobytes(), shared.tobytes(), length.tobytes(), rests, b"".join(left for _, left, _ in run)))
                 for bucket, cells in done.items():  # several places of one record: theirs is settled
-                    col = lambda k, kind, cells=cells: np.array([c[k] for c in cells], kind).tobytes()
-                    out.append((-1 - bucket, col(0, np.int64), col(1, np.int64), col(2, np.int32), col(3, np.int32), b"", b"", b"", b"", b""))
+                    out.append((-1 - bucket, *(pack(cells, k) for k in range(4)), b"", b"", b"", b"", b""))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[k] for r in out], pa.binary()) for k in range(1, 10))], ["bucket", *(x.split()[0] for x in _RUN.split(", "))])
 
     def sort(t: pa.Table) -> pa.Table:
-        doc, place, low, high, many = (np.frombuffer(b"".join(t[c].to_pylist()), kind) for c, kind in (("docs", np.int64), ("places", np.int64), ("lows", np.int32), ("highs", np.int32), ("many", bool)))
+        row, place, low, high, many = (np.frombuffer(b"".join(t[c].to_pylist()), kind) for c, kind in (("rows", ROW), ("places", np.int64), ("lows", np.int32), ("highs", np.int32), ("many", bool)))
         if t["bucket"][0].as_py() < 0:
             least, most = low.astype(np.int64), high.astype(np.int64)
         else:
@@ -315,16 +365,16 @@ def spans(docs: DataFrame) -> DataFrame:
             index = np.array([start[r] + p for r, p, _ in order], np.int64)
             left = np.frombuffer(b"".join(t["lefts"].to_pylist()), np.uint8).reshape(-1, LEFT)
             lcp = np.array([n for *_, n in order], np.int64)
-            doc, place = doc[index], place[index]
+            row, place = row[index], place[index]
             least, most = repeated_starts(lcp, left[index], low[index], high[index], many[index])
         hit = np.flatnonzero(most >= 0)
-        hit = hit[np.argsort(doc[hit], kind="stable")]
-        doc, pairs = doc[hit], np.stack([place[hit] - most[hit], place[hit] - least[hit] + LENGTH], 1)
-        at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, int)
-        ends = np.append(at, len(doc))
-        return pa.table({"id": pa.array(doc[at]), "spans": pa.array([np.ascontiguousarray(pairs[a:b]).tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())})
+        hit = hit[np.argsort(row[hit], order=("doc", "hash"), kind="stable")]
+        row, pairs = row[hit], np.stack([place[hit] - most[hit], place[hit] - least[hit] + LENGTH], 1)
+        at = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, int)
+        ends = np.append(at, len(row))
+        return pa.table({"doc": pa.array(row["doc"][at]), "hash": pa.array(row["hash"][at]), "spans": pa.array([np.ascontiguousarray(pairs[a:b]).tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())})
 
-    return rows.mapInArrow(cut, f"bucket int, {_RUN}").groupBy("bucket").applyInArrow(sort, "id bigint, spans binary")
+    return rows.mapInArrow(trimmed(cut), f"bucket int, {_RUN}").repartition(tasks, "bucket").groupBy("bucket").applyInArrow(sort, "doc long, hash long, spans binary")
 
 
 def merged(pieces: list[bytes] | None) -> np.ndarray:
@@ -339,20 +389,24 @@ def merged(pieces: list[bytes] | None) -> np.ndarray:
 
 
 def remove(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept): kept are the remaining bytes."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept, n_repeats): kept are the remaining bytes, n_repeats the repeated anchors."""
     docs = docs.select("doc_id", "text")
-    lists = materialize(spans(docs)).groupBy("id").agg(F.collect_list("spans").alias("spans"))
-    rows = docs.join(lists, docs.doc_id == lists.id, "left").select("doc_id", "text", "spans")
+    tasks = text_tasks(docs)
+    found = materialize(repeated_anchors(keyed(docs), tasks))
+    pieces = materialize(spans(keyed(docs), found, tasks))
+    counts = found.where("places is null").select("doc", "hash", F.lit(None).cast("binary").alias("spans"), "n_repeats")
+    lists = pieces.withColumn("n_repeats", F.lit(0).cast("long")).unionByName(counts).groupBy("doc", "hash").agg(F.collect_list("spans").alias("spans"), F.sum("n_repeats").alias("n_repeats"))
+    rows = keyed(docs, "doc_id").join(lists, ["doc", "hash"], "left").select("doc_id", "text", "spans", F.coalesce("n_repeats", F.lit(0)).alias("n_repeats"))
 
     def run(batches):
         for batch in batches:
             out = []
             raw = pc.fill_null(batch.column(1), "").cast(pa.binary()).to_pylist()
-            for text, pieces in zip(raw, batch.column(2).to_pylist(), strict=True):
-                gone = merged(pieces)
+            for text, some in zip(raw, batch.column(2).to_pylist(), strict=True):
+                gone = merged(some)
                 edges = [0, *gone.ravel().tolist(), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 out.append((len(text), len(text) - len(kept), len(gone), kept))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in out], pa.int64()) for k in range(3)), pa.array([r[3] for r in out], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in out], pa.int64()) for k in range(3)), pa.array([r[3] for r in out], pa.binary()), batch.column(3)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_repeats"])
 
-    return rows.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return rows.mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, n_repeats long")

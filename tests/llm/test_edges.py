@@ -237,6 +237,20 @@ def test_suffix_dedup(nasty, none):
     assert suffix_dedup.remove(none).count() == 0
 
 
+def test_suffix_dedup_knows_rows_without_ids(spark, monkeypatch):
+    """Null and shared doc_ids are rows like others; a task that meets a record again settles both places."""
+    monkeypatch.setattr(common, "CHUNK_BYTES", 2000)
+    rng = np.random.default_rng(12)
+    word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    part, whole, short = word(500), word(900), word(300)
+    rows = [(None, word(40) + part), (None, part + word(30)), (7, word(10) + part), (7, word(600)), (8, whole), (8, whole), (None, whole), (9, word(700)), (None, None), (10, word(20) + short), (11, short + word(400))]
+    docs = spark.createDataFrame([(k, t, "", "") for k, t in rows], SCHEMA).repartition(2)
+    want = sorted((k is not None, k or 0, len(t or ""), 500 if t and part in t else 900 if t == whole else 0) for k, t in rows)
+    got = suffix_dedup.remove(docs).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_bytes, r.n_removed) for r in got) == want
+    assert {(r.doc_id, r.n_bytes) for r in got if r.n_repeats == 0} == {(7, 600), (9, 700), (None, 0)}
+
+
 def test_suffix_dedup_within_a_text(spark):
     rng = np.random.default_rng(2)
     word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
