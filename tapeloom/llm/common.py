@@ -130,7 +130,15 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[list(WHITE)] = True
-_PLACE = seeded(6, 2)
+_letters: list[np.ndarray] = []
+
+
+def _letter(n: int) -> np.ndarray:
+    """What a byte of a word is multiplied by, by its place in the word: independent numbers. In a polynomial's powers long
+    words can be made that differ and have one hash."""
+    if not _letters or len(_letters[0]) < n:
+        _letters[:] = [seeded(max(n, 1 << 12), 3)]
+    return _letters[0]
 
 
 def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +153,12 @@ def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.n
     starts = np.flatnonzero(word & (~before | first[:-1]))
     after = np.concatenate([word[1:], [False]])
     ends = np.flatnonzero(word & (~after | first[1:])) + 1
-    return np.searchsorted(offsets, starts, "right") - 1, window_hash(prefix_hash(low), starts, ends)
+    size = ends - starts
+    at, within = np.flatnonzero(word), np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    sums = np.zeros(len(at) + 1, U64)
+    np.cumsum(_BYTE[low[at]] * _letter(int(size.max(initial=0)))[within], out=sums[1:])
+    edge = np.append(0, np.cumsum(size))
+    return np.searchsorted(offsets, starts, "right") - 1, mix(sums[edge[1:]] - sums[edge[:-1]] + size.astype(U64))
 
 
 def shingle_sets(offsets: np.ndarray, data: np.ndarray, width: int = 5) -> list[np.ndarray]:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, byte_chunks, connected_components, materialize, mix, partitions, seeded, shingle_sets, trimmed
+from .common import U64, byte_chunks, connected_components, forget, materialize, mix, partitions, seeded, shingle_sets, trimmed
 from .embedding_dedup import forest
 
 WIDTH, PERCENT, ORDERS = 5, 80, 3
@@ -34,6 +34,8 @@ BLOCK = 512
 #: of such shingles.
 OFTEN, LAST = 64, 255
 PART_BYTES = 8 << 20
+#: Shingles of a task, about, and buckets for each task that they are dealt over, so that tasks come out even.
+TASK_SHINGLES, SPREAD = 8 << 20, 4
 _ORDER = seeded(ORDERS, 11)
 
 
@@ -79,10 +81,10 @@ def entities(docs: DataFrame) -> DataFrame:
 _PARTS = ["bucket", "entities", "sizes", "counts", "tokens", "shared"]
 
 
-def shared_shingles(docs: DataFrame) -> DataFrame:
+def shared_shingles(docs: DataFrame, tasks: int) -> DataFrame:
     """(target, entities, sizes, counts, tokens, ranks): shingles that other entities hold too, and their ranks by frequency.
     A row has what a bucket found for the entities of one target, packed."""
-    buckets = partitions(docs.sparkSession)
+    buckets = SPREAD * tasks
 
     def cut(batches):
         for sets in _parts(batches):
@@ -140,10 +142,10 @@ def shared_shingles(docs: DataFrame) -> DataFrame:
         return pa.table({"target": pa.array([r[0] for r in rows], pa.int32())} | {c: pa.array([r[k] for r in rows], pa.binary()) for k, c in enumerate((*_PARTS[1:5], "ranks"), 1)})
 
     pieces = docs.select("doc_id", "text").mapInArrow(trimmed(cut), "bucket int, entities binary, sizes binary, counts binary, tokens binary, shared binary")
-    return pieces.groupBy("bucket").applyInArrow(tell, "target int, entities binary, sizes binary, counts binary, tokens binary, ranks binary")
+    return pieces.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(tell, "target int, entities binary, sizes binary, counts binary, tokens binary, ranks binary")
 
 
-def candidates(shared: DataFrame) -> DataFrame:
+def candidates(shared: DataFrame, tasks: int) -> DataFrame:
     """(entity, n, k, tokens, ranks) of the entities with shared shingles in their prefix: k of them, whatever the order."""
 
     def gather(t: pa.Table) -> pa.Table:
@@ -162,7 +164,7 @@ def candidates(shared: DataFrame) -> DataFrame:
                 out.append((int(owner[a]), n, k, tokens[a:b].tobytes(), ranks[a:b].tobytes()))
         return pa.table({c: pa.array([r[x] for r in out], pa.int64() if x < 3 else pa.binary()) for x, c in enumerate(("entity", "n", "k", "tokens", "ranks"))})
 
-    return shared.groupBy("target").applyInArrow(gather, "entity bigint, n bigint, k bigint, tokens binary, ranks binary")
+    return shared.repartition(tasks, "target").groupBy("target").applyInArrow(gather, "entity bigint, n bigint, k bigint, tokens binary, ranks binary")
 
 
 def prefix(tokens: np.ndarray, ranks: np.ndarray, k: int, order: int) -> np.ndarray:
@@ -261,7 +263,8 @@ def linked(found: DataFrame, block: int = BLOCK) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs(doc_id, text): the smallest doc_id reachable by links."""
     named = materialize(entities(docs))
-    found = materialize(candidates(shared_shingles(docs)))
+    tasks = max(partitions(docs.sparkSession), (named.agg(F.sum("n_shingles")).first()[0] or 0) // TASK_SHINGLES)
+    found = materialize(candidates(shared_shingles(docs, tasks), tasks))
     group = connected_components(linked(found))
     least = named.where("entity is not null").groupBy("entity").agg(F.min("doc_id").alias("own"))
     grouped = least.join(group, least.entity == group.node, "left").withColumn("component", F.coalesce("component", "entity"))

@@ -103,11 +103,19 @@ def test_ngram_join(spark, nasty, none):
     few = spark.createDataFrame(alike, SCHEMA)
     sets = ngram_join.shingle_sets
     assert {r.component_id for r in ngram_join.near_duplicates(few).collect()} == brute_components([t for _, t, *_ in alike], sets)
-    small_blocks = ngram_join.linked(common.materialize(ngram_join.candidates(ngram_join.shared_shingles(few))), block=7)
-    whole = ngram_join.linked(common.materialize(ngram_join.candidates(ngram_join.shared_shingles(few))))
+    small_blocks = ngram_join.linked(common.materialize(ngram_join.candidates(ngram_join.shared_shingles(few, 3), 3)), block=7)
+    whole = ngram_join.linked(common.materialize(ngram_join.candidates(ngram_join.shared_shingles(few, 2), 2)))
     assert key(common.connected_components(small_blocks).collect()) == key(common.connected_components(whole).collect())
 
 
+def test_ngram_join_tells_long_words_apart(spark):
+    """Thue-Morse words and their complements: every polynomial hash modulo a power of two gives both one value."""
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(4096))
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, word, "", ""), (2, other, "", ""), (3, f"{word} x", "", ""), (4, f"{other} x", "", ""), (5, word.upper(), "", "")], SCHEMA)
+    assert {(r.doc_id, r.component_id) for r in ngram_join.near_duplicates(docs).collect()} == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 1)}
+
+
 def brute_components(texts, sets):
     s = []
     for t in texts:
