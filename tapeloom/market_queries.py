@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import scalars, symbols, validate
 from .operators import candles as cd
 from .operators import dedup, latest, liveness, mapping, sequence
-from .paths import work_dir
+from .paths import materialize, work_dir
 from .plans import workloads
 from .sources import frames as fr
 from .sources import sinks, tables
@@ -20,7 +20,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 #: Arrival numbers in a chunk of a running maximum: about two thousand events.
 CHUNK = 2_000_000_000
+#: Microseconds in a chunk of an order of time, and places in one of lineitem's arrival order.
+DAY, HEAVY_CHUNK = 86_400_000_000, 1_000_000
 LATENESS = 600.0
+#: Quotes that the bounded dedup remembers of a feed; events that the bounded sequencer lets wait of a symbol, and its lateness.
+ROOM, CAPACITY, WAIT = 50, 4, 36_000.0
 NOW_US = 1_706_745_600_000_000  # 2024-02-01 00:00:00 UTC
 
 _BASKET = "[" + ", ".join(f"'{s}'" for s in symbols.BASKET) + "]"
@@ -41,11 +45,17 @@ trades AS (SELECT * FROM tape WHERE kind = 'trade')"""
 _WATCH = "watch AS (SELECT unnest(['HPG', 'VIC', 'FPT', 'ACB', 'AAA', 'ZZZ']) AS symbol)"
 
 
+#: A feed's quotes one after the other, with the last ROOM accepted ones.
+_HELD = """q AS MATERIALIZED (SELECT feed, seq, concat_ws('|', symbol, ts_us, bid_price, bid_vol, ask_price, ask_vol) AS k, row_number() OVER (PARTITION BY feed ORDER BY seq) AS n FROM tape WHERE kind = 'quote'),
+held AS (SELECT feed, 0::BIGINT AS n, NULL::BIGINT AS seq, false AS dup, []::VARCHAR[] AS ks FROM q GROUP BY feed
+ UNION ALL SELECT q.feed, q.n, q.seq, list_contains(h.ks, q.k), CASE WHEN list_contains(h.ks, q.k) THEN h.ks WHEN len(h.ks) >= ROOM THEN list_append(h.ks[2:], q.k) ELSE list_append(h.ks, q.k) END FROM held h JOIN q ON q.feed = h.feed AND q.n = h.n + 1)"""
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = sql.replace("WITH TAPE", f"WITH {_TAPE}").replace("WITH RECURSIVE TAPE", f"WITH RECURSIVE {_TAPE}").replace("WATCH,", f"{_WATCH},")
+            ORACLES[f.__name__] = sql.replace("WITH TAPE", f"WITH {_TAPE}").replace("WITH RECURSIVE TAPE", f"WITH RECURSIVE {_TAPE}").replace("WATCH,", f"{_WATCH},").replace(f"HELD({ROOM})", _HELD.replace("ROOM", str(ROOM)))
         return f
 
     return add
@@ -56,7 +66,7 @@ def _us(*names: str) -> list:
 
 
 def _trades(spark: SparkSession, d: str) -> DataFrame:
-    return tables.tape(spark, d).where("kind = 'trade'")
+    return materialize(tables.tape(spark, d).where("kind = 'trade'"))
 
 
 def _watch(spark: SparkSession) -> DataFrame:
@@ -103,10 +113,47 @@ def record_audit(spark, d):
     s = F.col("seq")
     price = F.when(s % 7 == 0, -F.col("price")).when(s % 11 == 0, F.lit(0.0)).otherwise(F.col("price")).alias("price")
     at = F.when(s % 13 == 0, F.lit("1999-12-31T23:59:59Z")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).alias("date_time")
-    _trades(spark, d).select("seq", "kind", "symbol", price, "volume", F.struct(at).alias("timestamp")).write.json(path)
+    tables.tape(spark, d).where("kind = 'trade'").select("seq", "kind", "symbol", price, "volume", F.struct(at).alias("timestamp")).write.json(path)
     return fr.audit_records(fr.read_records(spark, path)).where("error_kind is not null").select("seq", "error_kind")
 
 
+@query("WITH TAPE SELECT feed, CASE WHEN ping THEN 'pong' WHEN event_id % 89 = 0 OR event_id % 97 = 0 THEN NULL ELSE kind END AS msg_type, count(*)::BIGINT AS n FROM ck GROUP BY 1, 2")
+def recorded_frames(spark, d):
+    """Frames recorded as JSON lines, read again and parsed."""
+    path = f"{work_dir(spark)}/frames-{uuid.uuid4().hex}"
+    tables.frames(spark, d).write.json(path)
+    return fr.parse(fr.read_frames(spark, path)).groupBy("feed", "msg_type").agg(F.count("*").alias("n"))
+
+
+@query("""WITH TAPE, recs AS (SELECT seq, kind, symbol, CASE WHEN seq % 7 = 0 THEN -price ELSE price END AS price, volume, ask_price, seq % 13 = 0 AS old, ts_us FROM tape)
+SELECT seq, kind, symbol, price, ask_price, CASE WHEN NOT old THEN ts_us // 1000 END AS ts_ms, CASE WHEN old THEN 'InvalidTimestamp' WHEN price <= 0 THEN 'InvalidPrice' END AS error_kind FROM recs""")
+def event_records(spark, d):
+    """The tape stored as events that name their kind, some with faults, then read again and checked."""
+    path = f"{work_dir(spark)}/events-{uuid.uuid4().hex}"
+    s = F.col("seq")
+    at = F.struct(F.when(s % 13 == 0, F.lit("no time")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).alias("date_time")).alias("timestamp")
+    price = F.when(s % 7 == 0, -F.col("price")).otherwise(F.col("price")).alias("price")
+    of = lambda kind, *cols: F.when(F.col("kind") == kind, F.struct("symbol", *cols, at))
+    tables.tape(spark, d).select("seq", of("trade", price, "volume").alias("Trade"), of("quote", *fr.QUOTE_SIDES).alias("Quote")).write.json(path)
+    return fr.audit_records(fr.read_event_records(spark, path)).select("seq", "kind", "symbol", "price", "ask_price", F.unix_millis("ts").alias("ts_ms"), "error_kind")
+
+
+@query("""WITH TAPE, c AS (SELECT symbol, ts_us // 3600000000 * 3600 AS start_s, arg_min(price, (ts_us, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts_us, seq)) AS close, sum(volume) AS volume, min(seq) % 5 AS fault FROM trades GROUP BY symbol, ts_us // 3600000000)
+SELECT symbol, start_s, open, high, CASE WHEN fault = 1 THEN high + 1 ELSE low END AS low, close, CASE WHEN fault = 2 THEN -1.0::DOUBLE ELSE volume END AS volume, CASE WHEN fault = 3 THEN start_s ELSE start_s + 3600 END AS end_s,
+ CASE fault WHEN 1 THEN 'InvalidPrice' WHEN 2 THEN 'InvalidVolume' WHEN 3 THEN 'InvalidTime' END AS error_kind FROM c""")
+def candle_records(spark, d):
+    """Hourly candles stored as records, some with faults, then read again and checked."""
+    path = f"{work_dir(spark)}/candle-records-{uuid.uuid4().hex}"
+    fault = F.col("first_seq") % 5
+    at = lambda c: F.struct(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date_time"))
+    made = cd.candles(tables.tape(spark, d).where("kind = 'trade'"), "H1", mode="event")
+    made.select(
+        "symbol", "open", "high", F.when(fault == 1, F.col("high") + 1).otherwise(F.col("low")).alias("low"), "close", F.when(fault == 2, F.lit(-1.0)).otherwise(F.col("volume")).alias("volume"), at("start_time").alias("start_time"),
+        at(F.when(fault == 3, F.col("start_time")).otherwise(F.col("end_time"))).alias("end_time"), F.lit(True).alias("is_closed"),
+    ).write.json(path)
+    return fr.audit_candles(fr.read_candle_records(spark, path)).select("symbol", _start(), "open", "high", "low", "close", "volume", F.unix_seconds("end_time").alias("end_s"), "error_kind")
+
+
 # --- scalars and checks ----------------------------------------------------------------------------------------------
 
 _EPOCH = "CASE event_id % 6 WHEN 0 THEN epoch_us(ts) // 1000000 WHEN 1 THEN epoch_us(ts) // 1000 WHEN 2 THEN -event_id WHEN 3 THEN 946684799000 + event_id WHEN 4 THEN 4133980799 + event_id % 4 ELSE 4133980799000 + event_id END"
@@ -194,7 +241,7 @@ def alias_audit(spark, d):
 
 @query("WITH TAPE, WATCH, x AS (SELECT symbol, symbol IN (SELECT symbol FROM watch) AS tracked FROM tape) SELECT symbol, tracked, count(*)::BIGINT AS n FROM x GROUP BY 1, 2")
 def basket_filter(spark, d):
-    tape, watch = tables.tape(spark, d), _watch(spark)
+    tape, watch = tables.stored_tape(spark, d), _watch(spark)
     both = mapping.tracked(tape, watch).withColumn("tracked", F.lit(True)).unionByName(mapping.untracked(tape, watch).withColumn("tracked", F.lit(False)))
     return both.groupBy("symbol", "tracked").agg(F.count("*").alias("n"))
 
@@ -204,7 +251,7 @@ x AS (SELECT 'added' AS change, symbol FROM (SELECT symbol FROM watch EXCEPT SEL
  UNION ALL SELECT 'active', symbol FROM ((SELECT symbol FROM a UNION SELECT symbol FROM watch) EXCEPT (SELECT symbol FROM a WHERE symbol < 'G')) )
 SELECT change, symbol FROM x""")
 def watch_list_changes(spark, d):
-    active = tables.tape(spark, d).where("kind = 'quote' and ask_price > 150").select("symbol").distinct()
+    active = materialize(tables.tape(spark, d).where("kind = 'quote' and ask_price > 150").select("symbol").distinct())
     request = _watch(spark).where("trim(symbol) != ''")
     added, removed = mapping.subscribe(active, request), mapping.unsubscribe(active, request)
     after = mapping.active_after(active, added, active.where("symbol < 'G'"))
@@ -224,14 +271,14 @@ _KEY = "symbol, ts_us, bid_price, bid_vol, ask_price, ask_vol"
 
 @query(f"WITH TAPE SELECT seq, kind, symbol FROM tape WHERE kind = 'trade' UNION ALL SELECT seq, kind, symbol FROM (SELECT * FROM tape WHERE kind = 'quote' QUALIFY row_number() OVER (PARTITION BY {_KEY} ORDER BY seq) = 1)")
 def quote_dedup(spark, d):
-    return dedup.dedup_quotes(tables.tape(spark, d)).select("seq", "kind", "symbol")
+    return dedup.dedup_quotes(tables.stored_tape(spark, d)).select("seq", "kind", "symbol")
 
 
 @query("""WITH TAPE, q AS (SELECT symbol, seq, seq % 2 = 0 AS neg FROM tape WHERE kind = 'quote')
 SELECT 'distinct' AS signed_zero, count(DISTINCT symbol || neg::VARCHAR)::BIGINT AS kept FROM q UNION ALL SELECT 'equal', count(DISTINCT symbol)::BIGINT FROM q""")
 def signed_zero_dedup(spark, d):
     """Quotes made equal but for the sign of a zero ask."""
-    q = tables.tape(spark, d).where("kind = 'quote'").withColumn("ts", F.timestamp_seconds(F.lit(1_725_300_000))).withColumn("bid_price", F.lit(5.0))
+    q = tables.stored_tape(spark, d).where("kind = 'quote'").withColumn("ts", F.timestamp_seconds(F.lit(1_725_300_000))).withColumn("bid_price", F.lit(5.0))
     q = q.withColumn("ask_price", F.lit(0.0) * (F.col("seq") % 2 - 0.5))
     parts = [dedup.dedup_quotes(q, z).agg(F.count("*").alias("kept")).select(F.lit(z).alias("signed_zero"), "kept") for z in ("distinct", "equal")]
     return parts[0].unionByName(parts[1])
@@ -239,12 +286,12 @@ def signed_zero_dedup(spark, d):
 
 @query(f"WITH TAPE, m AS (SELECT kind, kind = 'quote' AND row_number() OVER (PARTITION BY kind, {_KEY} ORDER BY seq) > 1 AS dup FROM tape) SELECT count(*)::BIGINT AS total_received, count(*) FILTER (dup)::BIGINT AS dropped_quotes, 0::BIGINT AS dropped_trades FROM m")
 def dedup_metrics(spark, d):
-    return dedup.metrics(dedup.mark_duplicates(tables.tape(spark, d)))
+    return dedup.metrics(dedup.mark_duplicates(tables.stored_tape(spark, d)))
 
 
-@query()
+@query(f"WITH RECURSIVE TAPE, HELD({ROOM}) SELECT feed, seq, dup AS is_duplicate FROM held WHERE n > 0")
 def bounded_dedup(spark, d):
-    return dedup.mark_duplicates_bounded(tables.tape(spark, d), 50)
+    return dedup.mark_duplicates_bounded(tables.tape(spark, d), ROOM)
 
 
 # --- order -----------------------------------------------------------------------------------------------------------
@@ -254,29 +301,40 @@ _SEQ = f"sq AS (SELECT *, max(ts_us) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED P
 
 @query(f"WITH TAPE, {_SEQ} SELECT seq, symbol, wm AS watermark_at_arrival_us, coalesce(ts_us < wm, false) AS is_late FROM sq")
 def sequencer(spark, d):
-    return sequence.sequence(tables.tape(spark, d), LATENESS, chunk=CHUNK).select("seq", "symbol", *_us("watermark_at_arrival"), "is_late")
+    return sequence.sequence(tables.stored_tape(spark, d), LATENESS, chunk=CHUNK).select("seq", "symbol", *_us("watermark_at_arrival"), "is_late")
 
 
 @query(f"""WITH TAPE, {_SEQ}, w AS (SELECT seq AS s, max(ts_us) OVER (ORDER BY seq) - {int(LATENESS)} * 1000000 AS mark FROM tape), r AS (SELECT mark, min(s) AS s FROM w GROUP BY mark),
 e AS (SELECT seq, ts_us FROM sq WHERE NOT coalesce(ts_us < wm, false)), j AS (SELECT e.seq, (SELECT min(r.s) FROM r WHERE r.mark >= e.ts_us) AS f FROM e)
 SELECT seq, greatest(f, CASE WHEN f IS NOT NULL THEN seq END) AS release_seq, CASE WHEN f IS NULL THEN 'flush' ELSE 'ready' END AS release FROM j""")
 def sequencer_release(spark, d):
-    return sequence.release(tables.tape(spark, d), LATENESS, chunk=CHUNK).select("seq", "release_seq", "release")
+    return sequence.release(tables.stored_tape(spark, d), LATENESS, chunk=CHUNK).select("seq", "release_seq", "release")
 
 
 @query(f"WITH TAPE, {_SEQ} SELECT symbol, count(*)::BIGINT AS n_late, max((wm - ts_us) / 1000000) AS max_late_by FROM sq WHERE ts_us < wm GROUP BY symbol")
 def late_events(spark, d):
-    return sequence.late_report(sequence.sequence(tables.tape(spark, d), LATENESS, chunk=CHUNK))
-
-
-@query()
+    return sequence.late_report(sequence.sequence(tables.stored_tape(spark, d), LATENESS, chunk=CHUNK))
+
+
+@query(f"""WITH RECURSIVE TAPE, q AS MATERIALIZED (SELECT symbol, seq, ts_us, row_number() OVER (PARTITION BY symbol ORDER BY seq) AS n FROM tape),
+w AS (SELECT symbol, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::BIGINT AS mark, false AS late, []::STRUCT(ts BIGINT, seq BIGINT)[] AS wait, []::STRUCT(ts BIGINT, seq BIGINT)[] AS evicted, []::STRUCT(ts BIGINT, seq BIGINT)[] AS ready FROM q GROUP BY symbol
+ UNION ALL SELECT symbol, n, seq, mark, late, list_filter(wait, lambda x: mark IS NULL OR x.ts > mark), evicted, list_filter(wait, lambda x: x.ts <= mark) FROM (
+  SELECT symbol, n, seq, late, CASE WHEN len(wait) > {CAPACITY} THEN greatest(mark, oldest) ELSE mark END AS mark,
+   CASE WHEN len(wait) > {CAPACITY} THEN list_filter(wait, lambda x: x.ts > oldest) ELSE wait END AS wait, CASE WHEN len(wait) > {CAPACITY} THEN list_filter(wait, lambda x: x.ts = oldest) ELSE [] END AS evicted FROM (
+   SELECT *, list_min(list_transform(wait, lambda x: x.ts)) AS oldest FROM (
+    SELECT q.symbol, q.n, q.seq, coalesce(q.ts_us < w.mark, false) AS late, CASE WHEN coalesce(q.ts_us < w.mark, false) THEN w.mark ELSE greatest(w.mark, q.ts_us - {int(WAIT)} * 1000000::BIGINT) END AS mark,
+     CASE WHEN coalesce(q.ts_us < w.mark, false) THEN w.wait ELSE list_append(w.wait, {{'ts': q.ts_us, 'seq': q.seq}}) END AS wait FROM w JOIN q ON q.symbol = w.symbol AND q.n = w.n + 1))))
+SELECT symbol, seq, 'late' AS outcome, NULL::BIGINT AS release_seq FROM w WHERE late
+UNION ALL SELECT symbol, x.seq, 'evicted', seq FROM (SELECT symbol, seq, unnest(evicted) AS x FROM w)
+UNION ALL SELECT symbol, x.seq, 'ready', seq FROM (SELECT symbol, seq, unnest(ready) AS x FROM w)
+UNION ALL SELECT symbol, x.seq, 'flush', NULL FROM (SELECT symbol, unnest(wait) AS x FROM (SELECT symbol, wait FROM w QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY n DESC) = 1))""")
 def bounded_sequencer(spark, d):
-    return sequence.sequence_bounded(tables.tape(spark, d), LATENESS, 20)
+    return sequence.sequence_bounded(tables.tape(spark, d), WAIT, CAPACITY, "symbol")
 
 
 @query("WITH TAPE SELECT seq, symbol, row_number() OVER (PARTITION BY symbol ORDER BY ts_us, seq)::INT AS place FROM tape")
 def replay_order(spark, d):
-    return sequence.replay_number(sinks.replay(tables.tape(spark, d))).select("seq", "symbol", "place")
+    return sequence.replay_number(sinks.replay(tables.stored_tape(spark, d)), DAY).select("seq", "symbol", "place")
 
 
 # --- state, liveness -------------------------------------------------------------------------------------------------
@@ -287,18 +345,18 @@ _ACC = "ac AS (SELECT *, coalesce(ts_us >= max(ts_us) OVER (PARTITION BY symbol,
 @query(f"""WITH TAPE, {_ACC} SELECT symbol, arg_max(price, (ts_us, seq)) FILTER (kind = 'trade') AS last_price, arg_max(ask_price, (ts_us, seq)) FILTER (kind = 'quote') AS last_ask,
  coalesce(sum(volume) FILTER (kind = 'trade' AND ok), 0) AS total_volume, max(ts_us) AS updated_at_us FROM ac GROUP BY symbol""")
 def latest_state(spark, d):
-    got = latest.snapshot(latest.mark_stale(tables.tape(spark, d), CHUNK))
+    got = latest.snapshot(latest.mark_stale(tables.stored_tape(spark, d), CHUNK))
     return got.select("symbol", F.col("last_trade.price").alias("last_price"), F.col("last_quote.ask_price").alias("last_ask"), "total_volume", *_us("updated_at"))
 
 
 @query(f"WITH TAPE, {_ACC} SELECT symbol, kind, seq, ts_us // 1000 AS ts_ms, 'StaleData' AS error_kind FROM ac WHERE NOT ok")
 def stale_updates(spark, d):
-    return latest.stale_report(latest.mark_stale(tables.tape(spark, d), CHUNK))
+    return latest.stale_report(latest.mark_stale(tables.stored_tape(spark, d), CHUNK))
 
 
 @query("WITH TAPE SELECT symbol, arg_max(price, (ts_us, seq)) FILTER (kind = 'trade') AS price FROM tape WHERE symbol = 'FPT' GROUP BY symbol")
 def last_price(spark, d):
-    return latest.last_price(latest.snapshot(latest.mark_stale(tables.tape(spark, d), CHUNK)), "  fpt ")
+    return latest.last_price(latest.snapshot(latest.mark_stale(tables.stored_tape(spark, d), CHUNK)), "  fpt ")
 
 
 _SEEN = "seen AS (SELECT symbol, max(recv_us) AS t FROM tape GROUP BY symbol)"
@@ -317,14 +375,14 @@ def stale_symbols(spark, d):
 
 @query("WITH TAPE, x AS (SELECT symbol, recv_us + 36000000000 AS a, lead(recv_us) OVER (PARTITION BY symbol ORDER BY recv_us, seq) AS b FROM tape) SELECT symbol, a AS stale_from_us, b AS stale_until_us FROM x WHERE b IS NULL OR a < b")
 def stale_intervals(spark, d):
-    return liveness.stale_intervals(tables.tape(spark, d), 36_000.0).select("symbol", *_us("stale_from", "stale_until"))
+    return liveness.stale_intervals(tables.stored_tape(spark, d), 36_000.0, DAY).select("symbol", *_us("stale_from", "stale_until"))
 
 
 @query(f"""WITH TAPE, WATCH, n AS (SELECT {NOW_US} - range * 432000000000 AS now_us FROM range(8)), l AS (SELECT w.symbol, n.now_us, (SELECT max(recv_us) FROM tape t WHERE t.symbol = w.symbol AND t.recv_us <= n.now_us) AS t FROM watch w, n)
 SELECT symbol, now_us, CASE WHEN t IS NULL THEN 'NeverSeen' WHEN now_us - t >= 36000000000 THEN 'Stale' ELSE 'Active' END AS status FROM l""")
 def liveness_schedule(spark, d):
     times = spark.range(8).select(F.timestamp_micros(F.lit(NOW_US) - F.col("id") * 432_000_000_000).alias("now"))
-    return liveness.status_at(tables.tape(spark, d), _watch(spark), times, 36_000.0).select("symbol", *_us("now"), "status")
+    return liveness.status_at(tables.stored_tape(spark, d), _watch(spark), times, 36_000.0, DAY).select("symbol", *_us("now"), "status")
 
 
 @query(f"""WITH TAPE, l AS (SELECT feed, arg_max(recv_us, seq) AS t FROM fr GROUP BY feed), f AS (SELECT unnest(['F0', 'F1', 'F2', 'F9']) AS feed)
@@ -359,7 +417,7 @@ def candles_arrival(spark, d):
 
 @query("WITH TAPE SELECT symbol, 'M15' AS timeframe, ts_us // 900000000 * 900 AS start_s, arg_min(price, (ts_us, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts_us, seq)) AS close, sum(volume) AS volume FROM trades GROUP BY symbol, ts_us // 900000000")
 def candles_event_time(spark, d):
-    return cd.candles(_trades(spark, d), "M15", mode="event").select(*_CANDLE, _start())
+    return cd.candles(tables.tape(spark, d).where("kind = 'trade'"), "M15", mode="event").select(*_CANDLE, _start())
 
 
 @query(f"WITH TAPE, {_ALL} SELECT symbol, timeframe, start_s, start_s + step AS end_s, open, high, low, close, volume, closed_by_seq IS NOT NULL AS is_closed FROM mc")
@@ -389,7 +447,7 @@ def candle_current(spark, d):
 
 @query("WITH TAPE SELECT DISTINCT symbol FROM trades")
 def candle_symbols(spark, d):
-    return cd.symbols(cd.candles(_trades(spark, d), "D1", mode="event"))
+    return cd.symbols(cd.candles(tables.tape(spark, d).where("kind = 'trade'"), "D1", mode="event"))
 
 
 _LI = """li AS (SELECT 'S' || l_suppkey::VARCHAR AS symbol, l_extendedprice / l_quantity AS price, l_quantity AS volume, epoch_us(l_shipdate) // 1000000 + l_linenumber * 3600 AS s,
@@ -398,7 +456,7 @@ _LI = """li AS (SELECT 'S' || l_suppkey::VARCHAR AS symbol, l_extendedprice / l_
 
 @query(f"WITH {_LI}, rm AS (SELECT *, max(s) OVER (PARTITION BY symbol ORDER BY o) AS rm FROM li) SELECT symbol, 'D1' AS timeframe, rm // 86400 * 86400 AS start_s, arg_min(price, o) AS open, max(price) AS high, min(price) AS low, arg_max(price, o) AS close, sum(volume) AS volume FROM rm GROUP BY symbol, rm // 86400")
 def heavy_candles_arrival(spark, d):
-    return cd.candles(tables.heavy_trades(spark, d), "D1").select(*_CANDLE, _start())
+    return cd.candles(tables.heavy_trades(spark, d), "D1", chunk=HEAVY_CHUNK, order="ord").select(*_CANDLE, _start())
 
 
 @query(f"WITH {_LI} SELECT symbol, 'H1' AS timeframe, s // 3600 * 3600 AS start_s, arg_min(price, (s, o)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (s, o)) AS close, sum(volume) AS volume FROM li GROUP BY symbol, s // 3600")

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import running_max, time_place
+from .scan import running, time_place
 
 # Seconds, closed candles kept, order.
 TIMEFRAMES = {"M1": (60, 512), "M15": (900, 32), "H1": (3600, 8), "D1": (86400, 16)}
@@ -22,11 +20,12 @@ def candles(trades: DataFrame, timeframe: str = "M1", mode: str = "arrival", chu
 
     arrival: a trade goes to the bucket of the newest time its symbol has seen, so a late trade counts for the candle that
     is open then. event: each trade goes to its own bucket, open and close by (time, arrival). Empty buckets have no
-    candle; buckets start at multiples of the step since 1970 in UTC. order names a number that follows seq, for chunks.
+    candle; buckets start at multiples of the step since 1970 in UTC. order names a number that follows seq, equal ones
+    in order of seq, for chunks.
     """
     step = TIMEFRAMES[timeframe][0]
     if mode == "arrival":
-        rows, at, place = running_max(trades, F.col("ts"), "_seen", order or "seq", ("symbol",), chunk), F.col("_seen"), F.col("seq")
+        rows, at, place = running(trades, F.col("ts"), "_seen", order or "seq", ("symbol",), chunk, ties=("seq",) if order else ()), F.col("_seen"), F.col("seq")
     elif mode == "event":
         rows, at, place = trades, F.col("ts"), time_place(trades)
     else:
@@ -42,21 +41,21 @@ def _shaped(made: DataFrame, timeframe: str) -> DataFrame:
     return made.select("symbol", F.lit(timeframe).alias("timeframe"), "start_time", end.alias("end_time"), "open", "high", "low", "close", "volume", "first_seq")
 
 
-def roll_up(finer: DataFrame, timeframe: str) -> DataFrame:
-    """Candles of a timeframe from those of a finer one whose step divides its own."""
-    made = finer.groupBy("symbol", _bucket(F.col("start_time"), TIMEFRAMES[timeframe][0]).alias("bucket")).agg(
+def roll_up(finer: DataFrame, timeframes: tuple[str, ...]) -> DataFrame:
+    """Candles of the timeframes from those of a finer one whose step divides theirs: one row of it goes to the bucket that it
+    lies in of each, and one aggregate makes them all."""
+    step = F.element_at(F.create_map(*(F.lit(x) for t in timeframes for x in (t, TIMEFRAMES[t][0]))), F.col("_tf"))
+    dealt = finer.drop("timeframe").withColumn("_tf", F.explode(F.array(*map(F.lit, timeframes)))).withColumn("_at", F.floor(F.unix_seconds("start_time") / step) * step)
+    made = dealt.groupBy("symbol", F.col("_tf").alias("timeframe"), "_at", step.alias("_step")).agg(
         F.min_by("open", "start_time").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "start_time").alias("close"), F.sum("volume").alias("volume"), F.min("first_seq").alias("first_seq")
     )
-    return _shaped(made.withColumnRenamed("bucket", "start_time"), timeframe)
+    return made.select("symbol", "timeframe", F.timestamp_seconds("_at").alias("start_time"), F.timestamp_seconds(F.col("_at") + F.col("_step")).alias("end_time"), "open", "high", "low", "close", "volume", "first_seq")
 
 
 def all_timeframes(trades: DataFrame, timeframes: tuple[str, ...] = tuple(TIMEFRAMES), mode: str = "arrival", chunk: int | None = None, order: str | None = None) -> DataFrame:
-    """Candles of every timeframe; trades are read once, for the finest, and rolled up from there."""
-    by_step = sorted(timeframes, key=lambda t: TIMEFRAMES[t][0])
-    levels = [candles(trades, by_step[0], mode, chunk, order)]
-    for timeframe in by_step[1:]:
-        levels.append(roll_up(levels[-1], timeframe))
-    return reduce(DataFrame.unionByName, levels)
+    """Candles of every timeframe; trades are aggregated once, for the finest, and rolled up from there."""
+    finest = min(timeframes, key=lambda t: TIMEFRAMES[t][0])
+    return roll_up(candles(trades, finest, mode, chunk, order), timeframes)
 
 
 def mark_closed(made: DataFrame) -> DataFrame:
@@ -87,5 +86,9 @@ def current(marked: DataFrame) -> DataFrame:
     return marked.where("not is_closed")
 
 
+def symbol_count(made: DataFrame) -> DataFrame:
+    return made.agg(F.count_distinct("symbol").alias("n_symbols"))
+
+
 def symbols(made: DataFrame) -> DataFrame:
     return made.select("symbol").distinct().orderBy("symbol")

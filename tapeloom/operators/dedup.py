@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections import OrderedDict
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SIDES = ("bid_price", "bid_vol", "ask_price", "ask_vol")
@@ -31,24 +31,45 @@ def dedup_quotes(tape: DataFrame, signed_zero: str = "distinct") -> DataFrame:
     return mark_duplicates(tape, signed_zero).where("not is_duplicate").drop("is_duplicate")
 
 
+class Remembered:
+    """The last capacity accepted keys; a hit doesn't refresh its key, and a forgotten key is new again."""
+
+    def __init__(self, capacity: int, keys: list[str] = ()):
+        self.room, self.keys = capacity or DEFAULT_CAPACITY, OrderedDict.fromkeys(keys)
+
+    def known(self, key: str) -> bool:
+        """Whether the key is remembered; if not, it is from now on."""
+        if key in self.keys:
+            return True
+        self.keys[key] = None
+        if len(self.keys) > self.room:
+            self.keys.popitem(last=False)
+        return False
+
+
+def quote_key(signed_zero: str = "distinct") -> Column:
+    """A quote's time, sides and symbol as one text."""
+    _key(signed_zero)
+    sides = [F.col(c) if signed_zero == "distinct" else F.col(c) + F.lit(0.0) for c in SIDES]  # -0.0 + 0.0 is 0.0
+    return F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("")) for c in (F.unix_micros("ts"), *sides, F.col("symbol"))))
+
+
 def mark_duplicates_bounded(tape: DataFrame, capacity: int, key: str = "feed", signed_zero: str = "distinct") -> DataFrame:
-    """(key, seq, is_duplicate) of quotes, with the last capacity accepted ones remembered. A hit doesn't refresh its quote and
-    a forgotten quote is new again, so a feed is walked through in its arrival order."""
-    room = capacity or DEFAULT_CAPACITY
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        known: OrderedDict = OrderedDict()
-        pdf, out = pdf.sort_values("seq"), []
-        for row in pdf[[c for c in pdf.columns if c not in (key, "seq")]].itertuples(index=False):
-            out.append(row in known)
-            if not out[-1]:
-                known[row] = None
-                if len(known) > room:
-                    known.popitem(last=False)
-        return pd.DataFrame({key: pdf[key], "seq": pdf["seq"], "is_duplicate": out})
-
-    quotes = tape.where("kind = 'quote'").select(key, "seq", *(c.alias(f"k{n}") if not isinstance(c, str) else F.col(c).cast("string").alias(f"k{n}") for n, c in enumerate(_key(signed_zero))))
-    return quotes.groupBy(key).applyInPandas(walk, f"{key} string, seq long, is_duplicate boolean")
+    """(key, seq, is_duplicate) of quotes, with the last capacity accepted ones remembered. What is remembered depends on all
+    that came, so a feed is walked through in its arrival order by one task, batch by batch."""
+
+    def walk(batches):
+        feed, held = None, None
+        for batch in batches:
+            out = []
+            for k, quote in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if held is None or k != feed:
+                    feed, held = k, Remembered(capacity)
+                out.append(held.known(quote))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], [key, "seq", "is_duplicate"])
+
+    quotes = tape.where("kind = 'quote'").select(F.col(key).cast("string").alias(key), "seq", quote_key(signed_zero).alias("_quote"))
+    return quotes.repartition(key).sortWithinPartitions(key, "seq").mapInArrow(walk, f"{key} string, seq long, is_duplicate boolean")
 
 
 def metrics(marked: DataFrame) -> DataFrame:

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normal_symbol
-from .scan import running_max, time_place
+from .scan import running, time_place
 
 _TRADE, _QUOTE = ("price", "volume", "ts"), ("bid_price", "bid_vol", "ask_price", "ask_vol", "ts")
 
 
 def mark_stale(tape: DataFrame, chunk: int | None = None) -> DataFrame:
     """tape with accepted: not older than any earlier event of its symbol and kind; equal times are accepted."""
-    out = running_max(tape, F.col("ts"), "_before", "seq", ("symbol", "kind"), chunk, before=True)
+    out = running(tape, F.col("ts"), "_before", "seq", ("symbol", "kind"), chunk, before=True)
     return out.withColumn("accepted", F.col("_before").isNull() | (F.col("ts") >= F.col("_before"))).drop("_before")
 
 
@@ -41,6 +41,11 @@ def stale_report(marked: DataFrame) -> DataFrame:
     return marked.where("not accepted").select("symbol", "kind", "seq", F.unix_millis("ts").alias("ts_ms"), F.lit("StaleData").alias("error_kind"))
 
 
+def symbol_count(states: DataFrame) -> DataFrame:
+    """(n_symbols, is_empty) of the states held."""
+    return states.agg(F.count("*").alias("n_symbols"), (F.count("*") == 0).alias("is_empty"))
+
+
 def last_price(states: DataFrame, symbol: str) -> DataFrame:
     """One row or none; the price is null without a trade."""
     return states.where(F.col("symbol") == normal_symbol(F.lit(symbol))).select("symbol", F.col("last_trade.price").alias("price"))

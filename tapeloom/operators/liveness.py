@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .mapping import normal_list
+from .scan import running
 
 
 def symbol_status(tape: DataFrame, watch: DataFrame, now: Column, threshold: float) -> DataFrame:
@@ -22,24 +23,25 @@ def stale_symbols(status: DataFrame) -> DataFrame:
     return status.where("status in ('Stale', 'NeverSeen')").select("symbol").orderBy("symbol")
 
 
-def stale_intervals(tape: DataFrame, threshold: float) -> DataFrame:
-    """(symbol, stale_from, stale_until): from threshold after an event to the next one; open at the end."""
-    after = F.lead("recv_ts").over(Window.partitionBy("symbol").orderBy("recv_ts", "seq"))
+def stale_intervals(tape: DataFrame, threshold: float, chunk: int | None = None) -> DataFrame:
+    """(symbol, stale_from, stale_until): from threshold after an event to the next one; open at the end. Events of a symbol at
+    one time are one. The next event is a running maximum of negated times, latest first; chunk cuts it, in microseconds."""
+    times = tape.select("symbol", "recv_ts").distinct().withColumn("_back", -F.unix_micros("recv_ts"))
+    after = running(times, F.col("_back"), "_next", "_back", ("symbol",), chunk, before=True)
     start = F.col("recv_ts") + F.make_dt_interval(secs=F.lit(threshold))
-    out = tape.select("symbol", start.alias("stale_from"), after.alias("stale_until"))
+    out = after.select("symbol", start.alias("stale_from"), F.timestamp_micros(-F.col("_next")).alias("stale_until"))
     return out.where("stale_until is null or stale_from < stale_until")
 
 
-def status_at(tape: DataFrame, watch: DataFrame, times: DataFrame, threshold: float) -> DataFrame:
-    """(symbol, now, status) of watched symbols at each of the times(now): the last event at or before it is found by one
-    window over events and times together. Times are few."""
+def status_at(tape: DataFrame, watch: DataFrame, times: DataFrame, threshold: float, chunk: int | None = None) -> DataFrame:
+    """(symbol, now, status) of watched symbols at each of the times(now): the last event at or before it is a running maximum
+    over events and times together, which chunk cuts, in microseconds. Times are few."""
     asked = normal_list(watch).crossJoin(F.broadcast(times.select("now")))  # the schedule itself, not pairs of events
     rows = asked.select("symbol", F.col("now").alias("at"), F.lit(1).alias("_ask")).unionByName(tape.select("symbol", F.col("recv_ts").alias("at"), F.lit(0).alias("_ask")))
-    w = Window.partitionBy("symbol").orderBy("at", "_ask").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.max(F.when(F.col("_ask") == 0, F.col("at"))).over(w)
+    rows = running(rows.withColumn("_order", F.unix_micros("at")), F.when(F.col("_ask") == 0, F.col("at")), "_last", "_order", ("symbol",), chunk, ties=("_ask",))
     age = F.unix_micros("at") - F.unix_micros("_last")
     status = F.when(F.col("_last").isNull(), "NeverSeen").when(age >= threshold * 1_000_000, "Stale").otherwise("Active")
-    return rows.withColumn("_last", last).where("_ask = 1").select("symbol", F.col("at").alias("now"), status.alias("status"))
+    return rows.where("_ask = 1").select("symbol", F.col("at").alias("now"), status.alias("status"))
 
 
 def feed_health(frames: DataFrame, now: Column, heartbeat: float, staleness: float, feeds: DataFrame | None = None) -> DataFrame:

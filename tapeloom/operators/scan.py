@@ -1,4 +1,4 @@
-"""Running maxima in arrival order without a window over everything."""
+"""Running values in arrival order without a window over everything."""
 
 from __future__ import annotations
 
@@ -6,7 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..paths import materialize
+
 _SHIFT = "10000000000000000000"
+#: Cuts of a key that one task carries on; more are cut again.
+LEVEL = 4096
+_AGGREGATE = {"max": F.max, "sum": F.sum}
 
 
 def time_place(df: DataFrame) -> Column:
@@ -18,26 +23,31 @@ def time_place(df: DataFrame) -> Column:
     return F.struct("ts", "seq")
 
 
-def running_max(df: DataFrame, value: Column, out: str, order: str, keys: tuple[str, ...] = (), chunk: int | None = None, before: bool = False) -> DataFrame:
-    """df with out: the largest value of the rows up to this one by order, within keys; before: this one left out.
+def running(df: DataFrame, value: Column, out: str, order: str, keys: tuple[str, ...] = (), chunk: int | None = None, before: bool = False, how: str = "max", ties: tuple[str, ...] = ()) -> DataFrame:
+    """df with out: the largest value (or the sum) of the rows up to this one by order and ties, within keys; before: this one
+    left out.
 
-    With chunk the rows of a key are cut where order passes a multiple of it. Each cut's maximum, one row, is carried over
-    the later ones, so neither one hot key nor a whole feed is sorted in one task. The maximum is associative, so the
-    result is the same for every chunk.
+    With chunk the rows of a key are cut where order passes a multiple of it. Each cut's value, one row, is carried over the
+    later ones, so neither one hot key nor a whole feed is sorted in one task; where the cuts of a key are more than LEVEL,
+    they are cut in the same way. Maximum and sum are associative, so the result is the same for every chunk. The cuts'
+    values are a small table that is made at once, from df's value, order and keys alone; df itself is not copied.
     """
-    last = -1 if before else 0
+    top, last = _AGGREGATE[how], -1 if before else 0
     df = df.withColumn("_v", value)
     if chunk is None:
-        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, last)
-        return df.withColumn(out, F.max("_v").over(w)).drop("_v")
+        w = Window.partitionBy(*keys).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, last)
+        return df.withColumn(out, top("_v").over(w)).drop("_v")
     df = df.withColumn("_chunk", F.floor(F.col(order) / chunk))
-    w = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, last)
-    tops = df.groupBy(*keys, "_chunk").agg(F.max("_v").alias("_top"))
-    carried = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = tops.select(*keys, "_chunk", F.max("_top").over(carried).alias("_carry"))
+    tops = materialize(df.groupBy(*keys, "_chunk").agg(top("_v").alias("_top")))
+    low, high = tops.agg(F.min("_chunk"), F.max("_chunk")).first()
+    cut = LEVEL if low is not None and high - low >= LEVEL else None
+    carry = running(tops.withColumnRenamed("_chunk", "_at"), F.col("_top"), "_carry", "_at", keys, cut, True, how)
     same = F.lit(True)
-    left, right = df.alias("l"), carry.alias("r")
+    left, right = df.alias("l"), carry.withColumnRenamed("_at", "_chunk").alias("r")
     for k in (*keys, "_chunk"):
         same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
     joined = left.join(right, same, "left").select("l.*", "r._carry")
-    return joined.withColumn(out, F.greatest("_carry", F.max("_v").over(w))).drop("_v", "_chunk", "_carry")
+    w = Window.partitionBy(*keys, "_chunk").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, last)
+    own = top("_v").over(w)
+    whole = F.greatest("_carry", own) if how == "max" else F.coalesce(F.col("_carry") + own, "_carry", own)
+    return joined.withColumn(out, whole).drop("_v", "_chunk", "_carry")

@@ -1,18 +1,44 @@
-"""The folder that driver and executors share."""
+"""Folders and tables that driver and executors share."""
 
 from __future__ import annotations
 
-import functools
-import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-@functools.cache
-def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+def _path(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+_made: set[str] = set()
 
 
 def work_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where that is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_dir()).rstrip("/")
+    """A folder of this application's own in spark.checkpoint.dir, or in the warehouse where that is unset, as in tests. It goes
+    when the application ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/work"
+    folder = f"{base.rstrip('/')}/tapeloom-{spark.sparkContext.applicationId}"
+    if folder not in _made:
+        path, fs = _path(spark, folder)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _made.add(folder)
+    return folder
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Writes the rows as a table in the shared folder and reads it: cuts lineage, survives lost executors."""
+    path = f"{work_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes tables that materialize() wrote and nothing reads any more; other files stay."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if f"/tapeloom-{spark.sparkContext.applicationId}/table-" in folder:
+            path, fs = _path(spark, folder)
+            fs.delete(path, True)

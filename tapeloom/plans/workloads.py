@@ -5,15 +5,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import candles as cd
 from ..operators import dedup, latest, liveness, mapping, sequence
+from ..paths import materialize
 from ..sources import frames as fr
 
 
 @dataclass(frozen=True)
 class CleanTape:
-    """What becomes of recorded frames. Nothing is computed until one of the tables is used."""
+    """What becomes of recorded frames. They are parsed once; the four tables read what came of that."""
 
     events: DataFrame
     late: DataFrame
@@ -25,6 +27,7 @@ def clean_tape(frames: DataFrame, lateness: float, aliases: DataFrame | None = N
     """Parsed, checked, mapped to canonical symbols, without repeated quotes, late events set aside. Events with symbols that
     are no instruments are left out."""
     converted = fr.convert(fr.parse(frames))
+    converted = materialize(converted.withColumn("raw", F.when(F.col("status") == "rejected", F.col("raw"))))
     tape = mapping.map_symbols(fr.events(converted), aliases).where("symbol is not null")
     marked = sequence.sequence(dedup.dedup_quotes(tape), lateness, keys, chunk)
     return CleanTape(marked.where("not is_late"), marked.where("is_late"), fr.control(converted), fr.rejects(converted))

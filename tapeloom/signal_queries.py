@@ -11,6 +11,7 @@ from .operators import candles as cd
 from .operators import indicators as ind
 from .operators import model as md
 from .operators import signals as sg
+from .paths import materialize
 from .sources import tables
 
 INDEX = "S1"
@@ -26,7 +27,8 @@ bb AS (SELECT *, CASE WHEN count(x) OVER n >= 30 AND var_samp(x) OVER n > 0 THEN
 
 
 def _bars(spark: SparkSession, d: str) -> DataFrame:
-    return cd.candles(tables.heavy_trades(spark, d), "D1", mode="event")
+    """Daily bars as a table: they are few beside the trades, and most queries read them more than once."""
+    return materialize(cd.candles(tables.heavy_trades(spark, d), "D1", mode="event"))
 
 
 def _key() -> list:
@@ -40,15 +42,18 @@ def _r(*names: str) -> list:
 _W = [f"ret_{n}" for n in ind.RETURNS] + [f"{k}_{n}" for n in ind.AVERAGES for k in ("sma", "dist", "slope")] + ["std_20", "bb_width", "bb_pct", "vol_ratio", "vol_z"]
 
 
-def _windowed_sql() -> str:
+def _windowed_ctes() -> str:
     rets = ", ".join(f"close / lag(close, {n}) OVER b - 1 AS ret_{n}" for n in ind.RETURNS if n > 1)
     avgs = ", ".join(f"CASE WHEN count(close) OVER w{n} = {n} THEN avg(close) OVER w{n} END AS sma_{n}" for n in ind.AVERAGES)
     win = ", ".join(f"w{n} AS (PARTITION BY symbol ORDER BY start_s ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in ind.AVERAGES)
     more = ", ".join(f"close / sma_{n} - 1 AS dist_{n}, sma_{n} / lag(sma_{n}) OVER b - 1 AS slope_{n}" for n in ind.AVERAGES)
-    return f"""WITH {_C}, a AS (SELECT *, {rets}, {avgs}, CASE WHEN count(ret_1) OVER w20 = 20 THEN stddev_samp(ret_1) OVER w20 END AS std_20, CASE WHEN count(close) OVER w20 = 20 THEN stddev_pop(close) OVER w20 END AS dev,
+    return f"""a AS (SELECT *, {rets}, {avgs}, CASE WHEN count(ret_1) OVER w20 = 20 THEN stddev_samp(ret_1) OVER w20 END AS std_20, CASE WHEN count(close) OVER w20 = 20 THEN stddev_pop(close) OVER w20 END AS dev,
  CASE WHEN count(volume) OVER w20 = 20 THEN volume / avg(volume) OVER w20 END AS vol_ratio, CASE WHEN count(volume) OVER w20 = 20 AND stddev_pop(volume) OVER w20 > 0 THEN (volume - avg(volume) OVER w20) / stddev_pop(volume) OVER w20 END AS vol_z FROM r WINDOW b AS (PARTITION BY symbol ORDER BY start_s), {win}),
- m AS (SELECT *, {more}, 4 * dev / sma_20 AS bb_width, CASE WHEN dev > 0 THEN (close - (sma_20 - 2 * dev)) / (4 * dev) END AS bb_pct FROM a WINDOW b AS (PARTITION BY symbol ORDER BY start_s))
-SELECT symbol, start_s, {", ".join(f"round({n}, 6) AS {n}" for n in _W)} FROM m"""
+ m AS (SELECT *, {more}, 4 * dev / sma_20 AS bb_width, CASE WHEN dev > 0 THEN (close - (sma_20 - 2 * dev)) / (4 * dev) END AS bb_pct FROM a WINDOW b AS (PARTITION BY symbol ORDER BY start_s))"""
+
+
+def _windowed_sql() -> str:
+    return f"""WITH {_C}, {_windowed_ctes()} SELECT symbol, start_s, {", ".join(f"round({n}, 6) AS {n}" for n in _W)} FROM m"""
 
 
 @query(_windowed_sql())
@@ -67,13 +72,17 @@ def _wilder_sql(old: str, new: str, full: int) -> str:
     return f"CASE WHEN x.n < {full} THEN t.{old} + {new} WHEN x.n = {full} THEN (t.{old} + {new}) / 14 ELSE (t.{old} * 13 + {new}) / 14 END"
 
 
-@query(f"""WITH RECURSIVE {_C}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY start_s) AS n FROM c),
+_WALK = f"""n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY start_s) AS n FROM c),
 t AS (SELECT symbol, n, start_s, close, close AS e12, close AS e26, 0.0::DOUBLE AS sig, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down, high - low AS tr FROM n WHERE n = 1
  UNION ALL SELECT x.symbol, x.n, x.start_s, x.close, t.e12 * 11 / 13 + x.close * 2 / 13, t.e26 * 25 / 27 + x.close * 2 / 27,
   t.sig * 0.8::DOUBLE + (t.e12 * 11 / 13 + x.close * 2 / 13 - t.e26 * 25 / 27 - x.close * 2 / 27) * 0.2::DOUBLE,
-  {_wilder_sql("up", _GAIN, 15)}, {_wilder_sql("down", _LOSS, 15)}, {_wilder_sql("tr", _RANGE, 14)} FROM t JOIN n x ON x.symbol = t.symbol AND x.n = t.n + 1)
+  {_wilder_sql("up", _GAIN, 15)}, {_wilder_sql("down", _LOSS, 15)}, {_wilder_sql("tr", _RANGE, 14)} FROM t JOIN n x ON x.symbol = t.symbol AND x.n = t.n + 1)"""
+_RSI = "CASE WHEN n >= 15 THEN CASE WHEN down > 0 THEN 100 - 100 / (1 + up / down) WHEN up > 0 THEN 100 ELSE 50 END END"
+
+
+@query(f"""WITH RECURSIVE {_C}, {_WALK}
 SELECT symbol, start_s, round(e12, 6) AS ema_12, round(e26, 6) AS ema_26, round(e12 - e26, 6) AS macd, round(sig, 6) AS macd_signal, round(e12 - e26 - sig, 6) AS macd_hist,
- round(CASE WHEN n >= 15 THEN CASE WHEN down > 0 THEN 100 - 100 / (1 + up / down) WHEN up > 0 THEN 100 ELSE 50 END END, 6) AS rsi_14, round(CASE WHEN n >= 14 THEN tr END, 6) AS atr_14 FROM t""")
+ round({_RSI}, 6) AS rsi_14, round(CASE WHEN n >= 14 THEN tr END, 6) AS atr_14 FROM t""")
 def indicators_recursive(spark, d):
     return ind.recursive(_bars(spark, d)).select(*_key(), *_r(*_REC))
 
@@ -109,7 +118,9 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
     return bt.feature_rows(bt.with_beta(ind.indicators(bars), INDEX), FEATURES)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_B}, {_windowed_ctes()}, {_WALK},
+f AS (SELECT symbol, start_s, {", ".join(f"m.{x}" for x in FEATURES[:9])}, {_RSI} AS rsi_14, e12 - e26 - sig AS macd_hist, j.ret_1 - j.ret_index AS rel_ret FROM m JOIN t USING (symbol, start_s) JOIN j USING (symbol, start_s))
+SELECT symbol, start_s, {", ".join(f"round({x}, 6) AS {x}" for x in FEATURES)}, {" AND ".join(f"{x} IS NOT NULL" for x in FEATURES)} AS is_valid FROM f""")
 def feature_rows(spark, d):
     return _features(spark, d).select(*_key(), *_r(*FEATURES), "is_valid")
 
@@ -126,7 +137,8 @@ def _hourly(spark: SparkSession, d: str) -> DataFrame:
     """H1 bars of a tape whose prices are 40 and the logarithm of those of lineitem's trades, so that they move by hundredths
     as shares do, not by multiples; all trades together are the index IX. Bars start between 8:00 and 14:00 at UTC+7, in and out of the session."""
     trades = tables.heavy_trades(spark, d).withColumn("price", 40 + F.log("price"))
-    return cd.candles(trades.unionByName(trades.withColumn("symbol", F.lit(MARKET))), "H1", mode="event")
+    both = trades.withColumn("symbol", F.explode(F.array("symbol", F.lit(MARKET))))
+    return materialize(cd.candles(both, "H1", mode="event"))
 
 
 def _signal_bars(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import from_raw_epoch, normal_symbol
-from ..functions.validate import quote_error, trade_error
+from ..functions.validate import candle_error, quote_error, trade_error
 
 FRAME_SCHEMA = "feed string, seq bigint, recv_ts timestamp, frame_kind string, raw string"
 _MESSAGE = (
@@ -102,10 +102,44 @@ def reject_summary(rejected: DataFrame) -> DataFrame:
     return rejected.groupBy("error_kind").agg(F.count("*").alias("n"))
 
 
+_TRADE = "symbol: string, price: double, volume: double, timestamp: struct<date_time: string>"
+_QUOTE = "symbol: string, bid_price: double, bid_vol: double, ask_price: double, ask_vol: double, timestamp: struct<date_time: string>"
+_TIMES = {"timestamp": "ts", "start_time": "start_time", "end_time": "end_time"}
+
+
+def _timed(df: DataFrame) -> DataFrame:
+    """df with its times, stored as {"date_time": ...}, as timestamps; null where they are none."""
+    return df.select(*(F.try_to_timestamp(F.col(c).date_time).alias(_TIMES[c]) if c in _TIMES else F.col(c) for c in df.columns))
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Stored trades and quotes, one JSON object a line with its time as {"date_time": ...}; nothing is checked on reading."""
     fields = "seq bigint, kind string, symbol string, price double, volume double, bid_price double, bid_vol double, ask_price double, ask_vol double, timestamp struct<date_time: string>"
-    return spark.read.schema(fields).json(path).withColumn("ts", F.try_to_timestamp("timestamp.date_time")).drop("timestamp")
+    return _timed(spark.read.schema(fields).json(path))
+
+
+def read_event_records(spark: SparkSession, path: str) -> DataFrame:
+    """Stored market events, one JSON object a line that names its kind: {"Trade": {...}} or {"Quote": {...}}. Columns as of
+    read_records, without seq unless the lines have one; kind is null for other objects. Nothing is checked on reading."""
+    read = spark.read.schema(f"seq bigint, Trade struct<{_TRADE}>, Quote struct<{_QUOTE}>").json(path)
+    both = lambda c: F.coalesce(F.col(f"Trade.{c}"), F.col(f"Quote.{c}")).alias(c)
+    kind = F.when(F.col("Trade").isNotNull(), "trade").when(F.col("Quote").isNotNull(), "quote").alias("kind")
+    return _timed(read.select("seq", kind, both("symbol"), "Trade.price", "Trade.volume", *(f"Quote.{c}" for c in QUOTE_SIDES), both("timestamp")))
+
+
+def read_candle_records(spark: SparkSession, path: str) -> DataFrame:
+    """Stored candles, one JSON object a line with its times as {"date_time": ...}; nothing is checked on reading."""
+    fields = "symbol string, open double, high double, low double, close double, volume double, start_time struct<date_time: string>, end_time struct<date_time: string>, is_closed boolean"
+    return _timed(spark.read.schema(fields).json(path))
+
+
+def audit_candles(records: DataFrame) -> DataFrame:
+    """Stored candles with error_kind: what checks on reading would have refused."""
+    times = F.lit(True)
+    for c in ("start_time", "end_time"):
+        times = times & F.col(c).isNotNull() & F.year(c).between(2000, 2100)
+    own = candle_error(*(F.col(c) for c in ("symbol", "open", "high", "low", "close", "volume", "start_time", "end_time")))
+    return records.withColumn("error_kind", F.when(~times, F.lit("InvalidTimestamp")).otherwise(own))
 
 
 def audit_records(records: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.symbols import BASKET
 from ..operators.mapping import map_symbols
+from ..paths import materialize
 from . import frames as fr
 
 
@@ -51,9 +52,9 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     way = F.when(F.col("event_id") % 89 == 0, F.lit("binary")).when(F.col("event_id") % 83 == 0, F.lit("ping")).otherwise(F.lit("text"))
     out = e.withColumn("raw", text)
     cut = F.when(F.col("event_id") % 97 == 0, F.expr("substr(raw, 1, length(raw) - 1)")).otherwise(F.col("raw")).alias("raw")
-    once = out.select("feed", "seq", "recv_ts", way.alias("frame_kind"), cut, "event_id", "event_type")
-    again = once.where("event_type = 'view' and event_id % 10 = 0").withColumn("seq", F.col("seq") + 500_000)
-    return once.unionByName(again).select("feed", "seq", "recv_ts", "frame_kind", "raw")
+    twice = (F.col("event_type") == "view") & (F.col("event_id") % 10 == 0)
+    seq = F.explode(F.when(twice, F.array(F.col("seq"), F.col("seq") + 500_000)).otherwise(F.array("seq"))).alias("seq")
+    return out.select("feed", seq, "recv_ts", way.alias("frame_kind"), cut)
 
 
 def converted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +66,11 @@ def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_symbols(fr.events(converted(spark, sf_dir))).where("symbol is not null")
 
 
+def stored_tape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tape as a table, for what reads it more than once: frames are parsed once, later reads take the columns they need."""
+    return materialize(tape(spark, sf_dir))
+
+
 def heavy_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A trade for each row of lineitem; ord is its place in the arrival order of its symbol."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")

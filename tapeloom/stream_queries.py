@@ -7,23 +7,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .market_queries import query
-from .paths import work_dir
+from .market_queries import LATENESS, ROOM, query
+from .paths import materialize, work_dir
 from .sources import tables
 from .streaming import jobs
 
-#: Micro-batches; each is a file here, so that the file source keeps their order.
-BATCHES = 4
+#: Rows of a micro-batch, about, and micro-batches at least.
+BATCH_ROWS, BATCHES = 1_000_000, 4
 
 
-def _stored(spark: SparkSession, d: str, where: str) -> DataFrame:
+def _stored(spark: SparkSession, d: str, where: str, order: str = "seq") -> DataFrame:
     path = f"{work_dir(spark)}/tape-{uuid.uuid4().hex}"
-    rows = tables.tape(spark, d).where(where)
-    low, high = rows.agg(F.min("seq"), F.max("seq")).first()
-    step = ((high or 0) - (low or 0)) // BATCHES + 1
-    for k in range(BATCHES):  # one after the other: a file source takes files by their time
-        part = rows.where((F.col("seq") - (low or 0)) >= k * step).where((F.col("seq") - (low or 0)) < (k + 1) * step)
-        part.coalesce(1).write.mode("append").parquet(path)
+    rows = materialize(tables.tape(spark, d).where(where))
+    jobs.store_in_order(rows, path, max(BATCHES, rows.count() // BATCH_ROWS), order)
     return jobs.read_tape(spark, path, rows.schema)
 
 
@@ -49,3 +45,42 @@ def stream_latest(spark, d):
 def stream_accepted_volume(spark, d):
     got = jobs.newest(jobs.collect_updates(jobs.accepted_volume(_stored(spark, d, "kind = 'trade'"))), "symbol")
     return got.select("symbol", "total_volume")
+
+
+_OWN_SEQ = f"sq AS (SELECT *, max(ts_us) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {int(LATENESS)} * 1000000 AS wm FROM tape)"
+
+
+@query(f"""WITH TAPE, {_OWN_SEQ}, w AS (SELECT symbol, seq AS s, max(ts_us) OVER (PARTITION BY symbol ORDER BY seq) - {int(LATENESS)} * 1000000 AS mark FROM tape), r AS (SELECT symbol, mark, min(s) AS s FROM w GROUP BY symbol, mark),
+e AS (SELECT symbol, seq, ts_us FROM sq WHERE NOT coalesce(ts_us < wm, false)), j AS (SELECT e.symbol, e.seq, (SELECT min(r.s) FROM r WHERE r.symbol = e.symbol AND r.mark >= e.ts_us) AS f FROM e)
+SELECT symbol, seq, CASE WHEN f IS NULL THEN 'flush' ELSE 'ready' END AS outcome, greatest(f, CASE WHEN f IS NOT NULL THEN seq END) AS release_seq FROM j
+UNION ALL SELECT symbol, seq, 'late', NULL FROM sq WHERE ts_us < wm""")
+def stream_sequencer(spark, d):
+    """A sequencer for each symbol, whose events come by all feeds: events let out, late ones from their own table, and, the tape being over, those that still wait."""
+    stream = _stored(spark, d, "true")
+    good, late = jobs.split_late(jobs.sequencer(stream, LATENESS, key="symbol"))
+    out = good.unionByName(late).drop("batch_id")
+    waits = tables.tape(spark, d).select("symbol", "seq").join(out, ["symbol", "seq"], "left_anti").select("symbol", "seq", F.lit("flush").alias("outcome"), F.lit(None).cast("long").alias("release_seq"))
+    return out.unionByName(waits)
+
+
+@query(f"WITH TAPE, {_OWN_SEQ} SELECT symbol, seq FROM sq WHERE ts_us < wm")
+def stream_late(spark, d):
+    return jobs.split_late(jobs.sequencer(_stored(spark, d, "true"), LATENESS, key="symbol"))[1].select("symbol", "seq")
+
+
+@query(f"WITH RECURSIVE TAPE, HELD({ROOM}) SELECT feed, seq, dup AS is_duplicate FROM held WHERE n > 0")
+def stream_bounded_dedup(spark, d):
+    return jobs.collect_updates(jobs.bounded_dedup(_stored(spark, d, "kind = 'quote'"), ROOM), "append").drop("batch_id")
+
+
+@query("""WITH TAPE, rm AS (SELECT *, max(ts_us) OVER (PARTITION BY symbol ORDER BY seq) AS rm FROM trades), c AS (SELECT symbol, rm // 900000000 * 900 AS start_s, arg_min(price, seq) AS open, max(price) AS high, min(price) AS low, arg_max(price, seq) AS close, sum(volume) AS volume, min(seq) AS first_seq FROM rm GROUP BY symbol, rm // 900000000)
+SELECT symbol, 'M15' AS timeframe, start_s, open, high, low, close, volume, first_seq, lead(first_seq) OVER (PARTITION BY symbol ORDER BY start_s) AS closed_by_seq FROM c""")
+def stream_arrival_candles(spark, d):
+    return jobs.newest(jobs.collect_updates(jobs.arrival_candles(_stored(spark, d, "kind = 'trade'"), "M15")), "symbol", "timeframe", "start_s")
+
+
+@query("""WITH TAPE, x AS (SELECT symbol, recv_us + 36000000000 AS a, lead(recv_us) OVER (PARTITION BY symbol ORDER BY recv_us, seq) AS b FROM tape)
+SELECT symbol, a AS stale_from_us, b AS stale_until_us FROM x WHERE (b IS NULL AND a < (SELECT max(recv_us) - 1000000 FROM tape)) OR a < b""")
+def stream_stale_intervals(spark, d):
+    got = jobs.collect_updates(jobs.stale_intervals(_stored(spark, d, "true", "recv_ts"), 36_000.0))
+    return jobs.newest(got, "symbol", "stale_from_us")
