@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..paths import work_dir
+from ..paths import forget, materialize, work_dir  # noqa: F401  for the operators
 
 U64 = np.uint64
 #: Bytes of text that are hashed at once; the hashes take eight times as much.
@@ -20,22 +19,6 @@ CHUNK_BYTES = 1 << 20
 WHITE = b" \t\n\x0b\x0c\r"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes the rows as a table in the shared folder and reads it: cuts lineage, survives lost executors."""
-    path = f"{work_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Deletes a table that materialize() wrote and nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if path.startswith(work_dir(spark)) or "/table-" in path:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

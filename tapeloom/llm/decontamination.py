@@ -7,8 +7,10 @@ shingle. A document contains an item if it holds at least LEAST percent of the i
 Items are partitioned by size: band i has the items of up to 2**i shingles. An item's sketch are its smallest MinHash
 values, as many as its band's largest size may miss and one more, so no document that contains the item can miss them
 all: the search loses nothing. A band also says how many shingles a document must have at least. Documents keep only
-hashes up to the largest value in any sketch and meet the sketches by one join; what meets is verified by the shingles
-themselves. The sketches are broadcast if there are at most BROADCAST_ROWS of them, else joined by shuffles.
+hashes up to the largest value in the sketches of the bands that they are large enough for, and meet the sketches by one
+join. What meets is verified by the shingles themselves: the items' shingles of each candidate pair are looked for in the
+candidate. Sketches and the items' shingles are broadcast within bounds of rows and bytes that are checked for each, else
+joined by shuffles.
 
 Null and empty texts have no words, contain nothing and are contained in nothing. Repeated rows of documents or items
 count as one, rows without doc_id or item_id are left out.
@@ -24,6 +26,8 @@ from .common import materialize
 LEAST = 80
 #: Rows of (hash, item) that may be broadcast, about 16 bytes each.
 BROADCAST_ROWS = 500_000
+#: Bytes of the items' shingles as text that may be broadcast, besides no more than BROADCAST_ROWS of them.
+BROADCAST_BYTES = 32 << 20
 
 
 def words(text: Column) -> Column:
@@ -69,23 +73,25 @@ def contained(docs: DataFrame, items: DataFrame, least: int = LEAST) -> DataFram
     items = items.select("item_id", "text")
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     found = materialize(sketches(items).distinct())
-    rows, highest = found.agg(F.count("*"), F.max("h")).first()
-    if not rows:
+    # the bands: what a document must have for one, and the largest value in its sketches; a band for each power of two
+    bands = found.groupBy("band_least").agg(F.max("h").alias("highest"), F.count("*").alias("n")).collect()
+    if not bands:
         return docs.join(items, F.lit(False)).select("doc_id", "item_id", F.lit(0).cast("long").alias("n_shingles"), F.lit(0).cast("long").alias("n_found"))
-    small = rows <= BROADCAST_ROWS
-    sent = F.broadcast if small else (lambda df: df)
-    hashes = split(docs, "doc_id").select("doc_id", shingles(F.col("w"), hashed).alias("hs"))
-    low = hashes.select("doc_id", F.size("hs").alias("size"), F.explode(F.filter("hs", lambda h: h <= highest)).alias("h"))
-    pairs = low.join(sent(found), "h").where("size >= band_least").select("doc_id", "item_id").distinct()
-    pairs = materialize(pairs)
-    # exact: the candidates' shingles as text
+    hashes = split(docs, "doc_id").select("doc_id", shingles(F.col("w"), hashed).alias("hs")).withColumn("size", F.size("hs"))
+    reach = F.greatest(F.lit(None).cast("long"), *(F.when(F.col("size") >= r.band_least, F.lit(r.highest)) for r in bands))
+    low = hashes.withColumn("reach", reach).select("doc_id", "size", F.explode(F.filter("hs", lambda h: h <= F.col("reach"))).alias("h"))
+    sent = F.broadcast if sum(r.n for r in bands) <= BROADCAST_ROWS else (lambda df: df)
+    pairs = materialize(low.join(sent(found), "h").where("size >= band_least").select("doc_id", "item_id").distinct())
+    # exact: the shingles of the candidates' items as text, looked for in the candidates
     asked = split(items.where("item_id is not null"), "item_id").select("item_id", F.array_distinct(shingles(F.col("w"), spelled)).alias("asked"))
-    asked = asked.select("item_id", F.size("asked").cast("long").alias("n_shingles"), F.explode("asked").alias("g"))
+    asked = materialize(asked.distinct().select("item_id", F.size("asked").cast("long").alias("n_shingles"), F.explode("asked").alias("g")))
+    rows, size = asked.agg(F.count("*"), F.sum(F.octet_length("g"))).first()
+    sent = F.broadcast if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else (lambda df: df)
     wanted = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
     held = split(wanted, "doc_id").select("doc_id", F.explode(F.array_distinct(shingles(F.col("w"), spelled))).alias("g"))
     held = held.join(sent(asked.select("g").distinct()), "g", "left_semi").distinct()
-    counts = held.join(sent(asked.distinct()), "g").groupBy("doc_id", "item_id").agg(F.max("n_shingles").alias("n_shingles"), F.count_distinct("g").alias("n_found"))
-    return counts.join(pairs, ["doc_id", "item_id"], "left_semi").where(F.col("n_found") * 100 >= F.col("n_shingles") * least)
+    counts = pairs.join(sent(asked), "item_id").join(held, ["doc_id", "g"]).groupBy("doc_id", "item_id").agg(F.max("n_shingles").alias("n_shingles"), F.count_distinct("g").alias("n_found"))
+    return counts.where(F.col("n_found") * 100 >= F.col("n_shingles") * least)
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"

@@ -35,6 +35,8 @@ END = 1
 ROOM = 0.02
 #: The part of a sequence that may stay empty before it is cut back to a power of two.
 TIGHT = 0.01
+#: The size of a piece that is no longer in the pool.
+PLACED = 1e18
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, loss_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 
 
@@ -68,29 +70,35 @@ class Packer:
         pool, back = self.pool, []
         size = np.array([len(p[2]) // 4 for p in pool], float)
         share = np.array([p[4] for p in pool], float)
-        alive = np.ones(len(pool), bool)
-        while (n := int(alive.sum())) > (0 if length else rest):
-            if not length and not rest and size[alive].sum() < self.limit[0]:
+        load, n, waiting = size * share, len(pool), float(size.sum())
+        scale = self.limit**2
+        while n > (0 if length else rest):
+            if not length and not rest and waiting < self.limit[0]:
                 break
             left, made = self.limit.copy(), []
             left[0] = room = length or left[0]
             while left[1] >= 1 and left[0] >= 1 and n:
-                fits = alive & (size <= left[0]) & (size * share <= left[2])
-                if fits.any():
-                    demand = size * (left[0] / self.limit[0] ** 2) + left[1] / self.limit[1] ** 2 + size * share * (left[2] / self.limit[2] ** 2)
-                    k = int(np.argmax(np.where(fits, demand, -1.0)))
+                # the dot product of demand and room, less what is the same for all pieces
+                demand = size * (left[0] / scale[0]) + load * (left[2] / scale[2])
+                demand[(size > left[0]) | (load > left[2])] = -1.0
+                k = int(np.argmax(demand))
+                if demand[k] >= 0:
                     piece = pool[k]
-                    alive[k] = False
+                    size[k] = load[k] = PLACED
                     n -= 1
                 else:
-                    k = int(np.argmax(np.where(alive, np.minimum(size, left[2] / np.maximum(share, 1e-9)), -1.0)))
+                    fit = np.minimum(size, left[2] / np.maximum(share, 1e-9))
+                    fit[size == PLACED] = -1.0
+                    k = int(np.argmax(fit))
                     take = int(min(size[k] - 1, left[0], left[2] // share[k] if share[k] else left[0]))
                     if take < 1:
                         break
                     piece, pool[k] = self._cut(pool[k], take)
                     size[k] -= take
+                    load[k] = size[k] * share[k]
                 made.append(piece)
                 got = len(piece[2]) // 4
+                waiting -= got
                 left -= (got, 1, got * piece[4])
             total = int(room - left[0])
             if left[0] > TIGHT * self.limit[0] and total & (total - 1):
@@ -111,7 +119,7 @@ class Packer:
             self.sequence += 1
             if length:
                 break
-        self.pool = [p for p, a in zip(pool, alive, strict=True) if a] + back
+        self.pool = [p for p, x in zip(pool, size.tolist(), strict=True) if x != PLACED] + back
 
     @staticmethod
     def _cut(piece: tuple, n: int) -> tuple[tuple, tuple]:

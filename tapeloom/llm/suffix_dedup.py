@@ -84,9 +84,18 @@ def anchors(sums: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, n
     return place[new], new, np.append(new[1:], len(place)) - 1
 
 
-def keyed(docs: DataFrame, *more: str) -> DataFrame:
-    """(doc, hash, text): rows with what they are known by."""
-    return docs.select(*more, F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("hash"), "text")
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc, hash, text): rows with what they are known by; the hash's last bit says that the doc_id is null."""
+    null = F.col("doc_id").isNull()
+    return docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc"), F.xxhash64("text").bitwiseAND(F.lit(-2)).bitwiseOR(null.cast("long")).alias("hash"), "text")
+
+
+def _order(rows: np.ndarray, *then: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What sorts rows, and then by more; and where in that order another row begins."""
+    order = np.lexsort((*then[::-1], rows["hash"], rows["doc"]))
+    row = rows[order]
+    new = (row["doc"][1:] != row["doc"][:-1]) | (row["hash"][1:] != row["hash"][:-1])
+    return order, np.flatnonzero(np.concatenate([[True], new])) if len(rows) else np.zeros(0, int)
 
 
 def _rows(batch: pa.RecordBatch) -> np.ndarray:
@@ -169,13 +178,13 @@ def repeated_anchors(docs: DataFrame, tasks: int) -> DataFrame:
             kept = order[np.repeat((runs > 1) | np.isin(core[order][first], shared), runs)]
             owner, place = owner[kept], place[kept] if placed else place
         if placed:  # rows that agree in all say the same
-            both = np.unique(np.rec.fromarrays([owner["doc"], owner["hash"], place["p"], place["near"], place["far"]]))
-            owner, place = np.zeros(len(both), ROW), np.zeros(len(both), PLACE)
-            owner["doc"], owner["hash"] = both.f0, both.f1
-            place["p"], place["near"], place["far"] = both.f2, both.f3, both.f4
-        else:
-            owner = np.sort(owner, order=("doc", "hash"))
-        at = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, int)
+            order, _ = _order(owner, place["p"])
+            owner, place = owner[order], place[order]
+            again = (owner[1:] == owner[:-1]) & (place["p"][1:] == place["p"][:-1])
+            new = np.concatenate([[True], ~again])[: len(owner)]
+            owner, place = owner[new], place[new]
+        order, at = _order(owner)
+        owner, place = owner[order], place[order] if placed else place
         ends = np.append(at, len(owner))
         cells = [place[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)] if placed else [None] * len(at)
         return pa.table({"doc": pa.array(owner["doc"][at]), "hash": pa.array(owner["hash"][at]), "places": pa.array(cells, pa.binary()), "n_repeats": pa.array(np.zeros(len(at), np.int64) if placed else np.diff(ends))})
@@ -307,12 +316,11 @@ def repeated_starts(lcp: np.ndarray, left: np.ndarray, low: np.ndarray, high: np
 _RUN = "rows binary, places binary, lows binary, highs binary, many binary, shared binary, lengths binary, rests binary, lefts binary"
 
 
-def spans(docs: DataFrame, found: DataFrame, tasks: int) -> DataFrame:
+def spans(docs: DataFrame, lists: DataFrame, tasks: int) -> DataFrame:
     """(doc, hash, spans): packed int64 pairs [start, end) of bytes, in pieces that may overlap, of docs(doc, hash, text) with
-    the places found(doc, hash, places)."""
+    lists(doc, hash, places)."""
     buckets = SPREAD * tasks
-    lists = found.where("places is not null").groupBy("doc", "hash").agg(F.collect_list("places").alias("places"))
-    rows = docs.join(lists, ["doc", "hash"]).select("doc", "hash", "text", "places")
+    rows = docs.join(lists.where("size(places) > 0").select("doc", "hash", "places"), ["doc", "hash"]).select("doc", "hash", "text", "places")
 
     def cut(batches):
         sent: dict[bytes, tuple | None] = {}  # records sent, with their one place if that is not yet settled
@@ -368,9 +376,9 @@ def spans(docs: DataFrame, found: DataFrame, tasks: int) -> DataFrame:
             row, place = row[index], place[index]
             least, most = repeated_starts(lcp, left[index], low[index], high[index], many[index])
         hit = np.flatnonzero(most >= 0)
-        hit = hit[np.argsort(row[hit], order=("doc", "hash"), kind="stable")]
+        order, at = _order(row[hit])
+        hit = hit[order]
         row, pairs = row[hit], np.stack([place[hit] - most[hit], place[hit] - least[hit] + LENGTH], 1)
-        at = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, int)
         ends = np.append(at, len(row))
         return pa.table({"doc": pa.array(row["doc"][at]), "hash": pa.array(row["hash"][at]), "spans": pa.array([np.ascontiguousarray(pairs[a:b]).tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())})
 
@@ -390,13 +398,15 @@ def merged(pieces: list[bytes] | None) -> np.ndarray:
 
 def remove(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, n_repeats): kept are the remaining bytes, n_repeats the repeated anchors."""
-    docs = docs.select("doc_id", "text")
     tasks = text_tasks(docs)
-    found = materialize(repeated_anchors(keyed(docs), tasks))
-    pieces = materialize(spans(keyed(docs), found, tasks))
-    counts = found.where("places is null").select("doc", "hash", F.lit(None).cast("binary").alias("spans"), "n_repeats")
-    lists = pieces.withColumn("n_repeats", F.lit(0).cast("long")).unionByName(counts).groupBy("doc", "hash").agg(F.collect_list("spans").alias("spans"), F.sum("n_repeats").alias("n_repeats"))
-    rows = keyed(docs, "doc_id").join(lists, ["doc", "hash"], "left").select("doc_id", "text", "spans", F.coalesce("n_repeats", F.lit(0)).alias("n_repeats"))
+    rows = keyed(docs.select("doc_id", "text"))
+    found = repeated_anchors(rows, tasks).groupBy("doc", "hash").agg(F.collect_list("places").alias("places"), F.sum("n_repeats").alias("n_repeats"))
+    found = materialize(found)
+    pieces = spans(rows, found, tasks).groupBy("doc", "hash").agg(F.collect_list("spans").alias("spans"))
+    # both joins deal the texts out alike, so they are shuffled once
+    doc_id = F.when(F.col("hash").bitwiseAND(F.lit(1)) == 0, F.col("doc")).alias("doc_id")
+    rows = rows.join(pieces, ["doc", "hash"], "left").join(found.select("doc", "hash", "n_repeats"), ["doc", "hash"], "left")
+    rows = rows.select(doc_id, "text", "spans", F.coalesce("n_repeats", F.lit(0)).alias("n_repeats"))
 
     def run(batches):
         for batch in batches:
