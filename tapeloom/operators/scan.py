@@ -41,12 +41,12 @@ def running(df: DataFrame, value: Column, out: str, order: str, keys: tuple[str,
     tops = materialize(df.groupBy(*keys, "_chunk").agg(top("_v").alias("_top")))
     low, high = tops.agg(F.min("_chunk"), F.max("_chunk")).first()
     cut = LEVEL if low is not None and high - low >= LEVEL else None
-    carry = running(tops.withColumnRenamed("_chunk", "_at"), F.col("_top"), "_carry", "_at", keys, cut, True, how)
+    carry = running(tops.withColumnRenamed("_chunk", "_at"), F.col("_top"), "_from", "_at", keys, cut, True, how)
     same = F.lit(True)
     left, right = df.alias("l"), carry.withColumnRenamed("_at", "_chunk").alias("r")
     for k in (*keys, "_chunk"):
         same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-    joined = left.join(right, same, "left").select("l.*", "r._carry")
+    joined = left.join(right, same, "left").select("l.*", F.col("r._from").alias("_carry"))
     w = Window.partitionBy(*keys, "_chunk").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, last)
     own = top("_v").over(w)
     whole = F.greatest("_carry", own) if how == "max" else F.coalesce(F.col("_carry") + own, "_carry", own)

@@ -40,7 +40,7 @@ def market_state(events: DataFrame, chunk: int | None = None) -> DataFrame:
 def candle_tables(events: DataFrame, timeframes: tuple[str, ...] = tuple(cd.TIMEFRAMES)) -> DataFrame:
     """Candles of a clean tape, which is replayed in time order, with is_closed, and no more closed ones than are kept."""
     marked = cd.mark_closed(cd.all_timeframes(events.where("kind = 'trade'"), timeframes, mode="event"))
-    return cd.history(marked).unionByName(cd.current(marked))
+    return cd.kept(marked)
 
 
 def liveness_tables(events: DataFrame, watch: DataFrame, now: Column, threshold: float) -> tuple[DataFrame, DataFrame]:

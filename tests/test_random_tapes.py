@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tapeloom.operators import candles, indicators, latest, sequence, signals
+from tapeloom.operators import candles, dedup, indicators, latest, scan, sequence, signals
 from tests.test_scenarios import trades
 
 
@@ -36,6 +36,57 @@ def test_sequencer_is_the_loop(spark, seed, chunk):
     assert {r.seq: r.release_seq for r in bounded.collect()} == want
 
 
+@pytest.mark.parametrize("capacity", [1, 2, 5])
+def test_eviction_is_the_loop(spark, capacity):
+    """While more than capacity wait, all of the oldest time go and the watermark rises to it."""
+    rows, lag = random_tape(capacity, 90), 70
+    mark, waiting, want = None, [], []
+    for seq, (ts, *_) in enumerate(rows):
+        if mark is not None and ts < mark:
+            want.append((seq, "late", None))
+            continue
+        waiting.append((ts, seq))
+        mark = max(mark if mark is not None else ts - lag, ts - lag)
+        while len(waiting) > capacity:
+            oldest = min(t for t, _ in waiting)
+            want += [(s, "evicted", seq) for t, s in waiting if t == oldest]
+            waiting, mark = [x for x in waiting if x[0] != oldest], max(mark, oldest)
+        want += [(s, "ready", seq) for t, s in waiting if t <= mark]
+        waiting = [x for x in waiting if x[0] > mark]
+    want += [(s, "flush", None) for _, s in waiting]
+    got = [(r.seq, r.outcome, r.release_seq) for r in sequence.sequence_bounded(trades(spark, *rows), lag, capacity).collect()]
+    assert sorted(got) == sorted(want) and {"evicted", "late"} <= {x[1] for x in want}
+
+
+@pytest.mark.parametrize("capacity", [1, 3, 8])
+def test_bounded_dedup_is_the_loop(spark, capacity):
+    r = random.Random(capacity)
+    rows = [(k, "F", "quote", r.choice("AB"), r.randrange(3), float(r.randrange(2)), 1.0, 2.0, r.choice([0.0, -0.0])) for k in range(80)]
+    df = spark.createDataFrame(rows, "seq long, feed string, kind string, symbol string, s long, bid_price double, bid_vol double, ask_price double, ask_vol double").withColumn("ts", F.timestamp_seconds("s"))
+    for signed_zero in ("distinct", "equal"):
+        known, want = [], []
+        for seq, *_, symbol, s, bid, bv, ask, av in ((x[0], *x[3:]) for x in rows):
+            k = (symbol, s, bid, bv, ask, str(av) if signed_zero == "distinct" else av)
+            want.append((seq, k in known))
+            if k not in known:
+                known = [*known, k][-capacity:]
+        assert sorted((x.seq, x.is_duplicate) for x in dedup.mark_duplicates_bounded(df, capacity, signed_zero=signed_zero).collect()) == want
+
+
+def test_running_values_in_levels(spark, monkeypatch):
+    """Cuts of cuts, for one key and for several, with gaps, nulls and ties."""
+    r = random.Random(4)
+    rows = [(r.choice("AB"), k + 50 * (k > 40), k // 2 * 2, None if k % 7 == 3 else r.randrange(-9, 9)) for k in range(120)]
+    df = spark.createDataFrame(rows, "symbol string, seq long, at long, v long")
+    monkeypatch.setattr(scan, "LEVEL", 3)
+    for keys in ((), ("symbol",)):
+        for how in ("max", "sum"):
+            for before in (False, True):
+                got = [sorted(map(tuple, scan.running(df, F.col("v"), "out", "at", keys, chunk, before, how, ("seq",)).collect()), key=str) for chunk in (None, 4)]
+                assert got[0] == got[1]
+    assert scan.running(df.limit(0), F.col("v"), "out", "at", (), 4).count() == 0
+
+
 @pytest.mark.parametrize("chunk", [None, 5])
 def test_state_and_candles_are_the_loop(spark, chunk):
     rows = random_tape(3)
