@@ -32,6 +32,23 @@ def text_tasks(docs: DataFrame, each: int = 32 << 20) -> int:
     return max(partitions(docs.sparkSession), (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // each)
 
 
+def labels(spark: SparkSession, tasks: int) -> np.ndarray:
+    """A number for each of so many buckets, such that Spark's repartition(tasks, number) gives every task one bucket."""
+    n = tasks * (12 + tasks.bit_length())
+    at = spark.range(n).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(tasks)).alias("at")).toArrow()["at"].to_numpy()
+    task, first = np.unique(at, return_index=True)
+    out = np.arange(n, n + tasks, dtype=np.int32)  # a task that no number leads to, which is unlikely, is left out
+    out[task] = first
+    return out
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, name with as many _ before it as that takes."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def trimmed(f):
     """For a function over a task's batches: when it ends, the worker gives the memory that it used back to the machine, which
     it shares with its executor."""

@@ -23,13 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, texts, trimmed
+from .common import materialize, mix, texts, trimmed, unused
 
 MIN_CHARS, MIN_DOCS = 40, 5
 _ENDS = " \t\n\x0b\x0c\r"
 _FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Keys in a shard's filter, about; the number of shards follows the number of keys.
 SHARD_KEYS = 16384
+#: Changes of an index after which its exact table is written as a whole again.
+COMPACT = 8
 SLOTS = 4
 U64 = np.uint64
 
@@ -190,35 +192,44 @@ def repeated_lines(refs: DataFrame, repeated: DataFrame, filters: DataFrame, sha
 @dataclass(frozen=True)
 class LineIndex:
     """refs(k1, k2, doc_id), the exact table; held(k1, k2, n_docs, max_doc), its keys that at least MIN_DOCS documents hold;
-    filters(shard, table) of the keys in held. A filter that has no room for a key is built anew from held."""
+    filters(shard, table) of the keys in held. A filter that has no room for a key is built anew from held.
+
+    A change writes the rows that come or go, and the keys in held; refs is what was there with them added or left out, and
+    is written as one table again after COMPACT changes. Only keys of the changed documents are counted again."""
 
     refs: DataFrame
     held: DataFrame
     filters: DataFrame
     shards: int
+    changes: int = 0
 
     def repeated(self) -> DataFrame:
         return self.held
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """With the documents added. Documents that it holds already change nothing."""
-        new = references(docs).distinct().join(self.refs, ["k1", "k2", "doc_id"], "left_anti")
-        return self._changed(materialize(self.refs.unionByName(new)))
+        new = materialize(references(docs).distinct().join(self.refs, ["k1", "k2", "doc_id"], "left_anti"))
+        return self._changed(self.refs.unionByName(new), new)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Without the documents doc_ids(doc_id): as if they had never been inserted."""
-        return self._changed(materialize(self.refs.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti").select("k1", "k2", "doc_id")))
+        ids = materialize(doc_ids.select("doc_id").distinct())
+        less = lambda how: self.refs.join(ids, "doc_id", how).select("k1", "k2", "doc_id")
+        return self._changed(less("left_anti"), materialize(less("left_semi")))
 
     def drop_lines(self, docs: DataFrame) -> DataFrame:
         """docs, which the index holds, without the lines that go; n_lines and n_dropped as of the function drop_lines."""
         drops = repeated_lines(self.refs, self.held, self.filters, self.shards).where("doc_id < max_doc").select("doc_id", "k1", "k2")
         return drop_lines(docs, drops)
 
-    def _changed(self, refs: DataFrame) -> LineIndex:
-        held = _held(refs)
+    def _changed(self, refs: DataFrame, moved: DataFrame) -> LineIndex:
+        changes = (self.changes + 1) % COMPACT
+        refs = refs if changes else materialize(refs)
+        touched = moved.select("k1", "k2").distinct()
+        held = materialize(self.held.join(touched, ["k1", "k2"], "left_anti").unionByName(_repeated(refs.join(touched, ["k1", "k2"], "left_semi"))))
         shards = shards_for(held.count())
         if shards > 2 * self.shards:  # outgrown
-            return LineIndex(refs, held, materialize(build_filters(held, shards)), shards)
+            return LineIndex(refs, held, materialize(build_filters(held, shards)), shards, changes)
         keys = lambda df, other, add: df.join(other, ["k1", "k2"], "left_anti").select(_shard(self.shards).alias("shard"), "k2", F.lit(add).alias("add"))
         moved = keys(held, self.held, True).unionByName(keys(self.held, held, False))
 
@@ -235,21 +246,21 @@ class LineIndex:
         if full.count():
             again = held.join(full, _shard(self.shards) == full.shard, "left_semi")
             filters = materialize(filters.where("table is not null").unionByName(build_filters(again, self.shards)))
-        return LineIndex(refs, held, filters, self.shards)
+        return LineIndex(refs, held, filters, self.shards, changes)
 
 
-def _held(refs: DataFrame) -> DataFrame:
-    return materialize(counted(refs, unique=True).where(F.col("n_docs") >= MIN_DOCS))
+def _repeated(refs: DataFrame) -> DataFrame:
+    return counted(refs, unique=True).where(F.col("n_docs") >= MIN_DOCS)
 
 
 def shards_for(keys: int) -> int:
-    return max(1, min(4096, -(-keys // SHARD_KEYS)))
+    return max(1, -(-keys // SHARD_KEYS))
 
 
 def build_index(docs: DataFrame, shards: int | None = None) -> LineIndex:
     """An index of docs; the number of shards follows the number of repeated keys if it isn't given."""
     refs = materialize(references(docs).distinct())
-    held = _held(refs)
+    held = materialize(_repeated(refs))
     shards = shards or shards_for(held.count())
     return LineIndex(refs, held, materialize(build_filters(held, shards)), shards)
 
@@ -262,12 +273,13 @@ def drop_lines(docs: DataFrame, drops: DataFrame) -> DataFrame:
     replaced. Other lines stay, joined by \\n; the rows stay all."""
     docs = docs.drop("n_lines", "n_dropped")
     names = [*docs.columns, "n_lines", "n_dropped"]
-    lists = drops.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("k1", "k2")).alias("_keys"))
-    joined = docs.join(lists, docs.doc_id == lists._doc, "left").drop("_doc")
+    doc, held = unused(docs, "_doc"), unused(docs, "_keys")
+    lists = drops.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list(F.struct("k1", "k2")).alias(held))
+    joined = docs.join(lists, docs["doc_id"] == lists[doc], "left").drop(doc)
 
     def run(batches):
         for batch in batches:
-            keys = batch.column("_keys").to_pylist()
+            keys = batch.column(held).to_pylist()
             kept, lines, gone = [], [], []
             for text, raw, ks in zip(texts(batch), pc.is_null(batch.column("text")).to_pylist(), keys, strict=True):
                 parts = text.split("\n")
@@ -278,7 +290,7 @@ def drop_lines(docs: DataFrame, drops: DataFrame) -> DataFrame:
                 gone.append(lines[-1] - len(parts))
                 kept.append(None if raw else "\n".join(parts) if ks else text)
             at = batch.schema.get_field_index("text")
-            arrays = [pa.array(kept, pa.string()) if i == at else c for i, c in enumerate(batch.columns) if batch.schema.names[i] != "_keys"]
+            arrays = [pa.array(kept, pa.string()) if i == at else c for i, c in enumerate(batch.columns) if batch.schema.names[i] != held]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

@@ -15,6 +15,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import unused
+
 SHARDS = 16
 SLOTS = 1621  # a prime, about a hundred slots a shard
 
@@ -54,9 +56,11 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 def place(df: DataFrame, key: str, shards: list[str], slots: int = SLOTS, slot: str = "slot", shard: str = "shard") -> DataFrame:
     """df with two more columns: the key's slot and the position of its shard. Equal keys go together, null and '' too.
     Columns of df with the names slot or shard are replaced; rows keep their number, repeated rows too."""
-    where = lookup_table(df.sparkSession, shards, slots).select(F.col("slot").alias("_slot"), F.col("shard").alias(shard))
-    kept = df.drop(*(c for c in (slot, shard) if c != key)).withColumn("_slot", slot_of(F.col(key), slots))
-    return kept.join(F.broadcast(where), "_slot").withColumnRenamed("_slot", slot)
+    if key in (slot, shard):
+        raise ValueError("the key's column would be replaced")
+    kept, own = df.drop(slot, shard), unused(df, "_slot")
+    where = lookup_table(df.sparkSession, shards, slots).select(F.col("slot").alias(own), F.col("shard").alias(shard))
+    return kept.withColumn(own, slot_of(F.col(key), slots)).join(F.broadcast(where), own).withColumnRenamed(own, slot)
 
 
 def names(n: int = SHARDS) -> list[str]:

@@ -40,6 +40,10 @@ def test_sharding(nasty, none):
     assert len(got) == len(ROWS) and all(0 <= r.shard < 4 and 0 <= r.slot < 101 for r in got)
     assert len({r.shard for r in got if r.doc_id == 5}) == 1
     assert sharding.place(none, "doc_id", sharding.names(4), 101).count() == 0
+    clash = sharding.place(nasty.withColumnRenamed("score", "_slot"), "doc_id", sharding.names(4), 101)
+    assert sorted(clash.columns) == ["_slot", "doc_id", "shard", "slot", "text"] and clash.count() == len(ROWS)
+    with pytest.raises(ValueError):
+        sharding.place(nasty, "shard", sharding.names(4), 101)
     full, less = sharding.fill(sharding.names(10), 1009), sharding.fill(sharding.names(9), 1009)
     sizes = np.bincount(full)
     assert sizes.max() - sizes.min() <= 1
@@ -53,6 +57,8 @@ def test_line_dedup(nasty, none):
     assert (10, 3, 2, "own words 0") in got and (14, 3, 0, ROWS[-1][1]) in got
     assert (1, 1, 0, None) in got and (2, 1, 0, "") in got and (3, 2, 0, "  \n\t ") in got
     assert line_dedup.dedup_lines(none).count() == 0
+    clash = nasty.withColumnsRenamed({"shard": "_keys", "score": "_DOC"}).withColumn("n_lines", F.lit("x"))
+    assert {(r.doc_id, r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(clash).collect()} == got
 
 
 def test_line_index_can_be_undone(spark, nasty):
@@ -83,7 +89,8 @@ def test_line_index_outgrows_its_filters(spark, none, monkeypatch):
         less = index.delete(parts[1].select("doc_id"))
         assert key(less.repeated().collect()) == key(line_dedup.build_index(parts[0].union(parts[2])).repeated().collect())
         assert sum(r.n_dropped for r in less.drop_lines(docs).collect()) == 4 * 340
-        monkeypatch.setattr(line_dedup, "SHARD_KEYS", 200)  # the second time the number of shards grows
+        monkeypatch.setattr(line_dedup, "SHARD_KEYS", 200)  # the second time the number of shards grows, and tables are compacted
+        monkeypatch.setattr(line_dedup, "COMPACT", 2)
     assert index.shards > 1
 
 
