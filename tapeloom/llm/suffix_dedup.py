@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, byte_chunks, materialize, mix, prefix_hash, seeded, text_tasks, trimmed, window_hash
+from .common import U64, byte_chunks, labels, materialize, mix, prefix_hash, seeded, text_tasks, trimmed, window_hash
 
 LENGTH, REACH, GRAM, SHORT = 400, 128, 24, 128
 CORE = LENGTH - REACH + 1
@@ -45,8 +45,6 @@ PLACE = np.dtype([("p", "<i4"), ("near", "u1"), ("far", "u1")])
 OFTEN, PART_BYTES = 24, 8 << 20
 #: Records that a task remembers to have sent.
 SENT = 200_000
-#: Buckets for each task that they are dealt over, so that tasks come out even.
-SPREAD = 4
 #: What a row is known by.
 ROW = np.dtype([("doc", "<i8"), ("hash", "<i8")])
 
@@ -104,12 +102,13 @@ def _rows(batch: pa.RecordBatch) -> np.ndarray:
     return out
 
 
-_PIECE = ["bucket", "rows", "counts", "cores", "places", "shared"]
+_PIECE = ["bucket", "kind", "rows", "counts", "cores", "places", "shared"]
 
 
-def _pieces(rows: np.ndarray, who: np.ndarray, core: np.ndarray, place: np.ndarray | None, buckets: int, first: int) -> list[tuple]:
-    """What a task knows of cores, packed by bucket from the number first on; who: each core's row. Cores that it has seen
-    often are settled, a bucket below 0."""
+def _pieces(rows: np.ndarray, who: np.ndarray, core: np.ndarray, place: np.ndarray | None, number: np.ndarray) -> list[tuple]:
+    """What a task knows of cores, packed by bucket, of which number has the numbers; who: each core's row. The kind is 1 for
+    cores without places, and 2 more for cores that the task has seen often, which are settled."""
+    buckets, kind = len(number), int(place is None)
     order = np.argsort(core, kind="stable")
     core, who, place = core[order], who[order], None if place is None else place[order]
     new = np.concatenate([[True], core[1:] != core[:-1]])[: len(core)]
@@ -118,30 +117,30 @@ def _pieces(rows: np.ndarray, who: np.ndarray, core: np.ndarray, place: np.ndarr
     stand = core[new][runs >= OFTEN]
     edge = np.array([k * ((1 << 64) // buckets) for k in range(buckets)], U64)
     at, to = np.append(np.searchsorted(core, edge), len(core)), np.append(np.searchsorted(stand, edge), len(stand))
-    parts = [(-1 - first - int(who[0]) % buckets, np.flatnonzero(often), b"")] if often.any() else []
+    parts = [(int(core[0] % U64(buckets)), kind + 2, np.flatnonzero(often), b"")] if often.any() else []
     for k in np.flatnonzero((at[:-1] < at[1:]) | (to[:-1] < to[1:])).tolist():
-        parts.append((first + k, at[k] + np.flatnonzero(~often[at[k] : at[k + 1]]), stand[to[k] : to[k + 1]].tobytes()))
+        parts.append((k, kind, at[k] + np.flatnonzero(~often[at[k] : at[k + 1]]), stand[to[k] : to[k + 1]].tobytes()))
     out = []
-    for bucket, mine, known in parts:
+    for bucket, what, mine, known in parts:
         mine = mine[np.argsort(who[mine], kind="stable")]
         owner, count = np.unique(who[mine], return_counts=True)
-        out.append((bucket, rows[owner].tobytes(), count.astype(np.int32).tobytes(), core[mine].tobytes(), b"" if place is None else place[mine].tobytes(), known))
+        out.append((number[bucket], what, rows[owner].tobytes(), count.astype(np.int32).tobytes(), core[mine].tobytes(), b"" if place is None else place[mine].tobytes(), known))
     return out
 
 
 def repeated_anchors(docs: DataFrame, tasks: int) -> DataFrame:
     """(row, places, n_repeats): anchors whose core occurs again, packed as PLACE, and how many have their first SHORT bytes
     again, in pieces, of docs(doc, hash, text)."""
-    buckets = SPREAD * tasks
+    number = labels(docs.sparkSession, tasks)
 
     def cut(batches):
         rows, who, core, place, short_who, short, size, n = [], [], [], [], [], [], 0, 0
 
         def out():
             known = np.concatenate(rows)
-            made = _pieces(known, np.concatenate(short_who), np.concatenate(short), None, buckets, buckets) if short else []
-            made += _pieces(known, np.concatenate(who), np.concatenate(core), np.concatenate(place), buckets, 0) if core else []
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in made], pa.int32()), *(pa.array([r[c] for r in made], pa.binary()) for c in range(1, 6))], _PIECE)
+            made = _pieces(known, np.concatenate(short_who), np.concatenate(short), None, number) if short else []
+            made += _pieces(known, np.concatenate(who), np.concatenate(core), np.concatenate(place), number) if core else []
+            return pa.RecordBatch.from_arrays([*(pa.array([r[c] for r in made], pa.int32()) for c in range(2)), *(pa.array([r[c] for r in made], pa.binary()) for c in range(2, 7))], _PIECE)
 
         for batch in batches:
             own = _rows(batch)
@@ -167,9 +166,9 @@ def repeated_anchors(docs: DataFrame, tasks: int) -> DataFrame:
             yield out()
 
     def tell(t: pa.Table) -> pa.Table:
-        bucket = t["bucket"][0].as_py()
-        settled, placed = bucket < 0, (bucket if bucket >= 0 else -1 - bucket) < buckets
-        row, count, core, place, shared = (np.frombuffer(b"".join(t[c].to_pylist()), kind) for c, kind in zip(_PIECE[1:], (ROW, np.int32, U64, PLACE, U64), strict=True))
+        kind = t["kind"][0].as_py()
+        settled, placed = kind >= 2, kind % 2 == 0
+        row, count, core, place, shared = (np.frombuffer(b"".join(t[c].to_pylist()), kind) for c, kind in zip(_PIECE[2:], (ROW, np.int32, U64, PLACE, U64), strict=True))
         owner = np.repeat(row, count)
         if not settled and len(core):
             order = np.argsort(core, kind="stable")
@@ -189,8 +188,8 @@ def repeated_anchors(docs: DataFrame, tasks: int) -> DataFrame:
         cells = [place[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)] if placed else [None] * len(at)
         return pa.table({"doc": pa.array(owner["doc"][at]), "hash": pa.array(owner["hash"][at]), "places": pa.array(cells, pa.binary()), "n_repeats": pa.array(np.zeros(len(at), np.int64) if placed else np.diff(ends))})
 
-    pieces = docs.mapInArrow(trimmed(cut), "bucket int, rows binary, counts binary, cores binary, places binary, shared binary")
-    return pieces.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(tell, "doc long, hash long, places binary, n_repeats long")
+    pieces = docs.mapInArrow(trimmed(cut), "bucket int, kind int, rows binary, counts binary, cores binary, places binary, shared binary")
+    return pieces.repartition(tasks, "bucket").groupBy("bucket", "kind").applyInArrow(tell, "doc long, hash long, places binary, n_repeats long")
 
 
 # --- sorted runs -----------------------------------------------------------------------------------------------------
@@ -319,7 +318,7 @@ _RUN = "rows binary, places binary, lows binary, highs binary, many binary, shar
 def spans(docs: DataFrame, lists: DataFrame, tasks: int) -> DataFrame:
     """(doc, hash, spans): packed int64 pairs [start, end) of bytes, in pieces that may overlap, of docs(doc, hash, text) with
     lists(doc, hash, places)."""
-    buckets = SPREAD * tasks
+    number = labels(docs.sparkSession, tasks)
     rows = docs.join(lists.where("size(places) > 0").select("doc", "hash", "places"), ["doc", "hash"]).select("doc", "hash", "text", "places")
 
     def cut(batches):
@@ -337,7 +336,7 @@ def spans(docs: DataFrame, lists: DataFrame, tasks: int) -> DataFrame:
                 runs: dict[int, list] = {}
                 done: dict[int, list] = {}
                 for (left, right, near, far), at in records.items():
-                    bucket = xxhash.xxh3_64_intdigest(right[:CORE]) % buckets
+                    bucket = xxhash.xxh3_64_intdigest(right[:CORE]) % tasks
                     name = xxhash.xxh3_128_digest(b"%d %d " % (near, far) + left + right)
                     if name in sent:  # a record like it is on its way from here: both repeat
                         done.setdefault(bucket, []).extend([*at, *([sent[name]] if sent[name] else [])])
@@ -356,15 +355,15 @@ def spans(docs: DataFrame, lists: DataFrame, tasks: int) -> DataFrame:
                             done.setdefault(bucket, []).extend(at[1:])
                     cells = [at[0] for *_, at in run]
                     shared, length, rests = front_code([right for right, *_ in run])
-                    out.append((bucket, *(pack(cells, k) for k in range(4)), np.array([len(at) > 1 for *_, at in run]).tobytes(), shared.tobytes(), length.tobytes(), rests, b"".join(left for _, left, _ in run)))
+                    out.append((number[bucket], False, *(pack(cells, k) for k in range(4)), np.array([len(at) > 1 for *_, at in run]).tobytes(), shared.tobytes(), length.tobytes(), rests, b"".join(left for _, left, _ in run)))
                 for bucket, cells in done.items():  # several places of one record: theirs is settled
-                    out.append((-1 - bucket, *(pack(cells, k) for k in range(4)), b"", b"", b"", b"", b""))
+                    out.append((number[bucket], True, *(pack(cells, k) for k in range(4)), b"", b"", b"", b"", b""))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[k] for r in out], pa.binary()) for k in range(1, 10))], ["bucket", *(x.split()[0] for x in _RUN.split(", "))])
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.bool_()), *(pa.array([r[k] for r in out], pa.binary()) for k in range(2, 11))], ["bucket", "settled", *(x.split()[0] for x in _RUN.split(", "))])
 
     def sort(t: pa.Table) -> pa.Table:
         row, place, low, high, many = (np.frombuffer(b"".join(t[c].to_pylist()), kind) for c, kind in (("rows", ROW), ("places", np.int64), ("lows", np.int32), ("highs", np.int32), ("many", bool)))
-        if t["bucket"][0].as_py() < 0:
+        if t["settled"][0].as_py():
             least, most = low.astype(np.int64), high.astype(np.int64)
         else:
             kinds = [np.frombuffer(x, np.int32) for x in t["shared"].to_pylist()]
@@ -382,7 +381,7 @@ def spans(docs: DataFrame, lists: DataFrame, tasks: int) -> DataFrame:
         ends = np.append(at, len(row))
         return pa.table({"doc": pa.array(row["doc"][at]), "hash": pa.array(row["hash"][at]), "spans": pa.array([np.ascontiguousarray(pairs[a:b]).tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())})
 
-    return rows.mapInArrow(trimmed(cut), f"bucket int, {_RUN}").repartition(tasks, "bucket").groupBy("bucket").applyInArrow(sort, "doc long, hash long, spans binary")
+    return rows.mapInArrow(trimmed(cut), f"bucket int, settled boolean, {_RUN}").repartition(tasks, "bucket").groupBy("bucket", "settled").applyInArrow(sort, "doc long, hash long, spans binary")
 
 
 def merged(pieces: list[bytes] | None) -> np.ndarray:
