@@ -79,6 +79,41 @@ def test_quality_on_held_out_rows(spark):
     assert sum(a == b for a, b in held) >= 0.95 * len(held)
 
 
+def test_quality_is_the_plain_loops():
+    """Training and scoring against loops over dicts, one feature at a time."""
+    import math
+
+    import pyarrow as pa
+
+    from tapeloom.llm import quality
+
+    texts = ["Good plain words follow here.", "BUY NOW!!! $$$ 77 77", "More words, and more of them.", "WIN 9 9 9 !!!", "", "Plain again: words."]
+    labels = [1.0, 0.0, 1.0, 0.0, 1.0, 1.0]
+    batch = pa.record_batch([pa.array(texts)], ["text"])
+    rows = [(dict(zip(i.tolist(), v.tolist(), strict=True)), y) for (i, v), y in zip(quality.vectors(batch), labels, strict=True)]
+    z, n, bias = {}, {}, 2**quality.BITS
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= quality.L1:
+            return 0.0
+        return (math.copysign(quality.L1, z[i]) - z[i]) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    def chance(x):
+        return 1 / (1 + math.exp(-sum(weight(i) * v for i, v in x.items())))
+
+    for _ in range(quality.PASSES):
+        for x, y in rows:
+            x = {**x, bias: 1.0}
+            error, old = (chance(x) - y) * len(rows) / 2 / labels.count(y), {i: weight(i) for i in x}
+            for i, v in x.items():
+                g = error * v
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / quality.ALPHA * old[i]
+                n[i] = n.get(i, 0.0) + g * g
+    w = quality.train([(i, v, y) for (i, v), y in zip(quality.vectors(batch), labels, strict=True)])
+    assert all(abs(w[i] - weight(i)) < 1e-5 for i in z) and np.count_nonzero(w) == sum(weight(i) != 0 for i in z)
+    assert quality.scores(batch, w) == pytest.approx([chance({**x, bias: 1.0}) for x, _ in rows], abs=1e-5)
+
+
 def slow_pii(text):
     import re
 

@@ -160,6 +160,28 @@ def test_stages_decide_by_row(spark, nasty, tmp_path):
     assert key((r.doc_id, r.text) for r in c.unseen(spark, docs, str(tmp_path)).collect()) == key(x for x in odd if x[1] != item)
 
 
+def test_stages_take_any_rows(spark, tmp_path):
+    """Null, empty and very long texts, rows without or with one doc_id, columns of the stages' own names; then no rows at all."""
+    import corpus_pipeline as c
+
+    item = " ".join(LONG.split()[500:540])
+    rows = [(k, t, None, f"s{n}", None if t is None else len(t), f"x{n}", f"r{n}", n) for n, (k, t, *_) in enumerate([*ROWS, (20, f"before {item} after", "", "")])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string, _row string, N_LINES long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(20, 1, 0), (6, 0, 0), (None, 1, 0), (4, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for df, n in ((docs, len(rows)), (docs.limit(0), 0)):
+        for _, stage in c.STAGES[:-1]:
+            got = stage(spark, df, str(tmp_path))
+            kept = got.collect()
+            assert got.columns == docs.columns and len(kept) <= n and all(r.score == f"x{r.N_LINES}" and r._row == f"r{r.N_LINES}" for r in kept)
+            if stage is c.lines:
+                assert len(kept) == n and all(r.n_chars == (None if r.text is None else len(r.text)) for r in kept)
+            if stage is c.unseen and n:
+                assert {r.N_LINES for r in kept} == set(range(n)) - {3, 4, 5, n - 1}
+        pieces = c.packed(spark, df, str(tmp_path)).collect()
+        assert sum(r.start == 0 for r in pieces) == n and sum(r.length for r in pieces) == sum(r.doc_tokens for r in pieces if r.start == 0)
+
+
 def test_packing(nasty, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     got = packing.pack(nasty, path).collect()
