@@ -55,3 +55,28 @@ def test_signals_are_the_plain_loops(spark, monkeypatch):
     # the score is the forest's: it says nothing unless a rise is predicted for a whole row
     assert all((r.score is not None) == (r.is_valid and r.prediction == 2.0) for r in bars) and len({r.score for r in bars}) > 10
     print(gates, len(sent))
+
+
+def test_model_and_stored_states(spark, tmp_path):
+    """A forest learns a rule from the earlier bars, its confident scores keep to it, and states are stored with what an audit needs."""
+    from tapeloom.operators import candles, latest, model
+    from tapeloom.sources import sinks
+
+    rows = [(f"S{k % 4}", 86400 * (k // 4), float(x := (k * 7919) % 101), 2.0 if x > 60 else 0.0 if x < 30 else 1.0) for k in range(800)]
+    df = spark.createDataFrame(rows, "symbol string, s long, x double, label double").withColumn("start_time", F.timestamp_seconds("s"))
+    parts = model.split_by_time(df)
+    assert {r.part: r["count"] for r in parts.groupBy("part").count().collect()} == {"train": 620, "embargo": 20, "test": 160}
+    forest = model.train(parts.where("part = 'train'"), ["x"], trees=5, depth=3)
+    test = parts.where("part = 'test'")
+    assert model.evaluate(forest, test) > 0.95
+    scored = model.score(forest, test)
+    sure = model.confident(scored)
+    assert 0 < sure.count() <= 160 and sure.where("prediction != label").count() <= 2 and sure.where("score < 0.75").count() == 0
+    tape = df.select("symbol", F.lit("trade").alias("kind"), F.monotonically_increasing_id().alias("seq"), F.col("start_time").alias("ts"), F.col("x").alias("price"), F.lit(1.0).alias("volume"), *(F.lit(None).cast("double").alias(c) for c in ("bid_price", "bid_vol", "ask_price", "ask_vol")))
+    states = latest.snapshot(latest.mark_stale(tape))
+    assert latest.symbol_count(states).first()[:] == (4, False) and latest.symbol_count(states.limit(0)).first()[:] == (0, True)
+    assert candles.symbol_count(candles.candles(tape, "D1", mode="event")).first().n_symbols == 4
+    sinks.write_states(states, str(tmp_path / "states"), "forest-1", "config-1", "2024-02-01 00:00:00")
+    stored = spark.read.parquet(str(tmp_path / "states"))
+    assert stored.count() == 4 and {tuple(map(str, r)) for r in stored.select("model_version", "config_version", "feature_timestamp").collect()} == {("forest-1", "config-1", "2024-02-01 00:00:00")}
+    assert {r.total_volume for r in stored.collect()} == {200.0}
