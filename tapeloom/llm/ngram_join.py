@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, byte_chunks, connected_components, forget, materialize, mix, partitions, seeded, shingle_sets, trimmed
+from .common import U64, byte_chunks, connected_components, labels, materialize, mix, partitions, seeded, shingle_sets, trimmed
 from .embedding_dedup import forest
 
 WIDTH, PERCENT, ORDERS = 5, 80, 3
@@ -34,8 +34,8 @@ BLOCK = 512
 #: of such shingles.
 OFTEN, LAST = 64, 255
 PART_BYTES = 8 << 20
-#: Shingles of a task, about, and buckets for each task that they are dealt over, so that tasks come out even.
-TASK_SHINGLES, SPREAD = 8 << 20, 4
+#: Shingles of a bucket, which is a task's, at most about.
+TASK_SHINGLES = 8 << 20
 _ORDER = seeded(ORDERS, 11)
 
 
@@ -78,13 +78,13 @@ def entities(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id bigint, n_shingles bigint, entity bigint")
 
 
-_PARTS = ["bucket", "entities", "sizes", "counts", "tokens", "shared"]
+_PARTS = ["bucket", "settled", "entities", "sizes", "counts", "tokens", "shared"]
 
 
 def shared_shingles(docs: DataFrame, tasks: int) -> DataFrame:
     """(target, entities, sizes, counts, tokens, ranks): shingles that other entities hold too, and their ranks by frequency.
     A row has what a bucket found for the entities of one target, packed."""
-    buckets = SPREAD * tasks
+    buckets, number = tasks, labels(docs.sparkSession, tasks)
 
     def cut(batches):
         for sets in _parts(batches):
@@ -98,7 +98,7 @@ def shared_shingles(docs: DataFrame, tasks: int) -> DataFrame:
             often = np.repeat(runs >= OFTEN, runs)
             parts = []
             if often.any():
-                parts.append((-1 - int(names[0]) % buckets, tokens[often], owner[often], b""))
+                parts.append((int(names[0]) % buckets, True, tokens[often], owner[often], b""))
             stand = tokens[first][runs >= OFTEN]
             tokens, owner = tokens[~often], owner[~often]
             # in ascending order of the hash, so a bucket is a range of it
@@ -106,20 +106,20 @@ def shared_shingles(docs: DataFrame, tasks: int) -> DataFrame:
             at, to = np.append(np.searchsorted(tokens, edge), len(tokens)), np.append(np.searchsorted(stand, edge), len(stand))
             for k in range(buckets):
                 if at[k] < at[k + 1] or to[k] < to[k + 1]:
-                    parts.append((k, tokens[at[k] : at[k + 1]], owner[at[k] : at[k + 1]], stand[to[k] : to[k + 1]].tobytes()))
+                    parts.append((k, False, tokens[at[k] : at[k + 1]], owner[at[k] : at[k + 1]], stand[to[k] : to[k + 1]].tobytes()))
             rows = []
-            for k, t, o, s in parts:
+            for k, settled, t, o, s in parts:
                 by = np.argsort(o, kind="stable")
                 who, count = np.unique(o, return_counts=True)
-                rows.append((k, names[who].tobytes(), sizes[who].tobytes(), count.astype(np.int32).tobytes(), t[by].tobytes(), s))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[c] for r in rows], pa.binary()) for c in range(1, 6))], _PARTS)
+                rows.append((number[k], settled, names[who].tobytes(), sizes[who].tobytes(), count.astype(np.int32).tobytes(), t[by].tobytes(), s))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), *(pa.array([r[c] for r in rows], pa.binary()) for c in range(2, 7))], _PARTS)
 
     def tell(t: pa.Table) -> pa.Table:
-        joined = {c: np.frombuffer(b"".join(t[c].to_pylist()), kind) for c, kind in zip(_PARTS[1:], (np.int64, np.int32, np.int32, U64, U64), strict=True)}
+        joined = {c: np.frombuffer(b"".join(t[c].to_pylist()), kind) for c, kind in zip(_PARTS[2:], (np.int64, np.int32, np.int32, U64, U64), strict=True)}
         count, tokens = joined["counts"], joined["tokens"]
         owner = np.repeat(np.arange(len(count)), count)
         rank = np.full(len(tokens), LAST, np.uint8)
-        if t["bucket"][0].as_py() >= 0 and len(tokens):
+        if not t["settled"][0].as_py() and len(tokens):
             order = np.lexsort((joined["entities"][owner], tokens))
             token, who = tokens[order], joined["entities"][owner[order]]
             fresh = np.concatenate([[True], token[1:] != token[:-1]])
@@ -138,18 +138,18 @@ def shared_shingles(docs: DataFrame, tasks: int) -> DataFrame:
         for x in np.unique(target):
             mine = np.flatnonzero(target == x)
             cells = np.concatenate([np.arange(a, b) for a, b in zip(ends[mine], ends[mine + 1], strict=True)])
-            rows.append((int(x), joined["entities"][who[mine]].tobytes(), joined["sizes"][who[mine]].tobytes(), (ends[mine + 1] - ends[mine]).astype(np.int32).tobytes(), tokens[cells].tobytes(), rank[cells].tobytes()))
-        return pa.table({"target": pa.array([r[0] for r in rows], pa.int32())} | {c: pa.array([r[k] for r in rows], pa.binary()) for k, c in enumerate((*_PARTS[1:5], "ranks"), 1)})
+            rows.append((int(number[x]), joined["entities"][who[mine]].tobytes(), joined["sizes"][who[mine]].tobytes(), (ends[mine + 1] - ends[mine]).astype(np.int32).tobytes(), tokens[cells].tobytes(), rank[cells].tobytes()))
+        return pa.table({"target": pa.array([r[0] for r in rows], pa.int32())} | {c: pa.array([r[k] for r in rows], pa.binary()) for k, c in enumerate((*_PARTS[2:6], "ranks"), 1)})
 
-    pieces = docs.select("doc_id", "text").mapInArrow(trimmed(cut), "bucket int, entities binary, sizes binary, counts binary, tokens binary, shared binary")
-    return pieces.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(tell, "target int, entities binary, sizes binary, counts binary, tokens binary, ranks binary")
+    pieces = docs.select("doc_id", "text").mapInArrow(trimmed(cut), "bucket int, settled boolean, entities binary, sizes binary, counts binary, tokens binary, shared binary")
+    return pieces.repartition(tasks, "bucket").groupBy("bucket", "settled").applyInArrow(tell, "target int, entities binary, sizes binary, counts binary, tokens binary, ranks binary")
 
 
 def candidates(shared: DataFrame, tasks: int) -> DataFrame:
     """(entity, n, k, tokens, ranks) of the entities with shared shingles in their prefix: k of them, whatever the order."""
 
     def gather(t: pa.Table) -> pa.Table:
-        entities, sizes, counts, tokens, ranks = (np.frombuffer(b"".join(t[c].to_pylist()), kind) for c, kind in zip((*_PARTS[1:5], "ranks"), (np.int64, np.int32, np.int32, U64, np.uint8), strict=True))
+        entities, sizes, counts, tokens, ranks = (np.frombuffer(b"".join(t[c].to_pylist()), kind) for c, kind in zip((*_PARTS[2:6], "ranks"), (np.int64, np.int32, np.int32, U64, np.uint8), strict=True))
         owner = np.repeat(entities, counts)
         size = dict(zip(entities.tolist(), sizes.tolist(), strict=True))
         order = np.lexsort((tokens, owner))
