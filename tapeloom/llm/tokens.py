@@ -55,6 +55,8 @@ class Words:
 
     def __init__(self, library, front: str):
         self.library, self.front = library, front
+        #: Whether the vocabulary takes a word in capitals for the one in small letters.
+        self.folds = library.encode("ABZ", add_special_tokens=False).ids == library.encode("abz", add_special_tokens=False).ids
         names = library.get_vocab(with_added_tokens=True)
         #: By id: a word's first token in a vocabulary with spaces, a word's last one in the other.
         self.edge = np.zeros(max(names.values()) + 1, bool)
@@ -131,7 +133,10 @@ def _entries(words: Words, signs: Words, pieces: pa.StringArray) -> tuple[np.nda
     last = raw[np.maximum(offsets[:-1] + size - 1, 0)] if len(raw) else np.zeros(len(pieces), np.uint8)
     letter = (size > 0) & (((last >= 48) & (last <= 57)) | (((last | 32) >= 97) & ((last | 32) <= 122)))
     cut = letter & (size < np.diff(offsets))
-    known = (stems if (cut | (size == np.diff(offsets))).all() else pc.if_else(pa.array(cut), stems, pieces)).dictionary_encode()
+    one = stems if (cut | (size == np.diff(offsets))).all() else pc.if_else(pa.array(cut), stems, pieces)
+    if words.folds:  # beyond ASCII a capital may go together with a mark otherwise than its small letter does
+        one = pc.if_else(pc.string_is_ascii(one), pc.ascii_lower(one), one)
+    known = one.dictionary_encode()
     a, b = words.rows(known.dictionary)[known.indices.to_numpy()], np.zeros(len(pieces), np.int64)
     if cut.any():  # the bytes behind the stems, as words of their own
         tail = offsets[1:][cut] - offsets[:-1][cut] - size[cut]

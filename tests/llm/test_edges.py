@@ -204,7 +204,7 @@ def test_tokens_are_the_librarys(name, spaced, monkeypatch):
 
     path = public_tokenizers.path(name)
     library, rng = Tokenizer.from_file(path), random.Random(5)
-    words = ["word", "it's", "don't", "\u00e9", "\u0130", "\u0958", "\u09dc", "\ufb1d", "\u00df", "\u03a3", "1", "23", "x1", "\u6f22\u5b57", "\U0001f600", "a\u0301", "<|", "f_b", "http://x.y/z?q=1", ""]
+    words = ["word", "Word", "WORD", "H\u0331", "J\u030c", "it's", "don't", "\u00e9", "\u0130", "\u0958", "\u09dc", "\ufb1d", "\u00df", "\u03a3", "1", "23", "x1", "\u6f22\u5b57", "\U0001f600", "a\u0301", "<|", "f_b", "http://x.y/z?q=1", ""]
     spaces = [" ", " ", " ", "\n", "  ", "   ", "\n\n", " \n", "\n ", "\t", "\r\n", "\xa0", "\x1c", "", "\u3000", "\x85", " \n \n ", "\u200b"]
     signs = [*".,!?;:%$&#*|'\"()-_", "...", "?!", ".)", "''", "'s", ""]
     texts = ["".join(x for _ in range(rng.randrange(12)) for x in (rng.choice(words), rng.choice(signs), rng.choice(signs), rng.choice(spaces))) for _ in range(6000)]
