@@ -11,7 +11,10 @@ bytes, which every string of theirs holds, are equal.
    often within one task is known to be repeated at once, and one copy stands for all of the task's.
 2. The texts with such anchors cut them out, REACH - 1 bytes before to LENGTH after. Occurrences of a record within one
    task are one record that is known to repeat. Each task sorts its records' suffixes into a run for each bucket of cores
-   and front-codes it: how many bytes a suffix shares with the one before, and the rest.
+   and front-codes it: how many bytes a suffix shares with the one before, and the rest. A core with many occurrences does
+   not go to one bucket: a start d bytes before its anchor fixes d bytes to the left and LENGTH - d to the right, so its
+   starts are dealt by stripes of STRIPE distances and the bytes that all strings of a stripe have. A record has no more
+   bytes than its distances need. What is settled goes to any bucket.
 3. A bucket's task merges its runs by a loser tree that compares common-prefix lengths first and bytes only behind the
    prefix that is already known, so the merged order comes with its common-prefix lengths. Starts REACH - 1 to 0 bytes
    before an anchor repeat if another suffix shares that much less of LENGTH to the right, and the bytes to the left.
@@ -39,10 +42,12 @@ from .common import U64, byte_chunks, labels, materialize, mix, prefix_hash, see
 LENGTH, REACH, GRAM, SHORT = 400, 128, 24, 128
 CORE = LENGTH - REACH + 1
 LEFT = REACH - 1
-#: An anchor: where it is, and how far before it its last and its first start lie.
-PLACE = np.dtype([("p", "<i4"), ("near", "u1"), ("far", "u1")])
+#: An anchor: where it is, how far before it its last and its first start lie, and whether its core is a hot one.
+PLACE = np.dtype([("p", "<i4"), ("near", "u1"), ("far", "u1"), ("hot", "?")])
 #: Anchors of a task's next PART_BYTES of text with one core, from which one copy of it stands for all.
 OFTEN, PART_BYTES = 24, 8 << 20
+#: Occurrences from which a core is hot, as one is that a task has often; and the distances of a hot core's stripe.
+HOT, STRIPE = 512, 32
 #: Records that a task remembers to have sent.
 SENT = 200_000
 #: What a row is known by.
@@ -117,7 +122,7 @@ def _pieces(rows: np.ndarray, who: np.ndarray, core: np.ndarray, place: np.ndarr
     stand = core[new][runs >= OFTEN]
     edge = np.array([k * ((1 << 64) // buckets) for k in range(buckets)], U64)
     at, to = np.append(np.searchsorted(core, edge), len(core)), np.append(np.searchsorted(stand, edge), len(stand))
-    parts = [(int(core[0] % U64(buckets)), kind + 2, np.flatnonzero(often), b"")] if often.any() else []
+    parts = [(int(np.bitwise_xor.reduce(core) % U64(buckets)), kind + 2, np.flatnonzero(often), b"")] if often.any() else []
     for k in np.flatnonzero((at[:-1] < at[1:]) | (to[:-1] < to[1:])).tolist():
         parts.append((k, kind, at[k] + np.flatnonzero(~often[at[k] : at[k + 1]]), stand[to[k] : to[k + 1]].tobytes()))
     out = []
@@ -169,14 +174,20 @@ def repeated_anchors(docs: DataFrame, tasks: int) -> DataFrame:
         kind = t["kind"][0].as_py()
         settled, placed = kind >= 2, kind % 2 == 0
         row, count, core, place, shared = (np.frombuffer(b"".join(t[c].to_pylist()), kind) for c, kind in zip(_PIECE[2:], (ROW, np.int32, U64, PLACE, U64), strict=True))
-        owner = np.repeat(row, count)
+        owner, hot = np.repeat(row, count), np.full(len(place), settled)
         if not settled and len(core):
             order = np.argsort(core, kind="stable")
             first = np.flatnonzero(np.concatenate([[True], core[order][1:] != core[order][:-1]]))
             runs = np.diff(np.append(first, len(core)))
-            kept = order[np.repeat((runs > 1) | np.isin(core[order][first], shared), runs)]
-            owner, place = owner[kept], place[kept] if placed else place
+            often = np.isin(core[order][first], shared)
+            kept = order[np.repeat((runs > 1) | often, runs)]
+            if placed:  # as the occurrences that are settled know it too, all of a core agree whether it is hot
+                hot[order] = np.repeat((runs >= HOT) | often, runs)
+                place, hot = place[kept], hot[kept]
+            owner = owner[kept]
         if placed:  # rows that agree in all say the same
+            place = place.copy()
+            place["hot"] = hot
             order, _ = _order(owner, place["p"])
             owner, place = owner[order], place[order]
             again = (owner[1:] == owner[:-1]) & (place["p"][1:] == place["p"][:-1])
@@ -315,6 +326,16 @@ def repeated_starts(lcp: np.ndarray, left: np.ndarray, low: np.ndarray, high: np
 _RUN = "rows binary, places binary, lows binary, highs binary, many binary, shared binary, lengths binary, rests binary, lefts binary"
 
 
+def records(left: bytes, right: bytes, near: int, far: int, hot: bool):
+    """(bytes to deal by, left, right, near, far): what of an anchor with these bytes beside it is compared. Strings that are
+    equal at a distance between near and far are dealt alike; no distance is in two records."""
+    for low in range(near - near % STRIPE, far + 1, STRIPE) if hot else [0]:
+        high = low + STRIPE - 1 if hot else LEFT
+        least, most = max(near, low), min(far, high)
+        by = b"%d " % low + left[LEFT - low :] + right[: LENGTH - high] if hot else right[:CORE]
+        yield by, left[LEFT - most :].rjust(LEFT, b"\0"), right[: LENGTH - least], least, most
+
+
 def spans(docs: DataFrame, lists: DataFrame, tasks: int) -> DataFrame:
     """(doc, hash, spans): packed int64 pairs [start, end) of bytes, in pieces that may overlap, of docs(doc, hash, text) with
     lists(doc, hash, places)."""
@@ -327,37 +348,36 @@ def spans(docs: DataFrame, lists: DataFrame, tasks: int) -> DataFrame:
             own, places = _rows(batch), batch.column("places").to_pylist()
             for row, offsets, data in byte_chunks(batch):
                 raw = data.tobytes()
-                records: dict[tuple, list] = {}
+                cut_out: dict[tuple, list] = {}
                 for k in range(len(offsets) - 1):
                     a, b = int(offsets[k]), int(offsets[k + 1])
-                    for p, near, far in np.frombuffer(b"".join(places[row + k]), PLACE).tolist():
+                    for p, near, far, hot in np.frombuffer(b"".join(places[row + k]), PLACE).tolist():
                         left = raw[max(a, a + p - LEFT) : a + p].rjust(LEFT, b"\0")
-                        records.setdefault((left, raw[a + p : min(b, a + p + LENGTH)], near, far), []).append((own[row + k], p, near, far))
+                        for record in records(left, raw[a + p : min(b, a + p + LENGTH)], near, far, hot):
+                            cut_out.setdefault(record, []).append((own[row + k], p, *record[3:]))
                 runs: dict[int, list] = {}
-                done: dict[int, list] = {}
-                for (left, right, near, far), at in records.items():
-                    bucket = xxhash.xxh3_64_intdigest(right[:CORE]) % tasks
+                done: list[tuple] = []
+                for (by, left, right, near, far), at in cut_out.items():
                     name = xxhash.xxh3_128_digest(b"%d %d " % (near, far) + left + right)
                     if name in sent:  # a record like it is on its way from here: both repeat
-                        done.setdefault(bucket, []).extend([*at, *([sent[name]] if sent[name] else [])])
+                        done += [*at, *([sent[name]] if sent[name] else [])]
                         sent[name] = None
                         continue
                     if len(sent) >= SENT:
                         sent.clear()
                     sent[name] = at[0] if len(at) == 1 else None
-                    runs.setdefault(bucket, []).append((right, left, at))
+                    runs.setdefault(xxhash.xxh3_64_intdigest(by) % tasks, []).append((right, left, at))
                 out = []
                 pack = lambda cells, k: np.array([c[k] for c in cells], (ROW, np.int64, np.int32, np.int32)[k]).tobytes()
                 for bucket, run in runs.items():
                     run.sort(key=lambda x: x[0])
                     for *_, at in run:
-                        if len(at) > 1:
-                            done.setdefault(bucket, []).extend(at[1:])
+                        done += at[1:]
                     cells = [at[0] for *_, at in run]
                     shared, length, rests = front_code([right for right, *_ in run])
                     out.append((number[bucket], False, *(pack(cells, k) for k in range(4)), np.array([len(at) > 1 for *_, at in run]).tobytes(), shared.tobytes(), length.tobytes(), rests, b"".join(left for _, left, _ in run)))
-                for bucket, cells in done.items():  # several places of one record: theirs is settled
-                    out.append((number[bucket], True, *(pack(cells, k) for k in range(4)), b"", b"", b"", b"", b""))
+                if done:  # several places of one record: theirs is settled, in whatever bucket
+                    out.append((number[int(own[row]["hash"]) // 2 % tasks], True, *(pack(done, k) for k in range(4)), b"", b"", b"", b"", b""))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.bool_()), *(pa.array([r[k] for r in out], pa.binary()) for k in range(2, 11))], ["bucket", "settled", *(x.split()[0] for x in _RUN.split(", "))])
 

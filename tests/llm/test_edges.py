@@ -307,6 +307,36 @@ def test_suffix_dedup_within_a_text(spark):
         assert bytes(r.kept) == "".join(c for c, g in zip(t, gone) if not g).encode()
 
 
+def test_suffix_dedup_splits_hot_cores(spark):
+    """Many near copies, unlike in every place, and passages that most of them share: brute force, however they are dealt."""
+    rng = np.random.default_rng(31)
+    word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    base, part, texts = word(1600), word(450), []
+    for k in range(150):
+        x = list(base)
+        for at in rng.integers(0, len(x), k % 7):
+            x[at] = "#"
+        texts.append(word(int(rng.integers(0, 90))) + "".join(x)[int(rng.integers(0, 200)) :] + (part if k % 3 else word(20)) + word(30))
+    texts += [word(300) + part, base[700:1150], word(500)]
+    seen = {}
+    for t in texts:
+        for i in range(len(t) - 399):
+            seen[t[i : i + 400]] = seen.get(t[i : i + 400], 0) + 1
+    # one partition has a core often, others once or not at all
+    df = spark.createDataFrame([(k, t, "", "") for k, t in enumerate(texts)], SCHEMA).repartitionByRange(5, F.greatest("doc_id", F.lit(60)))
+    for tasks in (1, 7):
+        found = suffix_dedup.repeated_anchors(suffix_dedup.keyed(df), tasks).where("places is not null").collect()
+        hot = [np.frombuffer(r.places, suffix_dedup.PLACE)["hot"] for r in found]
+        assert any(h.any() for h in hot) and not all(h.all() for h in hot)
+    for r in suffix_dedup.remove(df).collect():
+        t = texts[r.doc_id]
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 399):
+            if seen[t[i : i + 400]] > 1:
+                gone[i : i + 400] = True
+        assert bytes(r.kept) == "".join(c for c, g in zip(t, gone) if not g).encode()
+
+
 def test_loser_tree_merges():
     rng = np.random.default_rng(3)
     runs = [sorted(bytes(rng.integers(97, 99, rng.integers(0, 12)).astype(np.uint8)) for _ in range(n)) for n in (5, 0, 9, 1, 7)]
