@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, line_dedup, ngram_join, packing, pii, quality, sharding, suffix_dedup, token_store
+from . import collocations, decontamination, embedding_dedup, hard_negatives, html_text, line_dedup, ngram_join, packing, pii, quality, sharding, suffix_dedup, token_store
 from .common import table, work_dir
 
 
@@ -59,5 +59,17 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_join, op3_sharding, op4_line_dedup, op5_packing, op6_suffix_dedup, op7_quality, op8_pii, op9_token_store, op10_embedding_dedup)}
-ORACLES = {"op1_decontamination": decontamination.ORACLE, "op2_ngram_join": ngram_join.ORACLE, "op10_embedding_dedup": embedding_dedup.ORACLE, "op3_sharding": sharding.oracle(), "op4_line_dedup": line_dedup.ORACLE}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), hard_negatives.relabelled())
+
+
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_join, op3_sharding, op4_line_dedup, op5_packing, op6_suffix_dedup, op7_quality, op8_pii, op9_token_store, op10_embedding_dedup, op11_hard_negatives, op12_html_text, op13_collocations)}
+ORACLES = {"op1_decontamination": decontamination.ORACLE, "op2_ngram_join": ngram_join.ORACLE, "op10_embedding_dedup": embedding_dedup.ORACLE, "op3_sharding": sharding.oracle(), "op4_line_dedup": line_dedup.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE}
