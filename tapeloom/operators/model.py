@@ -10,7 +10,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..paths import materialize
+
 HORIZON, THRESHOLD, MIN_SCORE = 5, 0.01, 0.75
+#: Rows of a partition that a forest is trained on, about.
+TRAIN_ROWS = 50_000
 UP, FLAT, DOWN = 2.0, 1.0, 0.0
 
 
@@ -31,7 +35,16 @@ def split_by_time(df: DataFrame, share: float = 0.8, horizon: int = HORIZON) ->
     return out.withColumn("part", F.when(F.col("_test"), "test").when(back <= horizon, "embargo").otherwise("train")).drop("_cut", "_test")
 
 
-def train(rows: DataFrame, features: list[str], trees: int = 20, depth: int = 5, seed: int = 7) -> PipelineModel:
+def settled(rows: DataFrame, keys: tuple[str, ...] = ("symbol", "start_time")) -> DataFrame:
+    """rows in partitions and an order that follow from their keys and number alone, whatever the session's settings are."""
+    rows = materialize(rows)
+    return rows.repartition(max(1, -(-rows.count() // TRAIN_ROWS)), *keys).sortWithinPartitions(*keys)
+
+
+def train(rows: DataFrame, features: list[str], trees: int = 20, depth: int = 5, seed: int = 7, keys: tuple[str, ...] = ("symbol", "start_time")) -> PipelineModel:
+    """A forest on rows(label, *features). Its bootstrap draws by partition and place, so rows are settled by their keys first:
+    the same rows give the same forest in every layout."""
+    rows = settled(rows.select(*keys, "label", *features), keys)
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), forest]).fit(rows)
 

@@ -34,23 +34,35 @@ def gates(df: DataFrame, max_volatility: float = 0.05, max_spread: float = 0.02,
     return df.withColumn("blocked_by", blocked).withColumn("passes", F.col("blocked_by").isNull())
 
 
-def life_frame(pdf: pd.DataFrame, min_score: float = MIN_SCORE, cooldown: int = COOLDOWN_BARS) -> pd.DataFrame:
-    """One symbol's bars in order: (bar, state after it, event). An entry is at the close; from the next bar on the stop is
-    tested before the target; a bar that is no longer valid invalidates. After the cooldown the symbol is idle again."""
-    state, left, stop, target, out = "IDLE", 0, 0.0, 0.0, []
-    for r in pdf.sort_values("start_time").itertuples(index=False):
+class Life:
+    """A symbol's signal, bar by bar: its state, the bars left of a cool-down, and the levels of an entry."""
+
+    def __init__(self, min_score: float = MIN_SCORE, cooldown: int = COOLDOWN_BARS, state: str = "IDLE", left: int = 0, stop: float = 0.0, target: float = 0.0):
+        self.min_score, self.cooldown, self.state, self.left, self.stop, self.target = min_score, cooldown, state, left, stop, target
+
+    def bar(self, low: float, high: float, valid: bool, passes: bool, score: float, stop: float, target: float) -> str | None:
+        """What a bar brings about. An entry is at the close; from the next bar on the stop is tested before the target; a bar that
+        is no longer valid invalidates. After the cool-down the symbol is idle again."""
         event = None
-        if state == "ENTRY":
-            event = "STOP_LOSS" if r.low <= stop else "TAKE_PROFIT" if r.high >= target else "INVALIDATED" if not r.is_valid else None
+        if self.state == "ENTRY":
+            event = "STOP_LOSS" if low <= self.stop else "TAKE_PROFIT" if high >= self.target else "INVALIDATED" if not valid else None
             if event:
-                state, left = "COOLDOWN", cooldown
-        elif state == "COOLDOWN":
-            left -= 1
-            if left <= 0:
-                state = "IDLE"
-        elif r.passes and r.score >= min_score and pd.notna(r.take_profit):
-            state, event, stop, target = "ENTRY", "ENTRY", r.stop_loss, r.take_profit
-        out.append((r.symbol, r.start_time, state, event))
+                self.state, self.left = "COOLDOWN", self.cooldown
+        elif self.state == "COOLDOWN":
+            self.left -= 1
+            if self.left <= 0:
+                self.state = "IDLE"
+        elif passes and pd.notna(score) and score >= self.min_score and pd.notna(target):
+            self.state, event, self.stop, self.target = "ENTRY", "ENTRY", float(stop), float(target)
+        return event
+
+
+def life_frame(pdf: pd.DataFrame, min_score: float = MIN_SCORE, cooldown: int = COOLDOWN_BARS) -> pd.DataFrame:
+    """One symbol's bars in order: (bar, state after it, event)."""
+    life, out = Life(min_score, cooldown), []
+    for r in pdf.sort_values("start_time").itertuples(index=False):
+        event = life.bar(r.low, r.high, r.is_valid, r.passes, r.score, r.stop_loss, r.take_profit)
+        out.append((r.symbol, r.start_time, life.state, event))
     return pd.DataFrame(out, columns=["symbol", "start_time", "state", "event"])
 
 
@@ -73,8 +85,13 @@ def debounce(events: DataFrame, minutes: int = DEBOUNCE_MINUTES) -> DataFrame:
 
     rows = events.where("event is not null").select("symbol", "start_time", "event")
     out = rows.groupBy("symbol", "event").applyInPandas(walk, "symbol string, start_time timestamp, event string, sent boolean")
+    return priority(out)
+
+
+def priority(events: DataFrame) -> DataFrame:
+    """events(event) with priority."""
     ranks = F.create_map(*(F.lit(x) for pair in PRIORITY.items() for x in pair))
-    return out.withColumn("priority", F.coalesce(F.try_element_at(ranks, F.col("event")), F.lit("INFO")))
+    return events.withColumn("priority", F.coalesce(F.try_element_at(ranks, F.col("event")), F.lit("INFO")))
 
 
 def with_audit(signals: DataFrame, model_version: str, config_version: str) -> DataFrame:

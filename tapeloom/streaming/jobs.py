@@ -22,16 +22,19 @@ from ..operators.sequence import Sequencer
 from ..paths import work_dir
 
 
-def store_in_order(tape: DataFrame, path: str, files: int, order: str = "seq") -> None:
-    """Writes the tape as that many files, each a range of order, by all tasks at once. A file source takes files by their
-    time, so each file then gets the time of its place."""
-    tape.repartitionByRange(files, order).sortWithinPartitions(order).write.parquet(path)
+def store_in_order(tape: DataFrame, path: str, files: int, order: str = "seq", form: str = "parquet") -> None:
+    """Writes the tape as that many more files, each a range of order, by all tasks at once. A file source takes files by their
+    time, so each file then gets the time of its place, after all that were there."""
     spark = tape.sparkSession
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    parts = sorted((s for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")), key=lambda s: s.getPath().getName())
-    first = min((s.getModificationTime() for s in parts), default=0) - 1000 * len(parts)
-    for k, s in enumerate(parts):
+    found = lambda: {s.getPath().getName(): s for s in (fs.listStatus(folder) if fs.exists(folder) else ()) if s.getPath().getName().startswith("part-")}
+    old = found()
+    tape.repartitionByRange(files, order).sortWithinPartitions(order).write.mode("append").format(form).save(path)
+    new = [s for name, s in sorted(found().items()) if name not in old]
+    after = max((s.getModificationTime() for s in old.values()), default=0)
+    first = max(after, min((s.getModificationTime() for s in new), default=0) - 1000 * len(new))
+    for k, s in enumerate(new, 1):
         fs.setTimes(s.getPath(), first + 1000 * k, -1)
 
 
@@ -202,6 +205,16 @@ def read_batches(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(fields).parquet(path)
 
 
+def into_tables(batch: DataFrame, batch_id: int, tables: dict[str, str]) -> None:
+    """A batch's rows into several tables, by conditions; the batch is computed once."""
+    batch = batch.persist()
+    try:
+        for path, where in tables.items():
+            replace_batch(batch.where(where), batch_id, path)
+    finally:
+        batch.unpersist()
+
+
 def collect_updates(stream: DataFrame, mode: str = "update") -> DataFrame:
     """Runs the stream over what there is and gives its rows with batch_id, from a table in the shared folder."""
     path = f"{work_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
@@ -215,10 +228,7 @@ def split_late(sequenced: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark, path = sequenced.sparkSession, f"{work_dir(sequenced.sparkSession)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        for name, where in (("good", "outcome != 'late'"), ("late", "outcome = 'late'")):
-            replace_batch(batch.where(where), batch_id, f"{path}/{name}")
-        batch.unpersist()
+        into_tables(batch, batch_id, {f"{path}/good": "outcome != 'late'", f"{path}/late": "outcome = 'late'"})
 
     run(sequenced, path, keep, "append")
     return tuple(read_batches(spark, f"{path}/{name}", sequenced.schema) for name in ("good", "late"))
