@@ -8,7 +8,7 @@ per lang (null: und). A word goes by a 64-bit hash of itself and its lang. Four
    LEAST times over all tasks. 3. Triples, likewise, whose two pairs are both in a bitmap of the nominated ones.
 4. Nominated phrases, dealt over shards of about SHARD, become double-array tries, built by tasks and broadcast PASS_BYTES
    at a time. A task holds the states of all positions of a text in an array and moves them on together, word by word;
-   accepting states are counted by bincount, and the counts of all tasks summed. The tries' counts are the result's.
+   accepting states are counted by bincount, and the tasks' counts summed, BLOCK states a row. The tries' counts are the result's.
 
 Bitmaps are of a fixed size: where more words or pairs are frequent they let more through, and lose none. Where the tries
 outgrow PASS_BYTES the fourth pass runs again for the next ones. Words of vocabulary and phrases never go to the driver but
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _LOWER, U64, _letter, byte_chunks, materialize, mix, seeded, trimmed
+from .common import _BYTE, _LOWER, U64, _letter, byte_chunks, materialize, mix, partitions, seeded, trimmed
 
 LEAST, TOP, COVERED = 10, 2000, 50
 NO_LANG = "und"
@@ -35,7 +35,9 @@ WORD_BITS, PAIR_BITS = 25, 27
 #: Phrases of a trie, about; bytes of the tries that are broadcast at once.
 SHARD, PASS_BYTES = 1 << 19, 96 << 20
 #: Text whose words or phrases a task makes distinct at once.
-PART_BYTES = 24 << 20
+PART_BYTES = 16 << 20
+#: Accepting states whose counts are one row of the sums.
+BLOCK = 4096
 _END = np.zeros(256, bool)
 _END[list(b".,;:!?\n\x0b\x0c\r")] = True
 _GAP = _END.copy()
@@ -321,14 +323,32 @@ def count_phrases(docs: DataFrame, phrases: DataFrame) -> DataFrame:
                     for trie in held.values():
                         trie.count(words)
             for shard, trie in held.items():
-                cells = np.flatnonzero(trie.counts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), shard, np.int32)), pa.array(cells.astype(np.int32)), pa.array(trie.counts[cells])], ["shard", "cell", "n"])
+                counts = trie.counts[trie.accept]
+                blocks = np.array_split(counts, np.arange(BLOCK, len(counts), BLOCK))
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(blocks), pa.int32()), pa.array(range(len(blocks)), pa.int32()), pa.array([x.tobytes() for x in blocks], pa.binary())], ["shard", "block", "counts"])
 
-        counted = docs.select("text", "lang").mapInArrow(trimmed(run), "shard int, cell int, n bigint")
+        counted = docs.select("text", "lang").mapInArrow(trimmed(run), "shard int, block int, counts binary")
         out = counted if out is None else out.unionByName(counted)
     if out is None:
         return spark.createDataFrame([], "h1 bigint, h2 bigint, h3 bigint, n bigint")
 
+    def add(batches):
+        """Sums the counts of each block, whose rows follow one another; one block is held at a time."""
+        now, total = None, None
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(total), now[0], np.int32)), pa.array((now[1] * BLOCK + np.arange(len(total))).astype(np.int32)), pa.array(total)], ["shard", "place", "n"])
+
+        for batch in batches:
+            for shard, block, counts in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if now != (shard, block):
+                    if now:
+                        yield done()
+                    now, total = (shard, block), 0
+                total = total + np.frombuffer(counts, np.int64)
+        if now:
+            yield done()
+
     def spell(batches):
         for batch in batches:
             for shard, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -336,11 +356,11 @@ def count_phrases(docs: DataFrame, phrases: DataFrame) -> DataFrame:
                 cells = np.flatnonzero(trie.accept)
                 h = trie.phrases(cells)
                 third = pa.array(h[:, 2].view(np.int64), mask=h[:, 2] == 0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), shard, np.int32)), pa.array(cells.astype(np.int32)), pa.array(h[:, 0].view(np.int64)), pa.array(h[:, 1].view(np.int64)), third], ["shard", "cell", "h1", "h2", "h3"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), shard, np.int32)), pa.array(np.arange(len(cells), dtype=np.int32)), pa.array(h[:, 0].view(np.int64)), pa.array(h[:, 1].view(np.int64)), third], ["shard", "place", "h1", "h2", "h3"])
 
-    spelled = made.mapInArrow(trimmed(spell), "shard int, cell int, h1 bigint, h2 bigint, h3 bigint")
-    sums = out.groupBy("shard", "cell").agg(F.sum("n").alias("n"))
-    return sums.join(spelled, ["shard", "cell"]).select("h1", "h2", "h3", "n")
+    spelled = made.mapInArrow(trimmed(spell), "shard int, place int, h1 bigint, h2 bigint, h3 bigint")
+    dealt = out.repartition(partitions(spark), "shard", "block").sortWithinPartitions("shard", "block")
+    return dealt.mapInArrow(add, "shard int, place int, n bigint").join(spelled, ["shard", "place"]).select("h1", "h2", "h3", "n")
 
 
 # --- scores ----------------------------------------------------------------------------------------------------------

@@ -164,7 +164,7 @@ def test_collocations_on_odd_rows(spark, monkeypatch):
     want = collocated(rows)
     assert sorted(map(tuple, collocations.phrases(docs).collect())) == want and {r[0] for r in want} == {"und", "en", "de"}
     # tiny bitmaps, many shards, a shard a pass: the same
-    for name, value in (("WORD_BITS", 6), ("PAIR_BITS", 6), ("SHARD", 2), ("PASS_BYTES", 1), ("PART_BYTES", 100)):
+    for name, value in (("WORD_BITS", 6), ("PAIR_BITS", 6), ("SHARD", 2), ("BLOCK", 3), ("PASS_BYTES", 1), ("PART_BYTES", 100)):
         monkeypatch.setattr(collocations, name, value)
     assert sorted(map(tuple, collocations.phrases(docs).collect())) == want
     assert collocations.phrases(docs.limit(0)).count() == 0
