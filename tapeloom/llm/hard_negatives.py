@@ -208,10 +208,10 @@ def mine(vectors: DataFrame, label: Column | None = None, anchor: Column | None
     rows = prepared(vectors, F.col("label") if label is None else label)
     tasks = partitions(vectors.sparkSession)
     asked = rows.where(F.col("vec_id") % ANCHOR_EVERY == 0 if anchor is None else anchor)
-    near = _tiles(asked, rows, ["label", "dim"]).groupBy("label", "dim", "a", "b").applyInArrow(trimmed_table(_positive_tile), _FOUND)
+    near = _tiles(asked, rows, ["label", "dim"]).repartition(tasks, "label", "dim", "a", "b").groupBy("label", "dim", "a", "b").applyInArrow(trimmed_table(_positive_tile), _FOUND)
     positives = materialize(_by_anchor(near, tasks).mapInArrow(trimmed(_first_positives), "anchor bigint, anchor_id bigint, scores array<bigint>, ids array<bigint>"))
     opened = asked.join(positives.select(F.col("anchor").alias("row"), "scores"), "row")
-    hard = _tiles(opened, rows, ["dim"]).groupBy("dim", "a", "b").applyInArrow(trimmed_table(_negative_tile), _FOUND)
+    hard = _tiles(opened, rows, ["dim"]).repartition(tasks, "dim", "a", "b").groupBy("dim", "a", "b").applyInArrow(trimmed_table(_negative_tile), _FOUND)
 
     def again(batches):
         for batch in batches:
