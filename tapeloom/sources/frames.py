@@ -23,9 +23,10 @@ REQUIRED = {
 QUOTE_SIDES = ("bid_price", "bid_vol", "ask_price", "ask_vol")
 
 
-def read_frames(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+def read_frames(spark: SparkSession, path: str, streaming: bool = False, files_per_batch: int | None = None) -> DataFrame:
     """Recorded frames as JSON lines of FRAME_SCHEMA."""
-    return (spark.readStream if streaming else spark.read).schema(FRAME_SCHEMA).json(path)
+    read = (spark.readStream if streaming else spark.read).schema(FRAME_SCHEMA)
+    return (read.option("maxFilesPerTrigger", files_per_batch) if streaming and files_per_batch else read).json(path)
 
 
 def _settled(df: DataFrame, **columns: Column) -> DataFrame:
