@@ -5,12 +5,16 @@ order of all shingles, two linked sets of sizes n share a shingle within their f
 orders used put rare shingles first: by the power of two of the number of entities that hold a shingle, and within it by
 one of ORDERS different hashes. Shingles that one entity alone holds, the first of all, can't be shared.
 
-1. Shared shingles: each task cuts its documents' hashed shingles into buckets by hash, and a bucket's task tells which of
+1. Copies: an entity's shingles are cut once, from the row of its smallest doc_id. Entities with copies are broadcast with that
+   id while they are few; beyond BROADCAST of them the documents are joined with the ids instead. Rows that repeat both
+   text and doc_id, or have none, count once for each PART_BYTES of a task.
+2. Shared shingles: each task cuts its documents' hashed shingles into buckets by hash, and a bucket's task tells which of
    them several entities hold, and how many. A shingle held often within one task is known to be shared at once, ranks
    last, and one copy of it stands for all in its bucket, so a bucket does not grow with a shingle's frequency.
-2. An entity whose prefix holds unshared shingles alone links with nothing and is done. The others keep their shared ones.
-3. Entities that share prefix shingles under the first order, directly or over others, are a family. Families are cut into
-   tiles of at most two blocks of about BLOCK entities; a tile intersects the candidates of all orders, verifies what is
+3. An entity whose prefix holds unshared shingles alone links with nothing and is done. The others keep their shared ones.
+4. Entities that share prefix shingles under the first order, directly or over others, are a family. Larger families are cut
+   by size, in classes of a factor 100 / PERCENT, into blocks of about BLOCK entities; only blocks of one class or of
+   neighbouring ones meet, as sets of other sizes can't link. A tile of two blocks intersects the candidates of all orders, verifies what is
    left with exact counts and returns a spanning forest of the links.
 
 Null texts, and texts without words, have no shingles and link with nothing; fewer than five words are one shingle.
@@ -30,6 +34,10 @@ from .embedding_dedup import forest
 
 WIDTH, PERCENT, ORDERS = 5, 80, 3
 BLOCK = 512
+#: Blocks of a class of sizes in one family at most; they are numbered class by class.
+CLASS = 1 << 24
+#: Entities with copies that are broadcast at most, at 16 bytes each.
+BROADCAST = 1 << 22
 #: Entities among a task's next PART_BYTES of text that hold a shingle, from which one copy of it stands for all; the rank
 #: of such shingles.
 OFTEN, LAST = 64, 255
@@ -48,12 +56,21 @@ def _sets(batch: pa.RecordBatch):
         yield from shingle_sets(offsets, data, WIDTH)
 
 
-def _parts(batches):
-    """{entity: shingles} of about PART_BYTES of text at a time."""
+def _parts(batches, copied: np.ndarray = np.zeros(0, np.int64), first: np.ndarray = np.zeros(0, np.int64)):
+    """{entity: shingles} of about PART_BYTES of text at a time; of the entities copied, rows whose doc_id is not the first's are
+    left out."""
     sets, size = {}, 0
     for batch in batches:
-        for _, offsets, data in byte_chunks(batch):
-            sets.update((_name(s), s) for s in shingle_sets(offsets, data, WIDTH) if len(s))
+        ids = batch.column("doc_id").to_pylist()
+        for row, offsets, data in byte_chunks(batch):
+            for k, s in enumerate(shingle_sets(offsets, data, WIDTH)):
+                if not len(s):
+                    continue
+                name = _name(s)
+                at = int(np.searchsorted(copied, name))
+                if at < len(copied) and copied[at] == name and ids[row + k] is not None and ids[row + k] != first[at]:
+                    continue
+                sets[name] = s
             size += len(data)
             if size >= PART_BYTES and sets:
                 yield sets
@@ -81,13 +98,13 @@ def entities(docs: DataFrame) -> DataFrame:
 _PARTS = ["bucket", "settled", "entities", "sizes", "counts", "tokens", "shared"]
 
 
-def shared_shingles(docs: DataFrame, tasks: int) -> DataFrame:
-    """(target, entities, sizes, counts, tokens, ranks): shingles that other entities hold too, and their ranks by frequency.
-    A row has what a bucket found for the entities of one target, packed."""
+def pieces(docs: DataFrame, tasks: int, copied=None) -> DataFrame:
+    """Each task's documents' shingles, cut into buckets: a row has what PART_BYTES of text hold of one, packed. copied may be a
+    broadcast (entities, doc_ids), sorted by entity: of those entities only the rows with their doc_id are cut."""
     buckets, number = tasks, labels(docs.sparkSession, tasks)
 
     def cut(batches):
-        for sets in _parts(batches):
+        for sets in _parts(batches, *(copied.value if copied else ())):
             names, arrays = np.array(list(sets), np.int64), list(sets.values())
             sizes = np.array([len(s) for s in arrays], np.int32)
             tokens, owner = np.concatenate(arrays), np.repeat(np.arange(len(arrays), dtype=np.int32), sizes)
@@ -114,6 +131,14 @@ def shared_shingles(docs: DataFrame, tasks: int) -> DataFrame:
                 rows.append((number[k], settled, names[who].tobytes(), sizes[who].tobytes(), count.astype(np.int32).tobytes(), t[by].tobytes(), s))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), *(pa.array([r[c] for r in rows], pa.binary()) for c in range(2, 7))], _PARTS)
 
+    return docs.select("doc_id", "text").mapInArrow(trimmed(cut), "bucket int, settled boolean, entities binary, sizes binary, counts binary, tokens binary, shared binary")
+
+
+def shared_shingles(cut: DataFrame, tasks: int) -> DataFrame:
+    """(target, entities, sizes, counts, tokens, ranks) of pieces(): shingles that other entities hold too, and their ranks by
+    frequency. A row has what a bucket found for the entities of one target, packed."""
+    buckets, number = tasks, labels(cut.sparkSession, tasks)
+
     def tell(t: pa.Table) -> pa.Table:
         joined = {c: np.frombuffer(b"".join(t[c].to_pylist()), kind) for c, kind in zip(_PARTS[2:], (np.int64, np.int32, np.int32, U64, U64), strict=True)}
         count, tokens = joined["counts"], joined["tokens"]
@@ -141,8 +166,18 @@ def shared_shingles(docs: DataFrame, tasks: int) -> DataFrame:
             rows.append((int(number[x]), joined["entities"][who[mine]].tobytes(), joined["sizes"][who[mine]].tobytes(), (ends[mine + 1] - ends[mine]).astype(np.int32).tobytes(), tokens[cells].tobytes(), rank[cells].tobytes()))
         return pa.table({"target": pa.array([r[0] for r in rows], pa.int32())} | {c: pa.array([r[k] for r in rows], pa.binary()) for k, c in enumerate((*_PARTS[2:6], "ranks"), 1)})
 
-    pieces = docs.select("doc_id", "text").mapInArrow(trimmed(cut), "bucket int, settled boolean, entities binary, sizes binary, counts binary, tokens binary, shared binary")
-    return pieces.repartition(tasks, "bucket").groupBy("bucket", "settled").applyInArrow(tell, "target int, entities binary, sizes binary, counts binary, tokens binary, ranks binary")
+    return cut.repartition(tasks, "bucket").groupBy("bucket", "settled").applyInArrow(tell, "target int, entities binary, sizes binary, counts binary, tokens binary, ranks binary")
+
+
+def once(docs: DataFrame, named: DataFrame, broadcast: int = BROADCAST):
+    """(docs, copied): documents of which each entity's shingles can be cut once; copied is what pieces() takes."""
+    own = named.where("entity is not null").groupBy("entity").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    copied = materialize(own.where("n > 1 and first is not null").select("entity", "first"))
+    if copied.count() <= broadcast:
+        t = copied.toArrow().sort_by("entity")  # broadcast rows at most
+        return docs, docs.sparkSession.sparkContext.broadcast((t["entity"].to_numpy(), t["first"].to_numpy()))
+    kept = own.select(F.col("first").alias("doc_id")).distinct()
+    return docs.where("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi")), None
 
 
 def candidates(shared: DataFrame, tasks: int) -> DataFrame:
@@ -234,9 +269,18 @@ def linked(found: DataFrame, block: int = BLOCK) -> DataFrame:
     sizes = family.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("size"))
     alone = sizes.where("blocks = 1").agg(F.sum("size")).first()[0] or 0
     groups = max(1, -(-alone // block))  # small families share a task
-    members = found.join(family, "entity").join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int"))
-    members = members.withColumn("task", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(groups))).otherwise(F.col("family"))).withColumn("large", F.col("blocks") > 1)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    members = found.join(family, "entity").join(sizes.select("family", "blocks"), "family")
+    own = F.when(F.col("blocks") > 1, F.floor(F.log(F.col("n")) / (1.001 * np.log(100 / PERCENT)))).otherwise(0).cast("int")
+    members = members.withColumn("class", own)
+    classes = members.where("blocks > 1").groupBy("family", "class").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    shape = classes.groupBy("family").agg(F.map_from_entries(F.collect_list(F.struct("class", "parts"))).alias("shape"))  # a class for each factor of size: few
+    members = members.join(shape, "family", "left")
+    parts = lambda c: F.coalesce(F.try_element_at("shape", c), F.lit(0))
+    at = lambda c, k: c * CLASS + k
+    blocks = lambda c: F.when(parts(c) > 0, F.transform(F.sequence(F.lit(0), parts(c) - 1), lambda k: at(c, k))).otherwise(F.array().cast("array<int>"))
+    mine = F.when(F.col("blocks") > 1, at(F.col("class"), F.pmod(F.xxhash64("entity"), parts(F.col("class"))).cast("int"))).otherwise(0)
+    members = members.withColumn("block", mine).withColumn("task", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(groups))).otherwise(F.col("family"))).withColumn("large", F.col("blocks") > 1)
+    other = F.explode(F.when(F.col("large"), F.concat(*(blocks(F.col("class") + k) for k in (-1, 0, 1)))).otherwise(F.array(F.lit(0)))).alias("other")
     tiles = members.select("*", other).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
 
     def tile(t: pa.Table) -> pa.Table:
@@ -264,7 +308,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs(doc_id, text): the smallest doc_id reachable by links."""
     named = materialize(entities(docs))
     tasks = max(partitions(docs.sparkSession), (named.agg(F.sum("n_shingles")).first()[0] or 0) // TASK_SHINGLES)
-    found = materialize(candidates(shared_shingles(docs, tasks), tasks))
+    few, copied = once(docs.select("doc_id", "text"), named)
+    found = materialize(candidates(shared_shingles(pieces(few, tasks, copied), tasks), tasks))
     group = connected_components(linked(found))
     least = named.where("entity is not null").groupBy("entity").agg(F.min("doc_id").alias("own"))
     grouped = least.join(group, least.entity == group.node, "left").withColumn("component", F.coalesce("component", "entity"))

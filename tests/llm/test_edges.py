@@ -110,8 +110,8 @@ def test_ngram_join(spark, nasty, none):
     few = spark.createDataFrame(alike, SCHEMA)
     sets = ngram_join.shingle_sets
     assert {r.component_id for r in ngram_join.near_duplicates(few).collect()} == brute_components([t for _, t, *_ in alike], sets)
-    small_blocks = ngram_join.linked(common.materialize(ngram_join.candidates(ngram_join.shared_shingles(few, 3), 3)), block=7)
-    whole = ngram_join.linked(common.materialize(ngram_join.candidates(ngram_join.shared_shingles(few, 2), 2)))
+    small_blocks = ngram_join.linked(common.materialize(ngram_join.candidates(ngram_join.shared_shingles(ngram_join.pieces(few, 3), 3), 3)), block=7)
+    whole = ngram_join.linked(common.materialize(ngram_join.candidates(ngram_join.shared_shingles(ngram_join.pieces(few, 2), 2), 2)))
     assert key(common.connected_components(small_blocks).collect()) == key(common.connected_components(whole).collect())
 
 
