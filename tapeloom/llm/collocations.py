@@ -76,20 +76,6 @@ def words_of(batch: pa.RecordBatch):
         yield at, Words(offsets, data, salt[at : at + len(offsets) - 1])
 
 
-def _parts(batches):
-    """[(batch, first row, Words)] of about PART_BYTES of text."""
-    held, size = [], 0
-    for batch in batches:
-        for at, words in words_of(batch):
-            held.append((batch, at, words))
-            size += len(words.low)
-            if size >= PART_BYTES:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
-
-
 def _pick(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     """data[start:end) for each word, as texts."""
     size = end - start
@@ -101,23 +87,29 @@ def _pick(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
 def count_words(docs: DataFrame) -> DataFrame:
     """(lang, word, hash, n) of docs(text, lang): every word of a lang, how often it occurs."""
 
+    def distinct(parts: list[tuple]) -> pa.RecordBatch:
+        """The words of several runs, each once."""
+        hashes, n = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        order = np.argsort(hashes, kind="stable")
+        first = np.flatnonzero(np.diff(hashes[order].view(np.int64), prepend=~hashes[order[:1]].view(np.int64)))
+        at = pa.array(order[first])
+        langs, words = (pa.concat_arrays([p[k] for p in parts]).take(at) for k in (2, 3))
+        return pa.RecordBatch.from_arrays([langs, words, pa.array(hashes[order[first]].view(np.int64)), pa.array(np.add.reduceat(n[order], first))], ["lang", "word", "hash", "n"])
+
     def run(batches):
-        for part in _parts(batches):
-            whole = np.concatenate([w.hash for _, _, w in part])
-            hashes, at, n = np.unique(whole, return_index=True, return_counts=True)
-            edge = np.append(0, np.cumsum([len(w.hash) for _, _, w in part]))
-            of = np.searchsorted(edge, at, "right") - 1
-            words, langs, order = [], [], []
-            for k in np.unique(of).tolist():
-                mine = np.flatnonzero(of == k)
-                batch, row, w = part[k]
-                place = at[mine] - edge[k]
-                words.append(_pick(w.low, w.start[place], w.end[place]))
-                langs.append(batch.column("lang").cast(pa.string()).take(pa.array(row + w.text[place])))
-                order.append(mine)
-            if order:
-                order = np.concatenate(order)
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays(langs), pa.concat_arrays(words), pa.array(hashes[order].view(np.int64)), pa.array(n[order])], ["lang", "word", "hash", "n"])
+        parts, size = [], 0
+        for batch in batches:
+            lang = batch.column("lang").cast(pa.string())
+            for row, w in words_of(batch):
+                hashes, at, n = np.unique(w.hash, return_index=True, return_counts=True)
+                if len(hashes):
+                    parts.append((hashes, n, lang.take(pa.array(row + w.text[at])), _pick(w.low, w.start[at], w.end[at])))
+                size += len(w.low)
+                if size >= PART_BYTES and parts:
+                    yield distinct(parts)
+                    parts, size = [], 0
+        if parts:
+            yield distinct(parts)
 
     counted = docs.select("text", F.coalesce("lang", F.lit(NO_LANG)).alias("lang")).mapInArrow(trimmed(run), "lang string, word string, hash bigint, n bigint")
     return counted.groupBy("lang", "word").agg(F.first("hash").alias("hash"), F.sum("n").alias("n"))
@@ -147,25 +139,35 @@ def nominate(docs: DataFrame, length: int, known) -> DataFrame:
     words for pairs, pairs for triples. Counts here only choose what the tries count."""
     names = [f"h{k + 1}" for k in range(length)]
 
+    def places(w: Words) -> np.ndarray:
+        """Where phrases begin whose parts are known."""
+        if length == 2:
+            good = has(known.value, w.hash)
+            return np.flatnonzero(w.follows & good[1:] & good[:-1])
+        good = w.follows.copy()
+        good[good] = has(known.value, pair_hash(w.hash[:-1][good], w.hash[1:][good]))
+        return np.flatnonzero(good[1:] & good[:-1])
+
+    def distinct(found: list[list[np.ndarray]]) -> pa.RecordBatch:
+        found = [np.concatenate(f) for f in found]
+        key = pair_hash(found[0], found[1]) if length == 2 else mix(pair_hash(found[0], found[1]) + found[2] * _PLACE[2])
+        _, at, n = np.unique(key, return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([*(pa.array(f[at].view(np.int64)) for f in found), pa.array(n.astype(np.int32))], [*names, "n"])
+
     def run(batches):
-        for part in _parts(batches):
-            found = [[] for _ in names]
-            for _, _, w in part:
-                if len(w.hash) < length:
-                    continue
-                if length == 2:
-                    good = has(known.value, w.hash)
-                    at = np.flatnonzero(w.follows & good[1:] & good[:-1])
-                else:
-                    good = w.follows.copy()
-                    good[good] = has(known.value, pair_hash(w.hash[:-1][good], w.hash[1:][good]))
-                    at = np.flatnonzero(good[1:] & good[:-1])
-                for k in range(length):
-                    found[k].append(w.hash[at + k])
-            found = [np.concatenate([np.zeros(0, U64), *f]) for f in found]
-            key = pair_hash(found[0], found[1]) if length == 2 else mix(pair_hash(found[0], found[1]) + found[2] * _PLACE[2])
-            _, at, n = np.unique(key, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([*(pa.array(f[at].view(np.int64)) for f in found), pa.array(n.astype(np.int32))], [*names, "n"])
+        found, size = [[] for _ in names], 0
+        for batch in batches:
+            for _, w in words_of(batch):
+                if len(w.hash) >= length:
+                    at = places(w)
+                    for k in range(length):
+                        found[k].append(w.hash[at + k])
+                size += len(w.low)
+                if size >= PART_BYTES and found[0]:
+                    yield distinct(found)
+                    found, size = [[] for _ in names], 0
+        if found[0]:
+            yield distinct(found)
 
     seen = docs.select("text", "lang").mapInArrow(trimmed(run), f"{', '.join(f'{n} bigint' for n in names)}, n int")
     return seen.groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).drop("n")
