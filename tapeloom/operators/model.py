@@ -36,9 +36,10 @@ def split_by_time(df: DataFrame, share: float = 0.8, horizon: int = HORIZON) ->
 
 
 def settled(rows: DataFrame, keys: tuple[str, ...] = ("symbol", "start_time")) -> DataFrame:
-    """rows in partitions and an order that follow from their keys and number alone, whatever the session's settings are."""
+    """rows in partitions and an order that follow from their keys and number alone, whatever the session's settings are: by the
+    keys, the last of them descending, which is how split_by_time() leaves a small table."""
     rows = materialize(rows)
-    return rows.repartition(max(1, -(-rows.count() // TRAIN_ROWS)), *keys).sortWithinPartitions(*keys)
+    return rows.repartition(max(1, -(-rows.count() // TRAIN_ROWS)), *keys).sortWithinPartitions(*keys[:-1], F.desc(keys[-1]))
 
 
 def train(rows: DataFrame, features: list[str], trees: int = 20, depth: int = 5, seed: int = 7, keys: tuple[str, ...] = ("symbol", "start_time")) -> PipelineModel:

@@ -80,3 +80,49 @@ def test_model_and_stored_states(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "states"))
     assert stored.count() == 4 and {tuple(map(str, r)) for r in stored.select("model_version", "config_version", "feature_timestamp").collect()} == {("forest-1", "config-1", "2024-02-01 00:00:00")}
     assert {r.total_volume for r in stored.collect()} == {200.0}
+
+
+LAYOUTS = ({"spark.sql.shuffle.partitions": "4"}, {"spark.sql.shuffle.partitions": "9"}, {"spark.sql.shuffle.partitions": "8", "spark.sql.files.maxPartitionBytes": "200k", "spark.sql.adaptive.coalescePartitions.enabled": "false"})
+
+
+def test_forest_is_the_same_in_every_layout(spark):
+    found = []
+    for layout in LAYOUTS:
+        was = {k: spark.conf.get(k) for k in layout}
+        for k, v in layout.items():
+            spark.conf.set(k, v)
+        try:
+            bars = sq._signal_bars(spark, DATA).select("symbol", "start_time", "prediction", "score", "blocked_by").collect()
+            scores = QUERIES["model_scores"](spark, DATA).collect()
+            alerts = QUERIES["alerts"](spark, DATA).collect()
+        finally:
+            for k, v in was.items():
+                spark.conf.set(k, v)
+        found.append([sorted(map(str, x)) for x in (bars, scores, alerts)])
+    assert found[0] == found[1] == found[2] and all(found[0])
+
+
+def test_scores_are_those_of_the_trees(spark, tmp_path):
+    """Each row walked down each stored tree by hand: the mean of the leaves' shares, the largest of which is the score."""
+    from tapeloom.operators import model as md
+
+    rows = md.split_by_time(md.with_label(sq._features(spark, DATA).where("is_valid")))
+    train, test = rows.where("part = 'train' and label is not null"), rows.where("part = 'test'")
+    forest = md.train(train, sq.FEATURES, trees=10, depth=4)
+    forest.stages[-1].write().overwrite().save(str(tmp_path / "forest"))
+    trees = {}
+    for r in spark.read.parquet(str(tmp_path / "forest" / "data")).collect():
+        trees.setdefault(r.treeID, {})[r.nodeData.id] = r.nodeData
+    assert len(trees) == 10
+    got = {(r.symbol, r.start_time): r for r in md.score(forest, test).collect()}
+    for r in test.collect():
+        total = [0.0, 0.0, 0.0]
+        for nodes in trees.values():
+            node = nodes[0]
+            while node.leftChild >= 0:
+                node = nodes[node.leftChild if float(r[sq.FEATURES[node.split.featureIndex]]) <= node.split.leftCategoriesOrThreshold[0] else node.rightChild]
+            share = sum(node.impurityStats)
+            total = [t + x / share for t, x in zip(total, node.impurityStats, strict=True)]
+        mine = got[r.symbol, r.start_time]
+        assert abs(max(total) / 10 - mine.score) < 1e-9 and mine.prediction == float(total.index(max(total)))
+    assert len(got) > 20
