@@ -294,6 +294,14 @@ def bounded_dedup(spark, d):
     return dedup.mark_duplicates_bounded(tables.tape(spark, d), ROOM)
 
 
+def split_dedup(spark, d):
+    """The same by stretches of a feed, each a task's."""
+    return dedup.mark_duplicates_bounded(tables.tape(spark, d), ROOM, chunk=CHUNK)
+
+
+QUERIES["split_dedup"], ORACLES["split_dedup"] = split_dedup, ORACLES["bounded_dedup"]
+
+
 # --- order -----------------------------------------------------------------------------------------------------------
 
 _SEQ = f"sq AS (SELECT *, max(ts_us) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {int(LATENESS)} * 1000000 AS wm FROM tape)"
@@ -332,6 +340,14 @@ def bounded_sequencer(spark, d):
     return sequence.sequence_bounded(tables.tape(spark, d), WAIT, CAPACITY, "symbol")
 
 
+def split_sequencer(spark, d):
+    """The same by stretches of a symbol, each a task's."""
+    return sequence.sequence_bounded(tables.tape(spark, d), WAIT, CAPACITY, "symbol", chunk=CHUNK)
+
+
+QUERIES["split_sequencer"], ORACLES["split_sequencer"] = split_sequencer, ORACLES["bounded_sequencer"]
+
+
 @query("WITH TAPE SELECT seq, symbol, row_number() OVER (PARTITION BY symbol ORDER BY ts_us, seq)::INT AS place FROM tape")
 def replay_order(spark, d):
     return sequence.replay_number(sinks.replay(tables.stored_tape(spark, d)), DAY).select("seq", "symbol", "place")

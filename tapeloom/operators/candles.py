@@ -70,22 +70,24 @@ def close_events(marked: DataFrame) -> DataFrame:
     return marked.where("is_closed").withColumn("tf_order", order).orderBy("closed_by_seq", "tf_order")
 
 
-def _numbered(marked: DataFrame, capacity: dict[str, int] | int | None) -> DataFrame:
-    """With _n, a candle's place in its series from the newest on, and _room, the closed ones that its series keeps."""
+def _newest(marked: DataFrame, capacity: dict[str, int] | int | None, more: int) -> DataFrame:
+    """The newest candles of each series: as many as its timeframe keeps, and more. The limit of the roomiest timeframe is a
+    literal, so Spark keeps no more of a series than that before the exchange."""
     room = {t: max(1, capacity if isinstance(capacity, int) else (capacity or {}).get(t, n)) for t, (_, n) in TIMEFRAMES.items()}
     limit = F.element_at(F.create_map(*(F.lit(x) for pair in room.items() for x in pair)), F.col("timeframe"))
     newest = F.row_number().over(Window.partitionBy("symbol", "timeframe").orderBy(F.desc("start_time")))
-    return marked.withColumns({"_n": newest, "_room": limit})
+    ranked = marked.withColumn("_n", newest).where(F.col("_n") <= max(room.values()) + more)
+    return ranked.where(F.col("_n") <= limit + more).drop("_n")
 
 
 def history(marked: DataFrame, capacity: dict[str, int] | int | None = None) -> DataFrame:
     """The newest closed candles of each series, as many as its timeframe's capacity, one at least."""
-    return _numbered(marked.where("is_closed"), capacity).where("_n <= _room").drop("_n", "_room")
+    return _newest(marked.where("is_closed"), capacity, 0)
 
 
 def kept(marked: DataFrame, capacity: dict[str, int] | int | None = None) -> DataFrame:
     """The open candle of each series and its history, in one pass."""
-    return _numbered(marked, capacity).where("_n <= _room + 1").drop("_n", "_room")
+    return _newest(marked, capacity, 1)
 
 
 def latest_closed(marked: DataFrame) -> DataFrame:

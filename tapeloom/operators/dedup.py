@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections import OrderedDict
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .segments import Walk, walked
+
 SIDES = ("bid_price", "bid_vol", "ask_price", "ask_vol")
 #: Fixed value: what a capacity of 0 means.
 DEFAULT_CAPACITY = 10_000
@@ -54,9 +57,25 @@ def quote_key(signed_zero: str = "distinct") -> Column:
     return F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("")) for c in (F.unix_micros("ts"), *sides, F.col("symbol"))))
 
 
-def mark_duplicates_bounded(tape: DataFrame, capacity: int, key: str = "feed", signed_zero: str = "distinct") -> DataFrame:
+class _Walk(Walk):
+    def __init__(self, capacity: int, state: bytes | None):
+        self.held = Remembered(capacity, json.loads(state) if state else [])
+
+    def row(self, seq: int, value: str) -> list[tuple[int, str, None]]:
+        return [(seq, "duplicate" if self.held.known(value) else "new", None)]
+
+    def state(self) -> bytes:
+        return json.dumps(list(self.held.keys)).encode()
+
+
+def mark_duplicates_bounded(tape: DataFrame, capacity: int, key: str = "feed", signed_zero: str = "distinct", chunk: int | None = None) -> DataFrame:
     """(key, seq, is_duplicate) of quotes, with the last capacity accepted ones remembered. What is remembered depends on all
-    that came, so a feed is walked through in its arrival order by one task, batch by batch."""
+    that came: without chunk a feed is walked through in its arrival order by one task, batch by batch; with it a feed is cut
+    at multiples of it and its stretches are walked at once, see segments.walked(), which makes its tables right away."""
+    if chunk:
+        quotes = tape.where("kind = 'quote'").select(F.col(key).cast("string").alias(key), "seq", quote_key(signed_zero).alias("value"))
+        out = walked(quotes, key, chunk, lambda state: _Walk(capacity, state))
+        return out.select(key, "seq", (F.col("outcome") == "duplicate").alias("is_duplicate"))
 
     def walk(batches):
         feed, held = None, None

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import json
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import minus
 from .scan import running
+from .segments import Walk, walked
 
 
 def sequence(tape: DataFrame, lateness: float, keys: tuple[str, ...] = (), chunk: int | None = None) -> DataFrame:
@@ -72,10 +74,30 @@ class Sequencer:
         return [(seq, "flush", None) for _, seq in sorted(self.waiting)]
 
 
-def sequence_bounded(tape: DataFrame, lateness: float, capacity: int, key: str = "feed") -> DataFrame:
+class _Walk(Walk):
+    def __init__(self, lag: int, capacity: int, state: bytes | None):
+        mark, waiting = json.loads(state) if state else (None, [])
+        self.now = Sequencer(lag, capacity, mark, [tuple(x) for x in waiting])
+
+    def row(self, seq: int, value: int) -> list[tuple[int, str, int | None]]:
+        return self.now.push(seq, value)
+
+    def state(self) -> bytes:
+        return json.dumps([self.now.mark, sorted(self.now.waiting)]).encode()
+
+    def end(self) -> list[tuple[int, str, None]]:
+        return self.now.flush()
+
+
+def sequence_bounded(tape: DataFrame, lateness: float, capacity: int, key: str = "feed", chunk: int | None = None) -> DataFrame:
     """(key, seq, outcome, release_seq): as sequence, but with at most capacity events waiting; outcome is ready, evicted,
-    late or flush. Each step depends on the one before, so a feed is walked through in its arrival order by one task, batch
-    by batch, which holds what waits and no more."""
+    late or flush. Each step depends on the one before: without chunk a feed is walked through in its arrival order by one
+    task, batch by batch, which holds what waits and no more; with it a feed is cut at multiples of it and its stretches are
+    walked at once, see segments.walked(), which makes its tables right away."""
+    if chunk:
+        lag = int(lateness * 1_000_000)
+        rows = tape.select(F.col(key).cast("string").alias(key), "seq", F.unix_micros("ts").alias("value"))
+        return walked(rows, key, chunk, lambda state: _Walk(lag, capacity, state))
     lag, names = int(lateness * 1_000_000), [key, "seq", "outcome", "release_seq"]
 
     def walk(batches):

@@ -26,9 +26,13 @@ p AS (SELECT *, CASE WHEN ret_1 IS NOT NULL AND ret_index IS NOT NULL THEN ret_i
 bb AS (SELECT *, CASE WHEN count(x) OVER n >= 30 AND var_samp(x) OVER n > 0 THEN covar_samp(y, x) OVER n / var_samp(x) OVER n END AS beta FROM p WINDOW n AS (PARTITION BY symbol ORDER BY start_s ROWS BETWEEN 89 PRECEDING AND CURRENT ROW))"""
 
 
+def _daily(spark: SparkSession, d: str) -> DataFrame:
+    return cd.candles(tables.heavy_trades(spark, d), "D1", mode="event")
+
+
 def _bars(spark: SparkSession, d: str) -> DataFrame:
-    """Daily bars as a table: they are few beside the trades, and most queries read them more than once."""
-    return materialize(cd.candles(tables.heavy_trades(spark, d), "D1", mode="event"))
+    """Daily bars as a table, for queries that read them more than once."""
+    return materialize(_daily(spark, d))
 
 
 def _key() -> list:
@@ -58,7 +62,7 @@ def _windowed_sql() -> str:
 
 @query(_windowed_sql())
 def indicators_windowed(spark, d):
-    return ind.windowed(_bars(spark, d)).select(*_key(), *_r(*_W))
+    return ind.windowed(_daily(spark, d)).select(*_key(), *_r(*_W))
 
 
 _REC = ("ema_12", "ema_26", "macd", "macd_signal", "macd_hist", "rsi_14", "atr_14")
@@ -84,7 +88,7 @@ _RSI = "CASE WHEN n >= 15 THEN CASE WHEN down > 0 THEN 100 - 100 / (1 + up / dow
 SELECT symbol, start_s, round(e12, 6) AS ema_12, round(e26, 6) AS ema_26, round(e12 - e26, 6) AS macd, round(sig, 6) AS macd_signal, round(e12 - e26 - sig, 6) AS macd_hist,
  round({_RSI}, 6) AS rsi_14, round(CASE WHEN n >= 14 THEN tr END, 6) AS atr_14 FROM t""")
 def indicators_recursive(spark, d):
-    return ind.recursive(_bars(spark, d)).select(*_key(), *_r(*_REC))
+    return ind.recursive(_daily(spark, d)).select(*_key(), *_r(*_REC))
 
 
 @query(f"WITH {_B} SELECT symbol, start_s, round(ret_index, 6) AS ret_index, round(ret_1 - ret_index, 6) AS rel_ret, round(beta, 6) AS beta FROM bb")
