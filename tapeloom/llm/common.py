@@ -32,6 +32,15 @@ def text_tasks(docs: DataFrame, each: int = 32 << 20) -> int:
     return max(partitions(docs.sparkSession), (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // each)
 
 
+def file_tasks(docs: DataFrame, each: int = 16 << 20) -> int:
+    """Tasks that docs(text) should be dealt over: the session's shuffle partitions, more if these got over each bytes of the
+    files that docs is read from, as Spark knows them; text is counted only where docs is not read from files."""
+    leaves, size = docs._jdf.queryExecution().optimizedPlan().collectLeaves(), 0
+    for k in range(leaves.size()):
+        size += int(str(leaves.apply(k).stats().sizeInBytes()))
+    return max(partitions(docs.sparkSession), size // each) if size < 1 << 60 else text_tasks(docs, 2 * each)
+
+
 def labels(spark: SparkSession, tasks: int) -> np.ndarray:
     """A number for each of so many buckets, such that Spark's repartition(tasks, number) gives every task one bucket."""
     n = tasks * (12 + tasks.bit_length())

@@ -1,7 +1,9 @@
 """Operator 9: token ids in binary files with keyed access by a minimal perfect hash.
 
-A file holds at most FILE_SEGMENTS segments one after the other, each with a line break after it: Spark's text writer puts
-a segment's bytes down as they are, and no reader looks for line breaks. A segment, little-endian:
+A file holds FILE_SEGMENTS segments one after the other, each with a line break after it: Spark's text writer puts a
+segment's bytes down as they are, and no reader looks for line breaks. A task writes its segments' heads beside them, in
+the same pass; the index of all segments is made of these, so no file is read again. Tasks are as many as the bytes of the
+documents' own files ask for. A segment, little-endian:
   8 bytes   TLTOKEN1
   7 x u64   documents n, ids m, bytes of the hash function, keys k, part and number of the segment, bytes of an id w
   n x i64   doc_id;  n x u8  1 where doc_id is null;  (n + 1) x u64  offset of each document's first id, in ids
@@ -15,6 +17,8 @@ level where it was alone; a fingerprint that does not match says that the segmen
 from __future__ import annotations
 
 import functools
+import json
+import re
 import struct
 import zlib
 
@@ -25,17 +29,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import mix, partitions, seeded, trimmed
+from .common import file_tasks, mix, seeded, trimmed
 
 MAGIC = b"TLTOKEN1"
 END = 0
-#: Bytes of ids at which a task closes a segment.
-SEGMENT_BYTES = 8 << 20
-#: Segments in a file; so a file is read as one value of some hundred megabytes at most.
-FILE_SEGMENTS = 16
+#: Bytes of ids, four each, at which a task closes a segment.
+SEGMENT_BYTES = 16 << 20
+#: Segments in a file. One, so that a lookup reads no more than the segments that it asks.
+FILE_SEGMENTS = 1
 #: Rows of the index that are sent to all tasks at once, and files up to which a lookup names those that it reads.
 INDEX_ROWS, NAMED_FILES = 500_000, 10_000
-_INDEX = "path string, part bigint, number bigint, low bigint, high bigint, n_ids bigint"
+_HEAD = "part bigint, number bigint, low bigint, high bigint, n_ids bigint"
+_INDEX = f"path string, {_HEAD}, place bigint"
+_SEGMENTS, _HEADS = "kind=segment", "kind=head"
 _SEED = seeded(64, 9)
 U64 = np.uint64
 
@@ -137,16 +143,6 @@ class Segment:
         return out
 
 
-def heads_of(raw):
-    """(part, number, lowest and highest key, ids) of a file's segments, from their heads alone."""
-    at = 0
-    while at < len(raw):
-        n, m, size, keys, part, number, width = struct.unpack_from("<7Q", raw, at + 8)
-        docs = np.frombuffer(raw, "<i8", n, at + 64)[np.frombuffer(raw, np.uint8, n, at + 64 + 8 * n) == 0]
-        yield part, number, *((int(docs[0]), int(docs[-1])) if len(docs) else (None, None)), m
-        at += 64 + 17 * n + 8 + size + 8 * keys + width * m + 1
-
-
 def segments(raw):
     at = 0
     while at < len(raw):
@@ -154,8 +150,22 @@ def segments(raw):
         at = found.end
 
 
-def _files(spark: SparkSession, *paths: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(list(paths))
+def _files(spark: SparkSession, folder: str, paths: list[str] | None = None) -> DataFrame:
+    """(path, content) of the segments' files, or of those named."""
+    if not list_some(spark, f"{folder}/{_SEGMENTS}"):
+        return spark.createDataFrame([], "path string, content binary")
+    return spark.read.format("binaryFile").load(paths or f"{folder}/{_SEGMENTS}").select("path", "content")
+
+
+def list_some(spark: SparkSession, folder: str) -> str | None:
+    """The name of a file in the folder, if there is one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.listStatusIterator(path) if fs.exists(path) else None
+    while found is not None and found.hasNext():
+        if (name := found.next().getPath().getName()).startswith("part-"):
+            return name
+    return None
 
 
 def write(docs: DataFrame, folder: str, vocabulary: str, spaced: bool = True, end: int = END) -> None:
@@ -163,31 +173,59 @@ def write(docs: DataFrame, folder: str, vocabulary: str, spaced: bool = True, en
     spark = docs.sparkSession
 
     def run(batches):
-        part, number = TaskContext.get().partitionId(), 0
+        part, heads = TaskContext.get().partitionId(), []
         keys, ids, size = [], [], 0
+
+        def close():
+            known = [k for k in keys if k is not None]
+            heads.append({"part": part, "number": len(heads), "low": known[0] if known else None, "high": known[-1] if known else None, "n_ids": size // 4})
+            return table("segment", segment(keys, ids, part, len(heads) - 1))
+
+        def table(kind, raw):
+            return pa.RecordBatch.from_arrays([pa.array([raw], pa.binary()), pa.array([kind])], ["raw", "kind"])
+
         for key, got in tokens.encoded(batches, vocabulary, spaced, end):
             keys.append(key), ids.append(got)
             size += len(got)
             if size >= SEGMENT_BYTES:
-                yield pa.RecordBatch.from_arrays([pa.array([segment(keys, ids, part, number)], pa.binary())], ["raw"])
-                keys, ids, size, number = [], [], 0, number + 1
+                yield close()
+                keys, ids, size = [], [], 0
         if keys:
-            yield pa.RecordBatch.from_arrays([pa.array([segment(keys, ids, part, number)], pa.binary())], ["raw"])
-
-    def heads(batches):
-        for batch in batches:
-            for path, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = [(path, *x) for x in heads_of(raw.as_buffer())]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64() if k else pa.string()) for k in range(6)], [c.split()[0] for c in _INDEX.split(", ")])
+            yield close()
+        if heads:
+            yield table("head", "\n".join(map(json.dumps, heads)).encode())
 
     rows = docs.select("doc_id", "text")
-    ordered = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(trimmed(run), "raw binary").select(F.col("raw").cast("string")).write.option("maxRecordsPerFile", FILE_SEGMENTS).text(folder)
-    _files(spark, folder).select("path", "content").mapInArrow(trimmed(heads), _INDEX).write.parquet(f"{folder}/_index")
+    ordered = rows.repartitionByRange(file_tasks(docs), "doc_id").sortWithinPartitions("doc_id")
+    conf = "spark.sql.maxConcurrentOutputFileWriters"  # a task writes to both folders as it goes, unsorted
+    was = spark.conf.get(conf)
+    spark.conf.set(conf, "2")
+    try:
+        made = ordered.mapInArrow(trimmed(run), "raw binary, kind string").select(F.col("raw").cast("string").alias("raw"), "kind")
+        made.write.partitionBy("kind").option("maxRecordsPerFile", FILE_SEGMENTS).text(folder)
+    finally:
+        spark.conf.set(conf, was)
+    _write_index(spark, folder)
+
+
+def _write_index(spark: SparkSession, folder: str) -> None:
+    """Heads with their files, whose names tell part and place in it, and with the place of each segment among all."""
+    name = list_some(spark, f"{folder}/{_SEGMENTS}")
+    if name is None:
+        spark.createDataFrame([], _INDEX).write.parquet(f"{folder}/_index")
+        return
+    job, ending = re.fullmatch(r"part-\d+-(.+[-.])c\d+(.*)", name).groups()
+    heads = spark.read.text(f"{folder}/{_HEADS}").select(F.from_json("value", _HEAD).alias("x")).select("x.*")
+    base = str(spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{_SEGMENTS}")).toString())
+    path = F.format_string(f"%s/part-%05d-{job}c%03d{ending}", F.lit(base), "part", F.floor(F.col("number") / FILE_SEGMENTS))
+    parts = heads.groupBy("part").agg(F.count("*").alias("n"))  # a row a task
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = heads.join(parts.select("part", before.alias("before")), "part").withColumn("place", F.col("before") + F.col("number"))
+    placed.select(path.alias("path"), *(f.split()[0] for f in _HEAD.split(", ")), "place").sortWithinPartitions("place").write.parquet(f"{folder}/_index")
 
 
 def index(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, part, number, low, high, n_ids) of every segment."""
+    """(path, part, number, low, high, n_ids, place) of every segment; place is its number among all, in order of the keys."""
     return spark.read.schema(_INDEX).parquet(f"{folder}/_index")
 
 
@@ -224,14 +262,15 @@ def read(spark: SparkSession, folder: str, ids: bool = True) -> DataFrame:
 
 
 def lookup(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
-    """(doc_id, ids) of the keys(doc_id) that the files hold. The index tells each key's segment; only files with such
-    segments are read, unless they are more than NAMED_FILES, and each segment finds its keys by its hash. Null keys find
-    nothing, repeated keys count once. A repeated doc_id finds the first of its rows."""
-    places = index(spark, folder).where("low is not null").orderBy("low", "part", "number")
-    asked, slices = [], -(-places.count() // INDEX_ROWS)
+    """(doc_id, ids) of the keys(doc_id) that the files hold. The index tells each key's segment; only files of such segments
+    are read, unless they are more than NAMED_FILES, and each segment finds its keys by its hash. Null keys find nothing,
+    repeated keys count once. A repeated doc_id, wherever its rows lie, finds the first of them."""
+    asked, n = [], index(spark, folder).agg(F.max("place")).first()[0]
     wanted = keys.select("doc_id").where("doc_id is not null").distinct()
-    for k in range(slices):
-        some = places.offset(k * INDEX_ROWS).limit(INDEX_ROWS).toArrow()
+    for k in range(0, (n + 1) if n is not None else 0, INDEX_ROWS):
+        some = index(spark, folder).where(F.col("place").between(k, k + INDEX_ROWS - 1) & F.col("low").isNotNull()).toArrow().sort_by("place")
+        if not len(some):
+            continue
         sent = spark.sparkContext.broadcast((some["low"].to_numpy(), some["high"].to_numpy(), some["path"].to_pylist(), some["part"].to_numpy(), some["number"].to_numpy()))
 
         def find(batches, sent=sent):
@@ -245,9 +284,10 @@ def lookup(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
         asked.append(wanted.mapInArrow(find, "path string, part bigint, number bigint, doc_id bigint"))
     if not asked:
         return wanted.where("false").select("doc_id", F.lit(None).cast("binary").alias("ids"))
-    asked = functools.reduce(DataFrame.unionByName, asked).groupBy("path").agg(F.collect_list(F.struct("part", "number", "doc_id")).alias("asked"))
+    places = functools.reduce(DataFrame.unionByName, asked).groupBy("doc_id").agg(F.min_by(F.struct("path", "part", "number"), F.struct("part", "number")).alias("x"))  # where a key's rows go over two slices
+    asked = places.select("doc_id", "x.*").groupBy("path").agg(F.collect_list(F.struct("part", "number", "doc_id")).alias("asked"))
     named = [r.path for r in asked.select("path").limit(NAMED_FILES + 1).collect()]
-    files = _files(spark, *(named if 0 < len(named) <= NAMED_FILES else [folder])).select("path", "content")
+    files = _files(spark, folder, named if 0 < len(named) <= NAMED_FILES else None)
 
     def answer(batches):
         for batch in batches:
