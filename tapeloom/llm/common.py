@@ -58,15 +58,30 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def give_back() -> None:
+    """Gives the memory that this worker used back to the machine, which it shares with its executor."""
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
+
+
 def trimmed(f):
-    """For a function over a task's batches: when it ends, the worker gives the memory that it used back to the machine, which
-    it shares with its executor."""
+    """For a function over a task's batches: gives memory back when it ends."""
 
     @functools.wraps(f)
     def run(*args):
         yield from f(*args)
-        pa.default_memory_pool().release_unused()
-        ctypes.CDLL(None).malloc_trim(0)
+        give_back()
+
+    return run
+
+
+def trimmed_group(f):
+    """The same for a function of one group, a table."""
+
+    def run(t: pa.Table) -> pa.Table:
+        out = f(t)
+        give_back()
+        return out
 
     return run
 

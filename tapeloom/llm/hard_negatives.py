@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, trimmed
+from .common import materialize, partitions, trimmed, trimmed_group
 
 POSITIVES, NEGATIVES, SCALE, ANCHOR_EVERY, LOW, HIGH = 5, 3, 256, 50, 50, 95
 #: Anchors, and rows, that a task multiplies.
@@ -208,10 +208,10 @@ def mine(vectors: DataFrame, label: Column | None = None, anchor: Column | None
     rows = prepared(vectors, F.col("label") if label is None else label)
     tasks = partitions(vectors.sparkSession)
     asked = rows.where(F.col("vec_id") % ANCHOR_EVERY == 0 if anchor is None else anchor)
-    near = _tiles(asked, rows, ["label", "dim"]).repartition(tasks, "label", "dim", "a", "b").groupBy("label", "dim", "a", "b").applyInArrow(trimmed_table(_positive_tile), _FOUND)
+    near = _tiles(asked, rows, ["label", "dim"]).repartition(tasks, "label", "dim", "a", "b").groupBy("label", "dim", "a", "b").applyInArrow(trimmed_group(_positive_tile), _FOUND)
     positives = materialize(_by_anchor(near, tasks).mapInArrow(trimmed(_first_positives), "anchor bigint, anchor_id bigint, scores array<bigint>, ids array<bigint>"))
     opened = asked.join(positives.select(F.col("anchor").alias("row"), "scores"), "row")
-    hard = _tiles(opened, rows, ["dim"]).repartition(tasks, "dim", "a", "b").groupBy("dim", "a", "b").applyInArrow(trimmed_table(_negative_tile), _FOUND)
+    hard = _tiles(opened, rows, ["dim"]).repartition(tasks, "dim", "a", "b").groupBy("dim", "a", "b").applyInArrow(trimmed_group(_negative_tile), _FOUND)
 
     def again(batches):
         for batch in batches:
@@ -222,17 +222,6 @@ def mine(vectors: DataFrame, label: Column | None = None, anchor: Column | None
     return _by_anchor(both, tasks).mapInArrow(trimmed(_windows), _MINED)
 
 
-def trimmed_table(f):
-    """trimmed() for a function of one group."""
-
-    def run(t: pa.Table) -> pa.Table:
-        out = f(t)
-        pa.default_memory_pool().release_unused()
-        return out
-
-    return run
-
-
 def relabelled() -> Column:
     """The query's labels: where vec_id is divisible by 7, the next of ten."""
     return F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, byte_chunks, connected_components, labels, materialize, mix, partitions, seeded, shingle_sets, trimmed
+from .common import U64, byte_chunks, connected_components, labels, materialize, mix, partitions, seeded, shingle_sets, trimmed, trimmed_group
 from .embedding_dedup import forest
 
 WIDTH, PERCENT, ORDERS = 5, 80, 3
@@ -40,10 +40,10 @@ CLASS = 1 << 24
 BROADCAST = 1 << 22
 #: Entities among a task's next PART_BYTES of text that hold a shingle, from which one copy of it stands for all; the rank
 #: of such shingles.
-OFTEN, LAST = 64, 255
-PART_BYTES = 8 << 20
+OFTEN, LAST = 32, 255
+PART_BYTES = 4 << 20
 #: Shingles of a bucket, which is a task's, at most about.
-TASK_SHINGLES = 8 << 20
+TASK_SHINGLES = 4 << 20
 _ORDER = seeded(ORDERS, 11)
 
 
@@ -166,7 +166,7 @@ def shared_shingles(cut: DataFrame, tasks: int) -> DataFrame:
             rows.append((int(number[x]), joined["entities"][who[mine]].tobytes(), joined["sizes"][who[mine]].tobytes(), (ends[mine + 1] - ends[mine]).astype(np.int32).tobytes(), tokens[cells].tobytes(), rank[cells].tobytes()))
         return pa.table({"target": pa.array([r[0] for r in rows], pa.int32())} | {c: pa.array([r[k] for r in rows], pa.binary()) for k, c in enumerate((*_PARTS[2:6], "ranks"), 1)})
 
-    return cut.repartition(tasks, "bucket").groupBy("bucket", "settled").applyInArrow(tell, "target int, entities binary, sizes binary, counts binary, tokens binary, ranks binary")
+    return cut.repartition(tasks, "bucket").groupBy("bucket", "settled").applyInArrow(trimmed_group(tell), "target int, entities binary, sizes binary, counts binary, tokens binary, ranks binary")
 
 
 def once(docs: DataFrame, named: DataFrame, broadcast: int = BROADCAST):
@@ -199,7 +199,7 @@ def candidates(shared: DataFrame, tasks: int) -> DataFrame:
                 out.append((int(owner[a]), n, k, tokens[a:b].tobytes(), ranks[a:b].tobytes()))
         return pa.table({c: pa.array([r[x] for r in out], pa.int64() if x < 3 else pa.binary()) for x, c in enumerate(("entity", "n", "k", "tokens", "ranks"))})
 
-    return shared.repartition(tasks, "target").groupBy("target").applyInArrow(gather, "entity bigint, n bigint, k bigint, tokens binary, ranks binary")
+    return shared.repartition(tasks, "target").groupBy("target").applyInArrow(trimmed_group(gather), "entity bigint, n bigint, k bigint, tokens binary, ranks binary")
 
 
 def prefix(tokens: np.ndarray, ranks: np.ndarray, k: int, order: int) -> np.ndarray:
@@ -301,7 +301,7 @@ def linked(found: DataFrame, block: int = BLOCK) -> DataFrame:
         return pa.table({c: pa.array([row[x] for row in out], pa.int64()) for x, c in enumerate(("a", "b"))})
 
     wanted = tiles.select("entity", "n", "k", "tokens", "ranks", "family", "block", "low", "high", "task", "large")
-    return wanted.groupBy("large", "task", "low", "high").applyInArrow(tile, "a bigint, b bigint")
+    return wanted.groupBy("large", "task", "low", "high").applyInArrow(trimmed_group(tile), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
