@@ -329,7 +329,7 @@ def elements(pages: DataFrame) -> DataFrame:
 
 def templates(found: DataFrame) -> DataFrame:
     """(place): the elements that recur over MANY contents of their host, and SHARE of its contents."""
-    contents = found.select("host", "place", "content").distinct().groupBy("host", "place").agg(F.count("*").alias("n"))
+    contents = materialize(found.select("host", "place", "content").distinct().groupBy("host", "place").agg(F.count("*").alias("n")))
     total = contents.where("place is null").select("host", F.col("n").alias("total"))  # a row a host
     return contents.where(F.col("place").isNotNull() & (F.col("n") >= MANY)).join(total, "host").where(F.col("n") >= SHARE * F.col("total")).select("place")
 
