@@ -30,6 +30,8 @@ from .common import trimmed
 
 LENGTH, SEGMENTS = 2048, 256
 POOL, REST = 2048, 512
+#: Pieces that leave a task at once: with their ids some megabytes, in the worker and again in its executor.
+SENT = 512
 END = 1
 #: What the limit on loss-bearing tokens leaves above their mean share.
 ROOM = 0.02
@@ -172,7 +174,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, segments: int = SEGME
 
         for doc, got in tokens.encoded(watched(), path, False, END):
             packer.add(doc, got, shares.pop())
-            if len(packer.out) >= 4096:
+            if len(packer.out) >= SENT:
                 yield out()
         packer.finish()
         yield out()
