@@ -70,7 +70,8 @@ STAGES = [
     ("benchmark decontamination", unseen),
     ("packing", packed),
 ]
-#: SQL can neither train the classifier nor encode with a tokenizer; tests/llm holds the stages against brute force.
+#: SQL can neither train the classifier nor encode with a tokenizer; tests/llm holds the near-duplicate stage against brute
+#: force, the classifier and line dedup by their operators' own tests, and all stages on odd rows.
 ORACLE_SQL = None
 
 
