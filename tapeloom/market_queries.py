@@ -12,7 +12,7 @@ from .functions import scalars, symbols, validate
 from .operators import candles as cd
 from .operators import dedup, latest, liveness, mapping, sequence
 from .paths import materialize, work_dir
-from .plans import workloads
+from .plans import by_symbol, workloads
 from .sources import frames as fr
 from .sources import sinks, tables
 
@@ -499,16 +499,22 @@ wk AS (SELECT *, max(ts_us) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING
 ga AS (SELECT *, coalesce(ts_us >= max(ts_us) OVER (PARTITION BY symbol, kind ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS ok FROM good)"""
 
 
-@query(f"""WITH TAPE, {_CLEAN} SELECT symbol, arg_max(price, (ts_us, seq)) FILTER (kind = 'trade') AS last_price, arg_max(bid_price, (ts_us, seq)) FILTER (kind = 'quote') AS last_bid,
- coalesce(sum(volume) FILTER (kind = 'trade' AND ok), 0) AS total_volume FROM ga GROUP BY symbol""")
+_STATE = f"""WITH TAPE, {_CLEAN} SELECT symbol, arg_max(price, (ts_us, seq)) FILTER (kind = 'trade') AS last_price, arg_max(bid_price, (ts_us, seq)) FILTER (kind = 'quote') AS last_bid,
+ coalesce(sum(volume) FILTER (kind = 'trade' AND ok), 0) AS total_volume FROM ga GROUP BY symbol"""
+
+
+@query(_STATE)
 def job_market_state(spark, d):
     clean = workloads.clean_tape(tables.frames(spark, d), LATENESS, chunk=CHUNK)
     return workloads.market_state(clean.events, CHUNK).select("symbol", F.col("last_trade.price").alias("last_price"), F.col("last_quote.bid_price").alias("last_bid"), "total_volume")
 
 
-@query(f"""WITH TAPE, {_CLEAN}, {_TF}, c AS (SELECT symbol, timeframe, any_value(room) AS room, ts_us // 1000000 // step * step AS start_s, arg_min(price, (ts_us, seq)) AS open, arg_max(price, (ts_us, seq)) AS close, sum(volume) AS volume
+_KEPT = f"""WITH TAPE, {_CLEAN}, {_TF}, c AS (SELECT symbol, timeframe, any_value(room) AS room, ts_us // 1000000 // step * step AS start_s, arg_min(price, (ts_us, seq)) AS open, arg_max(price, (ts_us, seq)) AS close, sum(volume) AS volume
  FROM good, tf WHERE kind = 'trade' GROUP BY symbol, timeframe, ts_us // 1000000 // step * step), n AS (SELECT *, row_number() OVER (PARTITION BY symbol, timeframe ORDER BY start_s DESC) - 1 AS n FROM c)
-SELECT symbol, timeframe, start_s, open, close, volume, n > 0 AS is_closed FROM n WHERE n <= room""")
+SELECT symbol, timeframe, start_s, open, close, volume, n > 0 AS is_closed FROM n WHERE n <= room"""
+
+
+@query(_KEPT)
 def job_candles(spark, d):
     clean = workloads.clean_tape(tables.frames(spark, d), LATENESS, chunk=CHUNK)
     return workloads.candle_tables(clean.events).select("symbol", "timeframe", _start(), "open", "close", "volume", "is_closed")
@@ -517,3 +523,38 @@ def job_candles(spark, d):
 @query(f"WITH TAPE, {_CLEAN} SELECT symbol, count(*)::BIGINT AS n FROM wk WHERE ts_us < wm GROUP BY symbol")
 def job_late_events(spark, d):
     return workloads.clean_tape(tables.frames(spark, d), LATENESS, chunk=CHUNK).late.groupBy("symbol").agg(F.count("*").alias("n"))
+
+
+# --- the tape by symbol ----------------------------------------------------------------------------------------------
+
+
+def _by_symbol(spark: SparkSession, d: str, **more) -> by_symbol.SymbolTape:
+    return by_symbol.store(tables.stored_tape(spark, d), LATENESS, CHUNK, **more)
+
+
+@query(_STATE)
+def tape_by_symbol_state(spark, d):
+    """As job_market_state, from the tape in buckets of symbols."""
+    return _by_symbol(spark, d).state().select("symbol", F.col("last_trade.price").alias("last_price"), F.col("last_quote.bid_price").alias("last_bid"), "total_volume")
+
+
+@query(_KEPT)
+def tape_by_symbol_candles(spark, d):
+    return _by_symbol(spark, d).candles().select("symbol", "timeframe", _start(), "open", "close", "volume", "is_closed")
+
+
+@query(f"WITH TAPE, {_CLEAN.replace('OVER (ORDER BY seq ROWS', 'OVER (PARTITION BY symbol ORDER BY seq ROWS')} SELECT symbol, count(*)::BIGINT AS n FROM wk WHERE ts_us < wm GROUP BY symbol")
+def tape_by_symbol_late(spark, d):
+    """Events behind their own symbol's watermark."""
+    return _by_symbol(spark, d, per_symbol=True).late().groupBy("symbol").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH TAPE, WATCH, {_CLEAN}, seen AS (SELECT symbol, max(recv_us) AS t FROM good GROUP BY symbol), x AS (SELECT symbol, recv_us + 36000000000 AS a, lead(recv_us) OVER (PARTITION BY symbol ORDER BY recv_us, seq) AS b FROM good WHERE symbol IN (FROM watch)),
+i AS (SELECT symbol, count(*)::BIGINT AS n_stale FROM x WHERE b IS NULL OR a < b GROUP BY symbol)
+SELECT coalesce(w.symbol, s.symbol) AS symbol, CASE WHEN w.symbol IS NULL THEN 'Untracked' WHEN s.t IS NULL THEN 'NeverSeen' WHEN {NOW_US} - s.t >= 10000000000 THEN 'Stale' ELSE 'Active' END AS status, coalesce(n_stale, 0) AS n_stale
+ FROM watch w FULL JOIN seen s ON w.symbol = s.symbol LEFT JOIN i ON i.symbol = coalesce(w.symbol, s.symbol)""")
+def tape_by_symbol_liveness(spark, d):
+    """The watched symbols' status, and how often each was stale."""
+    tape, watch = _by_symbol(spark, d), _watch(spark)
+    often = tape.stale_intervals(watch, 36_000.0, DAY).groupBy("symbol").agg(F.count("*").alias("n_stale"))
+    return tape.status(watch, _now(), 10_000.0).join(often, "symbol", "left").select("symbol", "status", F.coalesce("n_stale", F.lit(0)).alias("n_stale"))

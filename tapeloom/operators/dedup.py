@@ -23,15 +23,19 @@ def _key(signed_zero: str) -> list:
     return ["symbol", "ts", *((F.col(c).cast("string") if signed_zero == "distinct" else F.col(c)) for c in SIDES)]
 
 
-def mark_duplicates(tape: DataFrame, signed_zero: str = "distinct") -> DataFrame:
-    """tape with is_duplicate: a quote that came before with the same symbol, sides and time."""
+def mark_duplicates(tape: DataFrame, signed_zero: str = "distinct", together: bool = False) -> DataFrame:
+    """tape with is_duplicate: a quote that came before with the same symbol, sides and time. together: trades pass the same
+    window, so rows that lie together by symbol stay where they are; else they pass none."""
+    if together:
+        place = F.row_number().over(Window.partitionBy("kind", *_key(signed_zero)).orderBy("seq"))
+        return tape.withColumn("is_duplicate", (F.col("kind") == "quote") & (place > 1))
     quotes = tape.where("kind = 'quote'")
     first = F.row_number().over(Window.partitionBy(*_key(signed_zero)).orderBy("seq")) > 1
     return quotes.withColumn("is_duplicate", first).unionByName(tape.where("kind != 'quote'").withColumn("is_duplicate", F.lit(False)))
 
 
-def dedup_quotes(tape: DataFrame, signed_zero: str = "distinct") -> DataFrame:
-    return mark_duplicates(tape, signed_zero).where("not is_duplicate").drop("is_duplicate")
+def dedup_quotes(tape: DataFrame, signed_zero: str = "distinct", together: bool = False) -> DataFrame:
+    return mark_duplicates(tape, signed_zero, together).where("not is_duplicate").drop("is_duplicate")
 
 
 class Remembered:
