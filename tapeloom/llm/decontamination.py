@@ -7,8 +7,9 @@ shingle. A document contains an item if it holds at least LEAST percent of the i
 Items are partitioned by size: band i has the items of up to 2**i shingles. An item's sketch are its smallest MinHash
 values, as many as its band's largest size may miss and one more, so no document that contains the item can miss them
 all: the search loses nothing. A band also says how many shingles a document must have at least. Documents keep only
-hashes up to the largest value in the sketches of the bands that they are large enough for, and meet the sketches by one
-join. What meets is verified by the shingles themselves: the items' shingles of each candidate pair are looked for in the
+hashes up to the largest value in the sketches of the bands that they are large enough for, of these only such whose bit is
+set in a Bloom filter of the sketches' values (one hash, a word of 64 bits for each value, FILTER_WORDS at most), and meet
+the sketches by one join. What meets is verified by the shingles themselves: the items' shingles of each candidate pair are looked for in the
 candidate. Sketches and the items' shingles are broadcast within bounds of rows and bytes that are checked for each, else
 joined by shuffles.
 
@@ -28,6 +29,8 @@ LEAST = 80
 BROADCAST_ROWS = 500_000
 #: Bytes of the items' shingles as text that may be broadcast, besides no more than BROADCAST_ROWS of them.
 BROADCAST_BYTES = 32 << 20
+#: Words of 64 bits that the filter has at most, 16 MB; where there are more sketch values, more hashes pass in vain.
+FILTER_WORDS = 1 << 21
 
 
 def words(text: Column) -> Column:
@@ -66,6 +69,31 @@ def sketches(items: DataFrame) -> DataFrame:
     return sized.select("item_id", least.alias("band_least"), F.explode(F.slice(F.array_sort("hs"), 1, keep)).alias("h"))
 
 
+def _filter_words(rows: int) -> int:
+    return min(FILTER_WORDS, 1 << max(0, rows - 1).bit_length())
+
+
+def bit_filter(found: DataFrame, words: int) -> DataFrame:
+    """One row with words, an array of that many longs (a power of two) with the bit of each h of found set: the word by the
+    low bits of h, the bit in it by the six above the low 21."""
+    bits = found.select(F.col("h").bitwiseAND(F.lit(words - 1)).alias("word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 21) & 63 as int))").alias("bits"))
+    none = found.sparkSession.range(words).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+    made = bits.unionByName(none).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    return made.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("words"))
+
+
+def near(docs: DataFrame, found: DataFrame, bands: list) -> DataFrame:
+    """(doc_id, size, h): the hashes of documents that may be in the sketches found; bands holds (band_least, highest, n)."""
+    hashes = split(docs, "doc_id").select("doc_id", shingles(F.col("w"), hashed).alias("hs")).withColumn("size", F.size("hs"))
+    # never null, and exploded as outer: filters for nulls and empty arrays, which Spark would put below, make all hashes again
+    reach = F.coalesce(F.greatest(F.lit(None).cast("long"), *(F.when(F.col("size") >= r.band_least, F.lit(r.highest)) for r in bands)), F.lit(-(2**63)))
+    words = _filter_words(sum(r.n for r in bands))
+    low = hashes.withColumn("reach", reach).select("doc_id", "size", "reach", F.explode_outer("hs").alias("h"))
+    word = F.get(bit_filter(found, words).scalar(), F.col("h").bitwiseAND(F.lit(words - 1)).cast("int"))
+    low = low.where("h <= reach").withColumn("_word", word)
+    return low.where("shiftright(_word, cast(shiftrightunsigned(h, 21) & 63 as int)) & 1 = 1").select("doc_id", "size", "h")
+
+
 def contained(docs: DataFrame, items: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_found) for each document and item that it contains."""
     if least < LEAST:
@@ -77,11 +105,8 @@ def contained(docs: DataFrame, items: DataFrame, least: int = LEAST) -> DataFram
     bands = found.groupBy("band_least").agg(F.max("h").alias("highest"), F.count("*").alias("n")).collect()
     if not bands:
         return docs.join(items, F.lit(False)).select("doc_id", "item_id", F.lit(0).cast("long").alias("n_shingles"), F.lit(0).cast("long").alias("n_found"))
-    hashes = split(docs, "doc_id").select("doc_id", shingles(F.col("w"), hashed).alias("hs")).withColumn("size", F.size("hs"))
-    reach = F.greatest(F.lit(None).cast("long"), *(F.when(F.col("size") >= r.band_least, F.lit(r.highest)) for r in bands))
-    low = hashes.withColumn("reach", reach).select("doc_id", "size", F.explode(F.filter("hs", lambda h: h <= F.col("reach"))).alias("h"))
     sent = F.broadcast if sum(r.n for r in bands) <= BROADCAST_ROWS else (lambda df: df)
-    pairs = materialize(low.join(sent(found), "h").where("size >= band_least").select("doc_id", "item_id").distinct())
+    pairs = materialize(near(docs, found, bands).join(sent(found), "h").where("size >= band_least").select("doc_id", "item_id").distinct())
     # exact: the shingles of the candidates' items as text, looked for in the candidates
     asked = split(items.where("item_id is not null"), "item_id").select("item_id", F.array_distinct(shingles(F.col("w"), spelled)).alias("asked"))
     asked = materialize(asked.distinct().select("item_id", F.size("asked").cast("long").alias("n_shingles"), F.explode("asked").alias("g")))

@@ -209,3 +209,21 @@ def test_pipeline_stages(spark):
         else:
             pieces = after.collect()
             assert {r.doc_id for r in pieces} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_few_hashes_pass_the_filter(spark):
+    """Of all shingles' hashes at most one in twenty is sent to meet the sketches, and none of the sketches' own is lost."""
+    from tapeloom.llm import decontamination as dc
+
+    docs, items = (spark.read.parquet(f"{DATA}/{name}.parquet") for name in ("documents", "benchmark"))
+    found = dc.sketches(items).distinct()
+    bands = found.groupBy("band_least").agg(F.max("h").alias("highest"), F.count("*").alias("n")).collect()
+    sent = dc.near(docs.where("doc_id is not null"), found, bands)
+    every = dc.split(docs, "doc_id").select("doc_id", F.explode(dc.shingles(F.col("w"), dc.hashed)).alias("h"))
+    assert sent.count() * 20 <= every.count()
+    own = lambda df: df.join(found.select("h").distinct(), "h", "left_semi").where("doc_id is not null").distinct().count()
+    least = min(r.band_least for r in bands)
+    long = every.groupBy("doc_id").count().where(F.col("count") >= least).select("doc_id")
+    assert own(sent.select("doc_id", "h")) <= own(every.join(long, "doc_id"))
+    plan = sent._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "MapInArrow" not in plan
