@@ -217,13 +217,14 @@ def test_few_hashes_pass_the_filter(spark):
     from tapeloom.llm import decontamination as dc
 
     docs, items = (spark.read.parquet(f"{DATA}/{name}.parquet") for name in ("documents", "benchmark"))
-    found = dc.sketches(items).distinct()
+    found = dc.materialize(dc.sketches(items).distinct())
     bands = found.groupBy("band_least").agg(F.max("h").alias("highest"), F.count("*").alias("n")).collect()
-    sent = dc.near(docs.where("doc_id is not null"), found, bands)
-    every = dc.split(docs, "doc_id").select("doc_id", dc.shingles(F.col("w"), dc.hashed).alias("hs"))
+    planned = dc.near(docs.where("doc_id is not null"), found, bands)
+    sent = dc.materialize(planned)
+    every = dc.materialize(dc.split(docs, "doc_id").select("doc_id", dc.shingles(F.col("w"), dc.hashed).alias("hs")))
     every = every.select("doc_id", F.size("hs").alias("size"), F.explode("hs").alias("h"))
     assert sent.count() * 20 <= every.count()
     meets = every.where("doc_id is not null").join(found, "h").where("size >= band_least")
     assert meets.count() and not meets.join(sent, ["doc_id", "h"], "left_anti").count()
-    plan = sent._jdf.queryExecution().executedPlan().toString()
+    plan = planned._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" not in plan and "MapInArrow" not in plan
