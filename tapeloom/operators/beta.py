@@ -16,6 +16,12 @@ def index_returns(candles: DataFrame, index: str) -> DataFrame:
     return candles.where(F.col("symbol") == index).select("timeframe", "start_time", (F.col("close") / F.lag("close").over(w) - 1).alias("ret_index"))
 
 
+def market_returns(closes: DataFrame) -> DataFrame:
+    """(start_time, ret_index) of closes(start_time, close): a row a period, which one task puts in order."""
+    w = Window.partitionBy(F.lit(0)).orderBy("start_time")
+    return closes.select("start_time", (F.col("close") / F.lag("close").over(w) - 1).alias("ret_index"))
+
+
 def with_beta(candles: DataFrame, index: str, lookback: int = LOOKBACK, min_pairs: int = MIN_PAIRS) -> DataFrame:
     """candles, which need ret_1, with ret_index, rel_ret and beta over the last lookback bars; beta is null with fewer than
     min_pairs pairs of returns, or if the index didn't move. The join is on (timeframe, start_time): an index has one bar

@@ -36,6 +36,17 @@ def candles(trades: DataFrame, timeframe: str = "M1", mode: str = "arrival", chu
     return _shaped(made, timeframe)
 
 
+def closes(trades: DataFrame, timeframe: str) -> DataFrame:
+    """(start_time, close) of event-time bars of all trades together, whose seq is a struct that begins with a number. The trades
+    that are last by time and that number are found by a hash aggregate of a row a bar; the whole seq decides between them."""
+    first = trades.schema["seq"].dataType.fieldNames()[0]
+    rows = trades.withColumn("start_time", _bucket(F.col("ts"), TIMEFRAMES[timeframe][0]))
+    rows = rows.withColumn("_place", time_place(rows.withColumn("seq", F.col(f"seq.{first}")), F.coalesce(F.col(f"seq.{first}"), F.lit(-1).cast("long"))))
+    newest = rows.groupBy("start_time").agg(F.max("_place").alias("_place"))
+    last = rows.join(F.broadcast(newest), ["start_time", "_place"])
+    return last.groupBy("start_time").agg(F.max_by("price", F.struct("ts", "seq")).alias("close"))
+
+
 def _shaped(made: DataFrame, timeframe: str) -> DataFrame:
     end = F.timestamp_seconds(F.unix_seconds("start_time") + TIMEFRAMES[timeframe][0])
     return made.select("symbol", F.lit(timeframe).alias("timeframe"), "start_time", end.alias("end_time"), "open", "high", "low", "close", "volume", "first_seq")

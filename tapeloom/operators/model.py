@@ -19,18 +19,23 @@ UP, FLAT, DOWN = 2.0, 1.0, 0.0
 
 
 def with_label(df: DataFrame, horizon: int = HORIZON, threshold: float = THRESHOLD) -> DataFrame:
-    """df with future_ret, the return over the next horizon bars, and label: up, flat or down; both null at the end."""
-    ahead = F.lead("close", horizon).over(Window.partitionBy("symbol").orderBy("start_time")) / F.col("close") - 1
-    out = df.withColumn("future_ret", ahead)
+    """df with future_ret, the return over the next horizon bars, and label: up, flat or down; both null at the end. Where
+    df has ahead_close, the close that many bars later, no window is needed."""
+    later = F.col("ahead_close") if "ahead_close" in df.columns else F.lead("close", horizon).over(Window.partitionBy("symbol").orderBy("start_time"))
+    out = df.withColumn("future_ret", later / F.col("close") - 1)
     r = F.col("future_ret")
     return out.withColumn("label", F.when(r > threshold, UP).when(r < -threshold, DOWN).when(r.isNotNull(), FLAT))
 
 
 def split_by_time(df: DataFrame, share: float = 0.8, horizon: int = HORIZON) -> DataFrame:
     """df with part: train, test, or embargo for the last horizon bars of each symbol before the cut, whose labels see
-    beyond it. The cut is the share's quantile of the times."""
+    beyond it. The cut is the share's quantile of the times. df is read twice; where it has ahead_time, the time that many bars
+    later, no window is needed: a bar is among the last ones if that is not before the cut."""
     cut = df.agg(F.percentile(F.unix_seconds("start_time"), share).alias("_cut"))  # over the distinct times, which are few
     out = df.crossJoin(F.broadcast(cut)).withColumn("_test", F.unix_seconds("start_time") >= F.col("_cut"))  # one row
+    if "ahead_time" in df.columns:
+        ends = ~F.coalesce(F.unix_seconds("ahead_time") < F.col("_cut"), F.lit(False))
+        return out.withColumn("part", F.when(F.col("_test"), "test").when(ends, "embargo").otherwise("train")).drop("_cut", "_test")
     back = F.row_number().over(Window.partitionBy("symbol", "_test").orderBy(F.desc("start_time")))
     return out.withColumn("part", F.when(F.col("_test"), "test").when(back <= horizon, "embargo").otherwise("train")).drop("_cut", "_test")
 

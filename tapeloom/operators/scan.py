@@ -14,12 +14,12 @@ LEVEL = 4096
 _AGGREGATE = {"max": F.max, "sum": F.sum}
 
 
-def time_place(df: DataFrame) -> Column:
-    """What orders the rows of df by (ts, seq). A bigint seq goes with the time into one decimal, so that min_by and max_by
+def time_place(df: DataFrame, seq: Column | None = None) -> Column:
+    """What orders the rows of df by (ts, seq); seq may stand for the column. A bigint seq goes with the time into one decimal, so that min_by and max_by
     keep fixed-size buffers and Spark aggregates by hash; a struct would make it sort."""
     if isinstance(df.schema["seq"].dataType, T.LongType):
         wide = lambda c: c.cast("decimal(38,0)")
-        return wide(wide(F.unix_micros("ts")) * wide(F.lit(_SHIFT))) + wide(F.col("seq"))
+        return wide(wide(F.unix_micros("ts")) * wide(F.lit(_SHIFT))) + wide(F.col("seq") if seq is None else seq)
     return F.struct("ts", "seq")
 
 

@@ -10,13 +10,12 @@ from .operators import beta as bt
 from .operators import candles as cd
 from .operators import indicators as ind
 from .operators import model as md
+from .operators import series as sr
 from .operators import signals as sg
 from .paths import materialize
 from .sources import tables
 
 INDEX = "S1"
-#: The index of the hourly bars.
-MARKET = "IX"
 FEATURES = ["ret_1", "ret_5", "ret_20", "dist_10", "dist_50", "slope_20", "std_20", "bb_pct", "vol_z", "rsi_14", "macd_hist", "rel_ret"]
 _C = f"""{_LI}, c AS (SELECT symbol, s // 86400 * 86400 AS start_s, arg_min(price, (s, o)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (s, o)) AS close, sum(volume) AS volume FROM li GROUP BY symbol, s // 86400),
 r AS (SELECT *, close / lag(close) OVER b - 1 AS ret_1 FROM c WINDOW b AS (PARTITION BY symbol ORDER BY start_s))"""
@@ -62,7 +61,7 @@ def _windowed_sql() -> str:
 
 @query(_windowed_sql())
 def indicators_windowed(spark, d):
-    return ind.windowed(_daily(spark, d)).select(*_key(), *_r(*_W))
+    return sr.with_indicators(tables.heavy_trades(spark, d), "D1", _W).select(*_key(), *_r(*_W))
 
 
 _REC = ("ema_12", "ema_26", "macd", "macd_signal", "macd_hist", "rsi_14", "atr_14")
@@ -88,13 +87,13 @@ _RSI = "CASE WHEN n >= 15 THEN CASE WHEN down > 0 THEN 100 - 100 / (1 + up / dow
 SELECT symbol, start_s, round(e12, 6) AS ema_12, round(e26, 6) AS ema_26, round(e12 - e26, 6) AS macd, round(sig, 6) AS macd_signal, round(e12 - e26 - sig, 6) AS macd_hist,
  round({_RSI}, 6) AS rsi_14, round(CASE WHEN n >= 14 THEN tr END, 6) AS atr_14 FROM t""")
 def indicators_recursive(spark, d):
-    return ind.recursive(_daily(spark, d)).select(*_key(), *_r(*_REC))
+    return sr.with_indicators(tables.heavy_trades(spark, d), "D1", list(_REC)).select(*_key(), *_r(*_REC))
 
 
 @query(f"WITH {_B} SELECT symbol, start_s, round(ret_index, 6) AS ret_index, round(ret_1 - ret_index, 6) AS rel_ret, round(beta, 6) AS beta FROM bb")
 def beta(spark, d):
-    out = bt.with_beta(ind.windowed(_bars(spark, d)), INDEX)
-    return out.select(*_key(), *_r("ret_index", "rel_ret", "beta"))
+    names = ["ret_index", "rel_ret", "beta"]
+    return sr.with_indicators(tables.heavy_trades(spark, d), "D1", names, _index(spark, d)).select(*_key(), *_r(*names))
 
 
 @query(f"""WITH {_B}, k AS (SELECT symbol, arg_max(beta, start_s) FILTER (beta IS NOT NULL) AS beta, arg_max(close, start_s) AS entry FROM bb GROUP BY symbol),
@@ -102,7 +101,7 @@ g AS (SELECT *, CASE WHEN round(beta, 6) < 1 THEN 'safe' WHEN round(beta, 6) <=
 SELECT symbol, risk_class, round(entry * (1 + CASE risk_class WHEN 'safe' THEN 0.12::DOUBLE WHEN 'medium' THEN 0.15::DOUBLE WHEN 'risky' THEN 0.20::DOUBLE END), 6) AS take_profit,
  round(entry * (1 + CASE risk_class WHEN 'safe' THEN -0.03::DOUBLE WHEN 'medium' THEN -0.05::DOUBLE WHEN 'risky' THEN -0.07::DOUBLE END), 6) AS stop_loss FROM g""")
 def risk_classes(spark, d):
-    got = bt.with_beta(ind.windowed(_bars(spark, d)), INDEX)
+    got = sr.with_indicators(tables.heavy_trades(spark, d), "D1", ["close", "beta"], _index(spark, d))
     last = got.groupBy("symbol").agg(F.max_by("beta", F.when(F.col("beta").isNotNull(), F.col("start_time"))).alias("beta"), F.max_by("close", "start_time").alias("entry"))
     last = last.withColumn("risk_class", bt.risk_class(F.round("beta", 6)))
     tp, sl = bt.levels(F.col("entry"), F.col("risk_class"))
@@ -117,9 +116,13 @@ def labels_and_split(spark, d):
     return md.split_by_time(md.with_label(_bars(spark, d))).select(*_key(), "label", "part")
 
 
-def _features(spark: SparkSession, d: str) -> DataFrame:
-    bars = _bars(spark, d)
-    return bt.feature_rows(bt.with_beta(ind.indicators(bars), INDEX), FEATURES)
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    """The index's daily returns."""
+    return bt.index_returns(cd.candles(tables.heavy_trades(spark, d).where(F.col("symbol") == INDEX), "D1", mode="event"), INDEX)
+
+
+def _features(spark: SparkSession, d: str, **more) -> DataFrame:
+    return sr.with_indicators(tables.heavy_trades(spark, d), "D1", ["close", *FEATURES], _index(spark, d), FEATURES, **more)
 
 
 @query(f"""WITH RECURSIVE {_B}, {_windowed_ctes()}, {_WALK},
@@ -131,18 +134,17 @@ def feature_rows(spark, d):
 
 @query()
 def model_scores(spark, d):
-    """A forest trained on the earlier bars scores the later ones."""
-    rows = md.split_by_time(md.with_label(_features(spark, d).where("is_valid")))
+    """A forest trained on the earlier bars scores the later ones. The features are a table, which the split, the forest and the
+    scores read."""
+    rows = md.split_by_time(md.with_label(materialize(_features(spark, d, ahead=md.HORIZON, only_valid=True))))
     model = md.train(rows.where("part = 'train' and label is not null"), FEATURES, trees=10, depth=4)
     return md.score(model, rows.where("part = 'test'")).select(*_key(), "label", "prediction", F.round("score", 6).alias("score"))
 
 
-def _hourly(spark: SparkSession, d: str) -> DataFrame:
-    """H1 bars of a tape whose prices are 40 and the logarithm of those of lineitem's trades, so that they move by hundredths
-    as shares do, not by multiples; all trades together are the index IX. Bars start between 8:00 and 14:00 at UTC+7, in and out of the session."""
-    trades = tables.heavy_trades(spark, d).withColumn("price", 40 + F.log("price"))
-    both = trades.withColumn("symbol", F.explode(F.array("symbol", F.lit(MARKET))))
-    return materialize(cd.candles(both, "H1", mode="event"))
+def _hourly_trades(spark: SparkSession, d: str) -> DataFrame:
+    """A tape whose prices are 40 and the logarithm of those of lineitem's trades, so that they move by hundredths as shares do,
+    not by multiples; all trades together are the index. Its H1 bars start between 8:00 and 14:00 at UTC+7, in and out of the session."""
+    return tables.heavy_trades(spark, d).withColumn("price", 40 + F.log("price"))
 
 
 def _signal_bars(spark: SparkSession, d: str) -> DataFrame:
@@ -150,7 +152,9 @@ def _signal_bars(spark: SparkSession, d: str) -> DataFrame:
     bars before: the probability of a rise where it predicts one, else null, as signals are for rises only. Bars that lack
     an indicator have no score; without a beta there is no class, so no level and no entry. The tape has no times of
     receipt, so a bar with less than 3 units traded stands for a stale one."""
-    rows = bt.feature_rows(bt.with_beta(ind.indicators(_hourly(spark, d)), MARKET), FEATURES).where(F.col("symbol") != MARKET)
+    trades = _hourly_trades(spark, d)
+    index = bt.market_returns(cd.closes(trades, "H1"))
+    rows = materialize(sr.with_indicators(trades, "H1", ["high", "low", "close", "volume", "beta", *FEATURES], index, FEATURES, ahead=md.HORIZON))
     rows = md.split_by_time(md.with_label(rows))
     model = md.train(rows.where("part = 'train' and is_valid and label is not null"), FEATURES, trees=10, depth=4)
     test = rows.where("part = 'test'")

@@ -1,5 +1,6 @@
 """Gates, life cycle and alerts of the registered queries against plain loops."""
 
+import random
 from datetime import timedelta
 
 from pyspark.sql import functions as F
@@ -126,3 +127,60 @@ def test_scores_are_those_of_the_trees(spark, tmp_path):
         mine = got[r.symbol, r.start_time]
         assert abs(max(total) / 10 - mine.score) < 1e-9 and mine.prediction == float(total.index(max(total)))
     assert len(got) > 20
+
+
+def test_values_in_one_pass_are_those_of_the_windows(spark, tmp_path):
+    """Bars and values of whole symbols against Spark's windows and the walk by symbol, bit by bit: symbols of one bar to many,
+    trades of one time, prices that are missing or not a number, an index that has gaps."""
+    from tapeloom.operators import beta, candles, indicators, series
+
+    r, rows = random.Random(11), []
+    for k, n in enumerate([1, 2, 19, 20, 21, 51, 130, 130, 300]):
+        at = 0
+        for j in range(n):
+            at += r.choice([0, 1, 1, 2])
+            price = None if k == 7 and j % 40 == 39 else float("nan") if k == 6 and j == 70 else r.choice([50.0, r.uniform(1, 1000)])
+            rows.append((f"S{k}", at, price, None if k == 5 and j == 7 else float(r.randrange(1, 9)), r.randrange(3), j))
+    trades = spark.createDataFrame(rows, "symbol string, day long, price double, volume double, a long, b long").select("symbol", F.timestamp_seconds(F.col("day") * 86400).alias("ts"), "price", "volume", F.struct("a", "b").alias("seq"))
+    bars = candles.candles(trades, "D1", mode="event")
+    index = beta.index_returns(bars.where("symbol = 'S8'"), "S8")
+    want = beta.with_beta(indicators.windowed(bars), "S8").join(indicators.recursive(bars), ["symbol", "start_time"])
+    names = [*sq._W, *sq._REC, "open", "high", "low", "close", "volume", "ret_index", "rel_ret", "beta"]
+    want = beta.feature_rows(want, sq.FEATURES).select("symbol", "start_time", *names, "is_valid")
+    key = lambda x: [(str(y[0]), y[1], *map(repr, y[2:])) for y in sorted(map(tuple, x), key=lambda y: y[:2])]
+    got = series.with_indicators(trades, "D1", names, index, sq.FEATURES)
+    assert key(got.collect()) == key(want.collect()) and got.where("is_valid and beta is not null").count() > 50
+    market = {x.start_time: x.close for x in candles.candles(trades.withColumn("symbol", F.lit("all")), "D1", mode="event").collect()}
+    assert key((x.start_time, 0, x.close) for x in candles.closes(trades, "D1").collect()) == key((at, 0, x) for at, x in market.items())
+
+
+def test_labels_and_parts_need_no_window(spark):
+    """What is ahead comes with the features, of the bars that are kept: labels and parts are those of the windows."""
+    from tapeloom.operators import model as md
+
+    plain = sq._features(spark, DATA).where("is_valid")
+    want = md.split_by_time(md.with_label(plain)).select("symbol", "start_time", "label", "part").collect()
+    rows = md.split_by_time(md.with_label(sq._features(spark, DATA, ahead=md.HORIZON, only_valid=True)))
+    assert sorted(map(str, rows.select("symbol", "start_time", "label", "part").collect())) == sorted(map(str, want)) and {x.part for x in want} == {"train", "embargo", "test"}
+    assert "Window" not in rows.drop("ret_index")._jdf.queryExecution().analyzed().toString().split("MapInArrow")[0]
+
+
+def test_stretches_are_of_whole_symbols():
+    import pyarrow as pa
+
+    from tapeloom.operators import series
+
+    symbols = ["A"] * 7 + ["B"] + ["C"] * 12 + [None] * 2 + ["D"] * 3
+    for size in (1, 2, 5, 25):
+        for rows in (1, 4, 9, 100):
+            batches = [pa.record_batch({"symbol": pa.array(symbols[k : k + size], pa.string()), "n": range(k, min(k + size, 25))}) for k in range(0, 25, size)]
+            got = list(series.whole_symbols(batches, rows))
+            assert [x for t, _ in got for x in t.column("n").to_pylist()] == list(range(25))
+            assert [t.column("symbol")[int(b)].as_py() for t, begins in got for b in begins] == ["A", "B", "C", None, "D"]
+
+
+def test_features_are_made_once(spark):
+    """The cut, the forest and the scores read a table: what a query gives does not make its bars again."""
+    for df in (sq._signal_bars(spark, DATA), QUERIES["model_scores"](spark, DATA)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "InPandas" not in plan and "InArrow" not in plan and "lineitem" not in str(df.inputFiles())
