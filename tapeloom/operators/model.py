@@ -40,19 +40,24 @@ def split_by_time(df: DataFrame, share: float = 0.8, horizon: int = HORIZON) ->
     return out.withColumn("part", F.when(F.col("_test"), "test").when(back <= horizon, "embargo").otherwise("train")).drop("_cut", "_test")
 
 
-def settled(rows: DataFrame, keys: tuple[str, ...] = ("symbol", "start_time")) -> DataFrame:
+def settled(rows: DataFrame, keys: tuple[str, ...] = ("symbol", "start_time"), stored: bool = False) -> DataFrame:
     """rows in partitions and an order that follow from their keys and number alone, whatever the session's settings are: by the
-    keys, the last of them descending, which is how split_by_time() leaves a small table."""
-    rows = materialize(rows)
+    keys, the last of them descending, which is how split_by_time() leaves a small table. stored: rows are some of a table's, which need not be
+    written to be read twice."""
+    rows = rows if stored else materialize(rows)
     return rows.repartition(max(1, -(-rows.count() // TRAIN_ROWS)), *keys).sortWithinPartitions(*keys[:-1], F.desc(keys[-1]))
 
 
-def train(rows: DataFrame, features: list[str], trees: int = 20, depth: int = 5, seed: int = 7, keys: tuple[str, ...] = ("symbol", "start_time")) -> PipelineModel:
+def train(rows: DataFrame, features: list[str], trees: int = 20, depth: int = 5, seed: int = 7, keys: tuple[str, ...] = ("symbol", "start_time"), stored: bool = False) -> PipelineModel:
     """A forest on rows(label, *features). Its bootstrap draws by partition and place, so rows are settled by their keys first:
-    the same rows give the same forest in every layout."""
-    rows = settled(rows.select(*keys, "label", *features), keys)
+    the same rows give the same forest in every layout. Fitting reads them several times, so they are dealt and sorted once
+    and kept until it is done, in memory as far as they fit."""
+    rows = settled(rows.select(*keys, "label", *features), keys, stored).persist()
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), forest]).fit(rows)
+    try:
+        return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), forest]).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def score(model: PipelineModel, rows: DataFrame) -> DataFrame:

@@ -137,7 +137,7 @@ def model_scores(spark, d):
     """A forest trained on the earlier bars scores the later ones. The features are a table, which the split, the forest and the
     scores read."""
     rows = md.split_by_time(md.with_label(materialize(_features(spark, d, ahead=md.HORIZON, only_valid=True))))
-    model = md.train(rows.where("part = 'train' and label is not null"), FEATURES, trees=10, depth=4)
+    model = md.train(rows.where("part = 'train' and label is not null"), FEATURES, trees=10, depth=4, stored=True)
     return md.score(model, rows.where("part = 'test'")).select(*_key(), "label", "prediction", F.round("score", 6).alias("score"))
 
 
@@ -156,7 +156,7 @@ def _signal_bars(spark: SparkSession, d: str) -> DataFrame:
     index = bt.market_returns(cd.closes(trades, "H1"))
     rows = materialize(sr.with_indicators(trades, "H1", ["high", "low", "close", "volume", "beta", *FEATURES], index, FEATURES, ahead=md.HORIZON))
     rows = md.split_by_time(md.with_label(rows))
-    model = md.train(rows.where("part = 'train' and is_valid and label is not null"), FEATURES, trees=10, depth=4)
+    model = md.train(rows.where("part = 'train' and is_valid and label is not null"), FEATURES, trees=10, depth=4, stored=True)
     test = rows.where("part = 'test'")
     scored = md.score(model, test.where("is_valid")).withColumn("score", F.when(F.col("prediction") == md.UP, F.col("score")))
     none = F.lit(None).cast("double")

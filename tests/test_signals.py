@@ -184,3 +184,17 @@ def test_features_are_made_once(spark):
     for df in (sq._signal_bars(spark, DATA), QUERIES["model_scores"](spark, DATA)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "InPandas" not in plan and "InArrow" not in plan and "lineitem" not in str(df.inputFiles())
+
+
+def test_a_forest_deals_its_rows_once(spark, monkeypatch):
+    """Fitting goes over its rows several times: they are kept for that and let go then, and rows of a table are not copied."""
+    from tapeloom.operators import model as md
+    from tapeloom.paths import materialize
+
+    rows = materialize(spark.range(3000).selectExpr("concat('S', id % 7) symbol", "timestamp_seconds(id * 3600) start_time", "double(id % 3) label", "double(id * 7919 % 101) x"))
+    fit, seen, copies = md.Pipeline.fit, [], []
+    monkeypatch.setattr(md.Pipeline, "fit", lambda self, df: (seen.append((df, df.storageLevel.useMemory)), fit(self, df))[1])
+    monkeypatch.setattr(md, "materialize", lambda df: (copies.append(df), materialize(df))[1])
+    stored, copied = (md.train(rows, ["x"], trees=3, depth=3, stored=s).stages[-1].toDebugString for s in (True, False))
+    assert [kept for _, kept in seen] == [True, True] and not any(df.storageLevel.useMemory for df, _ in seen)
+    assert len(copies) == 1 and stored.split("\n", 1)[1] == copied.split("\n", 1)[1]
