@@ -56,6 +56,11 @@ def _none(x):
     return None if pd.isna(x) else x.item() if hasattr(x, "item") else x
 
 
+def _nones(column: pd.Series) -> list:
+    """_none of each value of a column, a column at a time."""
+    return [None if x is None or x != x else x for x in column.tolist()]
+
+
 # --- in time order ---------------------------------------------------------------------------------------------------
 
 
@@ -85,15 +90,14 @@ class InTimeOrder(StatefulProcessor):
         new, ends = [], False
         for frame in rows:
             ends |= bool(frame["ends"].any())
-            own = frame[~frame["ends"].astype(bool)]
-            new += [tuple(map(_none, r)) for r in own[self.names].itertuples(index=False)]
+            own = frame[~frame["ends"].to_numpy(bool)] if ends else frame
+            new += zip(*(_nones(own[c]) for c in self.names), strict=True)
         if ends:
             yield self._frame(self.walk(key, sorted([*map(tuple, self.waiting.get()), *new], key=lambda r: r[0])))
             self.waiting.clear()
         elif new:
             self.waiting.appendList(new)
             self.handle.registerTimer(-(-min(r[0] for r in new) // 1000))
-            yield self._frame([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
@@ -105,7 +109,8 @@ class InTimeOrder(StatefulProcessor):
             self.handle.registerTimer(-(-rest[0][0] // 1000))
         out = self.walk(key, ready)
         self.passed(mark)
-        yield self._frame(out)
+        if out:
+            yield self._frame(out)
 
     def passed(self, mark: int) -> None:
         """What else is over when the watermark, in microseconds, has come that far."""
