@@ -30,7 +30,8 @@ def running(df: DataFrame, value: Column, out: str, order: str, keys: tuple[str,
     With chunk the rows of a key are cut where order passes a multiple of it. Each cut's value, one row, is carried over the
     later ones, so neither one hot key nor a whole feed is sorted in one task; where the cuts of a key are more than LEVEL,
     they are cut in the same way. Maximum and sum are associative, so the result is the same for every chunk. The cuts'
-    values are a small table that is made at once, from df's value, order and keys alone; df itself is not copied.
+    values are a small table that is made at once, from df's value, order and keys alone; df itself is not copied. What is
+    carried comes as a row before those of its cut, so the cuts' exchange is the only one, however many cuts there are.
     """
     top, last = _AGGREGATE[how], -1 if before else 0
     df = df.withColumn("_v", value)
@@ -42,12 +43,7 @@ def running(df: DataFrame, value: Column, out: str, order: str, keys: tuple[str,
     low, high = tops.agg(F.min("_chunk"), F.max("_chunk")).first()
     cut = LEVEL if low is not None and high - low >= LEVEL else None
     carry = running(tops.withColumnRenamed("_chunk", "_at"), F.col("_top"), "_from", "_at", keys, cut, True, how)
-    same = F.lit(True)
-    left, right = df.alias("l"), carry.withColumnRenamed("_at", "_chunk").alias("r")
-    for k in (*keys, "_chunk"):
-        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-    joined = left.join(right, same, "left").select("l.*", F.col("r._from").alias("_carry"))
-    w = Window.partitionBy(*keys, "_chunk").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, last)
-    own = top("_v").over(w)
-    whole = F.greatest("_carry", own) if how == "max" else F.coalesce(F.col("_carry") + own, "_carry", own)
-    return joined.withColumn(out, whole).drop("_v", "_chunk", "_carry")
+    values = carry.select(*keys, F.col("_at").alias("_chunk"), F.col("_from").alias("_v"), F.lit(True).alias("_carried"))
+    rows = df.withColumn("_carried", F.lit(False)).unionByName(values, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_chunk").orderBy(F.desc("_carried"), order, *ties).rowsBetween(Window.unboundedPreceding, last)
+    return rows.withColumn(out, top("_v").over(w)).where("not _carried").drop("_v", "_chunk", "_carried")
