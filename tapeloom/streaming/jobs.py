@@ -21,6 +21,9 @@ from ..operators.dedup import SIDES, Remembered, quote_key
 from ..operators.sequence import Sequencer
 from ..paths import work_dir
 
+#: Parts of a stream's state for each core.
+STATE_PARTS = 2
+
 
 def store_in_order(tape: DataFrame, path: str, files: int, order: str = "seq", form: str = "parquet") -> None:
     """Writes the tape as that many more files, each a range of order, by all tasks at once. A file source takes files by their
@@ -187,8 +190,16 @@ def stale_intervals(tape: DataFrame, threshold: float, delay: str = "1 second")
 
 def run(stream: DataFrame, path: str, keep: Callable[[DataFrame, int], None], mode: str) -> None:
     """Runs the stream over what there is. keep(batch, batch_id) may be called again with a batch after a failure, so it writes
-    to a place of the batch's own and replaces what is there."""
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    to a place of the batch's own and replaces what is there. A new stream's state lies in STATE_PARTS parts a core: every part
+    costs each micro-batch a task, a worker and a commit, however few rows it gets."""
+    spark = stream.sparkSession
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:  # a stream takes the session's settings with it when it starts
+        spark.conf.set("spark.sql.shuffle.partitions", min(int(was), STATE_PARTS * spark.sparkContext.defaultParallelism))
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    query.awaitTermination()
 
 
 def replace_batch(batch: DataFrame, batch_id: int, path: str) -> None:

@@ -321,28 +321,33 @@ class Remembering(StatefulProcessor):
         self.count = handle.getValueState("count", "n long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n, new, gone, out = self.count.get()[0] if self.count.exists() else 0, {}, set(), []
-        was = n
-        for seq, quote in _sorted(rows, ["seq"])[["seq", "quote"]].itertuples(index=False):
-            known = quote in new or (quote not in gone and self.quotes.containsKey((quote,)))
-            out.append((key[0], int(seq), known))
+        n, new, added, left, out = self.count.get()[0] if self.count.exists() else 0, {}, [], set(), []
+        was, rows = n, _sorted(rows, ["seq"])
+        held = rows["quote"].size >= min(n, self.capacity)  # asking for all that is remembered once costs less than asking for each row
+        kept = {q: at for (q,), (at,) in self.quotes.iterator()} if held else {}
+        placed = {at: q for q, at in kept.items()}
+        stored = kept.__contains__ if held else lambda q: self.quotes.containsKey((q,))
+        for quote in rows["quote"].tolist():
+            known = quote in new or (quote not in left and stored(quote))
+            out.append(known)
             if known:
                 continue
             if n >= self.capacity:
                 place = n - self.capacity
-                old = next((q for q, at in new.items() if at == place), None) if place >= was else self.ring.getValue((place % self.capacity,))[0]
-                new.pop(old, None)
-                gone.add(old)
+                if place >= was:
+                    new.pop(added[place - was])
+                else:
+                    left.add(placed[place] if held else self.ring.getValue((place % self.capacity,))[0])
             new[quote] = n
+            added.append(quote)
             n += 1
-        for quote in gone - new.keys():
-            if self.quotes.containsKey((quote,)):
-                self.quotes.removeKey((quote,))
+        for quote in left - new.keys():
+            self.quotes.removeKey((quote,))
         for quote, place in new.items():
             self.quotes.updateValue((quote,), (place,))
             self.ring.updateValue((place % self.capacity,), (quote,))
         self.count.update((n,))
-        yield pd.DataFrame(out, columns=["key", "seq", "is_duplicate"])
+        yield pd.DataFrame({"key": key[0], "seq": rows["seq"].to_numpy(), "is_duplicate": out})
 
     def close(self) -> None:
         pass
