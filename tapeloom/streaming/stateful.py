@@ -17,6 +17,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -199,13 +200,13 @@ class Waiting:
     removed at the end if they changed."""
 
     def __init__(self, parts, known: list[int], width: int):
-        self.parts, self.width, self.held, self.known = parts, width, {}, set(known)
+        self.parts, self.width, self.held, self.known, self.stored = parts, width, {}, set(known), frozenset(known)
         self.order = list(known)
         heapq.heapify(self.order)
 
     def _part(self, p: int) -> list[tuple]:
         if p not in self.held:
-            got = self.parts.getValue((p,)) if p in self.known else ([], [], [])
+            got = self.parts.getValue((p,)) if p in self.stored else ([], [], [])
             self.held[p] = [*zip(*got, strict=True)]  # stored as a heap, so it is one
         return self.held[p]
 
@@ -233,11 +234,22 @@ class Waiting:
             if part:
                 ts, seq, payload = zip(*part, strict=True)
                 self.parts.updateValue((p,), (list(ts), list(seq), list(payload)))
-            elif self.parts.containsKey((p,)):
+            elif p in self.stored:
                 self.parts.removeKey((p,))
         return sorted(p for p in self.known if p not in self.held or self.held[p])
 
 
+#: Columns of texts, which an empty frame, or one of nulls alone, would have as numbers.
+_TEXTS = dict.fromkeys(("key", "tag", "outcome", "payload"), object)
+
+
+def _let_out(events: list[tuple], outcome: str, release_seq) -> pd.DataFrame:
+    """Events that have waited, as rows."""
+    ts, seq, payload = zip(*events, strict=True) if events else ((), (), ())
+    frame = pd.DataFrame({"tag": "event", "seq": np.array(seq, "int64"), "us": pd.array(ts, "Int64"), "outcome": outcome, "payload": np.array(payload, object)})
+    return frame.assign(release_seq=pd.array([None] * len(events) if release_seq is None else release_seq, "Int64"))
+
+
 class Sequencing(StatefulProcessor):
     """One key's events by arrival: the outcomes of sequence.sequence_bounded, flush at the end of the session. A value holds the
     watermark, how many wait, and the numbers of the parts that they wait in. Rows whose tag is not event pass as they are."""
@@ -251,30 +263,70 @@ class Sequencing(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         mark, n, known = self.about.get() if self.about.exists() else (None, 0, [])
-        waiting, out = Waiting(self.parts, list(known), self.width), []
+        waiting, rows, out = Waiting(self.parts, list(known), self.width), _sorted(rows, ["seq"]), []
+        events, ends = (rows["tag"] == "event").to_numpy(bool), rows["ends"].to_numpy(bool)
+        us = rows["us"].to_numpy("float64", na_value=0).astype("int64") if rows["us"].dtype.kind == "f" else rows["us"].to_numpy("int64", na_value=0)
+        seqs, payloads = rows["seq"].to_numpy("int64"), rows["payload"].to_numpy(object)
+        passed = rows[~events & ~ends]
+        if len(passed):
+            out.append(passed.assign(outcome=None, release_seq=pd.array([None] * len(passed), "Int64"), us=passed["us"].astype("Int64")))
+        first = 0
+        for last in [*np.flatnonzero(ends), len(rows)]:
+            own = np.arange(first, last)[events[first:last] & ~ends[first:last]]
+            if len(own):
+                step = self._walk if self.capacity else self._stretch
+                made, mark, n = step(seqs[own], us[own], payloads[own], waiting, mark, n)
+                out.append(made)
+            if last < len(rows):
+                rest = []
+                while waiting.first():
+                    rest.append(waiting.pop())
+                out.append(_let_out(rest, "flush", None))
+                out.append(pd.DataFrame({"tag": ["end"], "seq": [seqs[last]]}))
+                mark, n = None, 0
+            first = last + 1
+        self.about.update((mark, n, waiting.store()))
+        frame = pd.concat([f for f in out if len(f)]) if any(map(len, out)) else pd.DataFrame()
+        yield frame.assign(key=key[0]).reindex(columns=["key", "tag", "seq", "us", "outcome", "release_seq", "payload"]).astype({**_TEXTS, "seq": "int64", "us": "Int64", "release_seq": "Int64"})
+
+    def _stretch(self, seq, ts, payload, waiting: Waiting, mark: int | None, n: int) -> tuple[pd.DataFrame, int, int]:
+        """What becomes of events where any number may wait: an event is let out by the first that brings the watermark to it. Only
+        those that waited before, or wait on, pass the heap."""
+        after = np.maximum.accumulate(ts - self.lag)
+        after = after if mark is None else np.maximum(after, mark)
+        late = np.zeros(len(ts), bool) if mark is None else ts < mark
+        late[1:] |= ts[1:] < after[:-1]
+        mark, held = int(after[-1]), []
+        while (head := waiting.first()) and head[0] <= mark:
+            held.append(waiting.pop())
+        by = np.maximum(np.searchsorted(after, ts), np.arange(len(ts)))
+        ready = ~late & (by < len(ts))
+        rest = np.flatnonzero(~late & ~ready)
+        for event in zip(ts[rest].tolist(), seq[rest].tolist(), map(_none, payload[rest]), strict=True):
+            waiting.push(event)
+        told = late | ready
+        own = pd.DataFrame({"tag": "event", "seq": seq[told], "us": pd.array(ts[told], "Int64"), "outcome": np.where(late[told], "late", "ready")})
+        own["release_seq"] = pd.arrays.IntegerArray(seq[np.minimum(by, len(ts) - 1)][told], late[told])
+        own["payload"] = payload[told]
+        before = _let_out(held, "ready", seq[np.searchsorted(after, [h[0] for h in held])] if held else None)
+        return pd.concat([f for f in (before, own) if len(f)] or [own]), mark, n + len(rest) - len(held)
+
+    def _walk(self, seqs, us, payloads, waiting: Waiting, mark: int | None, n: int) -> tuple[pd.DataFrame, int, int]:
+        """The same, event by event, where no more than capacity may wait."""
+        out = []
 
-        def let_out(outcome: str, seq: int | None) -> None:
+        def let_out(outcome: str, seq: int) -> None:
             ts, own, payload = waiting.pop()
-            out.append((key[0], "event", own, ts, outcome, seq, payload))
+            out.append(("event", own, ts, outcome, seq, payload))
 
-        for tag, seq, ts, payload, ends in _sorted(rows, ["seq"])[["tag", "seq", "us", "payload", "ends"]].itertuples(index=False):
-            if ends:
-                while waiting.first():
-                    let_out("flush", None)
-                mark, n = None, 0
-                out.append((key[0], "end", int(seq), None, None, None, None))
-                continue
-            if tag != "event":
-                out.append((key[0], tag, int(seq), _none(ts), None, None, payload))
-                continue
-            seq, ts, payload = int(seq), int(ts), _none(payload)
+        for seq, ts, payload in zip(seqs.tolist(), us.tolist(), map(_none, payloads), strict=True):
             if mark is not None and ts < mark:
-                out.append((key[0], "event", seq, ts, "late", None, payload))
+                out.append(("event", seq, ts, "late", None, payload))
                 continue
             waiting.push((ts, seq, payload))
             n += 1
             mark = ts - self.lag if mark is None else max(mark, ts - self.lag)
-            while self.capacity and n > self.capacity:
+            while n > self.capacity:
                 oldest = waiting.first()[0]
                 while (head := waiting.first()) and head[0] == oldest:
                     let_out("evicted", seq)
@@ -283,9 +335,8 @@ class Sequencing(StatefulProcessor):
             while (head := waiting.first()) and head[0] <= mark:
                 let_out("ready", seq)
                 n -= 1
-        self.about.update((mark, n, waiting.store()))
-        frame = pd.DataFrame(out, columns=["key", "tag", "seq", "us", "outcome", "release_seq", "payload"])
-        yield frame.astype({"us": "Int64", "release_seq": "Int64"})
+        made = pd.DataFrame(out, columns=["tag", "seq", "us", "outcome", "release_seq", "payload"])
+        return made.astype({"us": "Int64", "release_seq": "Int64"}), mark, n
 
     def close(self) -> None:
         pass
