@@ -15,7 +15,10 @@ micro-batch is sorted in memory.
 from __future__ import annotations
 
 import heapq
+import operator
 from collections.abc import Iterator
+from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -460,37 +463,39 @@ class ArrivalCandles(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(rows))
-        rows["_last"] = (rows["tag"] == "end").astype(int)
-        rows["_at"] = rows["release_seq"].astype("Int64").fillna((1 << 63) - 1)
-        rows = rows.sort_values(["_last", "_at", "us", "seq"], kind="stable")
+        trades = rows[((rows["tag"] == "event") & (rows["outcome"] != "late") & rows["price"].notna()).to_numpy(bool)]
+        trades = trades.assign(_at=trades["release_seq"].astype("Int64").fillna((1 << 63) - 1)).sort_values(["_at", "us", "seq"], kind="stable")
         seen, *now = self.open.get() if self.open.exists() else (-1, None)
-        now, out, changed = (now if now[0] is not None else []), [], False
+        now, out = (now if now[0] is not None else []), []
 
         def candle(closed: bool, by: int | None) -> None:
             out.append((key[0], "candle", *now, closed, by))
 
-        for tag, seq, us, outcome, price, volume in rows[["tag", "seq", "us", "outcome", "price", "volume"]].itertuples(index=False):
-            if tag == "end" and now:
+        if len(trades):
+            times = np.maximum(np.maximum.accumulate(trades["us"].to_numpy("int64")), seen)
+            starts, seen = times // self.step * self.step, int(times[-1])
+            seqs, prices, volumes = (trades[c].tolist() for c in ("seq", "price", "volume"))
+            cuts = [0, *(np.flatnonzero(np.diff(starts)) + 1).tolist(), len(starts)]
+            for a, b in pairwise(cuts):
+                start, high, low, volume = int(starts[a]), max(prices[a:b]), min(prices[a:b]), volumes[a:b]
+                if now and now[0] == start:
+                    now[2:6] = max(now[2], high), min(now[3], low), prices[b - 1], reduce(operator.add, volume, now[5])
+                else:
+                    if now:
+                        candle(True, int(seqs[a]))
+                    now = [start, prices[a], high, low, prices[b - 1], reduce(operator.add, volume), int(seqs[a])]
+        if (rows["tag"] == "end").any():
+            if now:
                 candle(True, None)
-                seen, now, changed = -1, [], False
-            if tag != "event" or outcome == "late" or pd.isna(price):
-                continue
-            seen, price, volume, changed = max(seen, int(us)), float(price), float(volume), True
-            start = seen // self.step * self.step
-            if now and now[0] == start:
-                now[2:6] = max(now[2], price), min(now[3], price), price, now[5] + volume
-            else:
-                if now:
-                    candle(True, int(seq))
-                now = [start, price, price, price, price, volume, int(seq)]
-        if changed and now:
+            now = []
+        elif len(trades):
             candle(False, None)
         if now:
             self.open.update((seen, *now))
         else:
             self.open.clear()
         made = pd.DataFrame(out, columns=["key", "tag", "start", "open", "high", "low", "close", "candle_volume", "first_seq", "is_closed", "closed_by_seq"])
-        passed = rows[rows["tag"] != "end"].drop(columns=["_last", "_at"])
+        passed = rows[rows["tag"] != "end"]
         both = pd.concat([passed.astype({"us": "Int64", "release_seq": "Int64"}), made.astype({"start": "Int64", "first_seq": "Int64", "closed_by_seq": "Int64"})]) if len(made) else passed
         both = both.reindex(columns=_NAMES).astype({c: "Int64" for c in ("seq", "us", "release_seq", "start", "first_seq", "closed_by_seq")})
         yield both.astype({"is_closed": "boolean"})

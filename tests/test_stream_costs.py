@@ -50,6 +50,9 @@ class Store:
     def update(self, v):
         self.rows[()] = v
 
+    def clear(self):
+        self.rows.clear()
+
 
 class Handle:
     def __init__(self):
@@ -118,3 +121,32 @@ def test_state_has_parts_by_cores(spark):
     parts = [s.getPath().getName() for s in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder) if s.getPath().getName().isdigit()]
     assert len(parts) == jobs.STATE_PARTS * spark.sparkContext.defaultParallelism
     assert spark.read.parquet(f"{path}/rows").groupBy("symbol").agg(F.max("count")).agg(F.sum("max(count)")).first()[0] == 100
+
+
+@pytest.mark.parametrize("step", [7, 40])
+def test_arrival_candles_by_column(step):
+    """Candles of whole stretches are those of a plain loop over the trades, whatever the batches, and close where it closes them."""
+    r, handle, got, want, seen, now = random.Random(step), Handle(), {}, {}, -1, None
+    for batch in range(6):
+        rows = [("A", "event", 100 * batch + k, 20 * batch + k + r.choice([0, 0, -9]), r.choice(["ready", "late"]), 100 * batch + k, "x", r.choice([1.5, 2.25, None]), r.random()) for k in range(30)]
+        for _, _, seq, us, outcome, _, _, price, volume in rows:
+            if outcome == "late" or price is None:
+                continue
+            seen = max(seen, us)
+            if now and now[0] == seen // step * step:
+                now[2:6] = max(now[2], price), min(now[3], price), price, now[5] + volume
+            else:
+                if now:
+                    want[now[0]] = (*now, True, seq)
+                now = [seen // step * step, price, price, price, price, volume, seq]
+        want[now[0]] = (*now, batch == 5, None)
+        if batch == 5:
+            rows.append(("A", "end", 10**6, None, None, None, None, None, None))
+        processor = stateful.ArrivalCandles(step)
+        processor.init(handle)
+        frame = pd.DataFrame(rows, columns=["key", "tag", "seq", "us", "outcome", "release_seq", "payload", "price", "volume"])
+        out = pd.concat(processor.handleInputRows(("A",), iter([frame.sample(frac=1, random_state=1)]), None))
+        assert (out["tag"] == "event").sum() == 30
+        for c in out[out["tag"] == "candle"][["start", "open", "high", "low", "close", "candle_volume", "first_seq", "is_closed", "closed_by_seq"]].itertuples(index=False):
+            got[c[0]] = tuple(None if pd.isna(x) else x for x in c)
+    assert got == want and not handle.made["open"].rows
