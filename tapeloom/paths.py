@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +17,8 @@ def _path(spark: SparkSession, path: str):
 
 
 _made: set[str] = set()
+#: Spark's setting by which an execution's shuffle files go when it ends. Else they stay until the driver happens to collect its garbage.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -28,13 +34,40 @@ def work_dir(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """What is executed within leaves no shuffle files behind."""
+    was = spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_TIDY, was)
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Lets shuffle files go that no DataFrame or RDD reads any more, as those of a fit, which tidy() does not reach. Python's
+    hold on the driver's objects ends in a thread of py4j's that looks once a second."""
+    gc.collect()
+    time.sleep(1.5)
+    spark._jvm.System.gc()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes the rows as a table in the shared folder and reads it: cuts lineage, survives lost executors."""
     path = f"{work_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with tidy(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_table(spark: SparkSession, name: str) -> None:
+    """Forgets a table that lies in work_dir() under its name, and deletes its files."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    path, fs = _path(spark, f"{work_dir(spark)}/{name}")
+    fs.delete(path, True)
+
+
 def forget(df: DataFrame) -> None:
     """Deletes tables that materialize() wrote and nothing reads any more; other files stay."""
     spark = df.sparkSession

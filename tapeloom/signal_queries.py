@@ -12,7 +12,7 @@ from .operators import indicators as ind
 from .operators import model as md
 from .operators import series as sr
 from .operators import signals as sg
-from .paths import materialize
+from .paths import drop_table, materialize
 from .sources import tables
 
 INDEX = "S1"
@@ -153,11 +153,15 @@ def _signal_bars(spark: SparkSession, d: str) -> DataFrame:
     an indicator have no score; without a beta there is no class, so no level and no entry. The tape has no times of
     receipt, so a bar with less than 3 units traded stands for a stale one."""
     trades = _hourly_trades(spark, d)
-    index = bt.market_returns(cd.closes(trades, "H1"))
-    rows = materialize(sr.with_indicators(trades, "H1", ["high", "low", "close", "volume", "beta", *FEATURES], index, FEATURES, ahead=md.HORIZON))
-    rows = md.split_by_time(md.with_label(rows))
-    model = md.train(rows.where("part = 'train' and is_valid and label is not null"), FEATURES, trees=10, depth=4, stored=True)
-    test = rows.where("part = 'test'")
+    index = materialize(bt.market_returns(cd.closes(trades, "H1")))
+    bars, table = sr.stored_bars(trades, "H1")
+    cut = md.cut_of(bars).first()[0]
+    values = lambda columns, later: sr.of_stored_bars(bars, columns, index, FEATURES, cut, md.HORIZON, later)
+    rows = materialize(values(["high", "low", "close", "volume", "beta", *FEATURES], True).drop("ahead_close"))
+    n = rows.agg(F.sum("n_earlier")).first()[0] or 0
+    model = md.train(md.with_label(values(["close", *FEATURES], False)), FEATURES, trees=10, depth=4, n=n)
+    drop_table(spark, table)
+    test = rows.where("n_earlier is null").drop("n_earlier")
     scored = md.score(model, test.where("is_valid")).withColumn("score", F.when(F.col("prediction") == md.UP, F.col("score")))
     none = F.lit(None).cast("double")
     rows = scored.unionByName(test.where("not is_valid").withColumns({"prediction": none, "score": none}))
