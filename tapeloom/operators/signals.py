@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .series import whole_symbols
+
 MIN_SCORE, COOLDOWN_BARS, DEBOUNCE_MINUTES = 0.75, 3, 60
 # Continuous trading in Vietnam, minutes of the day.
 SESSIONS = ((540, 690), (780, 870))
@@ -58,7 +64,7 @@ class Life:
 
 
 def life_frame(pdf: pd.DataFrame, min_score: float = MIN_SCORE, cooldown: int = COOLDOWN_BARS) -> pd.DataFrame:
-    """One symbol's bars in order: (bar, state after it, event)."""
+    """One symbol's bars in order: (bar, state after it, event). The plain form of life_cycle."""
     life, out = Life(min_score, cooldown), []
     for r in pdf.sort_values("start_time").itertuples(index=False):
         event = life.bar(r.low, r.high, r.is_valid, r.passes, r.score, r.stop_loss, r.take_profit)
@@ -67,9 +73,25 @@ def life_frame(pdf: pd.DataFrame, min_score: float = MIN_SCORE, cooldown: int =
 
 
 def life_cycle(bars: DataFrame, min_score: float = MIN_SCORE, cooldown: int = COOLDOWN_BARS) -> DataFrame:
-    """(symbol, start_time, state, event) of bars with high, low, is_valid, passes, score, take_profit, stop_loss."""
-    rows = bars.select("symbol", "start_time", "high", "low", "is_valid", "passes", "score", "take_profit", "stop_loss")
-    return rows.groupBy("symbol").applyInPandas(lambda pdf: life_frame(pdf, min_score, cooldown), "symbol string, start_time timestamp, state string, event string")
+    """(symbol, start_time, state, event) of bars with high, low, is_valid, passes, score, take_profit, stop_loss. Bars are dealt
+    by symbol and walked in order, many symbols to a frame: most symbols have few."""
+    numbers = ["low", "high", "score", "stop_loss", "take_profit"]
+    rows = bars.select("symbol", "start_time", *numbers, "is_valid", "passes").repartition("symbol").sortWithinPartitions("symbol", "start_time")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begins in whole_symbols(batches):
+            low, high, score, stop, target = (pc.fill_null(table.column(c), float("nan")).to_pylist() for c in numbers)
+            valid, passes = (pc.fill_null(table.column(c), False).to_pylist() for c in ("is_valid", "passes"))
+            first, states, events = set(begins.tolist()), [], []
+            for k in range(len(table)):
+                if k in first:
+                    life = Life(min_score, cooldown)
+                events.append(life.bar(low[k], high[k], valid[k], passes[k], score[k], stop[k], target[k]))
+                states.append(life.state)
+            out = table.select(["symbol", "start_time"]).append_column("state", pa.array(states, pa.string())).append_column("event", pa.array(events, pa.string()))
+            yield from out.combine_chunks().to_batches(max_chunksize=10_000)
+
+    return rows.mapInArrow(walk, "symbol string, start_time timestamp, state string, event string")
 
 
 def debounce(events: DataFrame, minutes: int = DEBOUNCE_MINUTES) -> DataFrame:

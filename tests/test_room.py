@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tapeloom import signal_queries as sq
-from tapeloom.operators import beta, candles, model, series
+from tapeloom.operators import beta, candles, model, series, signals
 from tapeloom.paths import drop_table, materialize, work_dir
 from tests.conftest import DATA
 
@@ -91,3 +91,16 @@ def test_only_later_bars_are_kept(spark):
     n = sq.tables.heavy_trades(spark, DATA).count()
     assert df.count() == table.where("symbol is not null").count() < 0.25 * n
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("bars_")]
+
+
+def test_life_cycle_is_that_of_the_frames(spark):
+    r, rows = random.Random(8), []
+    for s in [*"ABCDEFG", None]:
+        for k in range(r.choice([1, 40, 300])):
+            some = lambda x: r.choice([x, x, x, None, float("nan")])
+            rows.append((s, 3600 * k, some(r.uniform(92.5, 99)), some(r.uniform(99, 109)), r.choice([True, True, False, None]), r.choice([True, True, None]), some(r.choice([0.5, 0.8])), 93.0, some(108.0)))
+    bars = spark.createDataFrame(rows, "symbol string, s long, low double, high double, is_valid boolean, passes boolean, score double, stop_loss double, take_profit double").withColumn("start_time", F.timestamp_seconds("s"))
+    want = [tuple(x) for _, own in bars.fillna(False, ["is_valid", "passes"]).toPandas().groupby("symbol", dropna=False) for x in signals.life_frame(own, 0.75, 2).itertuples(index=False)]
+    got = signals.life_cycle(bars, 0.75, 2).collect()
+    assert sorted((str(x.symbol), str(x.start_time), x.state, str(x.event)) for x in got) == sorted((str(None if x[0] != x[0] else x[0]), str(x[1]), x[2], str(x[3])) for x in want)
+    assert {x.event for x in got} == {None, "ENTRY", "STOP_LOSS", "TAKE_PROFIT", "INVALIDATED"}
