@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .market_queries import LATENESS, ROOM, query
-from .paths import materialize, work_dir
+from .paths import forget, materialize, work_dir
 from .signal_queries import _signal_bars
 from .functions.symbols import BASKET
 from .sources import tables
@@ -25,9 +25,9 @@ def _stored(spark: SparkSession, d: str, where: str, order: str = "seq") -> Data
     return _store(spark, materialize(tables.tape(spark, d).where(where)), order)
 
 
-def _store(spark: SparkSession, rows: DataFrame, order: str = "seq") -> DataFrame:
+def _store(spark: SparkSession, rows: DataFrame, order: str = "seq", batch_rows: int = BATCH_ROWS) -> DataFrame:
     path = f"{work_dir(spark)}/tape-{uuid.uuid4().hex}"
-    jobs.store_in_order(rows, path, max(BATCHES, rows.count() // BATCH_ROWS), order)
+    jobs.store_in_order(rows, path, max(BATCHES, rows.count() // batch_rows), order)
     return jobs.read_tape(spark, path, rows.schema)
 
 
@@ -176,12 +176,14 @@ def stream_alerts(spark, d):
 
 def _life(spark: SparkSession, d: str, alerts: bool = False) -> tuple[DataFrame, DataFrame]:
     """(what the stream gives, the bars): after the last bar each symbol's session ends, twice, as the alerts hear of it a step
-    later."""
+    later. Its key is a share of the symbols, so a batch has as many rows for each core as others have in all."""
     stateful.use_rocksdb(spark)
-    bars = materialize(_signal_bars(spark, d).select("symbol", "start_time", "low", "high", "is_valid", "passes", "score", "stop_loss", "take_profit"))
+    made = _signal_bars(spark, d)
+    bars = materialize(made.select("symbol", "start_time", "low", "high", "is_valid", "passes", "score", "stop_loss", "take_profit"))
+    forget(made)
     last, marked = bars.agg(F.max("start_time")).first()[0], bars.withColumn("ends", F.lit(False))
     for days in (2, 4):
         ends = stateful.session_ends(marked, bars.select("symbol").distinct(), start_time=F.lit(last) + F.make_dt_interval(days=F.lit(days)))
         marked = marked.unionByName(ends)
-    life = stateful.life_cycle(_store(spark, marked, "start_time"), "1 hour")
+    life = stateful.life_cycle(_store(spark, marked, "start_time", BATCH_ROWS * spark.sparkContext.defaultParallelism), "1 hour")
     return jobs.collect_updates(stateful.debounce(life) if alerts else life, "append"), bars

@@ -6,7 +6,7 @@ changelog checkpoints a batch stores its changes alone, however large the state
 Rows of a stream may carry ends, which is true in one more row of a key when its session is over: what waits then is let
 out. session_ends() makes such rows for keys that are known, as a watch list is.
 
-LifeCycle and Debounce walk a key's rows in time order: rows wait until the watermark has passed them, so the result is that
+LifeCycle and Debounce walk a symbol's rows in time order: rows wait until the watermark has passed them, so the result is that
 of the batch forms for any cut into micro-batches, whatever the order within the watermark's delay. Rows that come later
 than that are dropped by Spark. Sequencing, BoundedDedup and ArrivalCandles go by arrival and need none; a key's share of a
 micro-batch is sorted in memory.
@@ -32,6 +32,8 @@ from ..operators.signals import COOLDOWN_BARS, DEBOUNCE_MINUTES, MIN_SCORE, Life
 
 #: Parts that the time from the watermark to the newest event is cut into: a batch rewrites the parts that it touches.
 PARTS = 64
+#: Shares of the symbols, each a key of what goes by time; rows of such a share in an entry of its state.
+SHARES, ENTRY_ROWS = 1024, 10_000
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -60,61 +62,84 @@ def _none(x):
     return None if pd.isna(x) else x.item() if hasattr(x, "item") else x
 
 
-def _nones(column: pd.Series) -> list:
-    """_none of each value of a column, a column at a time."""
-    return [None if x is None or x != x else x for x in column.tolist()]
-
-
 # --- in time order ---------------------------------------------------------------------------------------------------
 
 
 class InTimeOrder(StatefulProcessor):
-    """Lets a key's rows wait, in a list, until the watermark has passed their us or ends comes, then walks through them in order.
-    Subclasses say what waits (fields, DDL with us first), and what a row makes of the state."""
+    """Lets rows wait until the watermark has passed their us, or their owner's session ends, then walks through them in order. A
+    key is a share of the symbols, since a question to the state store costs as much as many rows: what came in a batch
+    waits in entries of arrays. Subclasses say what waits (fields, DDL, symbol and us among them), the columns of what a row
+    belongs to (owner), and what a row makes of its owner's state."""
 
     fields: str
+    owner: list[str]
     out: list[str]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.fields)
-        self.names = [f.split()[0] for f in self.fields.split(", ")]
+        self.kinds = dict(f.split() for f in self.fields.split(", "))
+        self.rest = [c for c in self.kinds if c not in ("symbol", "us")]
+        self.waiting = handle.getListState("waiting", ", ".join(f"{c} array<{kind}>" for c, kind in self.kinds.items()))
         self.prepare(handle)
 
     def prepare(self, handle: StatefulProcessorHandle) -> None:
         raise NotImplementedError
 
-    def walk(self, key: tuple, rows: list[tuple]) -> list[tuple]:
+    def walk(self, owners: list[tuple], us: list[int], rows: list[tuple]) -> list[tuple]:
+        """What each row brings about, as the columns of out behind symbol and start_time; rows are in time order, those of an
+        owner among others'."""
         raise NotImplementedError
 
-    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=self.out)
+    def _plain(self, frame: pd.DataFrame) -> pd.DataFrame:
+        """The columns that wait, of their own kinds: a missing number is NaN, a missing boolean false."""
+        as_kind = {"double": lambda x: x.to_numpy("float64", na_value=np.nan), "long": lambda x: x.to_numpy("int64"), "boolean": lambda x: x.eq(True).to_numpy(bool), "string": lambda x: x.to_numpy(object)}
+        return pd.DataFrame({c: as_kind[kind](frame[c]) for c, kind in self.kinds.items()})
+
+    def _owners(self, rows: pd.DataFrame) -> list[tuple]:
+        return [*zip(*(rows[c].tolist() for c in self.owner), strict=True)]
+
+    def _wait(self, rows: pd.DataFrame) -> None:
+        """Rows that wait from now on, beside those that do, and a timer for the first of them."""
+        for k in range(0, len(rows), ENTRY_ROWS):
+            self.waiting.appendValue(tuple(rows[c].iloc[k : k + ENTRY_ROWS].tolist() for c in self.kinds))
+        if len(rows):
+            self.handle.registerTimer(-(-int(rows["us"].min()) // 1000))
+
+    def _held(self) -> list[pd.DataFrame]:
+        return [self._plain(pd.DataFrame(dict(zip(self.kinds, entry, strict=True)))) for entry in self.waiting.get()]
+
+    def _let_go(self, rows: pd.DataFrame, now: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Walks through the rows of now; the others are all that waits then."""
+        self.waiting.clear()
+        self._wait(rows[~now])
+        ready = rows[now].sort_values("us", kind="stable")
+        if len(ready):
+            made = self.walk(self._owners(ready), ready["us"].tolist(), [*zip(*(ready[c].tolist() for c in self.rest), strict=True)])
+            frame = pd.DataFrame(made, columns=self.out[2:], dtype=object)
+            frame.insert(0, "symbol", ready["symbol"].to_numpy(object))
+            frame.insert(1, "start_time", pd.to_datetime(ready["us"].to_numpy(), unit="us"))
+            yield frame
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new, ends = [], False
-        for frame in rows:
-            ends |= bool(frame["ends"].any())
-            own = frame[~frame["ends"].to_numpy(bool)] if ends else frame
-            new += zip(*(_nones(own[c]) for c in self.names), strict=True)
-        if ends:
-            yield self._frame(self.walk(key, sorted([*map(tuple, self.waiting.get()), *new], key=lambda r: r[0])))
-            self.waiting.clear()
-        elif new:
-            self.waiting.appendList(new)
-            self.handle.registerTimer(-(-min(r[0] for r in new) // 1000))
+        rows = pd.concat(list(rows), ignore_index=True)
+        ends = rows["ends"].eq(True).to_numpy(bool)
+        new = self._plain(rows[~ends])
+        if ends.any():
+            over, both = {*self._owners(rows[ends])}, pd.concat([*self._held(), new], ignore_index=True)
+            yield from self._let_go(both, np.fromiter((o in over for o in self._owners(both)), bool, len(both)))
+        else:
+            self._wait(new)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(map(tuple, self.waiting.get()), key=lambda r: r[0])
-        ready, rest = [r for r in held if r[0] <= mark], [r for r in held if r[0] > mark]
-        if ready:
-            (self.waiting.put if rest else lambda _: self.waiting.clear())(rest)
-        if rest:
-            self.handle.registerTimer(-(-rest[0][0] // 1000))
-        out = self.walk(key, ready)
+        if held := self._held():
+            rows = pd.concat(held, ignore_index=True)
+            now = (rows["us"] <= mark).to_numpy()
+            if now.any():
+                yield from self._let_go(rows, now)
+            else:
+                self.handle.registerTimer(-(-int(rows["us"].min()) // 1000))
         self.passed(mark)
-        if out:
-            yield self._frame(out)
 
     def passed(self, mark: int) -> None:
         """What else is over when the watermark, in microseconds, has come that far."""
@@ -123,75 +148,87 @@ class InTimeOrder(StatefulProcessor):
         pass
 
 
+def _by_share(rows: DataFrame, processor: InTimeOrder, shape: str) -> DataFrame:
+    """rows(symbol, start_time, ends, and what waits but us) through a processor, dealt by shares of the symbols."""
+    names = [c for c in (f.split()[0] for f in processor.fields.split(", ")) if c != "us"]
+    share = F.pmod(F.xxhash64("symbol"), F.lit(SHARES)).cast("int").alias("share")
+    dealt = rows.select(share, *names, F.unix_micros("start_time").alias("us"), "start_time", "ends")
+    return dealt.groupBy("share").transformWithStateInPandas(processor, shape, "Append", "EventTime", eventTimeColumnName="start_time")
+
+
 class LifeCycle(InTimeOrder):
-    """The life of a symbol's signal: a value (state, bars left of the cool-down, stop, target) and the bars that wait."""
+    """The life of a symbol's signal: by symbol a value (state, bars left of the cool-down, stop, target), which idle symbols lack
+    until their first entry, and the bars that wait."""
 
-    fields = "us long, low double, high double, is_valid boolean, passes boolean, score double, stop_loss double, take_profit double"
+    fields = "symbol string, us long, low double, high double, is_valid boolean, passes boolean, score double, stop_loss double, take_profit double"
+    owner = ["symbol"]
     out = ["symbol", "start_time", "state", "event"]
 
     def __init__(self, min_score: float, cooldown: int):
         self.min_score, self.cooldown = min_score, cooldown
 
     def prepare(self, handle: StatefulProcessorHandle) -> None:
-        self.life = handle.getValueState("life", "state string, remaining int, stop double, target double")
-
-    def walk(self, key: tuple, rows: list[tuple]) -> list[tuple]:
-        if not rows:
-            return []
-        life = Life(self.min_score, self.cooldown, *(self.life.get() if self.life.exists() else ()))
-        out = []
-        for us, low, high, valid, passes, score, stop, target in rows:
-            event = life.bar(low, high, bool(valid), bool(passes), score, stop, target)
-            out.append((key[0], pd.Timestamp(us, unit="us"), life.state, event))
-        self.life.update((life.state, life.left, life.stop, life.target))
+        self.life = handle.getMapState("life", "symbol string", "state string, remaining int, stop double, target double")
+
+    def walk(self, owners: list[tuple], us: list[int], rows: list[tuple]) -> list[tuple]:
+        kept, lives, out = dict(self.life.iterator()), {}, []
+        for owner, row in zip(owners, rows, strict=True):
+            life = lives.get(owner)
+            if life is None:
+                life = lives[owner] = Life(self.min_score, self.cooldown, *kept.get(owner, ()))
+            event = life.bar(*row)
+            out.append((life.state, event))
+        for owner, life in lives.items():
+            if (now := (life.state, life.left, life.stop, life.target)) != kept.get(owner, ("IDLE", 0, 0.0, 0.0)):
+                self.life.updateValue(owner, now)
         return out
 
 
 def life_cycle(bars: DataFrame, lateness: str, min_score: float = MIN_SCORE, cooldown: int = COOLDOWN_BARS) -> DataFrame:
     """(symbol, start_time, state, event) as signals.life_cycle gives it, of a stream of bars; append mode."""
-    names = [f.split()[0] for f in LifeCycle.fields.split(", ")][1:]
-    rows = _with_ends(bars).withWatermark("start_time", lateness).select("symbol", "start_time", F.unix_micros("start_time").alias("us"), *names, "ends")
-    return rows.groupBy("symbol").transformWithStateInPandas(LifeCycle(min_score, cooldown), "symbol string, start_time timestamp, state string, event string", "Append", "EventTime", eventTimeColumnName="start_time")
+    return _by_share(_with_ends(bars).withWatermark("start_time", lateness), LifeCycle(min_score, cooldown), "symbol string, start_time timestamp, state string, event string")
 
 
 class Debounce(InTimeOrder):
-    """When an alert last went out: a value that is forgotten when the watermark is minutes beyond it. With live, the state store
-    forgets it too, by the clock, minutes after it was written; that fits streams whose times are the clock's."""
+    """When an alert last went out: by symbol and alert a value that is forgotten when the watermark is minutes beyond it. With live,
+    the state store forgets it too, by the clock, minutes after it was written; that fits streams whose times are the clock's."""
 
-    fields = "us long"
+    fields = "symbol string, event string, us long"
+    owner = ["symbol", "event"]
     out = ["symbol", "start_time", "event", "sent"]
 
     def __init__(self, minutes: int, live: bool):
         self.pause, self.live = minutes * 60_000_000, live
 
     def prepare(self, handle: StatefulProcessorHandle) -> None:
-        self.sent = handle.getValueState("sent", "us long", ttlDurationMs=self.pause // 1000 if self.live else None)
-
-    def walk(self, key: tuple, rows: list[tuple]) -> list[tuple]:
-        if not rows:
-            return []
-        was = last = self.sent.get()[0] if self.sent.exists() else None
-        out = []
-        for (us,) in rows:
-            due = last is None or us - last >= self.pause
-            last = us if due else last
-            out.append((key[0], pd.Timestamp(us, unit="us"), key[1], due))
-        if last != was:
-            self.sent.update((last,))
-            self.handle.registerTimer(-(-(last + self.pause) // 1000))
+        self.sent = handle.getMapState("sent", "symbol string, event string", "us long", ttlDurationMs=self.pause // 1000 if self.live else None)
+
+    def walk(self, owners: list[tuple], us: list[int], rows: list[tuple]) -> list[tuple]:
+        kept = {owner: at for owner, (at,) in self.sent.iterator()}
+        last, out = dict(kept), []
+        for owner, at in zip(owners, us, strict=True):
+            due = owner not in last or at - last[owner] >= self.pause
+            if due:
+                last[owner] = at
+            out.append((owner[1], due))
+        changed = {owner: at for owner, at in last.items() if kept.get(owner) != at}
+        for owner, at in changed.items():
+            self.sent.updateValue(owner, (at,))
+        for at in {*changed.values()}:
+            self.handle.registerTimer(-(-(at + self.pause) // 1000))
         return out
 
     def passed(self, mark: int) -> None:
-        if self.sent.exists() and self.sent.get()[0] + self.pause <= mark:
-            self.sent.clear()
+        for owner, (at,) in list(self.sent.iterator()):
+            if at + self.pause <= mark:
+                self.sent.removeKey(owner)
 
 
 def debounce(events: DataFrame, lateness: str | None = None, minutes: int = DEBOUNCE_MINUTES, live: bool = False) -> DataFrame:
     """events(symbol, start_time, event) with priority and sent, as signals.debounce gives it, of a stream; append mode.
     lateness is left out where the stream has a watermark already, as life_cycle's has."""
     rows = _with_ends(events.where("event is not null"))
-    rows = (rows.withWatermark("start_time", lateness) if lateness else rows).select("symbol", "event", "start_time", F.unix_micros("start_time").alias("us"), "ends")
-    out = rows.groupBy("symbol", "event").transformWithStateInPandas(Debounce(minutes, live), "symbol string, start_time timestamp, event string, sent boolean", "Append", "EventTime", eventTimeColumnName="start_time")
+    out = _by_share(rows.withWatermark("start_time", lateness) if lateness else rows, Debounce(minutes, live), "symbol string, start_time timestamp, event string, sent boolean")
     return priority(out)
 
 

@@ -4,12 +4,17 @@ import random
 import time
 import uuid
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tapeloom import signal_queries as sq
+from tapeloom import stream_queries
 from tapeloom.operators import beta, candles, model, series, signals
 from tapeloom.paths import drop_table, materialize, work_dir
+from tapeloom.streaming import stateful
 from tests.conftest import DATA
+from tests.test_stream_costs import Handle, Store
 
 
 def shuffle_files(spark) -> set[str]:
@@ -104,3 +109,73 @@ def test_life_cycle_is_that_of_the_frames(spark):
     got = signals.life_cycle(bars, 0.75, 2).collect()
     assert sorted((str(x.symbol), str(x.start_time), x.state, str(x.event)) for x in got) == sorted((str(None if x[0] != x[0] else x[0]), str(x[1]), x[2], str(x[3])) for x in want)
     assert {x.event for x in got} == {None, "ENTRY", "STOP_LOSS", "TAKE_PROFIT", "INVALIDATED"}
+
+
+def names_in(spark, path: str) -> list[str]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in (fs.listStatus(folder) if fs.exists(folder) else ())]
+
+
+class Waits(Store):
+    """A list state."""
+
+    def appendValue(self, v):
+        self._ask()
+        self.rows[len(self.rows)] = v
+
+    def get(self):
+        self._ask()
+        return iter(list(self.rows.values()))
+
+
+class Shares(Handle):
+    def getListState(self, name, *_):
+        return self.made.setdefault(name, Waits())
+
+    def getMapState(self, name, *_, **__):
+        return super().getMapState(name)
+
+    def registerTimer(self, at):
+        self.made.setdefault("timers", set()).add(at)
+
+
+@pytest.mark.parametrize("entry", [10_000, 7])
+def test_a_share_asks_seldom(monkeypatch, entry):
+    """Many symbols' bars wait in few entries, idle symbols have no state, and what is let out are the bars that are due, in order."""
+    monkeypatch.setattr(stateful, "ENTRY_ROWS", entry)
+    handle, got, hour = Shares(), [], 3_600_000_000
+    bars = [(f"S{s}", k * hour, 9.0 - k, 11.0 + k, True, s < 3, 0.9, 8.5, 99.0, False) for k in range(4) for s in range(200)]
+    frame = pd.DataFrame(bars, columns="symbol us low high is_valid passes score stop_loss take_profit ends".split())
+
+    def life():
+        now = stateful.LifeCycle(0.75, 3)
+        now.init(handle)
+        return now
+
+    marks = type("Marks", (), {"getCurrentWatermarkInMs": lambda self: 2 * hour // 1000})()
+    for out in life().handleInputRows((1,), iter([frame.sample(frac=1, random_state=1)]), None):
+        got.append(out)
+    assert not got and handle.made["timers"] == {0} and handle.made["waiting"].asked == -(-800 // entry)
+    got = list(life().handleExpiredTimer((1,), marks, None))
+    assert [len(x) for x in got] == [600] and handle.made["timers"] == {0, 3 * hour // 1000}
+    assert {k[0] for k in handle.made["life"].rows} == {"S0", "S1", "S2"} and handle.made["life"].asked == 4
+    last = frame[:200].assign(us=9 * hour, ends=[True] * 150 + [False] * 50)
+    got += list(life().handleInputRows((1,), iter([last]), None))
+    assert len(got[1]) == 150 and sum(len(x[0]) for x in handle.made["waiting"].rows.values()) == 100
+    events = pd.concat(got).dropna(subset=["event"])
+    assert [(r.symbol, r.event, r.start_time.hour) for r in events.sort_values(["symbol", "start_time"]).itertuples()] == [(f"S{s}", e, h) for s in range(3) for e, h in (("ENTRY", 0), ("STOP_LOSS", 1))]
+
+
+def test_a_stream_of_life_keeps_no_features(spark, monkeypatch):
+    """The scored bars' table goes when the columns that the stream reads have been taken from it."""
+    stateful.use_rocksdb(spark)
+    bars = spark.range(240).selectExpr("concat('S', id % 6) symbol", "timestamp_seconds(1725300000 + id div 6 * 3600) start_time", "95.0 + id * 7919 % 5 low", "101.0 + id * 104729 % 9 high", "id % 31 <> 0 is_valid", "id % 3 <> 0 passes", "0.5 + id % 2 * 0.4 score", "96.0D stop_loss", "108.0D take_profit", "1 more")
+    bars = bars.selectExpr("symbol", "start_time", "double(low) low", "double(high) high", "is_valid", "passes", "double(score) score", "stop_loss", "take_profit", "more")
+    want = signals.life_cycle(bars).collect()
+    table = materialize(bars)
+    monkeypatch.setattr(stream_queries, "_signal_bars", lambda *_: table)
+    folder = table.inputFiles()[0].rsplit("/", 1)[0]
+    got = stream_queries.stream_life_cycle(spark, DATA).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len({x.event for x in got}) > 3
+    assert not names_in(spark, folder)
