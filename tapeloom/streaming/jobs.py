@@ -19,10 +19,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.candles import TIMEFRAMES
 from ..operators.dedup import SIDES, Remembered, quote_key
 from ..operators.sequence import Sequencer
-from ..paths import work_dir
+from ..paths import tidy, work_dir
 
-#: Parts of a stream's state for each core.
-STATE_PARTS = 2
+#: Parts of a stream's state for each core, and micro-batches whose changes are kept: a stream starts again at its last one.
+STATE_PARTS, KEPT_BATCHES = 2, 2
 
 
 def store_in_order(tape: DataFrame, path: str, files: int, order: str = "seq", form: str = "parquet") -> None:
@@ -33,7 +33,8 @@ def store_in_order(tape: DataFrame, path: str, files: int, order: str = "seq", f
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     found = lambda: {s.getPath().getName(): s for s in (fs.listStatus(folder) if fs.exists(folder) else ()) if s.getPath().getName().startswith("part-")}
     old = found()
-    tape.repartitionByRange(files, order).sortWithinPartitions(order).write.mode("append").format(form).save(path)
+    with tidy(spark):
+        tape.repartitionByRange(files, order).sortWithinPartitions(order).write.mode("append").format(form).save(path)
     new = [s for name, s in sorted(found().items()) if name not in old]
     after = max((s.getModificationTime() for s in old.values()), default=0)
     first = max(after, min((s.getModificationTime() for s in new), default=0) - 1000 * len(new))
@@ -191,14 +192,19 @@ def stale_intervals(tape: DataFrame, threshold: float, delay: str = "1 second")
 def run(stream: DataFrame, path: str, keep: Callable[[DataFrame, int], None], mode: str) -> None:
     """Runs the stream over what there is. keep(batch, batch_id) may be called again with a batch after a failure, so it writes
     to a place of the batch's own and replaces what is there. A new stream's state lies in STATE_PARTS parts a core: every part
-    costs each micro-batch a task, a worker and a commit, however few rows it gets."""
+    costs each micro-batch a task, a worker and a commit, however few rows it gets. A batch leaves no shuffle files, and what
+    is kept of its state to start again from goes with the batches after it."""
     spark = stream.sparkSession
-    was = spark.conf.get("spark.sql.shuffle.partitions")
+    settings = {"spark.sql.shuffle.partitions": min(int(spark.conf.get("spark.sql.shuffle.partitions")), STATE_PARTS * spark.sparkContext.defaultParallelism), "spark.sql.streaming.minBatchesToRetain": KEPT_BATCHES}
+    was = {k: spark.conf.get(k) for k in settings}
     try:  # a stream takes the session's settings with it when it starts
-        spark.conf.set("spark.sql.shuffle.partitions", min(int(was), STATE_PARTS * spark.sparkContext.defaultParallelism))
-        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start()
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        with tidy(spark):
+            query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start()
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", was)
+        for k, v in was.items():
+            spark.conf.set(k, v)
     query.awaitTermination()
 
 

@@ -12,7 +12,7 @@ from tapeloom import signal_queries as sq
 from tapeloom import stream_queries
 from tapeloom.operators import beta, candles, model, series, signals
 from tapeloom.paths import drop_table, materialize, work_dir
-from tapeloom.streaming import stateful
+from tapeloom.streaming import jobs, stateful
 from tests.conftest import DATA
 from tests.test_stream_costs import Handle, Store
 
@@ -117,6 +117,18 @@ def names_in(spark, path: str) -> list[str]:
     return [s.getPath().getName() for s in (fs.listStatus(folder) if fs.exists(folder) else ())]
 
 
+def test_a_stream_leaves_little(spark):
+    """Its batches' shuffle files go, and of its checkpoint what the last batches need is kept."""
+    path, was = f"{work_dir(spark)}/test-{uuid.uuid4().hex}", shuffle_files(spark)
+    rows = spark.range(900).select((F.col("id") % 7).cast("string").alias("symbol"), "id")
+    jobs.store_in_order(rows, f"{path}/tape", 9, "id")
+    retained = spark.conf.get("spark.sql.streaming.minBatchesToRetain")
+    jobs.run(jobs.read_tape(spark, f"{path}/tape", rows.schema).groupBy("symbol").count(), path, lambda b, k: jobs.replace_batch(b, k, f"{path}/rows"), "update")
+    assert spark.conf.get("spark.sql.streaming.minBatchesToRetain") == retained and not left(spark, was)
+    assert len([n for n in names_in(spark, f"{path}/checkpoint/offsets") if n.isdigit()]) <= jobs.KEPT_BATCHES + 1
+    assert sum(r["count"] for r in jobs.newest(jobs.read_batches(spark, f"{path}/rows", spark.createDataFrame([], "symbol string, count long").schema), "symbol").collect()) == 900
+
+
 class Waits(Store):
     """A list state."""
 
